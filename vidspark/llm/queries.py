@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lines, minhash, packing, tokens
+from . import decontam, lines, minhash, packing, quality, spans, tokens, warc
 from ._common import read_table
 
 
@@ -30,11 +30,26 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(read_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spans.dedup_spans(docs).select("doc_id", "n_sentences", "n_removed", "n_words_removed", "kept_sha256")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality.quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -44,7 +59,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_decontamination": op3_decontamination,
+    "op4_warc": op4_warc,
     "op5_line_dedup": op5_line_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
 }
 
@@ -88,7 +106,83 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM j GROUP BY doc_id
 """
 
+OP4_SQL = f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+g AS (SELECT digest, max(page_id) AS original FROM p WHERE n >= {warc.MIN_REVISIT} GROUP BY digest)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN original IS NOT NULL AND page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> original THEN original END AS refers_to
+FROM p LEFT JOIN g USING (digest)
+"""
+
+OP7_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?]["'')\]]*[ \t\r]+|\n+)', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS parts FROM documents),
+s AS (
+  SELECT doc_id, k, parts[k] AS sentence, regexp_extract_all(translate(parts[k], '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS k FROM d)),
+o AS (
+  SELECT doc_id, k, words, row_number() OVER w AS i, sum(len(words)) OVER w AS upto FROM s WHERE len(words) > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+a AS (
+  SELECT doc_id, list(k ORDER BY i) AS ks, list(upto ORDER BY i) AS uptos, flatten(list(words ORDER BY i)) AS all_words FROM o GROUP BY doc_id),
+r AS (
+  SELECT doc_id, k, ks, uptos, all_words, upto - len(words) AS before,
+         greatest(i + {spans.MIN_SENTENCES} - 1, list_position(list_transform(uptos, lambda x: x >= upto - len(words) + {spans.MIN_WORDS}), true)) AS last
+  FROM o JOIN a USING (doc_id)
+  WHERE uptos[len(uptos)] >= upto - len(words) + {spans.MIN_WORDS} AND i + {spans.MIN_SENTENCES} - 1 <= len(ks)),
+runs AS (SELECT doc_id, k AS first_k, ks[last] AS last_k, array_to_string(all_words[before + 1 : uptos[last]], ' ') AS words FROM r),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY words ORDER BY doc_id, first_k) AS nth FROM runs),
+gone AS (SELECT DISTINCT doc_id, unnest(range(first_k, last_k + 1)) AS k FROM ranked WHERE nth > 1)
+SELECT d.doc_id, CAST(count(s.k) AS BIGINT) AS n_sentences, CAST(count(gone.k) AS BIGINT) AS n_removed,
+       CAST(coalesce(sum(len(s.words)) FILTER (WHERE gone.k IS NOT NULL), 0) AS BIGINT) AS n_words_removed,
+       sha256(coalesce(string_agg(s.sentence, '' ORDER BY s.k) FILTER (WHERE gone.k IS NULL), '')) AS kept_sha256
+FROM d LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN gone ON gone.doc_id = s.doc_id AND gone.k = s.k
+GROUP BY d.doc_id
+"""
+
+_CLASSES = ["[0-9]+", "[A-Z]+", r"""[.,;:!?'"()\-]+""", r"[\x00-\x1F#$%&*+/<=>@\[\\\]^_`{|}~\x7F]+", r"[^\x00-\x7F]+"]
+_QUOTED_CLASSES = ["'" + c.replace("'", "''") + "'" for c in _CLASSES]
+_N_BINS = 7 + len(quality.WORDS) + 1
+
+OP9_SQL = rf"""
+WITH w AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents),
+p AS (SELECT *, array_to_string(words, '') AS packed, len(words) AS n FROM w),
+c AS (
+  SELECT *, [{", ".join(f"length(packed) - length(regexp_replace(packed, {c}, '', 'g'))" for c in _QUOTED_CLASSES)}] AS marks,
+         [{", ".join(f"len(list_filter(words, lambda x: x = '{x}'))" for x in quality.WORDS)}] AS common FROM p),
+h AS (
+  SELECT *, list_concat([length(t) - length(packed)], marks, [length(packed) - list_sum(marks)]) AS classes, list_concat(common, [n - list_sum(common)]) AS wordy FROM c),
+b AS (
+  SELECT rid, lang, n, unnest(range(1, {_N_BINS + 1})) AS i, unnest(list_concat(classes, wordy)) AS x FROM h),
+f AS (SELECT lang, i, sum(x) AS y FROM b WHERE n >= {quality.JUDGED_WORDS} GROUP BY lang, i),
+q AS (SELECT lang, i, i <= 7 AS is_class, y / sum(y) OVER (PARTITION BY lang, i <= 7) AS y FROM f),
+s AS (SELECT rid, lang, i, x / nullif(sum(x) OVER (PARTITION BY rid, i <= 7), 0) AS x FROM b),
+j AS (
+  SELECT rid, sum(CASE WHEN is_class THEN v END) / 2 AS class_divergence, sum(CASE WHEN NOT is_class THEN v END) / 2 AS word_divergence
+  FROM (SELECT rid, is_class, CASE WHEN x > 0 THEN x * log2(2 * x / (x + y)) ELSE 0 END + CASE WHEN y > 0 THEN y * log2(2 * y / (x + y)) ELSE 0 END AS v FROM s JOIN q USING (lang, i))
+  GROUP BY rid),
+win AS (SELECT rid, k, array_to_string(words[k : k + 4], ' ') AS win FROM (SELECT rid, words, unnest(range(1, n - 3)) AS k FROM p WHERE n >= 5)),
+twice AS (SELECT rid, k FROM (SELECT rid, k, count(*) OVER (PARTITION BY rid, win) AS m FROM win) WHERE m > 1),
+rep AS (SELECT rid, count(DISTINCT at_word) AS n_repeat FROM (SELECT rid, unnest(range(k, k + 5)) AS at_word FROM twice) GROUP BY rid),
+l AS (SELECT rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM p),
+o AS (
+  SELECT doc_id, n AS n_words, length(packed) AS word_chars, length(packed) - length(regexp_replace(packed, '[#*$%&|<>]+', '', 'g')) AS n_symbols,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words, class_divergence, word_divergence
+  FROM p JOIN l USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN j USING (rid)),
+v AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM o)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+       CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND NOT (n_words >= {quality.JUDGED_WORDS} AND word_chars >= {quality.JUDGED_CHARS}
+         AND (coalesce(class_divergence, 0) > {quality.MAX_CLASS_DIVERGENCE} OR coalesce(word_divergence, 0) > {quality.MAX_WORD_DIVERGENCE} + {quality.WORD_ALLOWANCE} / n_words)) AS kept
+FROM v
+"""
+
 SQL: dict[str, str] = {
     "op3_decontamination": OP3_SQL,
+    "op4_warc": OP4_SQL,
     "op5_line_dedup": OP5_SQL,
+    "op7_substring_dedup": OP7_SQL,
+    "op9_quality_rules": OP9_SQL,
 }
