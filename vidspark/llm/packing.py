@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -20,18 +21,14 @@ END_ID = 1
 #: Remainders that one task packs; from some thousand on, padding no longer falls.
 GROUP = 20_000
 #: Words whose ids a worker keeps at a time.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 600_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-_encoders: dict[str, WordIds] = {}
+_encoders: dict[str, TextIds] = {}
 
 
-class WordIds:
-    """Ids of whole texts from the ids of their words, each encoded once.
-
-    For tokenizers that drop white space: no token spans a space or line end, so the ids of a text are
-    those of its parts between them, in order.
-    """
+class TextIds:
+    """Ids of whole texts, as little-endian 32-bit numbers, from the tokenizers library."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -40,30 +37,84 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        if any(x.lstrip or x.rstrip or " " in x.content or "\n" in x.content for x in self.tokenizer.get_added_tokens_decoder().values()):
-            raise ValueError("its added tokens reach over white space")
-        if self.tokenizer.encode("a b\na", add_special_tokens=False).ids != sum((self.tokenizer.encode(x, add_special_tokens=False).ids for x in "aba"), []):
-            raise ValueError("its tokens reach over white space")
-        self.known: dict[str, bytes] = {"": b""}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        parts = [text.replace("\n", " ").split(" ") for text in texts]
-        new = list(set().union(*parts).difference(self.known)) if parts else []
-        if len(self.known) + len(new) > KEPT_WORDS:
-            self.known = {"": b""}
-            new = [x for x in set().union(*parts) if x]
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for word, encoded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[word] = array("I", encoded.ids).tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) for words in parts]
-
-
-def _encoder(path: str) -> WordIds:
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+class WordIds(TextIds):
+    """The same from the ids of words, each encoded once, for tokenizers that drop white space and case.
+
+    There no token spans a space or line end, so the ids of a text are those of its parts between them. A
+    part that is plain letters, perhaps with marks after them, is made of the ids of the lower-cased letters
+    and of the marks. New letters are encoded many in one call, a space between each, and told apart by
+    the library's own word numbers.
+    """
+
+    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#%&()*+,\-./:;=?@\[\]^{}~]{0,4})")
+    PROBE = "Ab, cd. EF'S it's x1y,2 ÉÀß.,. Öl ÿ <|endoftext|>a\nq  \t(z)\n\n"
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.parts: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        self._forget()
+
+    def fits(self) -> bool:
+        """Whether this tokenizer is of the kind."""
+        odd = any(x.lstrip or x.rstrip or " " in x.content or "\n" in x.content for x in self.tokenizer.get_added_tokens_decoder().values())
+        return not odd and self([self.PROBE]) == super().__call__([self.PROBE])
+
+    def _forget(self) -> None:
+        self.parts, self.stems, self.marks = {"": b""}, {}, {"": b""}
+
+    def _learn_stems(self, stems: list[str]) -> None:
+        for i in range(0, len(stems), 20_000):
+            lots = [stems[k : k + 500] for k in range(i, min(i + 20_000, len(stems)), 500)]
+            for lot, encoded in zip(lots, self.tokenizer.encode_batch([" ".join(x) for x in lots], add_special_tokens=False), strict=True):
+                numbers = np.array(encoded.word_ids)
+                cuts = np.flatnonzero(np.diff(numbers)) + 1
+                if len(cuts) + 1 == len(lot):
+                    data = array("I", encoded.ids).tobytes()
+                    ends = [0, *(4 * cuts).tolist(), len(data)]
+                    self.stems.update((stem, data[a:b]) for stem, a, b in zip(lot, ends[:-1], ends[1:], strict=True))
+                else:
+                    self.stems.update(zip(lot, super().__call__(lot), strict=True))
+
+    def _learn(self, parts: set[str]) -> None:
+        plain, other = [], []
+        for part in parts:
+            if found := self.PLAIN.fullmatch(part):
+                plain.append((part, found[1].lower(), found[2]))
+            else:
+                other.append(part)
+        self._learn_stems(list({stem for _, stem, _ in plain}.difference(self.stems)))
+        stems, marks = self.stems, self.marks
+        if new := list({mark for _, _, mark in plain}.difference(marks)):
+            marks.update(zip(new, super().__call__(new), strict=True))
+        self.parts.update((part, stems[stem] + marks[mark]) for part, stem, mark in plain)
+        for i in range(0, len(other), 20_000):
+            self.parts.update(zip(other[i : i + 20_000], super().__call__(other[i : i + 20_000]), strict=True))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        split = [text.replace("\n", " ").split(" ") for text in texts]
+        new = set().union(*split).difference(self.parts)
+        if len(self.parts) + len(new) > KEPT_WORDS:
+            self._forget()
+            new = set().union(*split).difference(self.parts)
+        self._learn(new)
+        return [b"".join(map(self.parts.__getitem__, parts)) for parts in split]
+
+
+def ids_of(path: str) -> TextIds:
+    words = WordIds(path)
+    return words if words.fits() else TextIds(path)
+
+
+def _encoder(path: str) -> TextIds:
     if path not in _encoders:
         _encoders.clear()
-        _encoders[path] = WordIds(path)
+        _encoders[path] = ids_of(path)
     return _encoders[path]
 
 
