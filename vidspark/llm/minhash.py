@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import bound_batches, mix, text_buffers, written
@@ -19,8 +19,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 COORDINATES = 96
 BAND_ROWS = 4
-#: A bucket with more different texts is not compared all against all but by a finer bucket.
-BUCKET = 64
+#: A bucket with more different texts is not compared all against all but by its rarest elements.
+BUCKET = 16
 
 _RANK, _COORDINATE, _LAYER = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 
@@ -174,33 +174,58 @@ def _unlike_stars(stars: DataFrame, labels: DataFrame) -> DataFrame:
     return stars.join(a, "a", "left").join(b, "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
 
-def _across(members: DataFrame, nodes: DataFrame, labels: DataFrame, bucket: int, levels: int = 4) -> DataFrame:
-    """Pairs of different components' members in buckets that hold more than one component.
+def _live(rows: DataFrame, key: str) -> DataFrame:
+    """The rows (key, node, label) whose key is held by more than one component, with the key's count n."""
+    live = rows.groupBy(key).agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).filter(F.col("least") != F.col("most"))
+    return written(rows.join(written(live.select(key, "n"), "live"), key), "live-rows")
 
-    A bucket over ``bucket`` members is split by each of the bands after its own, so that any two members
-    that share one more band meet again; after ``levels`` splits, members that agree in that
-    many bands are paired with one node of each other component there.
+
+def _unlike_pairs(rows: DataFrame, key: str, similarity: float | None = None) -> DataFrame:
+    """Pairs of different components' nodes at a key; with a similarity, those whose places and sizes allow it.
+
+    A common element at place i of a sorted set leaves size - i others that can be common, if it is
+    the first; a pair that fails at its first common element fails at later ones.
+    """
+    more = ["at", "size"] if similarity else []
+    x = rows.select(key, F.col("node").alias("a"), F.col("label").alias("la"), *(F.col(c).alias(f"{c}_a") for c in more))
+    y = rows.select(key, F.col("node").alias("b"), F.col("label").alias("lb"), *(F.col(c).alias(f"{c}_b") for c in more))
+    allowed = (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b"))
+    if similarity:
+        least = similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-6
+        allowed &= F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) + 1 >= least
+    return x.join(y, key).filter(allowed).select("a", "b")
+
+
+def _across(members: DataFrame, sets: DataFrame, labels: DataFrame, bucket: int, similarity: float) -> DataFrame:
+    """Candidate pairs of different components' members in buckets that hold more than one component.
+
+    Buckets of ``bucket`` members or fewer give all such pairs. The members of larger ones are compared by
+    prefix and positional filtering, which are exact: of two sets at a similarity of s, each has one of the
+    other's elements among its rarest (1 - s) part and one more, and enough elements after it. A member far
+    from the rest of its bucket has only elements of its own there and meets none.
     """
-    pairs, now = [], members.select("bucket", "band", "node")
-    for level in range(levels + 1):
-        rows = _labelled(now, labels)
-        live = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).filter(F.col("least") != F.col("most"))
-        live = written(rows.join(written(live.select("bucket", "n"), "live"), "bucket"), "live-members")
-        small, large = live.filter(F.col("n") <= bucket), live.filter(F.col("n") > bucket)
-        last = level == levels
-        one = large.groupBy("bucket", "label").agg(F.min("node").alias("node")) if last else small
-        for left, right in ((small, small), *([(large, one)] if last else [])):
-            x, y = left.select("bucket", F.col("node").alias("x"), F.col("label").alias("lx")), right.select("bucket", F.col("node").alias("y"), F.col("label").alias("ly"))
-            both = x.join(y, "bucket").filter((F.col("lx") != F.col("ly")) & ((F.col("x") < F.col("y")) | F.lit(last)))
-            pairs.append(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-        if last or large.isEmpty():
-            break
-        more = large.join(nodes.select("node", "bands"), "node").select("node", F.col("band").alias("_at"), F.col("bucket").alias("_in"), F.posexplode("bands").alias("band", "next"))
-        now = more.filter(F.col("band") > F.col("_at")).select(F.xxhash64("_in", "next").alias("bucket"), "band", "node")
-    out = pairs[0]
-    for x in pairs[1:]:
-        out = out.union(x)
-    return out
+    live = _live(_labelled(members.select("bucket", "node"), labels), "bucket")
+    small, large = live.filter(F.col("n") <= bucket), live.filter(F.col("n") > bucket)
+    pairs = _unlike_pairs(small, "bucket")
+    if large.isEmpty():
+        return pairs
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, label, data in zip(*(batch.column(i).to_pylist() for i in range(2)), batch.column(2), strict=True):
+                own = np.frombuffer(data.as_buffer(), np.uint64)
+                first = np.append(True, own[1:] != own[:-1])
+                nth = np.arange(len(own)) - np.maximum.accumulate(np.where(first, np.arange(len(own)), 0))
+                keys = np.where(nth > 0, mix(own + nth.astype(np.uint64) * _LAYER), own).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.full(len(keys), x, np.int64)) for x in (node, label, len(own)))], ["element", "node", "label", "size"])
+
+    wanted = large.select(F.col("node").alias("id"), "label").distinct()
+    each = written(sets.join(wanted, "id").select("id", "label", "set").mapInArrow(elements, "element long, node long, label long, size long"), "elements")
+    common = written(each.groupBy("element").agg(F.count("*").alias("held")).filter(F.col("held") > 1), "common")
+    ranked = each.join(common, "element", "left").withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("held", F.lit(1)), "element")))
+    last = F.col("size") - F.ceil(similarity * F.col("size") - 1e-6) + 1
+    prefix = ranked.filter((F.col("at") <= last) & F.col("held").isNotNull()).select("element", "node", "label", "at", "size")
+    return pairs.union(_unlike_pairs(_live(prefix, "element"), "element", similarity))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, k: int = COORDINATES, rows: int = BAND_ROWS, bucket: int = BUCKET) -> DataFrame:
@@ -213,8 +238,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
 
     1. Texts of equal words are one node, by a pre-aggregated key, so copies are never paired.
     2. Nodes that share a band (``rows`` of ``k`` DartMinHash coordinates) are candidates. Each is first
-       paired with the bucket's least node that it shares most bands with, then with the least nodes
-       of its other buckets that are not yet in its component. Pairs are checked on the whole texts.
+       paired with the bucket centre that it shares most bands with, then with the centres of its other
+       buckets that are not yet in its component. Pairs are checked on the whole texts.
     3. Buckets that still hold more than one component are searched as ``_across`` says. Members of one
        component need no comparison: they are in one class already.
     With 24 bands of 4 rows a pair at 0.8 shares no band with probability 3e-6.
@@ -228,15 +253,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     signed = written(_signed(docs, shingle, k, rows), "signed")
     named = signed.filter(F.col("key").isNotNull())
     nodes = written(named.groupBy("key").agg(F.min("id").alias("node"), F.first("bands").alias("bands")), "nodes")
-    buckets = written(nodes.filter(F.col("node").isNotNull()).select("node", F.posexplode("bands").alias("band", "bucket")), "buckets")
-    shared = written(buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter(F.col("n") > 1).select("bucket", "least"), "shared")
-    members = written(buckets.join(shared, "bucket").select("bucket", "band", "node", "least"), "members")
-    sets = written(_shingle_sets(docs, members.select(F.col("node").alias("id")).distinct(), shingle), "sets")
-    stars = written(members.filter(F.col("node") != F.col("least")).groupBy(F.col("least").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("bands")), "stars")
-    done = stars.groupBy("b").agg(F.max_by("a", F.struct("bands", -F.col("a"))).alias("a")).select("a", "b")
+    buckets = written(nodes.filter(F.col("node").isNotNull()).select("node", F.explode("bands").alias("bucket")), "buckets")
+    shared = written(buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > 1), "shared")
+    members = buckets.join(shared, "bucket")
+    # The centre of a bucket is the node with the most company in all its buckets, as an original has among its copies.
+    company = written(members.groupBy("node").agg(F.sum("n").alias("company")), "company")
+    members = written(members.select("bucket", "node").join(company, "node"), "members")
+    centres = written(members.groupBy("bucket").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("centre")), "centres")
+    sets = written(_shingle_sets(docs, company.select(F.col("node").alias("id")), shingle), "sets")
+    stars = members.join(centres, "bucket").filter(F.col("node") != F.col("centre")).groupBy("node", "centre").agg(F.count("*").alias("bands"))
+    stars = written(stars.select("node", "bands", F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")), "stars")
+    done = written(stars.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("bands", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b").distinct(), "pairs")
     edges = written(_similar(done, sets, similarity), "similar")
     labels = components(edges)
-    for search in (lambda now: _unlike_stars(stars.select("a", "b"), now), lambda now: _across(members, nodes, now, bucket)):
+    for search in (lambda now: _unlike_stars(stars.select("a", "b"), now), lambda now: _across(members, sets, now, bucket, similarity)):
         pairs = written(search(labels).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
