@@ -172,3 +172,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     return both.mapInArrow(drop, T.StructType([*fields, *more]))
 
 
+def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``docs`` with what ``dedup_lines`` leaves of each text; a column n_chars is the text's new length."""
+    out = dedup_lines(docs, min_chars, min_docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)

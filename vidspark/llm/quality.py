@@ -169,5 +169,10 @@ def quality(docs: DataFrame, references: DataFrame | None = None) -> DataFrame:
 
 
 def drop_low_quality(docs: DataFrame, references: DataFrame | None = None) -> DataFrame:
-    """The documents that ``quality`` keeps, with their own columns."""
-    return quality(docs, references).filter("kept").select(*docs.columns)
+    """The documents that ``quality`` keeps, with their own columns.
+
+    A plain filter would be pushed below the steps that compute its verdict, with all of them written out in it
+    again and again; a row that is repeated once or not at all is not.
+    """
+    once = F.array_repeat(F.struct(*docs.columns), F.when(F.col("kept"), 1).otherwise(0))
+    return quality(docs, references).select(F.inline(once))
