@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -55,6 +57,13 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def give_back_memory() -> None:
+    """Returns what a worker has freed to the system; workers live on, and an executor has several."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def with_fields(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
     """Schema of ``df`` and further fields."""
     return T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in fields)])

@@ -10,7 +10,7 @@ import numpy as np
 from ._common import mix
 
 #: Bytes handled at a time; the scratch arrays take about 30 times as much.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)

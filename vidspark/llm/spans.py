@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bound_batches, id_key, text_buffers, written
+from ._common import bound_batches, give_back_memory, id_key, text_buffers, written
 from ._words import word_hashes
 
 MIN_SENTENCES = 2
@@ -82,10 +82,11 @@ def repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_word
                 had = len(rows)
                 rows += text_spans(words, counts, min_sentences, min_words)
                 ids += [doc_id] * (len(rows) - had)
-                if len(rows) > 200_000:
+                if len(rows) > 50_000:
                     yield made(ids, rows)
                     ids, rows = [], []
             yield made(ids, rows)
+        give_back_memory()
 
     def made(ids: list[int], rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True)) or [()] * 4
@@ -129,6 +130,7 @@ def dedup_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words:
             columns = [pa.array(texts, pa.binary()).cast(pa.string()) if i == at else batch.column(i) for i in range(len(names))]
             added = [pa.array(c, k) for c, k in zip(list(zip(*numbers, strict=True)) or [()] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays([*columns, *added], [*names, *new])
+        give_back_memory()
 
     fields = [T.StructField("text", T.StringType()) if f.name == "text" else f for f in docs.schema.fields]
     added = [T.StructField(n, t) for n, t in zip(new, (T.LongType(), T.LongType(), T.LongType(), T.StringType()), strict=True)]
