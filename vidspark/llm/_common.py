@@ -64,6 +64,13 @@ def give_back_memory() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that is not taken."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = f"_{name}"
+    return name
+
+
 def with_fields(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
     """Schema of ``df`` and further fields."""
     return T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in fields)])

@@ -198,7 +198,7 @@ def shards(bounds: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
-_FIELDS = (("n_words", T.LongType()), ("_ranges", T.ArrayType(T.LongType())), ("_items", T.ArrayType(T.StringType())), ("longest_match", T.LongType()), ("longest_at", T.LongType()))
+_FIELDS = (("n_words", T.LongType()), ("hit_ranges", T.ArrayType(T.LongType())), ("items", T.ArrayType(T.StringType())), ("longest_match", T.LongType()), ("longest_at", T.LongType()))
 _TYPES = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.int64(), pa.int64())
 
 
@@ -282,16 +282,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """
     bound_batches(docs.sparkSession)
     new = ("n_words", "n_hit", "items", "n_items", "items_sha256", "contaminated", "hit_ranges", "longest_match", "longest_at")
-    docs = docs.drop(*new, *(n for n, _ in _FIELDS))
+    docs = docs.drop(*new)
     keep = docs.columns
     docs = docs.withColumn("text", F.col("text").cast("string"))
     for k, block in enumerate(blocks(benchmark, block_bytes, window)):
         docs = _pass(docs, block, k == 0, shard_words)
-    hit = F.aggregate("_ranges", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("sign")), lambda s, x: F.struct((s.n + s.sign * x).alias("n"), (-s.sign).alias("sign")), lambda s: s.n)
+    hit = F.aggregate("hit_ranges", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("sign")), lambda s, x: F.struct((s.n + s.sign * x).alias("n"), (-s.sign).alias("sign")), lambda s: s.n)
     docs = docs.withColumn("n_hit", hit)
     return docs.select(
-        *keep, "n_words", "n_hit", F.col("_items").alias("items"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"), F.col("_ranges").alias("hit_ranges"), "longest_match", "longest_at",
+        *keep, "n_words", "n_hit", "items", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"), "hit_ranges", "longest_match", "longest_at",
     )
 
 

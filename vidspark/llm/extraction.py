@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bound_batches, written
+from ._common import bound_batches, fresh, written
 
 #: A branch is judged only where so many different pages of its host have it.
 MIN_PAGES = 8
@@ -306,7 +306,8 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_importance: float
     pages = pages.drop("text", "n_chars")
     noise = written(noise_branches(pages, min_pages, min_importance), "noise")
     names, at = pages.columns, pages.columns.index("html")
-    both = pages.withColumn("_host", host_of(F.col("url").cast("string"))).join(noise.withColumnRenamed("host", "_host"), "_host", "left").select(*names, "paths")
+    own, paths = fresh("_host", names), fresh("_paths", names)
+    both = pages.withColumn(own, host_of(F.col("url").cast("string"))).join(noise.toDF(own, paths), own, "left").select(*names, paths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

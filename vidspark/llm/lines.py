@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bound_batches, id_key, texts_of, written
+from ._common import bound_batches, fresh, id_key, texts_of, written
 
 WHITE = b" \t\n\x0b\x0c\r"
 MIN_CHARS = 20
@@ -145,8 +145,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     """
     new = ("n_lines", "n_dropped", "kept_sha256")
     docs = docs.drop(*new)
-    gone = repeated_lines(docs, min_chars, min_docs).groupBy("_id").agg(F.collect_set("hash").alias("_gone"))
-    both = docs.withColumn("_id", id_key("doc_id")).join(gone, "_id", "left").select(*docs.columns, "_gone")
+    own = fresh("_id", docs.columns)
+    gone = repeated_lines(docs, min_chars, min_docs).groupBy(F.col("_id").alias(own)).agg(F.collect_set("hash").alias(fresh("_gone", docs.columns)))
+    both = docs.withColumn(own, id_key("doc_id")).join(gone, own, "left").select(*docs.columns, gone.columns[-1])
     at, names = docs.columns.index("text"), docs.columns
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bound_batches, give_back_memory, id_key, text_buffers, written
+from ._common import bound_batches, fresh, give_back_memory, id_key, text_buffers, written
 from ._words import word_hashes
 
 MIN_SENTENCES = 2
@@ -113,8 +113,9 @@ def dedup_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words:
     new = ("n_sentences", "n_removed", "n_words_removed", "kept_sha256")
     docs = docs.drop(*new)
     names, at = docs.columns, docs.columns.index("text")
-    gone = repeated_spans(docs, min_sentences, min_words).groupBy("_id").agg(F.collect_set(F.struct("start", "end")).alias("_gone"))
-    both = docs.withColumn("_id", id_key("doc_id")).join(gone, "_id", "left").select(*names, "_gone")
+    own = fresh("_id", docs.columns)
+    gone = repeated_spans(docs, min_sentences, min_words).groupBy(F.col("_id").alias(own)).agg(F.collect_set(F.struct("start", "end")).alias(fresh("_gone", docs.columns)))
+    both = docs.withColumn(own, id_key("doc_id")).join(gone, own, "left").select(*names, gone.columns[-1])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

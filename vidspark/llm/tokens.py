@@ -27,7 +27,7 @@ class Lengths:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.splits = True
+        self.splits, self.skip = True, 0
         if path.endswith(".json"):
             from tokenizers import Tokenizer
 
@@ -42,6 +42,8 @@ class Lengths:
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             self._batch = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
+            # The library begins a text as if a space stood before it, so the space at a cut is left out.
+            self.splits, self.skip = model.encode("ab cd") == model.encode("ab") + model.encode("cd"), 1
         elif path.endswith(".tiktoken"):
             import public_tokenizers
             import tiktoken
@@ -61,7 +63,8 @@ class Lengths:
                 counts[owner] += n
 
         for i, text in enumerate(texts):
-            for piece in safe_pieces(text, PIECE_CHARS) if self.splits else [text]:
+            for k, piece in enumerate(safe_pieces(text, PIECE_CHARS) if self.splits else [text]):
+                piece = piece[self.skip :] if k else piece
                 if pieces and size + len(piece) > CALL_BYTES:
                     encode()
                     pieces, owners, size = [], [], 0
