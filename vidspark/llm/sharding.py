@@ -9,7 +9,7 @@ from ._common import id_key, written
 
 SHARDS = 8
 ROUNDS = 4
-#: Rows of a shard that one task numbers.
+#: Rows of a shard that one bucket has at most, about.
 BUCKET_ROWS = 50_000
 #: Followers of one node that want into a shard count as a crowd from this part of a shard on.
 CROWD = 16
@@ -20,6 +20,27 @@ def _case(shard: Column, values: list[float]) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), shard)
 
 
+def _accepted(asked: list[list[list[int]]], room: list[int]) -> list[list[list[float]]]:
+    """Part of each kind of askers (kind, from, to) that may move: what two shards swap evenly, and then what room takes; the first kind first."""
+    n = len(room)
+    moved = [[[0.0] * n for _ in range(n)] for _ in asked]
+    for s in range(n):
+        for t in range(n):
+            even = min(sum(k[s][t] for k in asked), sum(k[t][s] for k in asked))
+            for kind, out in zip(asked, moved, strict=True):
+                out[s][t] = min(kind[s][t], even)
+                even -= out[s][t]
+    for t in range(n):
+        left = float(room[t])
+        for kind, out in zip(asked, moved, strict=True):
+            rest = sum(kind[s][t] - out[s][t] for s in range(n))
+            part = min(1.0, left / rest) if rest else 0.0
+            left -= part * rest
+            for s in range(n):
+                out[s][t] += part * (kind[s][t] - out[s][t])
+    return [[[out[s][t] / kind[s][t] if kind[s][t] else 0.0 for t in range(n)] for s in range(n)] for kind, out in zip(asked, moved, strict=True)]
+
+
 def propagate(nodes: DataFrame, edges: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, total: int | None = None) -> DataFrame:
     """node, weight and shard of every node with a link, after ``rounds`` of balanced label propagation.
 
@@ -27,9 +48,9 @@ def propagate(nodes: DataFrame, edges: DataFrame, shards: int = SHARDS, rounds:
     all of those without a link. Each linked node begins in the shard its hash
     says. In a round a node looks where most of its neighbours are and asks to move there, if more are there
     than in its own shard. Minor nodes (with a neighbour of more links, or as many and a lesser id) and major ones
-    ask in turn, so that the two ends of a link never swap. A shard takes movers up to its share of all weight:
-    followers of one node go first while they fit together; crowds that do not share what room is left, so
-    they are split. Which of them move is drawn by hash, so a rerun draws the same.
+    ask in turn, so that the two ends of a link never swap. Two shards swap as many as both ask; beyond that a
+    shard takes movers up to its share of all weight: small followings of one node first, crowds, which may be split, what
+    room is left. Which of them move is drawn by hash, so a rerun draws the same.
 
     Neighbours are counted by partial sums of (node, shard), never listed; the driver sees sums by shard only.
     """
@@ -48,20 +69,19 @@ def propagate(nodes: DataFrame, edges: DataFrame, shards: int = SHARDS, rounds:
         best = near.groupBy("node").agg(F.max(F.struct("n", (-F.col("there")).alias("minus"))).alias("best"))
         own = near.select("node", F.col("there").alias("shard"), F.col("n").alias("own"))
         asks = movers.join(best, "node").join(own, ["node", "shard"], "left").filter(F.col("best.n") > F.coalesce("own", F.lit(0)))
-        asks = written(asks.select("node", "weight", F.coalesce("leader", "node").alias("unit"), (-F.col("best.minus")).cast("int").alias("to")), "asks")
+        asks = written(asks.select("node", "weight", "shard", F.coalesce("leader", "node").alias("unit"), (-F.col("best.minus")).cast("int").alias("to")), "asks")
         units = asks.groupBy("to", "unit").agg(F.sum("weight").alias("asked"))
         crowds = written(units.filter(F.col("asked") > max(1, capacity // CROWD)), "crowds")
+        asks = asks.join(crowds, ["to", "unit"], "left").withColumn("crowd", F.col("asked").isNotNull().cast("int"))
         load = [0] * shards
         for r in state.groupBy("shard").agg(F.sum("weight").alias("w")).collect():  # one row a shard
             load[r.shard] = r.w
-        few, many = [0] * shards, [0] * shards
-        for r in asks.join(crowds, ["to", "unit"], "left").groupBy("to").agg(F.sum(F.when(F.col("asked").isNull(), F.col("weight"))).alias("few"), F.sum(F.when(F.col("asked").isNotNull(), F.col("weight"))).alias("many")).collect():
-            few[r.to], many[r.to] = r.few or 0, r.many or 0
-        room = [max(0, capacity - w) for w in load]
-        first = [min(1.0, r / f) if f else 1.0 for r, f in zip(room, few, strict=True)]
-        second = [min(1.0, max(0, r - f) / m) if m else 1.0 for r, f, m in zip(room, few, many, strict=True)]
+        asked = [[[0] * shards for _ in range(shards)] for _ in range(2)]
+        for r in asks.groupBy("crowd", "shard", "to").agg(F.sum("weight").alias("w")).collect():  # two for each pair of shards
+            asked[r.crowd][r.shard][r.to] = r.w
+        parts = _accepted(asked, [max(0, capacity - w) for w in load])
         drawn = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)
-        taken = asks.join(crowds, ["to", "unit"], "left").filter(drawn < F.when(F.col("asked").isNull(), _case(F.col("to"), first)).otherwise(_case(F.col("to"), second)))
+        taken = asks.filter(drawn < _case((F.col("crowd") * shards + F.col("shard")) * shards + F.col("to"), [p for kind in parts for row in kind for p in row]))
         state = written(state.join(taken.select("node", "to"), "node", "left").withColumn("shard", F.coalesce("to", "shard")).drop("to"), "labels")
     return state.select("node", "weight", "shard")
 
@@ -73,7 +93,7 @@ def level(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     beyond a shard's share, then fill the other shards' open slots in order.
     """
     total = rows.count()
-    n = max(1, -(-total // BUCKET_ROWS))
+    n = max(64, -(-total // BUCKET_ROWS))
     rows = rows.withColumn("_lane", F.coalesce("shard", F.lit(shards))).withColumn("_bucket", F.pmod(F.xxhash64("node", "doc_id"), F.lit(n)).cast("int"))
     counts: dict[tuple[int, int], int] = {(r._lane, r._bucket): r["count"] for r in rows.groupBy("_lane", "_bucket").count().collect()}  # one for 50,000 rows
     lanes, before = [0] * (shards + 1), []
