@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import fresh, written
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -37,40 +35,29 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), _WHITE), lambda w: w != "")
 
 
-def _ties(keys: Column, places: Column) -> Column:
-    """Of places and their sorted keys, those whose key a neighbour shares, in order of key."""
-    none = F.array().cast("array<long>")
-    later = F.slice(keys, F.lit(2), F.greatest(F.size(keys) - 1, F.lit(0)))
-    any_tie = F.exists(F.zip_with(later, keys, lambda a, b: a == b), lambda x: x)
-    tied = F.filter(F.transform(places, lambda p, i: F.when((F.get(keys, i + 1) == F.get(keys, i)) | ((i > 0) & (F.get(keys, i - 1) == F.get(keys, i))), p)), lambda p: p.isNotNull())
-    return F.when(F.size(keys) < 2, none).when(any_tie, tied).otherwise(none)
-
-
-def with_repeated_window_words(docs: DataFrame, hashes: str, out: str, window: int = WINDOW) -> DataFrame:
+def with_repeated_window_words(docs: DataFrame, words: str, out: str, window: int = WINDOW) -> DataFrame:
     """Adds how many words lie in a window of that many words that the text holds twice or more.
 
-    Windows are sorted by a part of their hash with their place in the low bits, as plain numbers; only those that
-    tie with a neighbour there, almost none in most texts, are sorted again by the whole hash. Each
-    step is a column, so that none is computed twice.
+    Windows are hashed; only texts with fewer different windows than windows sort them, each with its place, and
+    add up what equal neighbours cover. Each step is a column, so that none is computed twice or again for
+    every element of a later one.
     """
-    h = F.col(hashes)
-    docs = docs.withColumn("_bits", F.ceil(F.log2(F.size(h).cast("double") + 1)).cast("int"))
-    docs = docs.withColumn("_mask", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bits")) - 1)
-    wins = F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - window + 1, F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, window)]))
+    w = F.col(words)
+    wins = F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - window + 1, F.lit(0))), lambda x, i: F.xxhash64(F.slice(w, i + 1, F.lit(window))))
     docs = docs.withColumn("_wins", wins)
-    docs = docs.withColumn("_marked", F.sort_array(F.transform("_wins", lambda x, i: x.bitwiseAND(F.bitwise_not(F.col("_mask"))).bitwiseOR(i.cast("long")))))
-    docs = docs.withColumn("_keys", F.transform("_marked", lambda x: x.bitwiseAND(F.bitwise_not(F.col("_mask")))))
-    docs = docs.withColumn("_tied", _ties(F.col("_keys"), F.col("_marked")))
-    docs = docs.withColumn("_pairs", F.sort_array(F.transform("_tied", lambda x: F.struct(F.get("_wins", x.bitwiseAND(F.col("_mask")).cast("int")).alias("h"), x.bitwiseAND(F.col("_mask")).alias("p")))))
-    docs = docs.withColumn("_sure", F.sort_array(_ties(F.col("_pairs.h"), F.col("_pairs.p"))))
-    w = F.lit(window).cast("long")
+    sort = F.sort_array(F.transform("_wins", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
+    docs = docs.withColumn("_pairs", F.when(F.size(F.array_distinct("_wins")) < F.size("_wins"), sort))
+    docs = docs.withColumn("_keys", F.transform("_pairs", lambda x: x["h"])).withColumn("_places", F.transform("_pairs", lambda x: x["p"]))
+    key = F.col("_keys")
+    tied = F.transform("_places", lambda p, i: F.when((F.get(key, i + 1) == F.get(key, i)) | ((i > 0) & (F.get(key, i - 1) == F.get(key, i))), p))
+    docs = docs.withColumn("_tied", F.array_sort(F.filter(tied, lambda p: p.isNotNull())))
     covered = F.aggregate(
-        "_sure",
-        F.struct(F.lit(0).cast("long").alias("n"), (-w).alias("last")),
-        lambda s, p: F.struct((s["n"] + F.least(w, p - s["last"])).alias("n"), p.alias("last")),
-        lambda s: s["n"],
+        "_tied",
+        F.struct(F.lit(0).alias("n"), F.lit(-window).alias("last")),
+        lambda s, p: F.struct((s["n"] + F.least(F.lit(window), p - s["last"])).alias("n"), p.alias("last")),
+        lambda s: s["n"].cast("long"),
     )
-    return docs.withColumn(out, covered)
+    return docs.withColumn(out, F.coalesce(covered, F.lit(0).cast("long")))
 
 
 def _left_over(text: Column, classes: str) -> Column:
@@ -78,7 +65,7 @@ def _left_over(text: Column, classes: str) -> Column:
 
 
 def class_histogram(text: Column, packed: Column) -> Column:
-    """Counts of white space, digits, ASCII capitals, sentence marks, other ASCII marks, other characters and ASCII small letters.
+    """Bytes of a text by class: white space, digits, ASCII capitals, sentence marks, other ASCII marks, continuation bytes of UTF-8, all others.
 
     packed: the text without white space.
     """
@@ -89,15 +76,23 @@ def class_histogram(text: Column, packed: Column) -> Column:
         size - _left_over(packed, "[A-Z]+"),
         size - _left_over(packed, r"[.,;:!?'\"()\-]+"),
         size - _left_over(packed, r"[\x00-\x1F#$%&*+/<=>@\[\\\]^_`{|}~\x7F]+"),
-        size - _left_over(packed, r"[^\x00-\x7F]+"),
+        F.octet_length(packed) - size,
     ]
-    return F.array(*[p.cast("double") for p in [*parts, size - reduce(lambda a, b: a + b, parts[1:])]])
+    return F.array(*[p.cast("double") for p in parts], size.cast("double"))
+
 
+def with_word_histogram(docs: DataFrame, words: str, lang: str, out: str) -> DataFrame:
+    """Adds the counts of each common word of a document's language (of all, if it has no list), and of all other words."""
 
-def word_histogram(words: Column, common: Column) -> Column:
-    """Counts of each common word, and of all other words. common: the words that are common ones."""
-    counts = [F.size(common) - F.size(F.array_remove(common, w)) for w in WORDS]
-    return F.array(*[c.cast("double") for c in [*counts, F.size(words) - F.size(common)]])
+    def chosen(of) -> Column:
+        case = None
+        for code, listed in COMMON_WORDS.items():
+            case = F.when(F.col(lang) == code, of(listed)) if case is None else case.when(F.col(lang) == code, of(listed))
+        return case.otherwise(of(WORDS))
+
+    docs = docs.withColumn("_common", chosen(lambda listed: F.filter(words, lambda w: w.isin(listed))))
+    n = F.size("_common")
+    return docs.withColumn(out, chosen(lambda listed: F.array(*[(n - F.size(F.array_remove("_common", w))).cast("double") for w in listed], (F.size(words) - n).cast("double"))))
 
 
 def shares(counts: Column) -> Column:
@@ -109,23 +104,35 @@ def divergence(p: Column, q: Column) -> Column:
     """Jensen-Shannon divergence of two lists of shares, in bits (0 to 1); null if either is of nothing."""
 
     def term(x: Column, y: Column) -> Column:
-        return F.when(x.isNull() | y.isNull(), None).when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(0.0)
+        return F.when(x > 0, x * F.log2(2 * x / (x + y))).when(y >= 0, 0.0)
 
     return F.aggregate(F.zip_with(p, q, lambda a, b: term(a, b) + term(b, a)), F.lit(0.0), lambda a, b: a + b) / 2
 
 
-def _parts(docs: DataFrame) -> DataFrame:
-    """Adds the histograms, and what the rules need, as columns that begin with an underscore."""
-    out = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("_words", words_of(F.col("_text")))
-    out = out.withColumn("_packed", F.array_join("_words", "")).withColumn("_common", F.filter("_words", lambda w: w.isin(WORDS)))
-    return out.withColumn("_classes", class_histogram(F.col("_text"), F.col("_packed"))).withColumn("_wordy", word_histogram(F.col("_words"), F.col("_common")))
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def language_references(docs: DataFrame) -> DataFrame:
+def measure(docs: DataFrame) -> DataFrame:
+    """text and lang (if there), COUNTS, _lang, the histograms _classes and _wordy, and all other columns as the struct _others; in one pass."""
+    named = [c for c in ("text", "lang") if c in docs.columns]
+    others = [c for c in docs.columns if c not in (*named, *COUNTS)]
+    out = docs.select(*named, F.struct(*others, F.lit(0).alias(fresh("_none", others))).alias("_others"), _language(docs).alias("_lang"))
+    out = out.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("_words", words_of(F.col("_text")))
+    out = with_word_histogram(out.withColumn("_packed", F.array_join("_words", "")), "_words", "_lang", "_wordy")
+    out = out.withColumn("_classes", class_histogram(F.col("_text"), F.col("_packed")))
+    lines = F.filter(F.split("_text", "\n", -1), lambda line: F.length(F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))) > 0)
+    out = out.withColumn("n_words", F.size("_words").cast("long")).withColumn("word_chars", F.length("_packed").cast("long"))
+    out = out.withColumn("n_symbols", (F.length("_packed") - _left_over(F.col("_packed"), "[#*$%&|<>]+")).cast("long"))
+    out = out.withColumn("_lines", lines).withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
+    out = with_repeated_window_words(out, "_words", "n_repeat_words")
+    return out.select(*named, "_others", *COUNTS, "_lang", "_classes", "_wordy")
+
+
+def language_references(measured: DataFrame) -> DataFrame:
     """Per language: shares of the summed histograms of all its documents that are long enough to be judged."""
-    some = _parts(docs.select("text", _language(docs).alias("_lang"))).filter(F.size("_words") >= JUDGED_WORDS)
-    total = lambda name, n: F.array(*[F.sum(F.get(name, F.lit(i))) for i in range(n)])
-    sums = some.groupBy("_lang").agg(total("_classes", 7).alias("_a"), total("_wordy", len(WORDS) + 1).alias("_b"))
+    some = measured.filter(F.col("n_words") >= JUDGED_WORDS)
+    total = lambda name, n: F.array(*[F.coalesce(F.sum(F.get(name, F.lit(i))), F.lit(0.0)) for i in range(n)])
+    sums = some.groupBy("_lang").agg(total("_classes", 7).alias("_a"), F.slice(total("_wordy", len(WORDS) + 1), F.lit(1), F.max(F.size("_wordy"))).alias("_b"))
     return sums.select("_lang", shares(F.col("_a")).alias("_ref_classes"), shares(F.col("_b")).alias("_ref_words"))
 
 
@@ -133,39 +140,47 @@ def _language(docs: DataFrame) -> Column:
     return F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
 
 
-def quality(docs: DataFrame, references: DataFrame | None = None) -> DataFrame:
+def judge(measured: DataFrame, references: DataFrame) -> DataFrame:
+    """Adds base_failed, kept, class_divergence and word_divergence to what ``measure`` gives, and takes its help columns off."""
+    keep = [c for c in measured.columns if c not in ("_lang", "_classes", "_wordy")]
+    out = measured.join(references, "_lang", "left")
+    out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
+    out = out.withColumn("_p", shares(F.col("_classes"))).withColumn("_q", shares(F.col("_wordy")))
+    out = out.withColumn("class_divergence", divergence(F.col("_p"), F.col("_ref_classes"))).withColumn("word_divergence", divergence(F.col("_q"), F.col("_ref_words")))
+    judged = (F.col("n_words") >= JUDGED_WORDS) & (F.col("word_chars") >= JUDGED_CHARS)
+    odd = (F.coalesce("class_divergence", F.lit(0.0)) > MAX_CLASS_DIVERGENCE) | (F.coalesce("word_divergence", F.lit(0.0)) > MAX_WORD_DIVERGENCE + WORD_ALLOWANCE / F.col("n_words"))
+    return out.withColumn("kept", ~F.col("base_failed") & ~(judged & odd)).select(*keep, *VERDICT)
+
+
+VERDICT = ("base_failed", "kept", "class_divergence", "word_divergence")
+
+
+def quality(docs: DataFrame, references: DataFrame | None = None, keep_text: bool = True) -> DataFrame:
     """``docs`` with counts, divergences and verdict.
 
     Adds n_words, word_chars, n_symbols (of ``#*$%&|<>``), n_dup_lines (lines with a word that equal an earlier
     line), n_repeat_words (words in windows of five that the text holds twice or more), base_failed, kept, and
     class_divergence and word_divergence: Jensen-Shannon divergences of the text's histograms of character
-    classes and of common words to those of its language.
+    classes and of common words from those of its language.
 
     base_failed: fewer than MIN_WORDS words, or more than MAX_REPEAT_PERCENT of them repeated. kept: not
     base_failed, and neither divergence over its limit (for words plus WORD_ALLOWANCE / n_words); texts under
-    JUDGED_WORDS words or JUDGED_CHARS characters in words are not judged by them. A language's reference is all its documents (``language_references``),
-    or what is given.
+    JUDGED_WORDS words or JUDGED_CHARS characters in words are not judged by them. A language's reference is
+    all its documents (``language_references``), or what is given.
+
+    The measured rows are written once, as both the references and the verdicts need them; without keep_text
+    the texts are not written and not returned.
 
     Null and empty texts have no words and fail. Null languages are one language; without a column lang all
     documents are. Texts of any length are judged whole. Repeated rows are judged each for itself. An
     empty table stays empty. Columns named as the new ones are replaced, all others are kept.
     """
-    new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_divergence", "word_divergence"]
-    docs = docs.drop(*new)
-    if references is None:
-        references = written(language_references(docs), "references")
-    lines = F.filter(F.split("_text", "\n", -1), lambda line: F.length(F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))) > 0)
-    out = _parts(docs.withColumn("_lang", _language(docs))).join(references, "_lang", "left")
-    out = out.withColumn("n_words", F.size("_words").cast("long")).withColumn("word_chars", F.length("_packed").cast("long"))
-    out = out.withColumn("n_symbols", (F.length("_packed") - _left_over(F.col("_packed"), "[#*$%&|<>]+")).cast("long"))
-    out = out.withColumn("_lines", lines).withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-    out = with_repeated_window_words(out.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w))), "_hashes", "n_repeat_words")
-    out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-    out = out.withColumn("_p", shares(F.col("_classes"))).withColumn("_q", shares(F.col("_wordy")))
-    out = out.withColumn("class_divergence", divergence(F.col("_p"), F.col("_ref_classes"))).withColumn("word_divergence", divergence(F.col("_q"), F.col("_ref_words")))
-    judged = (F.col("n_words") >= JUDGED_WORDS) & (F.col("word_chars") >= JUDGED_CHARS)
-    odd = (F.coalesce("class_divergence", F.lit(0.0)) > MAX_CLASS_DIVERGENCE) | (F.coalesce("word_divergence", F.lit(0.0)) > MAX_WORD_DIVERGENCE + WORD_ALLOWANCE / F.col("n_words"))
-    return out.withColumn("kept", ~F.col("base_failed") & ~(judged & odd)).select(*docs.columns, *new)
+    docs = docs.drop(*COUNTS, *VERDICT)
+    measured = measure(docs)
+    measured = written(measured if keep_text else measured.drop("text"), "measured")
+    judged = judge(measured, references if references is not None else written(language_references(measured), "references"))
+    keep = [F.col(c) if c in ("text", "lang") else F.col("_others").getField(c).alias(c) for c in docs.columns if keep_text or c != "text"]
+    return judged.select(*keep, *COUNTS, *VERDICT)
 
 
 def drop_low_quality(docs: DataFrame, references: DataFrame | None = None) -> DataFrame:
@@ -174,5 +189,6 @@ def drop_low_quality(docs: DataFrame, references: DataFrame | None = None) -> Da
     A plain filter would be pushed below the steps that compute its verdict, with all of them written out in it
     again and again; a row that is repeated once or not at all is not.
     """
-    once = F.array_repeat(F.struct(*docs.columns), F.when(F.col("kept"), 1).otherwise(0))
-    return quality(docs, references).select(F.inline(once))
+    own = F.struct(*docs.columns).alias("_row")
+    judged = quality(docs.select(own, F.col("text"), *([F.col("lang")] if "lang" in docs.columns else [])), references, keep_text=False)
+    return judged.select(F.inline(F.array_repeat("_row", F.when(F.col("kept"), 1).otherwise(0))))

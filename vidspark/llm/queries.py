@@ -56,7 +56,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return quality.quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality.quality(docs, keep_text=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,9 +151,10 @@ FROM d LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN gone ON gone.doc_id = s.doc_
 GROUP BY d.doc_id
 """
 
-_CLASSES = ["[0-9]+", "[A-Z]+", r"""[.,;:!?'"()\-]+""", r"[\x00-\x1F#$%&*+/<=>@\[\\\]^_`{|}~\x7F]+", r"[^\x00-\x7F]+"]
+_CLASSES = ["[0-9]+", "[A-Z]+", r"""[.,;:!?'"()\-]+""", r"[\x00-\x1F#$%&*+/<=>@\[\\\]^_`{|}~\x7F]+"]
 _QUOTED_CLASSES = ["'" + c.replace("'", "''") + "'" for c in _CLASSES]
-_N_BINS = 7 + len(quality.WORDS) + 1
+_COUNTED = lambda listed: "[" + ", ".join(f"len(list_filter(words, lambda x: x = '{x}'))" for x in listed) + "]"
+_COUNTS = " ".join(f"WHEN '{code}' THEN {_COUNTED(listed)}" for code, listed in quality.COMMON_WORDS.items()) + f" ELSE {_COUNTED(quality.WORDS)}"
 
 OP9_SQL = rf"""
 WITH w AS (
@@ -161,12 +162,12 @@ WITH w AS (
   FROM documents),
 p AS (SELECT *, array_to_string(words, '') AS packed, len(words) AS n FROM w),
 c AS (
-  SELECT *, [{", ".join(f"length(packed) - length(regexp_replace(packed, {c}, '', 'g'))" for c in _QUOTED_CLASSES)}] AS marks,
-         [{", ".join(f"len(list_filter(words, lambda x: x = '{x}'))" for x in quality.WORDS)}] AS common FROM p),
+  SELECT *, [{", ".join(f"length(packed) - length(regexp_replace(packed, {c}, '', 'g'))" for c in _QUOTED_CLASSES)}, octet_length(encode(packed)) - length(packed)] AS marks,
+         CASE lang {_COUNTS} END AS common FROM p),
 h AS (
-  SELECT *, list_concat([length(t) - length(packed)], marks, [length(packed) - list_sum(marks)]) AS classes, list_concat(common, [n - list_sum(common)]) AS wordy FROM c),
+  SELECT *, list_concat([length(t) - length(packed)], marks, [length(packed)]) AS classes, list_concat(common, [n - list_sum(common)]) AS wordy FROM c),
 b AS (
-  SELECT rid, lang, n, unnest(range(1, {_N_BINS + 1})) AS i, unnest(list_concat(classes, wordy)) AS x FROM h),
+  SELECT rid, lang, n, unnest(range(1, 7 + len(wordy) + 1)) AS i, unnest(list_concat(classes, wordy)) AS x FROM h),
 f AS (SELECT lang, i, sum(x) AS y FROM b WHERE n >= {quality.JUDGED_WORDS} GROUP BY lang, i),
 q AS (SELECT lang, i, i <= 7 AS is_class, y / sum(y) OVER (PARTITION BY lang, i <= 7) AS y FROM f),
 s AS (SELECT rid, lang, i, x / nullif(sum(x) OVER (PARTITION BY rid, i <= 7), 0) AS x FROM b),
