@@ -184,7 +184,7 @@ def test_spans_keep_the_first(spark):
     got = {r.doc_id: r for r in spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].n_removed == got[3].n_removed == 0
     assert got[2].n_removed >= 3 and got[2].text.startswith("Other start.") and got[2].text.endswith("Ends b.")
-    assert got[4].n_removed == got[4].n_sentences
+    assert got[4].n_removed == got[4].n_sentences and got[4].first_doc_id == got[2].first_doc_id == 1 and got[1].first_doc_id is None
 
 
 def brute_repeat(w, n=5):

@@ -35,8 +35,8 @@ CLOSED_BY = {
 }
 SCOPE = {"ul", "ol", "dl", "table", "select", "html", "body", "article", "section", "div", "blockquote", "main"}
 NOISE_NAMES = {
-    "ad", "ads", "adv", "alert", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent", "cookie", "cookies", "copyright", "disqus", "footer",
-    "gdpr", "login", "masthead", "menu", "menus", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "privacy", "promo", "promoted", "promotion", "related", "respond", "search", "share",
+    "ad", "ads", "adv", "alert", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent", "cookie", "cookies", "copyright", "cta", "discussion", "disqus", "footer",
+    "gdpr", "login", "masthead", "menu", "menus", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "privacy", "promo", "promoted", "promotion", "recommended", "related", "replies", "reply", "respond", "search", "share",
     "sharing", "sidebar", "sidebars", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "widget", "widgets",
 }
 STRONG_NAMES = {"ad", "ads", "advert", "advertisement", "comment", "comments", "commentlist", "disqus", "related", "respond"}

@@ -47,7 +47,7 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return spans.dedup_spans(docs).select("doc_id", "n_sentences", "n_removed", "n_words_removed", "kept_sha256")
+    return spans.dedup_spans(docs).select("doc_id", "n_sentences", "n_removed", "n_words_removed", "first_doc_id", "kept_sha256")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,12 +142,13 @@ r AS (
   FROM o JOIN a USING (doc_id)
   WHERE uptos[len(uptos)] >= upto - len(words) + {spans.MIN_WORDS} AND i + {spans.MIN_SENTENCES} - 1 <= len(ks)),
 runs AS (SELECT doc_id, k AS first_k, ks[last] AS last_k, array_to_string(all_words[before + 1 : uptos[last]], ' ') AS words FROM r),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY words ORDER BY doc_id, first_k) AS nth FROM runs),
-gone AS (SELECT DISTINCT doc_id, unnest(range(first_k, last_k + 1)) AS k FROM ranked WHERE nth > 1)
+ranked AS (SELECT *, row_number() OVER w AS nth, first_value(doc_id) OVER w AS source FROM runs WINDOW w AS (PARTITION BY words ORDER BY doc_id, first_k)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(first_k, last_k + 1)) AS k FROM ranked WHERE nth > 1),
+sources AS (SELECT doc_id, min(source) AS first_doc_id FROM ranked WHERE nth > 1 GROUP BY doc_id)
 SELECT d.doc_id, CAST(count(s.k) AS BIGINT) AS n_sentences, CAST(count(gone.k) AS BIGINT) AS n_removed,
-       CAST(coalesce(sum(len(s.words)) FILTER (WHERE gone.k IS NOT NULL), 0) AS BIGINT) AS n_words_removed,
+       CAST(coalesce(sum(len(s.words)) FILTER (WHERE gone.k IS NOT NULL), 0) AS BIGINT) AS n_words_removed, any_value(first_doc_id) AS first_doc_id,
        sha256(coalesce(string_agg(s.sentence, '' ORDER BY s.k) FILTER (WHERE gone.k IS NULL), '')) AS kept_sha256
-FROM d LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN gone ON gone.doc_id = s.doc_id AND gone.k = s.k
+FROM d LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN gone ON gone.doc_id = s.doc_id AND gone.k = s.k LEFT JOIN sources ON sources.doc_id = d.doc_id
 GROUP BY d.doc_id
 """
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bound_batches, fresh, give_back_memory, id_key, text_buffers, written
+from ._common import NULL_ID, bound_batches, fresh, give_back_memory, id_key, text_buffers, written
 from ._words import word_hashes
 
 MIN_SENTENCES = 2
@@ -68,7 +68,7 @@ def _sentences(batch_text: pa.Array) -> Iterator[tuple[bytes, list[int], np.ndar
 
 
 def repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """_id and the sentences (start, end) of every run that is not the first of its kind.
+    """_id and the sentences (start, end) of every run that is not the first of its kind, and the _id of the first.
 
     First is the least doc_id, then the least sentence. Runs are grouped by their hash with partial minima and
     counts; hot runs are joined back under adaptive execution, so none meets in one task.
@@ -97,12 +97,17 @@ def repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_word
     firsts = every.groupBy("hash", "more").agg(F.count("*").alias("n"), F.min(F.struct("_id", "start")).alias("first"))
     firsts = written(firsts.filter(F.col("n") > 1).select("hash", "more", "first"), "firsts")
     again = every.join(firsts, ["hash", "more"]).filter((F.col("_id") != F.col("first._id")) | (F.col("start") != F.col("first.start")))
-    return again.select("_id", "start", "end")
+    return again.select("_id", "start", "end", F.col("first._id").alias("first"))
+
+
+def _real(doc_id: int) -> int | None:
+    return None if doc_id == NULL_ID else doc_id
 
 
 def dedup_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` without sentences that a non-first repeated run covers; adds n_sentences, n_removed, n_words_removed, kept_sha256.
+    """``docs`` without sentences that a non-first repeated run covers; adds n_sentences, n_removed, n_words_removed, first_doc_id, kept_sha256.
 
+    first_doc_id is the least document that holds the first occurrence of something removed; null if nothing is.
     Sentences end after ``.``, ``!`` or ``?`` and white space, or at line ends. They are compared by their words (as
     in ``contamination``), so case, marks and spacing do not matter. What is kept stays byte for byte.
 
@@ -110,11 +115,11 @@ def dedup_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words:
     are judged together: what is a repeat at some sentence of one goes in all. Rows without doc_id count as the
     least id. Empty tables stay empty. Columns named as the new ones are replaced, all others are kept.
     """
-    new = ("n_sentences", "n_removed", "n_words_removed", "kept_sha256")
+    new = ("n_sentences", "n_removed", "n_words_removed", "first_doc_id", "kept_sha256")
     docs = docs.drop(*new)
     names, at = docs.columns, docs.columns.index("text")
     own = fresh("_id", docs.columns)
-    gone = repeated_spans(docs, min_sentences, min_words).groupBy(F.col("_id").alias(own)).agg(F.collect_set(F.struct("start", "end")).alias(fresh("_gone", docs.columns)))
+    gone = repeated_spans(docs, min_sentences, min_words).groupBy(F.col("_id").alias(own)).agg(F.collect_set(F.struct("start", "end", "first")).alias(fresh("_gone", docs.columns)))
     both = docs.withColumn(own, id_key("doc_id")).join(gone, own, "left").select(*names, gone.columns[-1])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,12 +132,12 @@ def dedup_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words:
                 if drop.any():
                     text = b"".join(text[a:b] for a, b, d in zip(bounds[:-1], bounds[1:], drop.tolist(), strict=True) if not d)
                 texts.append(text if there else None)
-                numbers.append((len(counts), int(drop.sum()), int(counts[drop].sum()), hashlib.sha256(text).hexdigest()))
+                numbers.append((len(counts), int(drop.sum()), int(counts[drop].sum()), _real(min((span["first"] for span in gone or ()), default=NULL_ID)), hashlib.sha256(text).hexdigest()))
             columns = [pa.array(texts, pa.binary()).cast(pa.string()) if i == at else batch.column(i) for i in range(len(names))]
-            added = [pa.array(c, k) for c, k in zip(list(zip(*numbers, strict=True)) or [()] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
+            added = [pa.array(c, k) for c, k in zip(list(zip(*numbers, strict=True)) or [()] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays([*columns, *added], [*names, *new])
         give_back_memory()
 
     fields = [T.StructField("text", T.StringType()) if f.name == "text" else f for f in docs.schema.fields]
-    added = [T.StructField(n, t) for n, t in zip(new, (T.LongType(), T.LongType(), T.LongType(), T.StringType()), strict=True)]
+    added = [T.StructField(n, t) for n, t in zip(new, (T.LongType(), T.LongType(), T.LongType(), T.LongType(), T.StringType()), strict=True)]
     return both.mapInArrow(cut, T.StructType([*fields, *added]))
