@@ -44,6 +44,11 @@ def roi_plan(pixel_boxes: DataFrame, start: datetime = START_TIME, seconds_per_f
     return rows.select(*keys, "frame", (F.col("frame") - F.col("_first")).alias("frame_index"), "x1", "y1", "x2", "y2", "out_w", "out_h", pad("x", "out_w").alias("pad_x"), pad("y", "out_h").alias("pad_y"), path.alias("path"))
 
 
+def item_tracks(boxes: DataFrame) -> DataFrame:
+    """Per item: its boxes with their times, in order of time, whatever order they came in."""
+    return boxes.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct(F.col("bbox.tmin").alias("t"), "bbox"))).alias("track"))
+
+
 def crops(plan: DataFrame, frames: DataFrame) -> DataFrame:
     """Pixels of the crops: item_id, frame_index, y, x, value on the canvas, from frames (frame, y, x, value)."""
     inside = (F.col("y") >= F.col("y1")) & (F.col("y") < F.col("y2")) & (F.col("x") >= F.col("x1")) & (F.col("x") < F.col("x2"))

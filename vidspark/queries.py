@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from .functions import tpoint, vision
 from .functions.lens import PinholeLens, VRLens
 from .functions.stbox import Volume, overlaps, stbox
+from .operators import video
 from .operators.joins import overlap_join, with_items
-from .operators.video import roi_extent, roi_plan
 from .sources import catalog, events
-from .sources.ingest import boxes, ingest, label_rows, merge_boxes
+from .sources.ingest import boxes, ingest, label_rows, merge_boxes, merge_trajectories
 from .world import World, geometry, primarykey, time
 
 VOLUME = Volume(10.0, 20.0, 0.0, 30.0, 60.0, 2.0)
@@ -233,8 +233,8 @@ def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("SELECT item_id, min(t) AS first_t, max(t) AS last_t, CAST(round_even(max(x2 - x1), 0) AS INTEGER) AS out_w, CAST(round_even(max(y2 - y1), 0) AS INTEGER) AS out_h FROM det GROUP BY item_id")
-def roi_extents(spark, sf_dir):
-    return roi_extent(_pixels(spark, sf_dir))
+def roi_extent(spark, sf_dir):
+    return video.roi_extent(_pixels(spark, sf_dir))
 
 
 @_query(
@@ -243,8 +243,8 @@ r AS (SELECT item_id, CAST(round((epoch_us(t) - epoch_us(TIMESTAMP '2024-01-01')
   greatest(CAST(round_even(x1, 0) AS INTEGER), 0) AS x1, greatest(CAST(round_even(y1, 0) AS INTEGER), 0) AS y1, greatest(CAST(round_even(x2, 0) AS INTEGER), 0) AS x2, greatest(CAST(round_even(y2, 0) AS INTEGER), 0) AS y2, out_w, out_h FROM det JOIN e USING (item_id))
 SELECT item_id, frame, frame - f0 AS frame_index, x1, y1, x2, y2, out_w, out_h, CAST(greatest(floor((out_w - (x2 - x1)) / 2), 0) AS INTEGER) AS pad_x, CAST(greatest(floor((out_h - (y2 - y1)) / 2), 0) AS INTEGER) AS pad_y, './output/' || item_id || '.mp4' AS path FROM r"""
 )
-def roi_plans(spark, sf_dir):
-    return roi_plan(_pixels(spark, sf_dir), START)
+def roi_plan(spark, sf_dir):
+    return video.roi_plan(_pixels(spark, sf_dir), START)
 
 
 @_query("SELECT unnest([object_type, item_id]) AS label, event_id, least(greatest(CAST(trunc(x1 * 100 - 500) AS INTEGER), 0), 3840) AS x1, least(greatest(CAST(y1 * 30 AS INTEGER), 0), 2160) AS y1 FROM det")
@@ -300,3 +300,98 @@ def nms_per_frame(spark, sf_dir):
 def overlap_counts(spark, sf_dir):
     typed = boxes(events.detections(spark, sf_dir))
     return typed.filter(overlaps(F.col("bbox"), VOLUME)).groupBy("object_type").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT item_id, CAST(round((epoch_us(min(t)) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6) AS INTEGER) AS first_frame, CAST(round((epoch_us(max(t)) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6) AS INTEGER) AS last_frame FROM det GROUP BY item_id")
+def frame_span(spark, sf_dir):
+    return video.frame_span(world(spark, sf_dir).bboxes, START)
+
+
+@_query("SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY t) - 1 AS INTEGER) AS n, t, x1 AS xmin FROM det")
+def item_tracks(spark, sf_dir):
+    out = video.item_tracks(world(spark, sf_dir).bboxes).select("item_id", F.posexplode("track").alias("n", "p"))
+    return out.select("item_id", "n", F.col("p.t").alias("t"), F.col("p.bbox.xmin").alias("xmin"))
+
+
+@_query(
+    """@c AS (SELECT n_name AS camera_id, 60 + 2 * n_nationkey AS fov FROM nation WHERE n_regionkey = 1)
+SELECT camera_id, item_id, t, round(640 / tan(radians(fov / 2.0)) * x1, 4) AS x1, round(360 / tan(radians(fov / 2.0)) * y2, 4) AS y2 FROM det, c WHERE object_type = 'click'"""
+)
+def project_boxes(spark, sf_dir):
+    half = F.tan(F.radians(F.col("fov") / 2))
+    some = events.cameras(spark, sf_dir).join(events.read(spark, sf_dir, "nation").filter("n_regionkey = 1").select(F.col("n_name").alias("camera_id")), "camera_id")
+    some = some.withColumn("focal", F.struct((640 / half).alias("x"), (360 / half).alias("y")))
+    out = video.project_boxes(world(spark, sf_dir).bboxes.filter(F.col("item_id").startswith("click-")), some)
+    return out.select("camera_id", "item_id", "t", F.round("x1", 4).alias("x1"), F.round("y2", 4).alias("y2"))
+
+
+@_query("SELECT item_id, count(*) AS points, min(t) AS first_t, max(t) AS last_t FROM det WHERE t < TIMESTAMP '2024-01-20' GROUP BY item_id")
+def merged_trajectories(spark, sf_dir):
+    d = events.detections(spark, sf_dir)
+    day = lambda n: F.lit(datetime(2024, 1, n)).cast("timestamp_ntz")
+    old, new = (ingest(d.filter(c))[0] for c in (F.col("t") < day(12), (F.col("t") >= day(8)) & (F.col("t") < day(20))))
+    traj = F.col("traj")
+    return merge_trajectories(old, new).select("item_id", F.size(traj).cast("long").alias("points"), F.get(traj, F.lit(0))["t"].alias("first_t"), F.element_at(traj, -1)["t"].alias("last_t"))
+
+
+_K = np.array([[100.0, 0, 50, 0], [0, 80, 40, 0], [0, 0, 1, 0]])
+
+
+@_query(
+    f"""WITH {_DEPTH}, q AS (SELECT frame, y, x, 1 / (0.01 + 9.99 * disp) AS d FROM p)
+SELECT frame, y, x, round(d * (x - 50) / 100, 5) AS px, round(d * (y - 40) / 80, 5) AS py, round(d, 5) AS pz FROM q""",
+    det=False,
+)
+def back_project(spark, sf_dir):
+    p = _depth(spark, sf_dir).withColumn("d", vision.disp_to_depth(F.col("disp")))
+    cloud = vision.back_project(F.col("d"), F.col("x"), F.col("y"), _K)
+    return p.select("frame", "y", "x", *[F.round(c, 5).alias(n) for c, n in zip(cloud, ("px", "py", "pz"), strict=True)])
+
+
+@_query(
+    f"""WITH {_DEPTH} SELECT frame, y, x, round(((100 * value + 50 * disp) / (disp + 1e-7) / 99 - 0.5) * 2, 5) AS u, round(((80 * value + 40 * disp) / (disp + 1e-7) / 99 - 0.5) * 2, 5) AS v FROM p""",
+    det=False,
+)
+def project_points(spark, sf_dir):
+    u, v = vision.project_points(F.col("value"), F.col("value"), F.col("disp"), _K, 100, 100)
+    return _depth(spark, sf_dir).select("frame", "y", "x", F.round(u, 5).alias("u"), F.round(v, 5).alias("v"))
+
+
+@_query(f"WITH {_DEPTH} SELECT frame, y * 2 + dy AS y, x * 2 + dx AS x, disp FROM p, (VALUES (0), (1)) a(dy), (VALUES (0), (1)) b(dx)", det=False)
+def upsample(spark, sf_dir):
+    return vision.upsample(_depth(spark, sf_dir).select("frame", "y", "x", "disp"))
+
+
+@_query(
+    f"""WITH {_DEPTH}, m AS (SELECT frame, max(y) AS my, max(x) AS mx FROM p GROUP BY frame),
+n AS (SELECT p.frame, p.y, p.x, CASE WHEN p.y + dy < 0 THEN 1 WHEN p.y + dy > my THEN my - 1 ELSE p.y + dy END AS ny, CASE WHEN p.x + dx < 0 THEN 1 WHEN p.x + dx > mx THEN mx - 1 ELSE p.x + dx END AS nx
+  FROM p JOIN m USING (frame), (VALUES (-1), (0), (1)) a(dy), (VALUES (-1), (0), (1)) b(dx)),
+s AS (SELECT n.frame, n.y, n.x, avg(q.disp) AS a, avg(q.value) AS b, avg(q.disp * q.disp) AS aa, avg(q.value * q.value) AS bb, avg(q.disp * q.value) AS ab
+  FROM n JOIN p q ON q.frame = n.frame AND q.y = n.ny AND q.x = n.nx GROUP BY n.frame, n.y, n.x)
+SELECT frame, y, x, round(least(greatest((1 - (2 * a * b + 0.0001) * (2 * (ab - a * b) + 0.0009) / ((a * a + b * b + 0.0001) * (aa - a * a + bb - b * b + 0.0009))) / 2, 0), 1), 6) AS ssim FROM s""",
+    det=False,
+)
+def ssim(spark, sf_dir):
+    p = _depth(spark, sf_dir)
+    out = vision.ssim(p.select("frame", "y", "x", F.col("disp").alias("value")), p.select("frame", "y", "x", "value"))
+    return out.select("frame", "y", "x", F.round("ssim", 6).alias("ssim"))
+
+
+_RIGID = vision.rigid((0.1, 0.2, 0.3), (1.0, 2.0, 3.0))
+
+
+@_query(f"SELECT event_id, {_row(_RIGID, 0)} AS px, {_row(_RIGID, 1)} AS py, {_row(_RIGID, 2)} AS pz FROM det")
+def rigid_transform(spark, sf_dir):
+    p = vision.transform_point(_RIGID, F.col("x1"), F.col("y1"), F.lit(1.0))
+    return events.detections(spark, sf_dir).select("event_id", *[F.round(c, 6).alias(n) for c, n in zip(p, ("px", "py", "pz"), strict=True)])
+
+
+@_query(
+    """WITH e AS (SELECT vec_id, embedding FROM embeddings), a AS (SELECT embedding AS anchor FROM embeddings WHERE vec_id = 0)
+SELECT vec_id, 1 - list_sum(list_transform(list_zip(embedding, anchor), lambda z: z[1]::DOUBLE * z[2])) / sqrt(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v)) * list_sum(list_transform(anchor, lambda v: v::DOUBLE * v))) <= 0.4 AS near FROM e, a""",
+    det=False,
+)
+def appearance_gate(spark, sf_dir):
+    e = events.read(spark, sf_dir, "embeddings")
+    anchor = events.read(spark, sf_dir, "embeddings").filter("vec_id = 0").select(F.col("embedding").alias("anchor"))
+    return e.join(anchor).select("vec_id", vision.cosine_gate(F.col("embedding"), F.col("anchor")).alias("near"))
