@@ -339,12 +339,12 @@ _K = np.array([[100.0, 0, 50, 0], [0, 80, 40, 0], [0, 0, 1, 0]])
 
 @_query(
     f"""WITH {_DEPTH}, q AS (SELECT frame, y, x, 1 / (0.01 + 9.99 * disp) AS d FROM p)
-SELECT frame, y, x, round(d * (x - 50) / 100, 5) AS px, round(d * (y - 40) / 80, 5) AS py, round(d, 5) AS pz FROM q""",
+SELECT frame, y, x, round(d * (x - 50) / 97, 5) AS px, round(d * (y - 40) / 83, 5) AS py, round(d, 5) AS pz FROM q""",
     det=False,
 )
 def back_project(spark, sf_dir):
     p = _depth(spark, sf_dir).withColumn("d", vision.disp_to_depth(F.col("disp")))
-    cloud = vision.back_project(F.col("d"), F.col("x"), F.col("y"), _K)
+    cloud = vision.back_project(F.col("d"), F.col("x"), F.col("y"), np.array([[97.0, 0, 50], [0, 83, 40], [0, 0, 1]]))
     return p.select("frame", "y", "x", *[F.round(c, 5).alias(n) for c, n in zip(cloud, ("px", "py", "pz"), strict=True)])
 
 
