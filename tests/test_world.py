@@ -3,11 +3,12 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from vidspark.constants import START_TIME
 from vidspark.functions import tpoint
 from vidspark.functions.lens import IdentityLens
 from vidspark.functions.stbox import Volume, overlaps, parse_volume, stbox, volume_column
 from vidspark.sources.catalog import Camera, Point, cameras, upsert_cameras
-from vidspark.sources.ingest import START_TIME, ingest, label_rows, merge_boxes, merge_trajectories
+from vidspark.sources.ingest import ingest, label_rows, merge_boxes, merge_trajectories
 from vidspark.types import DETECTIONS
 from vidspark.world import DEFAULT_VOLUME, World, geometry, primarykey, time
 

@@ -12,10 +12,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SCORE, IOU, MOST_A_CLASS, MOST_A_FRAME = 0.5, 0.45, 50, 50
+from ..constants import DEPTH_RATIO, MAX_COSINE_DISTANCE, MAX_DEPTH, MAX_IOU, MIN_DEPTH, MIN_SCORE, MOST_A_CLASS, MOST_A_FRAME, SSIM_C1, SSIM_C2
 
 
-def non_max_suppression(boxes: DataFrame, score: float = SCORE, iou: float = IOU, most_a_class: int = MOST_A_CLASS, most_a_frame: int = MOST_A_FRAME) -> DataFrame:
+def non_max_suppression(boxes: DataFrame, score: float = MIN_SCORE, iou: float = MAX_IOU, most_a_class: int = MOST_A_CLASS, most_a_frame: int = MOST_A_FRAME) -> DataFrame:
     """Boxes (camera_id, frame, object_type, score, x1, y1, x2, y2, ...) that greedy suppression keeps.
 
     A frame and class is one small group; of a frame the best ``most_a_frame`` boxes over all classes stay.
@@ -63,17 +63,17 @@ def associate(detections: DataFrame, tracker, schema: str) -> DataFrame:
     return detections.groupBy("camera_id").applyInPandas(run, schema)
 
 
-def cosine_gate(a: Column, b: Column, most: float = 0.4) -> Column:
+def cosine_gate(a: Column, b: Column, most: float = MAX_COSINE_DISTANCE) -> Column:
     """Whether two appearance vectors are within a cosine distance."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
     return 1 - F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b))) <= most
 
 
-def disp_to_scaled(disp: Column, least: float = 0.1, most: float = 100.0) -> Column:
+def disp_to_scaled(disp: Column, least: float = MIN_DEPTH, most: float = MAX_DEPTH) -> Column:
     return 1 / most + (1 / least - 1 / most) * disp
 
 
-def disp_to_depth(disp: Column, least: float = 0.1, most: float = 100.0) -> Column:
+def disp_to_depth(disp: Column, least: float = MIN_DEPTH, most: float = MAX_DEPTH) -> Column:
     return 1 / disp_to_scaled(disp, least, most)
 
 
@@ -151,7 +151,7 @@ def ssim(a: DataFrame, b: DataFrame) -> DataFrame:
     mean = lambda e: F.sum(e * F.col("n")) / F.sum("n")
     p, q = F.col("p"), F.col("q")
     m = spots.groupBy("frame", F.col("ty").alias("y"), F.col("tx").alias("x")).agg(mean(p).alias("mp"), mean(q).alias("mq"), mean(p * p).alias("pp"), mean(q * q).alias("qq"), mean(p * q).alias("pq"))
-    c1, c2 = 0.01**2, 0.03**2
+    c1, c2 = SSIM_C1, SSIM_C2
     mp, mq = F.col("mp"), F.col("mq")
     top = (2 * mp * mq + c1) * (2 * (F.col("pq") - mp * mq) + c2)
     low = (mp * mp + mq * mq + c1) * (F.col("pp") - mp * mp + F.col("qq") - mq * mq + c2)
@@ -162,7 +162,7 @@ def depth_metrics(pairs: DataFrame) -> DataFrame:
     """Errors of pred against gt over all rows: abs_rel, sq_rel, rmse, rmse_log and the shares within 1.25, its square and its cube."""
     gt, pred = F.col("gt"), F.col("pred")
     ratio = F.greatest(gt / pred, pred / gt)
-    within = [F.avg(F.when(ratio < 1.25**k, 1.0).otherwise(0.0)).alias(f"a{k}") for k in (1, 2, 3)]
+    within = [F.avg(F.when(ratio < DEPTH_RATIO**k, 1.0).otherwise(0.0)).alias(f"a{k}") for k in (1, 2, 3)]
     log = F.ln(gt) - F.ln(pred)
     return pairs.agg(
         F.avg(F.abs(gt - pred) / gt).alias("abs_rel"), F.avg((gt - pred) * (gt - pred) / gt).alias("sq_rel"), F.sqrt(F.avg((gt - pred) * (gt - pred))).alias("rmse"), F.sqrt(F.avg(log * log)).alias("rmse_log"), *within

@@ -7,9 +7,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..constants import OUTPUT_FOLDER, START_TIME
 from ..functions.lens import project
 from ..functions.tpoint import frame_of_time
-from ..sources.ingest import START_TIME
 
 
 def project_boxes(boxes: DataFrame, cameras: DataFrame, perspective: bool = False) -> DataFrame:
@@ -29,7 +29,7 @@ def roi_extent(pixel_boxes: DataFrame, keys: tuple[str, ...] = ("item_id",)) ->
     return pixel_boxes.groupBy(*keys).agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), size("x").alias("out_w"), size("y").alias("out_h"))
 
 
-def roi_plan(pixel_boxes: DataFrame, start: datetime = START_TIME, seconds_per_frame: float = 1.0, folder: str = "./output", metadata_id: str = "", keys: tuple[str, ...] = ("item_id",)) -> DataFrame:
+def roi_plan(pixel_boxes: DataFrame, start: datetime = START_TIME, seconds_per_frame: float = 1.0, folder: str = OUTPUT_FOLDER, metadata_id: str = "", keys: tuple[str, ...] = ("item_id",)) -> DataFrame:
     """Per item and frame: the crop (corners not below 0), the canvas, its zero padding, and the file it goes to.
 
     A crop lies in the middle of the canvas; half pixels go to the right and below. frame_index counts from the

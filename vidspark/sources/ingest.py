@@ -7,13 +7,11 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..constants import DEFAULT_COLOR, LABEL_HEIGHT, LABEL_WIDTH, START_TIME
 from ..functions.lens import IdentityLens, Lens
 from ..functions.stbox import centre, stbox
 from ..functions.tpoint import time_of_frame
 
-START_TIME = datetime(2021, 6, 8, 7, 10, 28)
-DEFAULT_COLOR = "default_color"
-
 
 def boxes(detections: DataFrame, lens: Lens | None = None, start: datetime = START_TIME, seconds_per_frame: float = 1.0, depth: str | float = 1.0) -> DataFrame:
     """A world box per detection: both corners through the lens at a depth (a number or a column's name)."""
@@ -65,7 +63,7 @@ def merge_trajectories(old: DataFrame, new: DataFrame) -> DataFrame:
     return parts.select("camera_id", "item_id", "object_type", "color", F.array_sort(F.concat(have, more)).alias("traj"), largest.alias("largest_bbox"))
 
 
-def label_rows(detections: DataFrame, metadata_id: str, width: int = 3840, height: int = 2160) -> DataFrame:
+def label_rows(detections: DataFrame, metadata_id: str, width: int = LABEL_WIDTH, height: int = LABEL_HEIGHT) -> DataFrame:
     """Two label rows per box, one for the type and one for the item, corners kept within the picture."""
     within = lambda c, most: F.least(F.greatest(F.col(c), F.lit(0)), F.lit(most)).alias(c)
     return detections.select(F.lit(metadata_id).alias("metadata_id"), F.explode(F.array("object_type", "item_id")).alias("label"), "frame", within("x1", width), within("y1", height), within("x2", width), within("y2", height))

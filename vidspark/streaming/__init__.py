@@ -7,8 +7,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
+from ..constants import START_TIME
 from ..functions.lens import Lens
-from ..sources.ingest import START_TIME, boxes
+from ..sources.ingest import boxes
 
 
 def stream_boxes(detections: DataFrame, lens: Lens | None = None, start: datetime = START_TIME, seconds_per_frame: float = 1.0) -> DataFrame:

@@ -10,6 +10,8 @@ from types import MappingProxyType
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from . import constants
+from .constants import START_TIME
 from .functions import tpoint
 from .functions.lens import Lens
 from .functions.stbox import Volume
@@ -18,11 +20,11 @@ from .plans.plan import Join, Plan, Projection, compile_plan, wrapped
 from .plans.predicate import ATTRIBUTES, Predicate, read_predicate
 from .sources import catalog
 from .sources.catalog import Camera, Point
-from .sources.ingest import START_TIME, ingest, merge_boxes, merge_trajectories
+from .sources.ingest import ingest, merge_boxes, merge_trajectories
 from .types import BBOXES, DETECTIONS, DIMENSIONS, TRAJECTORIES
 
 #: The volume that is used unless another is chosen.
-DEFAULT_VOLUME = Volume(0.01082532, 2.59647246, 0.0, 3.01034039, 3.35985782, 2.0)
+DEFAULT_VOLUME = Volume(*constants.DEFAULT_VOLUME)
 
 Verb = Callable[["World"], "World"]
 
@@ -257,7 +259,7 @@ class World:
         (x1, y1), (x2, y2) = pixels
         a, b = (lens.pixel_to_world(F.lit(float(x)), F.lit(float(y)), F.lit(1.0)) for x, y in ((x1, y1), (x2, y2)))
         r = self.spark.range(1).select(a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2")).first()
-        return Volume(r.x1, r.y1, 0.0, r.x2, r.y2, 2.0)
+        return Volume(r.x1, r.y1, constants.VOLUME_Z[0], r.x2, r.y2, constants.VOLUME_Z[1])
 
     def overlay_trajectory(self, cam_id: str, trajectories: DataFrame) -> DataFrame:
         """Pixel of each point of trajectories (a column coordinates) in a camera: what a drawing needs."""
