@@ -190,6 +190,9 @@ def test_style_tree_finds_unnamed_noise(spark):
     assert got[100].text.startswith("Get our letter")
     assert got[101].text == got[102].text == ""
     assert len(got) == len(rows)
+    series = [(i, "http://s.example/", f"<body><article><h1>Series</h1><p>Part {i}</p><p>Always so</p><div class=q9>Write to us</div><p>End {i} of it, told at length</p></article><p>Out</p></body>") for i in range(20)]
+    for r in extraction.extract(spark.createDataFrame(series, PAGES)).collect():
+        assert r.text == f"Series\n\nPart {r.page_id}\n\nAlways so\n\nEnd {r.page_id} of it, told at length"
     same = [(i, "http://h.example/", page(1)) for i in range(30)]
     assert {r.text for r in extraction.extract(spark.createDataFrame(same, PAGES)).collect()} == {extraction.main_text(page(1))}
     assert extraction.extract(spark.createDataFrame([], PAGES)).count() == 0

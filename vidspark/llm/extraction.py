@@ -29,6 +29,7 @@ BLOCK = {
     "td", "tfoot", "th", "thead", "tr", "ul",
 }
 NEVER = {"head", "nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "option", "object", "canvas", "audio", "video", "map", "search", "fieldset"} | RAW
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "li", "pre"}
 CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th"},
     "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}, "body": {"head"},
@@ -200,7 +201,8 @@ def main_text(page: str, noise_paths: set[str] | None = None) -> str:
 
     Elements that are menus, headers, footers, sidebars, notices, adverts, forms, comments or not text at all by their
     tag, role or names go first (names that would leave nothing are disregarded). If the page has an article or main element with text, the rest outside goes. Then
-    go noise branches, unless that would leave less than half of the text: then they are the page's own content.
+    go noise branches, of an article those within it but not its plain headings and paragraphs, unless that would
+    leave less than half of the text: then they are the page's own content.
     """
     found = blocks(parse(page))
     every = [(n, t) for n, t in found if not _noisy(n)] or [(n, t) for n, t in found if not _noisy(n, 2)]
@@ -210,9 +212,10 @@ def main_text(page: str, noise_paths: set[str] | None = None) -> str:
         paths: dict[int, str] = {}
 
         def below(node: Node) -> bool:
-            while node is not None:
+            inside = node.main or _is_main(node)
+            while node is not None and (node.main or not inside):
                 path = paths.setdefault(id(node), node.path())
-                if path in noise_paths:
+                if path in noise_paths and not (inside and node.tag in PROSE and "." not in node.label):
                     return True
                 node = node.parent
             return False
