@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import bound_batches, mix, text_buffers, written
@@ -21,6 +21,9 @@ COORDINATES = 96
 BAND_ROWS = 4
 #: A bucket with more different texts is not compared all against all but by its rarest elements.
 BUCKET = 16
+#: Counters of how frequent elements are. Elements that share one are taken for equally frequent; any order that is
+#: the same for all sets gives right results.
+SLOTS = 1 << 18
 
 _RANK, _COORDINATE, _LAYER = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 
@@ -210,24 +213,49 @@ def _across(members: DataFrame, sets: DataFrame, labels: DataFrame, bucket: int,
     if large.isEmpty():
         return pairs
 
-    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    wanted = large.select(F.col("node").alias("id"), "label").distinct()
+    chosen = written(sets.join(wanted, "id").select("id", "label", "set"), "chosen")
+    held = np.ones(SLOTS, np.int64)
+    for row in chosen.select("set").mapInArrow(_slot_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():  # SLOTS rows at most
+        held[row.slot] = row.n
+    order = chosen.sparkSession.sparkContext.broadcast(held)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            parts: list[tuple] = []
             for node, label, data in zip(*(batch.column(i).to_pylist() for i in range(2)), batch.column(2), strict=True):
-                own = np.frombuffer(data.as_buffer(), np.uint64)
-                first = np.append(True, own[1:] != own[:-1])
-                nth = np.arange(len(own)) - np.maximum.accumulate(np.where(first, np.arange(len(own)), 0))
-                keys = np.where(nth > 0, mix(own + nth.astype(np.uint64) * _LAYER), own).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.full(len(keys), x, np.int64)) for x in (node, label, len(own)))], ["element", "node", "label", "size"])
+                own = _numbered(data)
+                first = np.lexsort((own, order.value[_slots(own)]))[: len(own) - math.ceil(similarity * len(own) - 1e-6) + 1]
+                parts.append((own[first].view(np.int64), np.full(len(first), node), np.full(len(first), label), np.arange(1, len(first) + 1), np.full(len(first), len(own))))
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["element", "node", "label", "at", "size"])
 
-    wanted = large.select(F.col("node").alias("id"), "label").distinct()
-    each = written(sets.join(wanted, "id").select("id", "label", "set").mapInArrow(elements, "element long, node long, label long, size long"), "elements")
-    common = written(each.groupBy("element").agg(F.count("*").alias("held")).filter(F.col("held") > 1), "common")
-    ranked = each.join(common, "element", "left").withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("held", F.lit(1)), "element")))
-    last = F.col("size") - F.ceil(similarity * F.col("size") - 1e-6) + 1
-    prefix = ranked.filter((F.col("at") <= last) & F.col("held").isNotNull()).select("element", "node", "label", "at", "size")
+    prefix = written(chosen.mapInArrow(rarest, "element long, node long, label long, at long, size long"), "prefixes")
     return pairs.union(_unlike_pairs(_live(prefix, "element"), "element", similarity))
 
 
+def _numbered(data: pa.Scalar) -> np.ndarray:
+    """The elements of a set, repeats told apart by their number, so that no element comes twice."""
+    own = np.frombuffer(data.as_buffer(), np.uint64)
+    at = np.arange(len(own))
+    nth = at - np.maximum.accumulate(np.where(np.append(True, own[1:] != own[:-1])[: len(own)], at, 0)) if len(own) else at
+    return np.where(nth > 0, mix(own + nth.astype(np.uint64) * _LAYER), own)
+
+
+def _slots(elements: np.ndarray) -> np.ndarray:
+    return (mix(elements ^ _COORDINATE) % np.uint64(SLOTS)).astype(np.int64)
+
+
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many elements of a task's sets fall into each slot."""
+    counts = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for data in batch.column(0):
+            np.add.at(counts, _slots(_numbered(data)), 1)
+    used = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used])], ["slot", "n"])
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, k: int = COORDINATES, rows: int = BAND_ROWS, bucket: int = BUCKET) -> DataFrame:
     """A row per row of ``docs`` (doc_id, text): doc_id, class_id, class_size (rows) and is_kept.
 
