@@ -14,14 +14,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bound_batches, written
+from ._common import bound_batches, give_back_memory, written
 
 WINDOW = 2048
 END_ID = 1
 #: Remainders that one task packs; from some thousand on, padding no longer falls.
 GROUP = 20_000
-#: Words whose ids a worker keeps at a time.
-KEPT_WORDS = 600_000
+#: Words whose ids a task keeps at a time.
+KEPT_WORDS = 800_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _encoders: dict[str, TextIds] = {}
@@ -41,6 +41,9 @@ class TextIds:
     def __call__(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def forget(self) -> None:
+        """Frees what was kept for later texts."""
+
 
 class WordIds(TextIds):
     """The same from the ids of words, each encoded once, for tokenizers that drop white space and case.
@@ -58,14 +61,14 @@ class WordIds(TextIds):
         super().__init__(path)
         self.parts: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
-        self._forget()
+        self.forget()
 
     def fits(self) -> bool:
         """Whether this tokenizer is of the kind."""
         odd = any(x.lstrip or x.rstrip or " " in x.content or "\n" in x.content for x in self.tokenizer.get_added_tokens_decoder().values())
         return not odd and self([self.PROBE]) == super().__call__([self.PROBE])
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.parts, self.stems, self.marks = {"": b""}, {}, {"": b""}
 
     def _learn_stems(self, stems: list[str]) -> None:
@@ -82,25 +85,31 @@ class WordIds(TextIds):
                     self.stems.update(zip(lot, super().__call__(lot), strict=True))
 
     def _learn(self, parts: set[str]) -> None:
-        plain, other = [], []
+        known, stems, marks, plain = self.parts, self.stems, self.marks, self.PLAIN.fullmatch
+        waiting, other = [], []
         for part in parts:
-            if found := self.PLAIN.fullmatch(part):
-                plain.append((part, found[1].lower(), found[2]))
+            if found := plain(part):
+                stem, mark = found.groups()
+                stem = stem.lower()
+                if stem in stems and mark in marks:
+                    known[part] = stems[stem] + marks[mark] if mark else stems[stem]
+                else:
+                    waiting.append((part, stem, mark))
             else:
                 other.append(part)
-        self._learn_stems(list({stem for _, stem, _ in plain}.difference(self.stems)))
-        stems, marks = self.stems, self.marks
-        if new := list({mark for _, _, mark in plain}.difference(marks)):
+        self._learn_stems(list({stem for _, stem, _ in waiting}.difference(stems)))
+        if new := list({mark for _, _, mark in waiting}.difference(marks)):
             marks.update(zip(new, super().__call__(new), strict=True))
-        self.parts.update((part, stems[stem] + marks[mark]) for part, stem, mark in plain)
+        for part, stem, mark in waiting:
+            known[part] = stems[stem] + marks[mark] if mark else stems[stem]
         for i in range(0, len(other), 20_000):
-            self.parts.update(zip(other[i : i + 20_000], super().__call__(other[i : i + 20_000]), strict=True))
+            known.update(zip(other[i : i + 20_000], super().__call__(other[i : i + 20_000]), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [text.replace("\n", " ").split(" ") for text in texts]
         new = set().union(*split).difference(self.parts)
         if len(self.parts) + len(new) > KEPT_WORDS:
-            self._forget()
+            self.forget()
             new = set().union(*split).difference(self.parts)
         self._learn(new)
         return [b"".join(map(self.parts.__getitem__, parts)) for parts in split]
@@ -154,6 +163,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id:
                 columns = list(zip(*out, strict=True))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), *([pa.binary()] if with_ids else [])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        if tokenizer in _encoders:
+            _encoders[tokenizer].forget()
+        give_back_memory()
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "row", *(["ids"] if with_ids else [])]
     schema = f"{PIECES}, part int, row long" + ", ids binary" * with_ids
