@@ -23,9 +23,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is configured (tests)."""
+    """The shared folder of the cluster; a temporary one only in local mode, where none is configured (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="vidspark-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -38,6 +40,7 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage, survives lost executors, is computed once."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/vidspark-{name}-{uuid.uuid4().hex}"
+    df = df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "void"})
     df.write.parquet(path)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
