@@ -127,8 +127,11 @@ FROM p LEFT JOIN g USING (digest)
 """
 
 OP7_SQL = rf"""
-WITH d AS (
-  SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?]["'')\]]*[ \t\r]+|\n+)', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS parts FROM documents),
+WITH e AS (
+  SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?]["'')\]]*[ \t\r]+|\n+)', '\1' || chr(1), 'g'), chr(1)) AS whole FROM documents),
+d AS (
+  SELECT doc_id, list_filter(flatten(list_transform(whole, lambda x: CASE WHEN length(x) - length(replace(x, ' ', '')) >= {spans.LONG_SENTENCE}
+    THEN string_split(regexp_replace(x, '([,;:]["'')\]]*[ \t\r]+)', '\1' || chr(1), 'g'), chr(1)) ELSE [x] END)), lambda x: x <> '') AS parts FROM e),
 s AS (
   SELECT doc_id, k, parts[k] AS sentence, regexp_extract_all(translate(parts[k], '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
   FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS k FROM d)),

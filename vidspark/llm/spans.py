@@ -18,16 +18,24 @@ from ._words import word_hashes
 
 MIN_SENTENCES = 2
 MIN_WORDS = 20
+#: A sentence with so many spaces or more is long: its clauses count as sentences.
+LONG_SENTENCE = 12
 
 #: A sentence ends after marks and white space, or at line ends.
 _END = re.compile(rb"[.!?][\"')\]]*[ \t\r]+|\n+")
+#: A clause ends after these marks and white space.
+_CLAUSE = re.compile(rb"[,;:][\"')\]]*[ \t\r]+")
 
 
 def sentence_bounds(text: bytes) -> list[int]:
-    """Where the sentences of a text begin, and its length; white space after a sentence is part of it."""
-    out = [0, *(m.end() for m in _END.finditer(text))]
-    if out[-1] != len(text):
-        out.append(len(text))
+    """Where the sentences of a text, or clauses of its long sentences, begin, and its length; white space after one is part of it."""
+    out, at = [0], 0
+    for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
+        if end > at:
+            if text.count(b" ", at, end) >= LONG_SENTENCE:
+                out += [m.end() for m in _CLAUSE.finditer(text, at, end) if m.end() < end]
+            out.append(end)
+            at = end
     return out
 
 
@@ -108,7 +116,8 @@ def dedup_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words:
     """``docs`` without sentences that a non-first repeated run covers; adds n_sentences, n_removed, n_words_removed, first_doc_id, kept_sha256.
 
     first_doc_id is the least document that holds the first occurrence of something removed; null if nothing is.
-    Sentences end after ``.``, ``!`` or ``?`` and white space, or at line ends. They are compared by their words (as
+    Sentences end after ``.``, ``!`` or ``?`` and white space, or at line ends; a sentence with LONG_SENTENCE spaces
+    or more counts as its clauses, so that a passage within one loses little. They are compared by their words (as
     in ``contamination``), so case, marks and spacing do not matter. What is kept stays byte for byte.
 
     Null and empty texts have no sentences; a null text stays null. Rows of one doc_id have the same text or
