@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bound_batches, text_buffers, with_fields
+from ._common import bound_batches, give_back_memory, text_buffers, with_fields
 from ._words import word_hashes
 
 WINDOW = 10
@@ -232,6 +232,7 @@ def _pass(docs: DataFrame, block: Block, first: bool, shard_words: int) -> DataF
             rows = list(zip(*(merged(old[i], found.get(i)) for i in range(batch.num_rows)), strict=True)) or [()] * 4
             new = [np.diff(bounds), *rows]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array(x, k) for x, k in zip(new, _TYPES, strict=True))], [*names, *(n for n, _ in _FIELDS)])
+        give_back_memory()
 
     return docs.mapInArrow(scan, with_fields(docs.select(*names), *_FIELDS))
 

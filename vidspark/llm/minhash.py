@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bound_batches, mix, text_buffers, written
+from ._common import bound_batches, give_back_memory, mix, text_buffers, written
 from ._words import runs, word_hashes
 from .components import components
 
@@ -119,7 +119,7 @@ def _signed(docs: DataFrame, shingle: int, k: int, rows: int) -> DataFrame:
             parts, at = [], 0
             while at < len(sizes):  # so many elements at a time that the darts stay few
                 to, n = at, 0
-                while to < len(sizes) and (to == at or n + sizes[to] < 300_000) and to - at < 500:
+                while to < len(sizes) and (to == at or n + sizes[to] < 100_000) and to - at < 150:
                     n += sizes[to]
                     to += 1
                 owner = np.repeat(np.arange(to - at), sizes[at:to])
@@ -129,6 +129,7 @@ def _signed(docs: DataFrame, shingle: int, k: int, rows: int) -> DataFrame:
             bands = np.concatenate(parts) if parts else np.zeros((0, k // rows), np.int64)
             lists = [None if s is None else bands[s] for s in slots]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["id", "key", "bands"])
+        give_back_memory()
 
     return docs.mapInArrow(sign, "id long, key binary, bands array<long>")
 
@@ -150,6 +151,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame
             words, bounds = word_hashes(*text_buffers(batch.column(1)))
             sets = [np.sort(runs(words[a:b], shingle)).tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
+        give_back_memory()
 
     return docs.join(wanted, "id", "left_semi").mapInArrow(shingles, "id long, set binary").dropDuplicates(["id", "set"])
 
@@ -161,6 +163,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         for batch in batches:
             keep = [weighted_jaccard(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) >= least for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], ["a", "b"])
+        give_back_memory()
 
     sided = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     return sided.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
@@ -229,6 +232,7 @@ def _across(members: DataFrame, sets: DataFrame, labels: DataFrame, bucket: int,
                 parts.append((own[first].view(np.int64), np.full(len(first), node), np.full(len(first), label), np.arange(1, len(first) + 1), np.full(len(first), len(own))))
             columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["element", "node", "label", "at", "size"])
+        give_back_memory()
 
     prefix = written(chosen.mapInArrow(rarest, "element long, node long, label long, at long, size long"), "prefixes")
     return pairs.union(_unlike_pairs(_live(prefix, "element"), "element", similarity))
