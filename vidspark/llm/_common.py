@@ -6,9 +6,11 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,18 +38,23 @@ def scratch_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, which ``clean_scratch`` will delete."""
+    _written.append(f"{scratch_dir(spark)}/vidspark-{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage, survives lost executors, is computed once."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/vidspark-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df = df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "void"})
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clean_scratch(spark: SparkSession) -> None:
-    """Deletes every table ``written`` has made in this process; frames that read them end with it."""
+    """Deletes all that this process has put into the shared folder; frames that read it end with it."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     while _written:
@@ -98,6 +105,18 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
+def sliced(batches: Iterator[pa.RecordBatch], at: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts, in column ``at``, have about ``most`` bytes; a longer text has a slice of its own."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            base = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads all bits (the finalizer of splitmix64)."""
     x = x.astype(np.uint64, copy=True)

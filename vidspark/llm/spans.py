@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import NULL_ID, bound_batches, fresh, give_back_memory, id_key, text_buffers, written
+from ._common import NULL_ID, bound_batches, fresh, give_back_memory, id_key, sliced, text_buffers, written
 from ._words import word_hashes
 
 MIN_SENTENCES = 2
@@ -78,18 +78,20 @@ def _sentences(batch_text: pa.Array) -> Iterator[tuple[bytes, list[int], np.ndar
 def repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
     """_id and the sentences (start, end) of every run that is not the first of its kind, and the _id of the first.
 
-    First is the least doc_id, then the least sentence. Runs are grouped by their hash with partial minima and
+    First is the least doc_id, then the least sentence; ``again`` marks runs that their own text held before. Runs are grouped by their hash with partial minima and
     counts; hot runs are joined back under adaptive execution, so none meets in one task.
     """
     bound_batches(docs.sparkSession)
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             ids, rows = [], []
             for doc_id, (_, _, words, counts) in zip(batch.column(0).to_pylist(), _sentences(batch.column(1)), strict=True):
-                had = len(rows)
-                rows += text_spans(words, counts, min_sentences, min_words)
-                ids += [doc_id] * (len(rows) - had)
+                seen: set[tuple[int, int]] = set()
+                for hash_, more, start, end in text_spans(words, counts, min_sentences, min_words):
+                    ids.append(doc_id)
+                    rows.append((hash_, more, start, end, (hash_, more) in seen))
+                    seen.add((hash_, more))
                 if len(rows) > 50_000:
                     yield made(ids, rows)
                     ids, rows = [], []
@@ -97,15 +99,15 @@ def repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_word
         give_back_memory()
 
     def made(ids: list[int], rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True))], ["_id", "hash", "more", "start", "end"])
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()), strict=True))], ["_id", "hash", "more", "start", "end", "again"])
 
     docs = docs.select(id_key("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
-    every = written(docs.mapInArrow(spans, "_id long, hash long, more int, start int, end int"), "spans")
-    firsts = every.groupBy("hash", "more").agg(F.count("*").alias("n"), F.min(F.struct("_id", "start")).alias("first"))
+    every = written(docs.mapInArrow(spans, "_id long, hash long, more int, start int, end int, again boolean"), "spans")
+    firsts = every.groupBy("hash", "more").agg(F.count("*").alias("n"), F.min("_id").alias("first"))
     firsts = written(firsts.filter(F.col("n") > 1).select("hash", "more", "first"), "firsts")
-    again = every.join(firsts, ["hash", "more"]).filter((F.col("_id") != F.col("first._id")) | (F.col("start") != F.col("first.start")))
-    return again.select("_id", "start", "end", F.col("first._id").alias("first"))
+    again = every.join(firsts, ["hash", "more"]).filter((F.col("_id") != F.col("first")) | F.col("again"))
+    return again.select("_id", "start", "end", "first")
 
 
 def _real(doc_id: int) -> int | None:
@@ -132,7 +134,7 @@ def dedup_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words:
     both = docs.withColumn(own, id_key("doc_id")).join(gone, own, "left").select(*names, gone.columns[-1])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, at):
             texts, numbers, valid = [], [], batch.column(at).is_valid().to_pylist()
             for there, gone, (text, bounds, _, counts) in zip(valid, batch.column(len(names)).to_pylist(), _sentences(batch.column(at)), strict=True):
                 drop = np.zeros(len(counts), bool)

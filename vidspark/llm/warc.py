@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bound_batches, scratch_dir, written
+from ._common import bound_batches, scratch_path, written
 
 VERSION = b"WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -236,7 +236,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     A revisit's bytes are those of the response it refers to, its digest is its own field.
     """
     spark = pages.sparkSession
-    path = f"{scratch_dir(spark)}/vidspark-warc-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "warc")
     write_warc(pages, path)
     read = written(read_warc(spark, path).select("record_id", "type", "page_id", "payload_digest", "refers_to_id", "payload_bytes", "sha1", "error"), "records")
     responses = read.filter(F.col("type") == "response")
