@@ -31,3 +31,9 @@ def test_volume_reaches_the_scan(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "LessThanOrEqual(bbox.xmin" in plan and "Join" not in plan
+
+
+def test_every_box_is_projected_into_every_camera(spark):
+    whole = f"""WITH {queries._DET}, c AS (SELECT n_name AS camera_id, 60 + 2 * n_nationkey AS fov FROM nation)
+    SELECT camera_id, item_id, t, round(640 / tan(radians(fov / 2.0)) * x1, 4) AS x1, round(360 / tan(radians(fov / 2.0)) * y2, 4) AS y2 FROM det, c"""
+    same_rows(queries.project_boxes(spark, SF), whole)

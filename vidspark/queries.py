@@ -319,9 +319,8 @@ SELECT camera_id, item_id, t, round(640 / tan(radians(fov / 2.0)) * x1, 4) AS x1
 )
 def project_boxes(spark, sf_dir):
     half = F.tan(F.radians(F.col("fov") / 2))
-    some = events.cameras(spark, sf_dir).join(events.read(spark, sf_dir, "nation").filter("n_regionkey = 1").select(F.col("n_name").alias("camera_id")), "camera_id")
-    some = some.withColumn("focal", F.struct((640 / half).alias("x"), (360 / half).alias("y")))
-    out = video.project_boxes(world(spark, sf_dir).bboxes.filter(F.col("item_id").startswith("click-")), some)
+    cameras = events.cameras(spark, sf_dir).withColumn("focal", F.struct((640 / half).alias("x"), (360 / half).alias("y")))
+    out = video.project_boxes(world(spark, sf_dir).bboxes, cameras)
     return out.select("camera_id", "item_id", "t", F.round("x1", 4).alias("x1"), F.round("y2", 4).alias("y2"))
 
 
