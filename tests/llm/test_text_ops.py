@@ -187,6 +187,26 @@ def test_spans_keep_the_first(spark):
     assert got[4].n_removed == got[4].n_sentences and got[4].first_doc_id == got[2].first_doc_id == 1 and got[1].first_doc_id is None
 
 
+@pytest.mark.parametrize("lengths", [(12, 12, 5), (20, 1, 18), (1, 30, 2, 17)])
+def test_spans_reach_the_end_of_a_copy(spark, lengths):
+    numbers = iter(range(1000))
+    copy = " ".join(" ".join(f"w{next(numbers)}" for _ in range(n)) + "." for n in lengths)
+    rows = [(1, copy), (2, copy), (3, f"Before it. {copy} After that.")]
+    got = {r.doc_id: r for r in spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].text, got[2].text, got[3].text) == (copy, "", "Before it. After that.")
+    assert got[2].n_words_removed == got[3].n_words_removed == sum(lengths)
+
+
+def test_spans_equal_sql_with_runs_that_end_at_each_sentence(spark):
+    runs = "runs AS (SELECT doc_id, k AS first_k, ks[last] AS last_k, array_to_string(all_words[before + 1 : uptos[last]], ' ') AS words FROM r)"
+    both = f"""b AS (
+      SELECT doc_id, k, ks, uptos, all_words, upto, least(i - {spans.MIN_SENTENCES} + 1, 1 + len(list_filter(uptos, lambda x: x <= upto - {spans.MIN_WORDS}))) AS first
+      FROM o JOIN a USING (doc_id) WHERE upto >= {spans.MIN_WORDS} AND i >= {spans.MIN_SENTENCES}),
+    {runs[:-1]} UNION SELECT doc_id, ks[first], k, array_to_string(all_words[coalesce(uptos[first - 1], 0) + 1 : upto], ' ') FROM b)"""
+    assert runs in queries.OP7_SQL
+    same_rows(queries.op7_substring_dedup(spark, SF), queries.OP7_SQL.replace(runs, both))
+
+
 def brute_repeat(w, n=5):
     seen = Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
     return len({k for i in range(len(w) - n + 1) if seen[tuple(w[i : i + n])] > 1 for k in range(i, i + n)})

@@ -40,22 +40,27 @@ def sentence_bounds(text: bytes) -> list[int]:
 
 
 def text_spans(words: np.ndarray, per_sentence: np.ndarray, min_sentences: int, min_words: int) -> Iterator[tuple[int, int, int, int]]:
-    """64 and 32 bits of hash, first sentence and end sentence of every run of a text.
+    """64 and 32 bits of hash, first sentence and end sentence of every run of a text, in order of place.
 
-    A run begins at each sentence with words and is the shortest that has ``min_sentences`` such sentences
-    and ``min_words`` words; where the text ends before, there is none. So equal stretches of text have
-    equal runs, wherever they stand.
+    From each sentence with words goes the shortest run that has ``min_sentences`` such sentences and ``min_words``
+    words, and to each the shortest that ends there, each run once; where the text is too short for one, there is none.
+    So equal stretches of text have equal runs, wherever they stand, and every sentence of a stretch of that size is in one.
     """
     own = np.flatnonzero(per_sentence)
-    if len(own) < min_sentences:
+    n = len(own)
+    if n < min_sentences:
         return
     starts = np.cumsum(per_sentence[own]) - per_sentence[own]
     ends = starts + per_sentence[own]
-    last = np.maximum(np.searchsorted(ends, starts + min_words), np.arange(len(own)) + min_sentences - 1)
+    every = np.arange(n)
+    last = np.maximum(np.searchsorted(ends, starts + min_words), every + min_sentences - 1)
+    first = np.minimum(np.searchsorted(starts, ends - min_words, side="right") - 1, every - min_sentences + 1)
+    onward, back = np.flatnonzero(last < n), np.flatnonzero(first >= 0)
+    runs = np.unique(np.concatenate([onward * n + last[onward], first[back] * n + back]))
     data = words.tobytes()
-    for k in np.flatnonzero(last < len(own)).tolist():
-        digest = xxhash.xxh3_128_intdigest(data[8 * starts[k] : 8 * ends[last[k]]])
-        yield (digest & (2**64 - 1)) - 2**63, ((digest >> 64) & (2**32 - 1)) - 2**31, int(own[k]), int(own[last[k]]) + 1
+    for a, b in zip((runs // n).tolist(), (runs % n).tolist(), strict=True):
+        digest = xxhash.xxh3_128_intdigest(data[8 * starts[a] : 8 * ends[b]])
+        yield (digest & (2**64 - 1)) - 2**63, ((digest >> 64) & (2**32 - 1)) - 2**31, int(own[a]), int(own[b]) + 1
 
 
 def _sentences(batch_text: pa.Array) -> Iterator[tuple[bytes, list[int], np.ndarray, np.ndarray]]:
