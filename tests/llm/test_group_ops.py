@@ -198,6 +198,17 @@ def test_style_tree_finds_unnamed_noise(spark):
     assert extraction.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_fixed_branches_go_however_short_the_story(spark):
+    label = "Get our letter. " * 13
+    page = lambda i: f"<body><div class=zq>{label}</div><div class=st>Here is story {i}</div><div class=yy>Seen in <p>town {i}</p></div></body>"
+    rows = [(i, "http://h.example/", page(i)) for i in range(12)]
+    for r in extraction.extract(spark.createDataFrame(rows, PAGES)).collect():
+        assert r.text == f"Here is story {r.page_id}\n\ntown {r.page_id}"
+    inner = "<article><p>Same</p><div class=zq>Letter<p>Sign up</p></div><p>Story</p></article>"
+    assert extraction.main_text(inner, {"html>article>p", "html>article>div.zq", "html>article>div.zq>p"}) == "Same\n\nStory"
+    assert extraction.main_text("<div class=zq>All there is</div>", {"html>div.zq"}) == "All there is"
+
+
 def test_extraction_of_the_table(spark):
     for r in queries.op6_html_extraction(spark, SF).join(read_table(spark, SF, "pages").select("page_id", "html"), "page_id").collect():
         article = re.search("<article>(.*?)</article>", r.html, re.S)[1]

@@ -201,28 +201,25 @@ def main_text(page: str, noise_paths: set[str] | None = None) -> str:
 
     Elements that are menus, headers, footers, sidebars, notices, adverts, forms, comments or not text at all by their
     tag, role or names go first (names that would leave nothing are disregarded). If the page has an article or main element with text, the rest outside goes. Then
-    go noise branches, of an article those within it but not its plain headings and paragraphs, unless that would
-    leave less than half of the text: then they are the page's own content.
+    go the blocks whose own path is noise, of an article those within it but not its plain headings and paragraphs outside other noise, unless
+    nothing would be left. Each path is judged by its own blocks over the host, however much of a page it holds, so
+    what differs between pages stays below a fixed label.
     """
     found = blocks(parse(page))
     every = [(n, t) for n, t in found if not _noisy(n)] or [(n, t) for n, t in found if not _noisy(n, 2)]
     inner = [(n, t) for n, t in every if n.main or _is_main(n)]
     kept = inner or every
     if noise_paths:
-        paths: dict[int, str] = {}
 
-        def below(node: Node) -> bool:
+        def fixed(node: Node) -> bool:
             inside = node.main or _is_main(node)
-            while node is not None and (node.main or not inside):
-                path = paths.setdefault(id(node), node.path())
-                if path in noise_paths and not (inside and node.tag in PROSE and "." not in node.label):
-                    return True
+            if inside and not node.main or node.path() not in noise_paths:
+                return False
+            while inside and node.main and (node.tag in PROSE and "." not in node.label or node.path() not in noise_paths):
                 node = node.parent
-            return False
+            return not inside or node.main
 
-        left = [(n, t) for n, t in kept if not below(n)]
-        if 2 * sum(len(t) for _, t in left) >= sum(len(t) for _, t in kept):
-            kept = left
+        kept = [(n, t) for n, t in kept if not fixed(n)] or kept
     return "\n\n".join(t for _, t in kept)
 
 
