@@ -209,6 +209,13 @@ def test_fixed_branches_go_however_short_the_story(spark):
     assert extraction.main_text("<div class=zq>All there is</div>", {"html>div.zq"}) == "All there is"
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 7])
+def test_small_hosts_are_judged_from_three_pages_on(spark, n):
+    rows = [(i, "http://h.example/", f"<body><div class=zq>Get our letter</div><div class=st>Here is story {i}</div></body>") for i in range(n)]
+    for r in extraction.extract(spark.createDataFrame(rows, PAGES)).collect():
+        assert r.text == ("" if n > 2 else "Get our letter\n\n") + f"Here is story {r.page_id}"
+
+
 def test_extraction_of_the_table(spark):
     for r in queries.op6_html_extraction(spark, SF).join(read_table(spark, SF, "pages").select("page_id", "html"), "page_id").collect():
         article = re.search("<article>(.*?)</article>", r.html, re.S)[1]

@@ -15,8 +15,6 @@ from pyspark.sql import types as T
 
 from ._common import bound_batches, fresh, written
 
-#: A branch is judged only where so many different pages of its host have it.
-MIN_PAGES = 8
 #: Branches under this importance (0 to 1) are noise.
 MIN_IMPORTANCE = 0.3
 
@@ -248,14 +246,15 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
-def noise_branches(pages: DataFrame, min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
+def noise_branches(pages: DataFrame, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
     """host and its low-importance paths, from the style trees of all pages of each host.
 
     Trees of one host are merged by path. With m different pages (by html) that have a path, its presentation
     importance is the entropy of its child sequences, and its content importance is one minus the mean entropy of
     its text blocks over the pages, both to base m: a block on one page counts 1, a block on all pages 0. A path
-    with text weighs content by the share of pages that have text there, the rest by presentation. Paths of under ``min_pages``
-    pages are not judged. All of it are counts by (host, path), so a large host is no large group; only
+    with text weighs content by the share of pages that have text there, the rest by presentation. Few pages
+    may agree by chance: of what is left to 1, importance gets 2^(1-m) in addition, so that with the usual threshold two pages
+    are too few and on three a path must be all but the same. All of it are counts by (host, path), so a large host is no large group; only
     the low paths of a host come together.
     """
     bound_batches(pages.sparkSession)
@@ -284,16 +283,16 @@ def noise_branches(pages: DataFrame, min_pages: int = MIN_PAGES, min_importance:
         F.sum(F.when(F.col("kind") == "text", F.ln("n"))).alias("text"),
         F.count(F.when(F.col("kind") == "text", 1)).alias("blocks"),
         F.sum(F.when(F.col("kind") == "text", F.col("n"))).alias("texts"),
-    ).filter(F.col("m") >= min_pages)
+    ).filter(F.col("m") > 1)
     presentation = F.ln("m") - F.col("style") / F.col("m")
     content = 1 - F.col("text") / F.col("blocks") / F.ln("m")
     spread = F.least(F.lit(1.0), F.coalesce(F.col("texts"), F.lit(0)) / F.col("m"))
     importance = spread * F.coalesce(content, F.lit(0.0)) + (1 - spread) * presentation / F.ln("m")
-    low = paths.withColumn("importance", importance).filter((F.col("blocks") > 0) & (F.col("importance") < min_importance))
+    low = paths.withColumn("importance", importance + (1 - importance) * F.pow(F.lit(2.0), 1 - F.col("m"))).filter((F.col("blocks") > 0) & (F.col("importance") < min_importance))
     return low.groupBy("host").agg(F.collect_list("path").alias("paths"))
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
+def extract(pages: DataFrame, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
     """``pages`` (url, html) with text and n_chars (code points): the main text of each whole page.
 
     Blocks in page order, joined by an empty line; see ``main_text`` and ``noise_branches``.
@@ -304,7 +303,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_importance: float
     """
     bound_batches(pages.sparkSession)
     pages = pages.drop("text", "n_chars")
-    noise = written(noise_branches(pages, min_pages, min_importance), "noise")
+    noise = written(noise_branches(pages, min_importance), "noise")
     names, at = pages.columns, pages.columns.index("html")
     own, paths = fresh("_host", names), fresh("_paths", names)
     both = pages.withColumn(own, host_of(F.col("url").cast("string"))).join(noise.toDF(own, paths), own, "left").select(*names, paths)
