@@ -37,3 +37,8 @@ def test_every_box_is_projected_into_every_camera(spark):
     whole = f"""WITH {queries._DET}, c AS (SELECT n_name AS camera_id, 60 + 2 * n_nationkey AS fov FROM nation)
     SELECT camera_id, item_id, t, round(640 / tan(radians(fov / 2.0)) * x1, 4) AS x1, round(360 / tan(radians(fov / 2.0)) * y2, 4) AS y2 FROM det, c"""
     same_rows(queries.project_boxes(spark, SF), whole)
+
+
+def test_merges_hold_the_whole_table(spark):
+    same_rows(queries.merge_trajectory(spark, SF), f"WITH {queries._DET} SELECT item_id, t FROM det")
+    same_rows(queries.merged_trajectories(spark, SF), f"WITH {queries._DET} SELECT item_id, count(*) AS points, min(t) AS first_t, max(t) AS last_t FROM det GROUP BY item_id")

@@ -224,7 +224,7 @@ def semi_trajectories(spark, sf_dir):
 def merge_trajectory(spark, sf_dir):
     bboxes = world(spark, sf_dir).bboxes
     day = lambda d: F.lit(datetime(2024, 1, d)).cast("timestamp_ntz")
-    old, new = bboxes.filter(F.col("bbox.tmin") < day(12)), bboxes.filter((F.col("bbox.tmin") >= day(8)) & (F.col("bbox.tmin") < day(20)))
+    old, new = bboxes.filter(F.col("bbox.tmin") < day(12)), bboxes.filter(F.col("bbox.tmin") >= day(8))
     return merge_boxes(old, new).select("item_id", F.col("bbox.tmin").alias("t"))
 
 
@@ -328,7 +328,7 @@ def project_boxes(spark, sf_dir):
 def merged_trajectories(spark, sf_dir):
     d = events.detections(spark, sf_dir)
     day = lambda n: F.lit(datetime(2024, 1, n)).cast("timestamp_ntz")
-    old, new = (ingest(d.filter(c))[0] for c in (F.col("t") < day(12), (F.col("t") >= day(8)) & (F.col("t") < day(20))))
+    old, new = (ingest(d.filter(c))[0] for c in (F.col("t") < day(12), F.col("t") >= day(8)))
     traj = F.col("traj")
     return merge_trajectories(old, new).select("item_id", F.size(traj).cast("long").alias("points"), F.get(traj, F.lit(0))["t"].alias("first_t"), F.element_at(traj, -1)["t"].alias("last_t"))
 
