@@ -3,6 +3,7 @@ import pytest
 import __spark_entry__ as entry_module
 from tests.conftest import SF, same_rows
 from vidspark import queries
+from vidspark.functions import vision
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
@@ -42,3 +43,11 @@ def test_every_box_is_projected_into_every_camera(spark):
 def test_merges_hold_the_whole_table(spark):
     same_rows(queries.merge_trajectory(spark, SF), f"WITH {queries._DET} SELECT item_id, t FROM det")
     same_rows(queries.merged_trajectories(spark, SF), f"WITH {queries._DET} SELECT item_id, count(*) AS points, min(t) AS first_t, max(t) AS last_t FROM det GROUP BY item_id")
+
+
+def test_gate_takes_every_hundredth_vector_as_anchor(spark):
+    whole = """WITH e AS (SELECT vec_id, embedding FROM embeddings), a AS (SELECT vec_id AS anchor_id, embedding AS anchor FROM embeddings WHERE vec_id % 100 = 0)
+    SELECT vec_id, anchor_id FROM e, a WHERE 1 - list_sum(list_transform(list_zip(embedding, anchor), lambda z: z[1]::DOUBLE * z[2])) / sqrt(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v)) * list_sum(list_transform(anchor, lambda v: v::DOUBLE * v))) <= 0.4"""
+    same_rows(queries.appearance_gate(spark, SF), whole)
+    e = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, None), (4, [0.0, 0.0])], "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, vision.cosine_pairs(e, e.filter("vec_id > 1")).collect())) == [(1, 2), (2, 2)]

@@ -9,6 +9,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +70,35 @@ def cosine_gate(a: Column, b: Column, most: float = MAX_COSINE_DISTANCE) -> Colu
     return 1 - F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b))) <= most
 
 
+def cosine_pairs(vectors: DataFrame, anchors: DataFrame, most: float = MAX_COSINE_DISTANCE, block: int = 512) -> DataFrame:
+    """vec_id and anchor_id of all pairs within a cosine distance. Both: vec_id, embedding, of one length throughout.
+
+    Blocks of vectors meet blocks of anchors, each pair of blocks is one product of matrices. Nulls and vectors of
+    length zero are near nothing.
+    """
+
+    def packed(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                part = batch.slice(at, block)
+                part = part.filter(part.column(1).is_valid())
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([part.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f8").tobytes()], pa.binary())], ["ids", "data"])
+
+    def near(batches):
+        for batch in batches:
+            for ids, data, anchor_ids, anchor_data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not ids or not anchor_ids:
+                    continue
+                a, b = np.frombuffer(data, "<f8").reshape(len(ids), -1), np.frombuffer(anchor_data, "<f8").reshape(len(anchor_ids), -1)
+                with np.errstate(all="ignore"):
+                    within = 1 - a @ b.T / np.sqrt(np.outer((a * a).sum(1), (b * b).sum(1))) <= most
+                i, j = np.nonzero(within)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in i.tolist()], pa.int64()), pa.array([anchor_ids[k] for k in j.tolist()], pa.int64())], ["vec_id", "anchor_id"])
+
+    rows, others = (df.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(packed, "ids array<long>, data binary") for df in (vectors, anchors))
+    return rows.crossJoin(others.toDF("anchor_ids", "anchor_data")).mapInArrow(near, "vec_id long, anchor_id long")
+
+
 def disp_to_scaled(disp: Column, least: float = MIN_DEPTH, most: float = MAX_DEPTH) -> Column:
     return 1 / most + (1 / least - 1 / most) * disp
 
