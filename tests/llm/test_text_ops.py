@@ -154,6 +154,17 @@ def test_suffix_arrays_equal_brute_force(docs, items, window, shard):
             assert any(run == words(x)[j : j + len(run)] for x in items for j in range(len(words(x))))
 
 
+def test_suffix_array_of_more_words_than_21_bits():
+    n = (1 << 21) + 100
+    text = np.random.default_rng(9).permutation(np.arange(1, n + 1, dtype=np.uint64))
+    text[-30:] = text[1000:1030]
+    array_ = decontam.SuffixArray(text, np.array([0, n]), 10)
+    wanted = np.concatenate([text[1000:1010], text[5:8], np.array([text[7], text[5], n + 5], np.uint64)])
+    low, high = array_.find(wanted, np.array([0, 0, 0, 0, 10, 12, 10, 15]), np.array([10, 3, 2, 1, 3, 2, 2, 1]))
+    assert (high - low).tolist() == [2, 2, 2, 2, 1, 0, 1, 0]
+    assert sorted(array_.order[low[0] : high[0]].tolist()) == [1000, n - 30]
+
+
 def test_benchmark_blocks_agree(spark):
     docs, bench = read_table(spark, SF, "documents").select("doc_id", "text"), read_table(spark, SF, "benchmark")
     keep = ["doc_id", "n_words", "n_hit", "items_sha256", "longest_match"]

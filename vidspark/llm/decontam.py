@@ -24,8 +24,8 @@ BLOCK_BYTES = 16 << 20
 class SuffixArray:
     """The suffixes of a shard's documents in order of their first ``depth`` words or more.
 
-    Words have dense ranks, in the order of their hashes; a suffix ends with its document. Three ranks
-    make one sort key; only suffixes that still tie are sorted again, by the places of what follows
+    Words have dense ranks, in the order of their hashes; a suffix ends with its document. Three ranks, or
+    two where they need more than 21 bits, make one sort key; only suffixes that still tie are sorted again, by the places of what follows
     them, which doubles the words that count.
     """
 
@@ -35,17 +35,17 @@ class SuffixArray:
         self.ranks = np.zeros(n + 3, np.int64)
         self.ranks[:n] = ranks + 1
         self.bits = max(1, int(len(self.vocabulary) + 1).bit_length())
-        if 3 * self.bits > 63:
-            raise ValueError("a shard has too many different words")
+        self.lead = 3 if 3 * self.bits <= 63 else 2
         self.ends = np.repeat(bounds[1:], np.diff(bounds))
         left = self.ends - np.arange(n)
         second = np.where(left > 1, self.ranks[1 : n + 1], 0)
-        third = np.where(left > 2, self.ranks[2 : n + 2], 0)
-        keys = (self.ranks[:n] << (2 * self.bits)) | (second << self.bits) | third
+        keys = (self.ranks[:n] << self.bits) | second
+        if self.lead == 3:
+            keys = (keys << self.bits) | np.where(left > 2, self.ranks[2 : n + 2], 0)
         self.order = np.argsort(keys, kind="stable")
         self.keys = keys[self.order]
-        del keys, second, third
-        known = 3
+        del keys, second
+        known = self.lead
         if n and known < depth:
             place = np.empty(n, np.int64)
             first = np.ones(n, bool)
@@ -95,13 +95,15 @@ class SuffixArray:
         found = self.vocabulary[np.minimum(slot, len(self.vocabulary) - 1)] == words if len(self.vocabulary) else np.zeros(len(words), bool)
         ranks = np.zeros(len(words) + 3, np.int64)
         ranks[: len(words)] = np.where(found, slot + 1, 0)
-        key = (ranks[starts] << (2 * self.bits)) | (np.where(lengths > 1, ranks[starts + 1], 0) << self.bits) | np.where(lengths > 2, ranks[starts + 2], 0)
-        free = np.maximum(0, 3 - lengths) * self.bits
+        key = (ranks[starts] << self.bits) | np.where(lengths > 1, ranks[starts + 1], 0)
+        if self.lead == 3:
+            key = (key << self.bits) | np.where(lengths > 2, ranks[starts + 2], 0)
+        free = np.maximum(0, self.lead - lengths) * self.bits
         low = np.searchsorted(self.keys, key)
         high = np.searchsorted(self.keys, key + (np.int64(1) << free))
         known = (ranks[starts] > 0) & ((lengths < 2) | (ranks[starts + 1] > 0)) & ((lengths < 3) | (ranks[starts + 2] > 0))
         high = np.where(known, high, low)
-        for offset in range(3, int(lengths.max(initial=0))):
+        for offset in range(self.lead, int(lengths.max(initial=0))):
             live = np.flatnonzero((high > low) & (lengths > offset))
             if not len(live):
                 break
