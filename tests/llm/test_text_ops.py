@@ -208,14 +208,18 @@ def test_spans_reach_the_end_of_a_copy(spark, lengths):
     assert got[2].n_words_removed == got[3].n_words_removed == sum(lengths)
 
 
-def test_spans_equal_sql_with_runs_that_end_at_each_sentence(spark):
-    runs = "runs AS (SELECT doc_id, k AS first_k, ks[last] AS last_k, array_to_string(all_words[before + 1 : uptos[last]], ' ') AS words FROM r)"
-    both = f"""b AS (
-      SELECT doc_id, k, ks, uptos, all_words, upto, least(i - {spans.MIN_SENTENCES} + 1, 1 + len(list_filter(uptos, lambda x: x <= upto - {spans.MIN_WORDS}))) AS first
-      FROM o JOIN a USING (doc_id) WHERE upto >= {spans.MIN_WORDS} AND i >= {spans.MIN_SENTENCES}),
-    {runs[:-1]} UNION SELECT doc_id, ks[first], k, array_to_string(all_words[coalesce(uptos[first - 1], 0) + 1 : upto], ' ') FROM b)"""
-    assert runs in queries.OP7_SQL
-    same_rows(queries.op7_substring_dedup(spark, SF), queries.OP7_SQL.replace(runs, both))
+def test_spans_leave_unique_text_of_rows_that_share_an_id(spark):
+    passage = "The first of these lines has some ten words in all. The second of them has as many words in it. And here is a third."
+    unique = "Nothing of this is said in any other row of it. Neither is this one which has a few more. Nor this. Nor that. At all."
+    rows = [(1, passage), (9, passage), (9, unique), (None, unique + " And more of the same for the nameless."), (None, passage + " With an end."), (None, "Only here. " + unique[:60]), (7, None), (None, None), (None, passage + " With an end.")]
+    got = spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = {(r.doc_id, r.text) for r in got}
+    assert len(got) == len(rows)
+    # Rows without id come first: theirs is the first passage, and the rest of what they hold is theirs alone.
+    assert (1, "") in texts and (9, "") in texts and (9, "") in texts
+    assert (None, rows[3][1]) in texts and (None, rows[4][1]) in texts and (None, rows[5][1]) in texts
+    got = spans.dedup_spans(spark.createDataFrame(rows[:3], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.text) for r in got} == {(1, passage), (9, ""), (9, unique)}
 
 
 def brute_repeat(w, n=5):

@@ -144,7 +144,12 @@ r AS (
          greatest(i + {spans.MIN_SENTENCES} - 1, list_position(list_transform(uptos, lambda x: x >= upto - len(words) + {spans.MIN_WORDS}), true)) AS last
   FROM o JOIN a USING (doc_id)
   WHERE uptos[len(uptos)] >= upto - len(words) + {spans.MIN_WORDS} AND i + {spans.MIN_SENTENCES} - 1 <= len(ks)),
-runs AS (SELECT doc_id, k AS first_k, ks[last] AS last_k, array_to_string(all_words[before + 1 : uptos[last]], ' ') AS words FROM r),
+b AS (
+  SELECT doc_id, k, ks, uptos, all_words, upto, least(i - {spans.MIN_SENTENCES} + 1, 1 + len(list_filter(uptos, lambda x: x <= upto - {spans.MIN_WORDS}))) AS first
+  FROM o JOIN a USING (doc_id) WHERE upto >= {spans.MIN_WORDS} AND i >= {spans.MIN_SENTENCES}),
+runs AS (
+  SELECT doc_id, k AS first_k, ks[last] AS last_k, array_to_string(all_words[before + 1 : uptos[last]], ' ') AS words FROM r
+  UNION SELECT doc_id, ks[first], k, array_to_string(all_words[coalesce(uptos[first - 1], 0) + 1 : upto], ' ') FROM b),
 ranked AS (SELECT *, row_number() OVER w AS nth, first_value(doc_id) OVER w AS source FROM runs WINDOW w AS (PARTITION BY words ORDER BY doc_id, first_k)),
 gone AS (SELECT DISTINCT doc_id, unnest(range(first_k, last_k + 1)) AS k FROM ranked WHERE nth > 1),
 sources AS (SELECT doc_id, min(source) AS first_doc_id FROM ranked WHERE nth > 1 GROUP BY doc_id)

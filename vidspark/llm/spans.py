@@ -9,11 +9,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import NULL_ID, bound_batches, fresh, give_back_memory, id_key, sliced, text_buffers, written
+from ._common import NULL_ID, bound_batches, fresh, give_back_memory, sliced, text_buffers, written
 from ._words import word_hashes
 
 MIN_SENTENCES = 2
@@ -21,6 +21,9 @@ MIN_WORDS = 20
 #: A sentence with so many spaces or more is long: its clauses count as sentences.
 LONG_SENTENCE = 12
 
+#: Rows without doc_id have numbers from NULL_ID to here; ids below it do not occur.
+NULL_END = -(2**62)
+
 #: A sentence ends after marks and white space, or at line ends.
 _END = re.compile(rb"[.!?][\"')\]]*[ \t\r]+|\n+")
 #: A clause ends after these marks and white space.
@@ -80,43 +83,51 @@ def _sentences(batch_text: pa.Array) -> Iterator[tuple[bytes, list[int], np.ndar
         yield data[offsets[k] : offsets[k + 1]], own, words[at[a] : at[b]], counts[a:b]
 
 
+def _identity() -> tuple[Column, Column]:
+    """What tells rows (doc_id, text) apart: the doc_id, or for a row without one a number below NULL_END made of its text, and a hash of the text."""
+    text = F.col("text").cast("string")
+    nameless = F.lit(NULL_ID) + F.pmod(F.xxhash64(text), F.lit(NULL_END - NULL_ID))
+    return F.coalesce(F.col("doc_id").cast("long"), nameless), F.hash(text)
+
+
 def repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """_id and the sentences (start, end) of every run that is not the first of its kind, and the _id of the first.
+    """_id and _own of rows (see ``_identity``), the sentences (start, end) of every run that is not the first of its kind, and the _id of the first.
 
-    First is the least doc_id, then the least sentence; ``again`` marks runs that their own text held before. Runs are grouped by their hash with partial minima and
-    counts; hot runs are joined back under adaptive execution, so none meets in one task.
+    First is the least _id, then the least sentence. Runs are grouped by their hash with partial minima and counts; hot
+    runs are joined back under adaptive execution, so none meets in one task. The texts are cut into runs twice, for the
+    counts and for the join, so that the runs of all texts, which are several times as many as the sentences, never lie in a table.
     """
     bound_batches(docs.sparkSession)
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 1):
-            ids, rows = [], []
-            for doc_id, (_, _, words, counts) in zip(batch.column(0).to_pylist(), _sentences(batch.column(1)), strict=True):
+        for batch in sliced(batches, 2):
+            owners, rows = [], []
+            for owner, (_, _, words, counts) in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), _sentences(batch.column(2)), strict=True):
                 seen: set[tuple[int, int]] = set()
                 for hash_, more, start, end in text_spans(words, counts, min_sentences, min_words):
-                    ids.append(doc_id)
+                    owners.append(owner)
                     rows.append((hash_, more, start, end, (hash_, more) in seen))
                     seen.add((hash_, more))
                 if len(rows) > 50_000:
-                    yield made(ids, rows)
-                    ids, rows = [], []
-            yield made(ids, rows)
+                    yield made(owners, rows)
+                    owners, rows = [], []
+            yield made(owners, rows)
         give_back_memory()
 
-    def made(ids: list[int], rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()), strict=True))], ["_id", "hash", "more", "start", "end", "again"])
+    def made(owners: list[tuple[int, int]], rows: list[tuple]) -> pa.RecordBatch:
+        columns = [*(list(zip(*owners, strict=True)) or [()] * 2), *(list(zip(*rows, strict=True)) or [()] * 5)]
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["_id", "_own", "hash", "more", "start", "end", "again"])
 
-    docs = docs.select(id_key("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
-    every = written(docs.mapInArrow(spans, "_id long, hash long, more int, start int, end int, again boolean"), "spans")
+    every = docs.select(*_identity(), F.col("text").cast("string")).mapInArrow(spans, "_id long, _own int, hash long, more int, start int, end int, again boolean")
     firsts = every.groupBy("hash", "more").agg(F.count("*").alias("n"), F.min("_id").alias("first"))
     firsts = written(firsts.filter(F.col("n") > 1).select("hash", "more", "first"), "firsts")
     again = every.join(firsts, ["hash", "more"]).filter((F.col("_id") != F.col("first")) | F.col("again"))
-    return again.select("_id", "start", "end", "first")
+    return again.select("_id", "_own", "start", "end", "first")
 
 
 def _real(doc_id: int) -> int | None:
-    return None if doc_id == NULL_ID else doc_id
+    return None if doc_id < NULL_END else doc_id
 
 
 def dedup_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -127,16 +138,18 @@ def dedup_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words:
     or more counts as its clauses, so that a passage within one loses little. They are compared by their words (as
     in ``contamination``), so case, marks and spacing do not matter. What is kept stays byte for byte.
 
-    Null and empty texts have no sentences; a null text stays null. Rows of one doc_id have the same text or
-    are judged together: what is a repeat at some sentence of one goes in all. Rows without doc_id count as the
-    least id. Empty tables stay empty. Columns named as the new ones are replaced, all others are kept.
+    Null and empty texts have no sentences; a null text stays null. Each row loses sentences of its own only. Rows
+    of one doc_id are one document's versions: what it is the first to hold stays in each of them. Rows without doc_id come
+    before all ids (below NULL_END there are none), each different text a document of its own. Rows that are equal
+    in id and text have equal results. Empty tables stay empty. Columns named as the new ones are replaced, all others are kept.
     """
     new = ("n_sentences", "n_removed", "n_words_removed", "first_doc_id", "kept_sha256")
     docs = docs.drop(*new)
     names, at = docs.columns, docs.columns.index("text")
-    own = fresh("_id", docs.columns)
-    gone = repeated_spans(docs, min_sentences, min_words).groupBy(F.col("_id").alias(own)).agg(F.collect_set(F.struct("start", "end", "first")).alias(fresh("_gone", docs.columns)))
-    both = docs.withColumn(own, id_key("doc_id")).join(gone, own, "left").select(*names, gone.columns[-1])
+    gone = repeated_spans(docs, min_sentences, min_words)
+    keys, runs = [fresh(c, names) for c in ("_id", "_own")], fresh("_gone", names)
+    gone = gone.groupBy("_id", "_own").agg(F.collect_set(F.struct("start", "end", "first")).alias(runs)).toDF(*keys, runs)
+    both = docs.withColumns(dict(zip(keys, _identity(), strict=True))).join(gone, keys, "left").select(*names, runs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, at):
