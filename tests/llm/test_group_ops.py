@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -23,8 +24,6 @@ def words(text):
 
 
 def brute_classes(docs, least=0.8):
-    from collections import Counter
-
     sets = {}
     for i, text in docs:
         w = words(text)
@@ -198,6 +197,78 @@ def test_style_tree_finds_unnamed_noise(spark):
     assert extraction.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def brute_tree(pages):
+    """Importance of each path of one host's tree, by recursion over a merged tree; and the noise branches."""
+    import math
+
+    pages = [set(extraction.tree_features(p)) for p in dict.fromkeys(pages)]
+    held = lambda kind, path: [[x for x in p if x[0] == path and x[1] == kind] for p in pages]
+    paths = {x[0] for p in pages for x in p if x[1] == "node"}
+    m = {path: sum(map(bool, held("node", path))) for path in paths}
+    named = {path: any(x[4] for rows in held("node", path) for x in rows) for path in paths}
+    importance = {}
+
+    def entropy(ns, base):
+        total = sum(ns)
+        return -sum(n / total * math.log(n / total) for n in ns) / math.log(base)
+
+    def of(path):
+        if path.endswith("#text"):
+            found = Counter(x[2] for rows in held("text", path) for x in rows)
+            out = 1.0 if m[path] == 1 else 1 - sum(n * math.log(n) for n in found.values()) / max(1, sum(found.values())) / math.log(m[path])
+        else:
+            styles = Counter(x[2] for rows in held("style", path) for x in rows)
+            node = 1.0 if m[path] == 1 else min(1.0, entropy(list(styles.values()), m[path]))
+            kept = extraction.GAMMA ** len(styles)
+            out = (1 - kept) * node
+            for below in paths:
+                if below.rpartition(">")[0] == path:
+                    share = sum(x[3] for rows in held("edge", below) for x in rows) / sum(styles.values())
+                    out += kept * share * of(below)
+        importance[path] = out
+        return out
+
+    of("html")
+    judged = {p: x + (1 - x) * 2.0 ** (1 - m[p]) for p, x in importance.items()}
+    top = {p: max(x for q, x in judged.items() if q == p or q.startswith(p + ">")) for p in paths}
+    noise = {p for p in paths if top[p] < (extraction.MIN_NAMED_IMPORTANCE if named[p] else extraction.MIN_IMPORTANCE)}
+    return importance, noise
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_style_trees_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    said = lambda n, k: " ".join(f"w{rng.randrange(k)}" for _ in range(n))
+
+    def page():
+        menu = "".join(f"<li><a>{x}</a></li>" for x in rng.sample(["Home", "News", "About", "Sport"], rng.choice([3, 4])))
+        body = "".join(rng.choice([f"<p>{said(6, 400)}, {said(3, 5)}.</p>", f"<div class=note>{said(2, 3)}<p>{said(4, 9)}</p></div>", f"<ul><li>{said(3, 50)}</ul>"]) for _ in range(rng.randrange(1, 6)))
+        return f"<body><div class=menu><ul>{menu}</ul></div><div class=b{rng.randrange(9)}>{body}</div>{rng.choice(['', '<div class=z>Sign here. Now!</div>'])}<div class=foot><div><div>&copy; us | {said(1, 3)}</div></div></div></body>"
+
+    hosts = {"a.example": [page() for _ in range(12)], "b.example": [page()], "c.example": [page() for _ in range(3)] * 2, "d.example": ["", "plain"]}
+    frame = spark.createDataFrame([(i, f"http://{h}/{i}", p) for h, pages in hosts.items() for i, p in enumerate(pages)], PAGES)
+    got = {}
+    for r in extraction.branch_importance(frame).collect():
+        got.setdefault(r.host, {})[r.path] = r.importance
+    noise = {r.host: set(r.paths) for r in extraction.noise_branches(frame).collect()}
+    for host, pages in hosts.items():
+        importance, branches = brute_tree(pages)
+        assert got[host] == pytest.approx(importance)
+        assert noise.get(host, set()) == branches
+    assert noise["a.example"] >= {"html>body>div.menu", "html>body>div.z"}
+
+
+def test_names_alone_leave_article_text(spark):
+    text = extraction.main_text
+    assert text('<article><h1>T</h1><section id="discussion"><h2>D</h2><p>One</p></section><h2 id="related-work">Related work</h2><p>Two</p></article>') == "T\n\nD\n\nOne\n\nRelated work\n\nTwo"
+    assert text('<div id="search-results"><h1>Found</h1><p>This</p></div><div class="other">x</div>') == "Found\n\nThis\n\nx"
+    assert text('<div class="comments-open"><article><p>Story</p></article></div>') == "Story"
+    assert text('<article><p class="ad">Prose</p><div class="ad">Buy</div><ol class="comment-list"><li>Nice</li></ol></article>') == "Prose"
+    # With a style tree a name makes a fixed branch noise at a higher importance.
+    rows = [(i, "http://h.example/", f"<body><article><p>Story {i} is told</p><section class=newsletter><p>Get our letter, number {i}.</p></section></article></body>") for i in range(12)]
+    assert {r.text for r in extraction.extract(spark.createDataFrame(rows, PAGES)).collect()} == {f"Story {i} is told" for i in range(12)}
+
+
 def test_fixed_branches_go_however_short_the_story(spark):
     label = "Get our letter. " * 13
     page = lambda i: f"<body><div class=zq>{label}</div><div class=st>Here is story {i}</div><div class=yy>Seen in <p>town {i}</p></div></body>"

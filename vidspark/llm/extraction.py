@@ -15,8 +15,13 @@ from pyspark.sql import types as T
 
 from ._common import bound_batches, fresh, written
 
-#: Branches under this importance (0 to 1) are noise.
+#: Branches under this importance (0 to 1) are noise; those whose names speak against them, under the second.
 MIN_IMPORTANCE = 0.3
+MIN_NAMED_IMPORTANCE = 0.6
+#: How much of a node's importance each of its styles hands on to what is below it.
+GAMMA = 0.9
+#: Levels of a style tree; what lies deeper counts for its ancestor there.
+LEVELS = 24
 
 # Elements of HTML by their part in a page.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -27,6 +32,7 @@ BLOCK = {
     "td", "tfoot", "th", "thead", "tr", "ul",
 }
 NEVER = {"head", "nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "option", "object", "canvas", "audio", "video", "map", "search", "fieldset"} | RAW
+HELD = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"}
 PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "li", "pre"}
 CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th"},
@@ -38,20 +44,22 @@ NOISE_NAMES = {
     "gdpr", "login", "masthead", "menu", "menus", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "privacy", "promo", "promoted", "promotion", "recommended", "related", "replies", "reply", "respond", "search", "share",
     "sharing", "sidebar", "sidebars", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "widget", "widgets",
 }
-STRONG_NAMES = {"ad", "ads", "advert", "advertisement", "comment", "comments", "commentlist", "disqus", "related", "respond"}
+STRONG_NAMES = {"ad", "ads", "advert", "advertisement", "comment", "comments", "commentlist", "disqus", "sponsored"}
+CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "details", "center", "ins", "figure"}
 NOISE_ROLES = {"alert", "alertdialog", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search", "toolbar"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_MARKS = re.compile(r"[|·•©;!?()\[\]\"“”]+|[.,:]+(?=\s|$)")
 
 
 @dataclass
 class Node:
     """An element. label names it in the style tree: its tag, id and classes, digits left out.
 
-    noise: 2 by its tag or role, or a name that is never around an article; 1 by another name; else 0. main:
-    whether it is in an article or main element.
+    noise: 3 by its tag or role, 2 if it is a container with a name of adverts or reader comments, 1 by another name, else 0. main:
+    whether it is in an article or main element. held: whether it has a heading or paragraph in it.
     """
 
     tag: str
@@ -60,13 +68,22 @@ class Node:
     main: bool
     parent: Node | None = None
     children: list[Node | str] = field(default_factory=list)
+    held: bool = False
 
     def path(self) -> str:
+        """Labels of the block elements from the root to this one, LEVELS at most."""
         node, out = self, []
         while node is not None:
-            out.append(node.label)
+            if node.tag in BLOCK:
+                out.append(node.label)
             node = node.parent
-        return ">".join(reversed(out))
+        return ">".join(out[: -LEVELS - 1 : -1])
+
+    def named(self) -> bool:
+        node = self
+        while node is not None and not node.noise:
+            node = node.parent
+        return node is not None
 
 
 def _node(tag: str, attributes: str, parent: Node | None) -> Node:
@@ -84,12 +101,18 @@ def _node(tag: str, attributes: str, parent: Node | None) -> Node:
     main = parent is not None and (parent.main or _is_main(parent))
     words = {w.lower() for n in names for w in _WORD.findall(n)}
     noise = 0
-    if tag in NEVER or role in NOISE_ROLES or hidden or (tag == "header" and not main) or (words & STRONG_NAMES and tag not in ("html", "body", "main")):
+    if tag in NEVER or role in NOISE_ROLES or hidden or (tag == "header" and not main):
+        noise = 3
+    elif words & STRONG_NAMES and tag in CONTAINERS:
         noise = 2
     elif words & NOISE_NAMES and tag not in ("html", "body", "main", "article") or "header" in words and tag not in ("html", "body") and not main:
         noise = 1
-    label = re.sub(r"\d+", "#", ".".join([tag, *sorted({n.lower() for n in names})]))
-    return Node(tag, label, noise, main or role == "main", parent)
+    label = re.sub(r"\d+|>", "#", ".".join([tag, *sorted({n.lower() for n in names})]))
+    out = Node(tag, label, noise, main or role == "main", parent)
+    if tag in HELD:
+        while parent is not None and not parent.held:
+            parent.held, parent = True, parent.parent
+    return out
 
 
 def _is_main(node: Node) -> bool:
@@ -146,19 +169,29 @@ def parse(page: str) -> Node:
     return root
 
 
-def blocks(root: Node) -> list[tuple[Node, str]]:
-    """The text blocks of a tree in page order, each with the block element that holds it; references decoded, white space single."""
+def blocks(root: Node, below: dict[int, tuple[Node, list[str]]] | None = None) -> list[tuple[Node, str]]:
+    """The text blocks of a tree in page order, each with the block element that holds it; references decoded, white space single.
+
+    below, if given, takes each block element by its identity, with the labels of what is directly in it, "#text" for its own blocks.
+    """
     out: list[tuple[Node, str]] = []
     held: list[str] = []
 
+    def opened(node: Node) -> None:
+        if below is not None:
+            below[id(node)] = node, []
+
     def flush(owner: Node) -> None:
         text = " ".join(html.unescape("".join(held)).split())
         held.clear()
         if text:
             out.append((owner, text))
+            if below is not None:
+                below[id(owner)][1].append("#text")
 
     stack: list[tuple[Node, int]] = [(root, 0)]
     owners = [root]
+    opened(root)
     while stack:
         node, k = stack.pop()
         if k < len(node.children):
@@ -173,7 +206,10 @@ def blocks(root: Node) -> list[tuple[Node, str]]:
             else:
                 if child.tag in BLOCK:
                     flush(owners[-1])
+                    if below is not None:
+                        below[id(owners[-1])][1].append(child.label)
                     owners.append(child)
+                    opened(child)
                 stack.append((child, 0))
         elif node.tag in BLOCK:
             flush(owners[-1])
@@ -183,13 +219,16 @@ def blocks(root: Node) -> list[tuple[Node, str]]:
     return out
 
 
-def _noisy(node: Node | None, least: int = 1) -> bool:
-    """Whether it or what holds it is noise; around an article or main element a mere name does not count."""
+def _noisy(node: Node | None, names: bool = True) -> bool:
+    """Whether it or what holds it is noise by tag, role or name.
+
+    A mere name counts outside of article and main elements only, and only for what has no heading or paragraph in it; no name counts around an article or main element.
+    """
+    around = False
     while node is not None:
-        if node.noise >= least:
+        if node.noise == 3 or names and not around and (node.noise == 2 or node.noise == 1 and not node.main and not node.held):
             return True
-        if _is_main(node) and not node.main:
-            least = 2
+        around |= _is_main(node) and not node.main
         node = node.parent
     return False
 
@@ -198,21 +237,23 @@ def main_text(page: str, noise_paths: set[str] | None = None) -> str:
     """The main text of a page. noise_paths: branches of its host that the style tree holds to be noise.
 
     Elements that are menus, headers, footers, sidebars, notices, adverts, forms, comments or not text at all by their
-    tag, role or names go first (names that would leave nothing are disregarded). If the page has an article or main element with text, the rest outside goes. Then
-    go the blocks whose own path is noise, of an article those within it but not its plain headings and paragraphs outside other noise, unless
-    nothing would be left. Each path is judged by its own blocks over the host, however much of a page it holds, so
-    what differs between pages stays below a fixed label.
+    tag, role or names go first, as ``_noisy`` says (names that would leave nothing are disregarded). If the page has an article or main
+    element with text, the rest outside goes. Then go the branches that are noise, within an article except its plain
+    headings and paragraphs outside other noise, unless nothing would be left. Each branch is judged over the host,
+    however much of a page it holds, so what differs between pages stays below a fixed label.
     """
     found = blocks(parse(page))
-    every = [(n, t) for n, t in found if not _noisy(n)] or [(n, t) for n, t in found if not _noisy(n, 2)]
+    every = [(n, t) for n, t in found if not _noisy(n)] or [(n, t) for n, t in found if not _noisy(n, False)]
     inner = [(n, t) for n, t in every if n.main or _is_main(n)]
     kept = inner or every
     if noise_paths:
 
         def fixed(node: Node) -> bool:
-            inside = node.main or _is_main(node)
-            if inside and not node.main or node.path() not in noise_paths:
+            inside, path = node.main or _is_main(node), node.path()
+            if inside and not node.main or path not in noise_paths and f"{path}>#text" not in noise_paths:
                 return False
+            if inside and path not in noise_paths and not (node.tag in PROSE and "." not in node.label):
+                return True
             while inside and node.main and (node.tag in PROSE and "." not in node.label or node.path() not in noise_paths):
                 node = node.parent
             return not inside or node.main
@@ -221,24 +262,25 @@ def main_text(page: str, noise_paths: set[str] | None = None) -> str:
     return "\n\n".join(t for _, t in kept)
 
 
-def tree_features(page: str) -> list[tuple[str, str, int]]:
-    """What a page adds to its host's style tree: (path, kind, hash) for every element path.
+def tree_features(page: str) -> list[tuple[str, str, int, float, bool]]:
+    """What a page adds to its host's style tree: (path, kind, hash, share, named), each once.
 
-    ``style``: the sequence of child elements at the path; ``text``: each block of text at the path.
+    ``node``: the page has the path. ``style``: the labels in an element at the path, in order. ``edge``: what share of the
+    labels of such a style the path takes in its parent. ``text``: a piece of text, between marks, of a block at the path; texts have paths of their own.
     """
-    out: set[tuple[str, str, int]] = set()
-    root = parse(page)
-    for node, text in blocks(root):
-        if node.tag != "head":
-            out.add((node.path(), "text", xxhash.xxh3_64_intdigest(text.encode()) - 2**63))
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        below = [c for c in node.children if isinstance(c, Node)]
-        if node.tag in BLOCK and node.tag != "head":
-            style = ",".join(c.label for c in below if c.tag in BLOCK)
-            out.add((node.path(), "style", xxhash.xxh3_64_intdigest(style.encode()) - 2**63))
-        stack += below
+    below: dict[int, tuple[Node, list[str]]] = {}
+    out: set[tuple[str, str, int, float, bool]] = set()
+    digest = lambda text: xxhash.xxh3_64_intdigest(text.encode()) - 2**63
+    for node, text in blocks(parse(page), below):
+        path = node.path() + ">#text"
+        out.add((path, "node", 0, 0.0, node.named()))
+        out.update((path, "text", digest(piece), 0.0, False) for piece in map(str.strip, _MARKS.split(text)) if piece)
+    for node, labels in below.values():
+        path, style = node.path(), digest(">".join(labels))
+        out.add((path, "node", 0, 0.0, node.named()))
+        out.add((path, "style", style, 0.0, False))
+        last = path.count(">") + 1 == LEVELS
+        out.update((f"{path}>{label}", "edge", style, labels.count(label) / len(labels), False) for label in set(labels) if not last or label == "#text")
     return sorted(out)
 
 
@@ -246,19 +288,15 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
-def noise_branches(pages: DataFrame, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
-    """host and its low-importance paths, from the style trees of all pages of each host.
+_FEATURES = "host string, page long, path string, kind string, what long, share double, named boolean"
 
-    Trees of one host are merged by path. With m different pages (by html) that have a path, its presentation
-    importance is the entropy of its child sequences, and its content importance is one minus the mean entropy of
-    its text blocks over the pages, both to base m: a block on one page counts 1, a block on all pages 0. A path
-    with text weighs content by the share of pages that have text there, the rest by presentation. Few pages
-    may agree by chance: of what is left to 1, importance gets 2^(1-m) in addition, so that with the usual threshold two pages
-    are too few and on three a path must be all but the same. All of it are counts by (host, path), so a large host is no large group; only
-    the low paths of a host come together.
-    """
+
+def _features(pages: DataFrame) -> DataFrame:
+    """What all pages add to the style trees of their hosts, once for each different page (by html)."""
     bound_batches(pages.sparkSession)
-    pages = pages.select(host_of(F.col("url")).alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    pages = pages.select(host_of(F.col("url").cast("string")).alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    names = [x.split()[0] for x in _FEATURES.split(", ")]
+    kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.bool_())
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,24 +310,64 @@ def noise_branches(pages: DataFrame, min_importance: float = MIN_IMPORTANCE) ->
             yield made(rows)
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["host", "page", "path", "kind", "what"])
-
-    every = pages.mapInArrow(features, "host string, page long, path string, kind string, what long").distinct()
-    counts = every.groupBy("host", "path", "kind", "what").agg(F.count("*").alias("n"))
-    paths = counts.groupBy("host", "path").agg(
-        F.sum(F.when(F.col("kind") == "style", F.col("n"))).alias("m"),
-        F.sum(F.when(F.col("kind") == "style", F.col("n") * F.ln("n"))).alias("style"),
-        F.sum(F.when(F.col("kind") == "text", F.ln("n"))).alias("text"),
-        F.count(F.when(F.col("kind") == "text", 1)).alias("blocks"),
-        F.sum(F.when(F.col("kind") == "text", F.col("n"))).alias("texts"),
-    ).filter(F.col("m") > 1)
-    presentation = F.ln("m") - F.col("style") / F.col("m")
-    content = 1 - F.col("text") / F.col("blocks") / F.ln("m")
-    spread = F.least(F.lit(1.0), F.coalesce(F.col("texts"), F.lit(0)) / F.col("m"))
-    importance = spread * F.coalesce(content, F.lit(0.0)) + (1 - spread) * presentation / F.ln("m")
-    low = paths.withColumn("importance", importance + (1 - importance) * F.pow(F.lit(2.0), 1 - F.col("m"))).filter((F.col("blocks") > 0) & (F.col("importance") < min_importance))
-    return low.groupBy("host").agg(F.collect_list("path").alias("paths"))
+        columns = list(zip(*rows, strict=True)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return pages.mapInArrow(features, _FEATURES).distinct()
+
+
+def _prefixes() -> Column:
+    """at: the path and all paths that it lies in."""
+    parts = F.split("path", ">")
+    return F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), ">"))).alias("at")
+
+
+def branch_importance(pages: DataFrame, gamma: float = GAMMA) -> DataFrame:
+    """host, path, importance, m, named of every path of the style trees of all hosts; paths of text end in ``#text``.
+
+    Trees of one host are merged by path. With m different pages that have a path, the presentation importance of an element is
+    the entropy of its styles to base m; the content importance of its text is one minus the mean entropy of
+    its pieces over the pages, to base m and weighted by the pages that hold them: a piece on one page counts 1, one on all pages 0. Both are 1 if m is 1. An element with l styles has the
+    importance (1 - gamma^l) x its presentation + gamma^l x that of what is in it, each by its mean share of a style.
+
+    That is linear in all that is below, so it takes no walk of the trees: the weight of a path in an ancestor is the
+    product of the shares between them, taken from sums of their logarithms, and an importance is a sum by (host, ancestor). Of a
+    host nothing comes together but by partial sums.
+    """
+    counts = _features(pages).groupBy("host", "path", "kind", "what").agg(F.count("*").alias("n"), F.max("share").alias("share"), F.max("named").alias("named"))
+    only = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value))
+    n = F.col("n")
+    nodes = counts.groupBy("host", "path").agg(
+        only("node", n).alias("m"), only("style", n).alias("elements"), only("style", n * F.ln("n")).alias("repeats"), only("style", F.lit(1)).alias("styles"),
+        only("edge", n * F.col("share")).alias("part"), only("text", n * F.ln("n")).alias("shared"), only("text", n).alias("pieces"), F.max("named").alias("named"),
+    )
+    nodes = written(nodes.filter(F.col("m").isNotNull()).withColumn("up", F.regexp_replace("path", ">[^>]*$", "")), "nodes")
+    base = F.ln(F.greatest("m", F.lit(2)))
+    presentation = F.least(F.lit(1.0), (F.ln("elements") - F.col("repeats") / F.col("elements")) / base)
+    content = F.when(F.col("m") == 1, 1.0).otherwise(1 - F.coalesce(F.col("shared") / F.col("pieces"), F.lit(0.0)) / base)
+    kept = F.pow(F.lit(gamma), F.col("styles"))
+    own = F.when(F.col("elements").isNull(), content).otherwise((1 - kept) * F.when(F.col("m") == 1, 1.0).otherwise(presentation))
+    above = nodes.select("host", F.col("path").alias("up"), (F.col("styles") * F.ln(F.lit(gamma)) - F.ln("elements")).alias("handed"))
+    steps = nodes.join(above, ["host", "up"], "left").select("host", "path", "m", "named", own.alias("own"), F.when(F.col("up") == F.col("path"), 0.0).otherwise(F.ln("part") + F.col("handed")).alias("step"))
+    steps = written(steps, "steps")
+    depths = steps.select("host", "path", _prefixes()).join(steps.select("host", F.col("path").alias("at"), "step"), ["host", "at"]).groupBy("host", "path").agg(F.sum("step").alias("depth"))
+    placed = written(steps.drop("step").join(depths, ["host", "path"]), "placed")
+    tops = placed.select("host", F.col("path").alias("at"), F.col("depth").alias("top"))
+    weighed = placed.select("host", "path", "own", "depth", _prefixes()).join(tops, ["host", "at"]).groupBy("host", F.col("at").alias("path")).agg(F.sum(F.col("own") * F.exp(F.col("depth") - F.col("top"))).alias("importance"))
+    return placed.select("host", "path", "m", "named").join(weighed, ["host", "path"])
+
+
+def noise_branches(pages: DataFrame, min_importance: float = MIN_IMPORTANCE, min_named: float = MIN_NAMED_IMPORTANCE) -> DataFrame:
+    """host and its noise branches, from the style trees of all pages of each host: paths (texts' too) under which nothing has the least importance, they themselves neither.
+
+    The least is ``min_named`` for a branch that is, or lies in, one whose tag, role or names speak against it, else ``min_importance``. Few pages
+    may agree by chance: of what is left to 1, importance gets 2^(1-m) in addition, so that with the usual threshold two pages
+    are too few and on three a branch must be all but the same. Only the noise branches of a host come together.
+    """
+    rows = branch_importance(pages).withColumn("importance", F.col("importance") + (1 - F.col("importance")) * F.pow(F.lit(2.0), 1 - F.col("m")))
+    most = rows.select("host", "path", "importance", "named", _prefixes()).groupBy("host", "at").agg(F.max("importance").alias("most"), F.max(F.when(F.col("path") == F.col("at"), F.col("named"))).alias("named"))
+    low = most.filter(F.col("most") < F.when(F.col("named"), min_named).otherwise(min_importance))
+    return low.groupBy("host").agg(F.collect_list("at").alias("paths"))
 
 
 def extract(pages: DataFrame, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
