@@ -132,6 +132,27 @@ def brute_contamination(docs, items, n):
     return out
 
 
+def brute_longest(text, items, window):
+    """Length and first place of the longest stretch of a text that an item holds, of those with a window."""
+    best = (0, None)
+    for at in range(len(text)):
+        for item in items:
+            for j in range(len(item)):
+                n = 0
+                while at + n < len(text) and j + n < len(item) and text[at + n] == item[j + n]:
+                    n += 1
+                if n >= min(window, len(item)) > 0 and n > best[0]:
+                    best = (n, at)
+    return best
+
+
+def test_longest_match_follows_every_item():
+    block = decontam.block_of(["A", "B"], ["w0 w1 w2 w3 w4 w5 w6 w7 w8 w9 x", "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9 y z"], 10)
+    hashes, bounds = word_hashes(*decontam.text_buffers(decontam.pa.array(["w0 w1 w2 w3 w4 w5 w6 w7 w8 w9 y z"])))
+    found = decontam.search(hashes, bounds, block)[0]
+    assert (found.longest, found.longest_at, found.items) == (12, 0, {"A", "B"})
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("ab"), max_size=14).map(" ".join), min_size=1, max_size=5), st.lists(st.lists(st.sampled_from("abc"), max_size=9).map(" ".join), min_size=1, max_size=4), st.integers(1, 6), st.integers(1, 12))
 def test_suffix_arrays_equal_brute_force(docs, items, window, shard):
@@ -149,9 +170,7 @@ def test_suffix_arrays_equal_brute_force(docs, items, window, shard):
         assert sum(b - a for a, b in got.ranges) if got else n_hit == 0
         if got:
             assert sum(b - a for a, b in got.ranges) == n_hit and sorted(got.items) == names
-            text, at = words(docs[i]), got.longest_at
-            run = text[at : at + got.longest]
-            assert any(run == words(x)[j : j + len(run)] for x in items for j in range(len(words(x))))
+            assert (got.longest, got.longest_at) == brute_longest(words(docs[i]), [words(x) for x in items], window)
 
 
 def test_suffix_array_of_more_words_than_21_bits():

@@ -17,8 +17,10 @@ from ._words import word_hashes
 WINDOW = 10
 #: Words of training text in one suffix array; a longer document has one of its own.
 SHARD_WORDS = 1 << 20
-#: Bytes of benchmark text that one pass over the documents looks for.
+#: Bytes of benchmark text in one block.
 BLOCK_BYTES = 16 << 20
+#: Places in documents and items that are compared at a time.
+PAIRS = 1 << 19
 
 
 class SuffixArray:
@@ -115,21 +117,28 @@ class SuffixArray:
 
 @dataclass
 class Block:
-    """Some benchmark items: their words, and the different windows with the items that hold them."""
+    """Some benchmark items: their words, the different windows with the items that hold them, and every place of a window.
+
+    Places of window k are those from places[k] to places[k + 1]: its first word (at), and the words of its item (begins, ends).
+    """
 
     words: np.ndarray
     starts: np.ndarray
     lengths: np.ndarray
-    stops: np.ndarray
     items: list[np.ndarray]
     names: list[str | None]
+    places: np.ndarray
+    at: np.ndarray
+    begins: np.ndarray
+    ends: np.ndarray
 
 
 def block_of(item_ids: list, texts: list[str | None], window: int) -> Block:
     raw, offsets = text_buffers(pa.array(texts, pa.string()))
     words, bounds = word_hashes(raw, offsets)
     where: dict[bytes, int] = {}
-    starts, lengths, stops, items = [], [], [], []
+    starts, lengths, items = [], [], []
+    places: list[tuple[int, int, int, int]] = []
     for item, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
         n = min(window, b - a)
         for start in range(a, b - n + 1) if n else ():
@@ -137,11 +146,14 @@ def block_of(item_ids: list, texts: list[str | None], window: int) -> Block:
             if k == len(starts):
                 starts.append(start)
                 lengths.append(n)
-                stops.append(b)
                 items.append({item})
             else:
                 items[k].add(item)
-    return Block(words, np.array(starts, np.int64), np.array(lengths, np.int64), np.array(stops, np.int64), [np.array(sorted(x)) for x in items], [None if x is None else str(x) for x in item_ids])
+            places.append((k, start, a, b))
+    kind, at, begins, ends = np.array(sorted(places), np.int64).reshape(-1, 4).T
+    return Block(
+        words, np.array(starts, np.int64), np.array(lengths, np.int64), [np.array(sorted(x)) for x in items], [None if x is None else str(x) for x in item_ids], np.searchsorted(kind, np.arange(len(starts) + 1)), at, begins, ends
+    )
 
 
 @dataclass
@@ -154,11 +166,42 @@ class Found:
     longest_at: int | None = None
 
 
-def search(words: np.ndarray, bounds: np.ndarray, block: Block) -> dict[int, Found]:
-    """What each document of a shard has of the block's windows; every test suffix is looked up."""
+def _longest(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, kind: np.ndarray, block: Block) -> np.ndarray:
+    """How far each occurrence (at, kind) goes on as some item does, over every place of its window, PAIRS at a time.
+
+    An occurrence and place whose words before agree too are part of a longer match that begins earlier, and not followed.
+    """
+    out = block.lengths[kind].copy()
+    counts = block.places[kind + 1] - block.places[kind]
+    upto = np.cumsum(counts)
+    i = 0
+    while i < len(at):
+        to = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + PAIRS, "right")))
+        own = np.repeat(np.arange(i, to), counts[i:to])
+        place = np.arange(len(own)) - np.repeat(np.cumsum(counts[i:to]) - counts[i:to], counts[i:to]) + block.places[kind[own]]
+        p, q = at[own], block.at[place]
+        before = (p > starts[own]) & (q > block.begins[place])
+        before[before] = words[p[before] - 1] == block.words[q[before] - 1]
+        own, place = own[~before], place[~before]
+        match = block.lengths[kind[own]].copy()
+        live = np.arange(len(own))
+        while len(live):
+            p, q = at[own[live]] + match[live], block.at[place[live]] + match[live]
+            inside = (p < ends[own[live]]) & (q < block.ends[place[live]])
+            live, p, q = live[inside], p[inside], q[inside]
+            live = live[words[p] == block.words[q]]
+            match[live] += 1
+        np.maximum.at(out, own, match)
+        i = to
+    return out
+
+
+def search(words: np.ndarray, bounds: np.ndarray, block: Block, array: SuffixArray | None = None) -> dict[int, Found]:
+    """What each document of a shard has of the block's windows; every test suffix is looked up. array: the shard's, if it is there already."""
     if not len(words) or not len(block.starts):
         return {}
-    array = SuffixArray(words, bounds, int(block.lengths.max()))
+    if array is None:
+        array = SuffixArray(words, bounds, int(block.lengths.max()))
     low, high = array.find(block.words, block.starts, block.lengths)
     found: dict[int, Found] = {}
     got = np.flatnonzero(high > low)
@@ -168,30 +211,39 @@ def search(words: np.ndarray, bounds: np.ndarray, block: Block) -> dict[int, Fou
     kind = np.repeat(got, sizes)
     at = array.order[np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low[got], sizes)]
     doc = np.searchsorted(bounds, at, "right") - 1
-    # How far each occurrence goes on as its item does: the longest verbatim match of that test suffix.
-    match, live = block.lengths[kind].copy(), np.arange(len(kind))
-    while len(live):
-        p, q = at[live] + match[live], block.starts[kind[live]] + match[live]
-        inside = (p < array.ends[at[live]]) & (q < block.stops[kind[live]])
-        live, p, q = live[inside], p[inside], q[inside]
-        live = live[words[p] == block.words[q]]
-        match[live] += 1
     order = np.lexsort((at, doc))
-    kind, at, doc, match = kind[order], at[order], doc[order], match[order]
+    kind, at, doc = kind[order], at[order], doc[order]
+    match = _longest(words, bounds[doc], bounds[doc + 1], at, kind, block)
     cuts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(doc)], strict=True):
         base, ranges = int(bounds[doc[a]]), []
         for start, length in zip((at[a:b] - base).tolist(), block.lengths[kind[a:b]].tolist(), strict=True):
-            if ranges and start <= ranges[-1][1]:
-                ranges[-1] = ranges[-1][0], max(ranges[-1][1], start + length)
-            else:
-                ranges.append((start, start + length))
+            ranges.append((start, start + length))
         names = {block.names[i] for k in np.unique(kind[a:b]).tolist() for i in block.items[k].tolist()} - {None}
         best = a + int(np.argmax(match[a:b]))
-        found[int(doc[a])] = Found(ranges, names, int(match[best]), int(at[best]) - base)
+        found[int(doc[a])] = Found(_joined(ranges), names, int(match[best]), int(at[best]) - base)
     return found
 
 
+def _joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted ranges, with those that meet made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in ranges:
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+def _both(one: Found | None, other: Found) -> Found:
+    """What two blocks found in a document."""
+    if one is None:
+        return other
+    longest = min((-x.longest, x.longest_at) for x in (one, other))
+    return Found(_joined(sorted([*one.ranges, *other.ranges])), one.items | other.items, -longest[0], longest[1])
+
+
 def shards(bounds: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     at, n = 0, len(bounds) - 1
     while at < n:
@@ -204,41 +256,6 @@ _FIELDS = (("n_words", T.LongType()), ("hit_ranges", T.ArrayType(T.LongType())),
 _TYPES = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.int64(), pa.int64())
 
 
-def _pass(docs: DataFrame, block: Block, first: bool, shard_words: int) -> DataFrame:
-    """One look at all documents for one block; later passes add to what earlier ones found."""
-    names = [c for c in docs.columns if c not in dict(_FIELDS)]
-    at = names.index("text")
-
-    def merged(old: tuple | None, new: Found | None) -> tuple:
-        ranges, items, longest, where = old or ([], [], 0, None)
-        if new:
-            flat = iter(ranges)
-            joined: list[list[int]] = []
-            for a, b in sorted([*zip(flat, flat, strict=True), *new.ranges]):
-                if joined and a <= joined[-1][1]:
-                    joined[-1][1] = max(joined[-1][1], b)
-                else:
-                    joined.append([a, b])
-            ranges, items = [x for pair in joined for x in pair], sorted({*items, *new.items})
-            if new.longest > longest:
-                longest, where = new.longest, new.longest_at
-        return ranges, items, longest, where
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches, at, 8 * shard_words):
-            words, bounds = word_hashes(*text_buffers(batch.column(at)))
-            found: dict[int, Found] = {}
-            for a, b in shards(bounds, shard_words):
-                found |= {a + k: v for k, v in search(words[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], block).items()}
-            old = [None] * batch.num_rows if first else list(zip(*(batch.column(n).to_pylist() for n, _ in _FIELDS[1:]), strict=True))
-            rows = list(zip(*(merged(old[i], found.get(i)) for i in range(batch.num_rows)), strict=True)) or [()] * 4
-            new = [np.diff(bounds), *rows]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array(x, k) for x, k in zip(new, _TYPES, strict=True))], [*names, *(n for n, _ in _FIELDS)])
-        give_back_memory()
-
-    return docs.mapInArrow(scan, with_fields(docs.select(*names), *_FIELDS))
-
-
 def gathered(batches: Iterator[pa.RecordBatch], at: int, most: int) -> Iterator[pa.RecordBatch]:
     """Batches joined until their texts have about ``most`` bytes, so that a shard is worth its search."""
     held, size = [], 0
@@ -253,7 +270,7 @@ def gathered(batches: Iterator[pa.RecordBatch], at: int, most: int) -> Iterator[
 
 
 def blocks(benchmark: DataFrame, most: int, window: int) -> Iterator[Block]:
-    """The stated query set, read block by block; the driver holds one block's text at a time."""
+    """The stated query set, read block by block."""
     ids, texts, size = [], [], 0
     for row in benchmark.select("item_id", F.col("text").cast("string")).toLocalIterator():
         ids.append(row[0])
@@ -277,7 +294,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     window) and longest_at (its first word).
 
     Each task builds suffix arrays over shards of its own documents, so no document moves. The
-    benchmark is a stated query set: it is read in blocks of ``block_bytes``, one pass for each.
+    benchmark is a stated query set: it is read and sent out in blocks of ``block_bytes``, each a broadcast of its own, which a task
+    looks for one after the other in each of its shards; so the driver holds one block at a time and the plan does not grow.
 
     Null and empty texts have no words. Repeated rows are judged each for itself; items of one id are
     one item; an item without id contaminates but is not listed. An empty benchmark hits nothing. An
@@ -288,8 +306,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     docs = docs.drop(*new)
     keep = docs.columns
     docs = docs.withColumn("text", F.col("text").cast("string"))
-    for k, block in enumerate(blocks(benchmark, block_bytes, window)):
-        docs = _pass(docs, block, k == 0, shard_words)
+    sent = [docs.sparkSession.sparkContext.broadcast(block) for block in blocks(benchmark, block_bytes, window)]
+    at = keep.index("text")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in gathered(batches, at, 8 * shard_words):
+            words, bounds = word_hashes(*text_buffers(batch.column(at)))
+            found: dict[int, Found] = {}
+            for a, b in shards(bounds, shard_words):
+                own, ends = words[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
+                array = SuffixArray(own, ends, window) if len(own) else None
+                for block in sent:
+                    for k, new in search(own, ends, block.value, array).items():
+                        found[a + k] = _both(found.get(a + k), new)
+            nothing = Found([], set())
+            each = [found.get(i, nothing) for i in range(batch.num_rows)]
+            new = [np.diff(bounds), [[x for pair in f.ranges for x in pair] for f in each], [sorted(f.items) for f in each], [f.longest for f in each], [f.longest_at for f in each]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, k) for x, k in zip(new, _TYPES, strict=True))], [*keep, *(n for n, _ in _FIELDS)])
+        give_back_memory()
+
+    docs = docs.mapInArrow(scan, with_fields(docs, *_FIELDS))
     hit = F.aggregate("hit_ranges", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("sign")), lambda s, x: F.struct((s.n + s.sign * x).alias("n"), (-s.sign).alias("sign")), lambda s: s.n)
     docs = docs.withColumn("n_hit", hit)
     return docs.select(
