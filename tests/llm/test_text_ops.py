@@ -201,11 +201,25 @@ def test_line_rules(spark):
     assert got[1].kept_sha256 == hashlib.sha256(b"own 1").hexdigest()
 
 
-def test_lines_with_tiny_filters_are_the_same(spark, monkeypatch):
+@pytest.mark.parametrize("changed", [{"RANGE_LINES": 100}, {"BITS_A_LINE": 1}, {"MOST_BYTES": 8}, {"FULL": 1.0}])
+def test_lines_with_other_filters_are_the_same(spark, monkeypatch, changed):
     docs = read_table(spark, SF, "documents")
     a = sorted((r.doc_id, r.kept_sha256) for r in lines.dedup_lines(docs).collect())
-    monkeypatch.setattr(lines, "MOST_BITS", 1 << 10)
-    assert a == sorted((r.doc_id, r.kept_sha256) for r in lines.dedup_lines(docs).collect())
+    for name, value in changed.items():
+        monkeypatch.setattr(lines, name, value)
+    assert a == sorted((r.doc_id, r.kept_sha256) for r in lines.dedup_lines(docs.repartition(7)).collect())
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_filters_have_all_that_is_twice_in_each_range(spark, monkeypatch, parts):
+    monkeypatch.setattr(lines, "RANGE_LINES", 300)
+    texts = [f"line of text with number {i % 2000 if i % 4 else i}\nand another, whose number is {i}" for i in range(4000)]
+    keys = Counter(k for t in texts for k in {x for x in lines.line_keys(t.encode(), 20) if x})
+    twice = lines.twice_seen(spark.createDataFrame([(t,) for t in texts], "text string").repartition(parts), 2 * len(texts))
+    ranges = -(-2 * len(texts) // 300)
+    held = dict(zip(keys, lines._suspected([lines._hash(k) for k in keys], twice, ranges).tolist(), strict=True))
+    assert len(twice) == ranges and all(held[k] for k, n in keys.items() if n > 1)
+    assert sum(held[k] for k, n in keys.items() if n == 1) < 0.06 * sum(n == 1 for n in keys.values())
 
 
 def test_spans_keep_the_first(spark):

@@ -8,22 +8,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bound_batches, fresh, id_key, texts_of, written
+from ._common import bound_batches, fresh, id_key, mix, texts_of, written
 
 WHITE = b" \t\n\x0b\x0c\r"
 MIN_CHARS = 20
 MIN_DOCS = 3
-#: A filter has about so many bits a line, and so many at most (32 MB); a fuller one only suspects more lines.
-BITS_A_LINE = 8
-MOST_BITS = 1 << 28
-#: Filters travel in parts of so many bytes; one task merges so many of a part at a time.
-PART_BYTES = 1 << 18
-FAN_IN = 16
+#: Filters have about so many bits a line. One task fills those of one key range, of RANGE_LINES lines or so.
+BITS_A_LINE = 16
+RANGE_LINES = 1 << 24
+#: The twice-seen filter of a range is halved while at most this part of its bits is set,
+FULL = 0.05
+#: and all of them together are sent out up to so many bytes.
+MOST_BYTES = 64 << 20
 
 
 def line_keys(text: bytes, min_chars: int) -> list[bytes | None]:
@@ -40,10 +40,9 @@ def _hash(key: bytes) -> bytes:
     return xxhash.xxh3_128_digest(key)
 
 
-def _bits(hashes: list[bytes], bits: int) -> np.ndarray:
-    """Two bits of the filter for each hash."""
-    words = np.frombuffer(b"".join(hashes), np.uint64).reshape(-1, 2)
-    return (words & np.uint64(bits - 1)).astype(np.int64)
+def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Two bits of a filter for each 64-bit hash; its top bits say its range."""
+    return np.stack([hashes & np.uint64(bits - 1), mix(hashes) & np.uint64(bits - 1)], axis=1).astype(np.int64)
 
 
 def _set(filled: np.ndarray, at: np.ndarray) -> None:
@@ -59,61 +58,84 @@ def _distinct(text: bytes, min_chars: int) -> list[bytes]:
     return [_hash(x) for x in {x for x in line_keys(text, min_chars) if x is not None}]
 
 
-def twice_seen(docs: DataFrame, bits: int, min_chars: int = MIN_CHARS) -> bytes:
-    """The filter of hashes that two documents or more hold (and a few others).
+def _range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
-    Each task fills a once-seen and a twice-seen filter over its documents; filters are merged part by
-    part, FAN_IN at a time: what both have seen once has been seen twice.
+
+def _firsts(hashes: list[bytes]) -> np.ndarray:
+    """The first 64 bits of 128-bit hashes."""
+    return np.frombuffer(b"".join(hashes), "<u8")[::2]
+
+
+def _halved(filled: np.ndarray) -> np.ndarray:
+    """A filter folded on itself while few of its bits are set; a place is then taken modulo its new size."""
+    while len(filled) > 8 and int(np.bitwise_count(filled).sum()) <= FULL * 4 * len(filled):
+        filled = filled[: len(filled) // 2] | filled[len(filled) // 2 :]
+    return filled
+
+
+def twice_seen(docs: DataFrame, lines: int, min_chars: int = MIN_CHARS) -> dict[int, np.ndarray] | None:
+    """By key range, the filter of hashes that two documents or more hold (and a few others); None if they have more than MOST_BYTES.
+
+    The keys are split into ranges by their first bits. 8 bytes of each line's hash go to the range's task, twice at most from each
+    batch of documents. It fills a once-seen filter; what that has already goes into the twice-seen filter. So there is one of each
+    for a range, however many tasks read the documents, and the memory of a task does not grow with the corpus.
     """
-    part_bytes = min(PART_BYTES, bits // 8)
+    ranges = max(1, -(-lines // RANGE_LINES))
+    bits = 1 << max(10, (BITS_A_LINE * -(-lines // ranges) - 1).bit_length())
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice, any_line = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8), False
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = [x for text in texts_of(batch.column(0)) for x in _distinct(text, min_chars)]
-            if not hashes:
-                continue
-            any_line = True
-            words, counts = np.unique(np.frombuffer(b"".join(hashes), "V16"), return_counts=True)
-            at = _bits([words.tobytes()], bits)
-            _set(twice, at[(counts > 1) | _has(once, at)])
-            _set(once, at)
-        if any_line:
-            pid = TaskContext.get().partitionId()
-            for k in range(0, bits // 8, part_bytes):
-                if (a := once[k : k + part_bytes]).any():
-                    yield pa.RecordBatch.from_arrays([pa.array([k // part_bytes]), pa.array([pid], pa.int64()), pa.array([a.tobytes()]), pa.array([twice[k : k + part_bytes].tobytes()])], ["part", "pid", "once", "twice"])
-
-    def merge(table: pa.Table) -> pa.Table:
-        once, twice = np.zeros(part_bytes, np.uint8), np.zeros(part_bytes, np.uint8)
-        for a, b in zip(table.column("once"), table.column("twice"), strict=True):
-            a, b = np.frombuffer(a.as_py(), np.uint8), np.frombuffer(b.as_py(), np.uint8)
-            twice |= b | (once & a)
-            once |= a
-        return pa.table({"part": table.column("part")[:1], "pid": table.column("pid")[:1], "once": [once.tobytes()], "twice": [twice.tobytes()]})
-
-    schema = "part long, pid long, once binary, twice binary"
-    filters, tasks = docs.mapInArrow(fill, schema), docs.rdd.getNumPartitions()
-    while tasks > 1:
-        filters = filters.withColumn("pid", F.floor(F.col("pid") / FAN_IN)).groupBy("part", "pid").applyInArrow(merge, schema)
-        tasks = -(-tasks // FAN_IN)
-    out = np.zeros(bits // 8, np.uint8)
-    for row in filters.select("part", "twice").toLocalIterator():  # bits / 8 bytes in all
-        out[row.part * part_bytes : (row.part + 1) * part_bytes] = np.frombuffer(row.twice, np.uint8)
-    return out.tobytes()
+            if hashes:
+                words, counts = np.unique(_firsts(hashes), return_counts=True)
+                words = np.repeat(words, np.minimum(counts, 2))
+                cuts = np.searchsorted(_range_of(words, ranges), np.arange(ranges + 1))
+                rows = [(k, words[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["range", "hashes"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, twice, own = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8), None
+        for batch in batches:
+            for own, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words, counts = np.unique(np.frombuffer(data.as_buffer(), "<u8"), return_counts=True)
+                at = _places(words, bits)
+                _set(twice, at[(counts > 1) | _has(once, at)])
+                _set(once, at)
+        if own is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([_halved(twice).tobytes()], pa.binary())], ["range", "twice"])
+
+    filters = docs.mapInArrow(hashed, "range int, hashes binary").repartitionById(ranges, F.col("range")).mapInArrow(fill, "range int, twice binary")
+    filters = written(filters, "filters")
+    if (filters.agg(F.sum(F.octet_length("twice"))).first()[0] or 0) > MOST_BYTES:
+        return None
+    return {r.range: np.frombuffer(r.twice, np.uint8) for r in filters.toLocalIterator()}  # MOST_BYTES at most
+
+
+def _suspected(hashes: list[bytes], twice: dict[int, np.ndarray], ranges: int) -> np.ndarray:
+    words = _firsts(hashes)
+    out, where = np.zeros(len(words), bool), _range_of(words, ranges)
+    for k in np.unique(where).tolist():
+        if k in twice:
+            own = where == k
+            out[own] = _has(twice[k], _places(words[own], 8 * len(twice[k])))
+    return out
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """_id and hash of each document's lines that go: found in ``min_docs`` documents, and not in the keeper."""
+    """_id and hash of each document's lines that go: found in ``min_docs`` documents, and not in the keeper.
+
+    Lines that the filters of ``twice_seen`` do not have are in one document only. Beyond MOST_BYTES of filters every line is a suspect.
+    """
     spark = docs.sparkSession
     bound_batches(spark)
     docs = docs.select(id_key("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
     lines = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0
-    bits = min(MOST_BITS, 1 << max(16, (BITS_A_LINE * lines - 1).bit_length()))
-    seen = spark.sparkContext.broadcast(twice_seen(docs.select("text"), bits, min_chars))
+    ranges, twice = max(1, -(-lines // RANGE_LINES)), twice_seen(docs.select("text"), lines, min_chars)
+    seen = spark.sparkContext.broadcast(twice)
 
     def suspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice = np.frombuffer(seen.value, np.uint8)
+        twice = seen.value
         for batch in batches:
             ids, hashes = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
@@ -121,8 +143,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
                 ids += [doc_id] * len(own)
                 hashes += own
             if hashes:
-                keep = _has(twice, _bits(hashes, bits))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).filter(pa.array(keep)), pa.array(hashes, pa.binary()).filter(pa.array(keep))], ["_id", "hash"])
+                keep = pa.array(_suspected(hashes, twice, ranges) if twice is not None else np.ones(len(hashes), bool))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).filter(keep), pa.array(hashes, pa.binary()).filter(keep)], ["_id", "hash"])
 
     suspects = written(docs.mapInArrow(suspect, "_id long, hash binary"), "suspects")
     confirmed = suspects.groupBy("hash").agg(F.countDistinct("_id").alias("n"), F.max("_id").alias("keeper")).filter(F.col("n") >= min_docs).select("hash", "keeper")
