@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import id_key, written
@@ -10,7 +10,7 @@ from ._common import id_key, written
 SHARDS = 8
 ROUNDS = 4
 #: Rows of a shard that one bucket has at most, about.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 16_384
 #: Followers of one node that want into a shard count as a crowd from this part of a shard on.
 CROWD = 16
 
@@ -89,19 +89,17 @@ def propagate(nodes: DataFrame, edges: DataFrame, shards: int = SHARDS, rounds:
 def level(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Final shard and slot of rows (shard or null, and an order key ``node``), counts at most one apart.
 
-    Rows are numbered within shards by hash buckets, whose counts alone come together. Rows without shard, and those
-    beyond a shard's share, then fill the other shards' open slots in order.
+    Rows are numbered within shards by hash buckets of about BUCKET_ROWS, whose counts are summed up by Spark; the driver sees the
+    shards' counts. Rows without shard, and those beyond a shard's share, then fill the other shards' open slots in order. Rows that are
+    equal in node and doc_id are interchangeable. No rows give no rows.
     """
-    total = rows.count()
-    n = max(64, -(-total // BUCKET_ROWS))
-    rows = rows.withColumn("_lane", F.coalesce("shard", F.lit(shards))).withColumn("_bucket", F.pmod(F.xxhash64("node", "doc_id"), F.lit(n)).cast("int"))
-    counts: dict[tuple[int, int], int] = {(r._lane, r._bucket): r["count"] for r in rows.groupBy("_lane", "_bucket").count().collect()}  # one for 50,000 rows
-    lanes, before = [0] * (shards + 1), []
-    for lane in range(shards + 1):
-        for bucket in range(n):
-            if (lane, bucket) in counts:
-                before.append(Row(_lane=lane, _bucket=bucket, _before=lanes[lane]))
-                lanes[lane] += counts[lane, bucket]
+    rows = rows.withColumn("_lane", F.coalesce("shard", F.lit(shards)))
+    held = {r._lane: r["count"] for r in rows.groupBy("_lane").count().collect()}  # one row a shard, and one
+    lanes = [held.get(lane, 0) for lane in range(shards + 1)]
+    total = sum(lanes)
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("node", "doc_id"), _case(F.col("_lane"), [max(1, -(-n // BUCKET_ROWS)) for n in lanes])))
+    upto = F.sum("count").over(Window.partitionBy("_lane").orderBy("_bucket"))
+    starts = rows.groupBy("_lane", "_bucket").count().select("_lane", "_bucket", (upto - F.col("count")).alias("_before"))
     share = [total // shards + (s < total % shards) for s in range(shards)]
     over = [max(0, lanes[s] - share[s]) for s in range(shards)]
     # Position in the pool of a lane's first row beyond its share, and the pool positions that each shard takes.
@@ -111,8 +109,6 @@ def level(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
         open_slots = max(0, share[s] - lanes[s])
         takes.append((at, at + open_slots, s, min(lanes[s], share[s])))
         at += open_slots
-    spark = rows.sparkSession
-    starts = spark.createDataFrame(before, "_lane int, _bucket int, _before long")
     numbered = rows.join(starts, ["_lane", "_bucket"]).withColumn("_at", F.expr("_before + row_number() over (partition by _lane, _bucket order by node, doc_id) - 1"))
     stays = (F.col("_lane") < shards) & (F.col("_at") < _case(F.col("_lane"), [*share, 0]))
     numbered = numbered.withColumn("_pool", F.col("_at") + _case(F.col("_lane"), pool))
