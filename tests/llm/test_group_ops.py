@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tests.conftest import SF, same_rows
@@ -105,6 +107,10 @@ def test_minhash_odd_rows(spark):
     kept = minhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS))
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "4", "5", "6", "8", "None", "None"]
     assert minhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
+    shared = [(1, "some words of a text that is here twice", "en"), (9, "some words of a text that is here twice", "en"), (9, "and what only this row of that id has to say", "en"), (9, "and what only this row of that id has to say", "de")]
+    kept = minhash.drop_near_duplicates(spark.createDataFrame(shared, DOCS).withColumn("_id", F.lit(1)))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, shared[0][1]), (9, shared[2][1])]
+    assert minhash.drop_near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
 def test_runs():
@@ -127,7 +133,7 @@ def test_chunked_framing_round_trip():
     for n in (0, 1, 8192, 8193, 50_000):
         payload = bytes(rng.randrange(256) for _ in range(n)) + b"WARC/1.1\r\n" * 3
         assert warc.unchunked(warc.chunked(payload)) == payload
-        assert b"WARC/1.1\r\n" not in warc.chunked(payload)
+        assert warc.MARK not in warc.chunked(payload)
     assert warc.unchunked(b"3;x=1\r\nabc\r\n0\r\nTrailer: 1\r\n\r\n") == b"abc"
     with pytest.raises(ValueError):
         warc.unchunked(b"3\r\nabcd\r\n0\r\n\r\n")
@@ -160,6 +166,16 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_archives_of_older_versions_are_read(spark, tmp_path):
+    record = lambda version, i, body: f"WARC/{version}\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:{i}>\r\nWARC-Target-URI: http://a/{i}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+    message = lambda text: b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + text
+    (tmp_path / "a.warc").write_bytes(b"".join(record("1.0", i, message(b"<p>WARC/1.0 page %d\r\n\r\n" % i)) for i in range(5)))
+    (tmp_path / "b.warc").write_bytes(record("1.0", 8, message(b"")) + record("1.1", 9, message(b"new")))
+    read = {r.record_id: r for r in warc.read_warc(spark, str(tmp_path / "*.warc")).collect()}
+    assert len(read) == 7 and not any(r.error for r in read.values())
+    assert bytes(read["<urn:3>"].payload) == b"<p>WARC/1.0 page 3\r\n\r\n" and bytes(read["<urn:9>"].payload) == b"new"
+
+
 def test_warc_equals_sql(spark):
     same_rows(queries.op4_warc(spark, SF), queries.OP4_SQL)
 
@@ -318,6 +334,100 @@ def test_shards_of_the_table(spark):
     assert max(map(len, groups.values())) == 1
 
 
+def signed_hash(*values):
+    """Spark's xxhash64 of longs (ints as ("i", x)) and strings."""
+    seed = 42
+    for v in values:
+        data = v.encode() if isinstance(v, str) else struct.pack("<i", v[1]) if isinstance(v, tuple) else struct.pack("<q", v)
+        seed = xxhash.xxh64_intdigest(data, seed)
+    return seed - 2**64 if seed >= 2**63 else seed
+
+
+def brute_shards(rows, shards, rounds, bucket_rows):
+    """(doc_id, text) to (shard, slot) one step after the other, in plain Python."""
+    texts = [hashlib.md5(t.encode()).hexdigest() if t is not None else None for _, t in rows]
+    nodes = [signed_hash(i, *([m] if m else [])) for (i, _), m in zip(rows, texts, strict=True)]
+    by_text = {}
+    for node, m in zip(nodes, texts, strict=True):
+        if m:
+            by_text.setdefault(m, []).append(node)
+    weight, around = Counter(), {}
+    for members in by_text.values():
+        if len(members) > 1:
+            weight.update(members)
+            for node in members:
+                around.setdefault(node, set())
+                if node != min(members):
+                    around[node].add(min(members))
+                    around.setdefault(min(members), set()).add(node)
+    around = {n: x for n, x in around.items() if x}
+    leader = {}
+    for n, near in around.items():
+        top = max(near, key=lambda b: (len(around[b]), -b))
+        leader[n] = top if (len(around[top]), -top) > (len(near), -n) else None
+    shard = {n: signed_hash(n) % shards for n in around}
+    capacity = -(-len(rows) // shards)
+    for turn in range(rounds):
+        asks = {}
+        for n, near in around.items():
+            if (leader[n] is not None) == (turn % 2 == 0):
+                counts = Counter(shard[b] for b in near)
+                to = max(counts, key=lambda k: (counts[k], -k))
+                if counts[to] > counts[shard[n]]:
+                    asks[n] = to
+        asked_by, load, asked = Counter(), [0] * shards, [[[0] * shards for _ in range(shards)] for _ in range(2)]
+        for n, to in asks.items():
+            asked_by[to, leader[n] if leader[n] is not None else n] += weight[n]
+        crowd = {n: int(asked_by[to, leader[n] if leader[n] is not None else n] > max(1, capacity // sharding.CROWD)) for n, to in asks.items()}
+        for n in around:
+            load[shard[n]] += weight[n]
+        for n, to in asks.items():
+            asked[crowd[n]][shard[n]][to] += weight[n]
+        parts = sharding._accepted(asked, [max(0, capacity - w) for w in load])
+        moves = {n: to for n, to in asks.items() if signed_hash(n, ("i", turn)) % (1 << 30) / float(1 << 30) < parts[crowd[n]][shard[n]][to]}
+        shard |= moves
+    lanes = {}
+    for k, ((i, _), node) in enumerate(zip(rows, nodes, strict=True)):
+        lanes.setdefault(shard.get(node, shards), []).append((node, i, k))
+    share = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+    out, pools = {}, {shards: [], **{s: [] for s in range(shards)}}
+    for lane, members in lanes.items():
+        n = max(1, -(-len(members) // bucket_rows))
+        members.sort(key=lambda x: (signed_hash(x[0], x[1]) % n, x[0], x[1]))
+        for at, (_, _, k) in enumerate(members):
+            if lane < shards and at < share[lane]:
+                out[k] = lane, at
+            else:
+                pools[lane].append(k)
+    waiting = iter([*pools[shards], *(k for s in range(shards) for k in pools[s])])
+    for s in range(shards):
+        for slot in range(min(len(lanes.get(s, [])), share[s]), share[s]):
+            out[next(waiting)] = s, slot
+    return [out[k] for k in range(len(rows))]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_shards_equal_brute_force(spark, monkeypatch, seed):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 20)
+    rng = random.Random(seed)
+    rows = [(i, rng.choice([None, "hot", f"group {rng.randrange(30)}", f"group {rng.randrange(30)}", f"alone {i}", f"alone {i}"])) for i in range(500)]
+    got = {r.doc_id: (r.shard, r.slot) for r in sharding.shard_documents(spark.createDataFrame([(i, t, "en") for i, t in rows], DOCS), shards=4).collect()}
+    assert [got[i] for i, _ in rows] == brute_shards(rows, 4, sharding.ROUNDS, 20)
+
+
+def test_quotas_keep_sizes():
+    rng = random.Random(3)
+    for _ in range(200):
+        n = rng.randrange(2, 6)
+        asked = [[[0 if s == t else rng.randrange(20) for t in range(n)] for s in range(n)] for _ in range(2)]
+        room = [rng.randrange(15) for _ in range(n)]
+        parts = sharding._accepted(asked, room)
+        moved = lambda s, t: sum(parts[k][s][t] * asked[k][s][t] for k in range(2))
+        assert all(-1e-9 <= parts[k][s][t] <= 1 + 1e-9 for k in range(2) for s in range(n) for t in range(n))
+        for t in range(n):
+            assert sum(moved(s, t) - min(moved(s, t), moved(t, s)) for s in range(n)) <= room[t] + 1e-6
+
+
 def test_shards_with_a_hot_group_and_odd_rows(spark):
     rows = [(i, "hot", "en") for i in range(400)] + [(1000 + i, f"pair {i // 2}", "en") for i in range(300)] + [(2000 + i, f"alone {i}", "en") for i in range(500)]
     rows += [(None, "hot", "en"), (None, None, None), (1, "hot", "en"), (5000, "", "en"), (5001, "", "en"), (5002, None, "en")]

@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Stands for a null document id inside an operator; ids below it do not occur.
-NULL_ID = -(2**63)
+#: Stands for a null document id inside an operator; where rows without id are told apart, they have numbers from it to NULL_END.
+#: Real ids below do not occur.
+NULL_ID, NULL_END = -(2**63), -(2**62)
 BATCH_BYTES = "16m"
 
 
@@ -128,5 +129,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def identity() -> tuple[Column, Column]:
+    """What tells rows (doc_id, text) apart: the doc_id, or for a row without one a number below NULL_END made of its text; and a hash of the text."""
+    text = F.col("text").cast("string")
+    nameless = F.lit(NULL_ID) + F.pmod(F.xxhash64(text), F.lit(NULL_END - NULL_ID))
+    return F.coalesce(F.col("doc_id").cast("long"), nameless), F.hash(text)
+
+
 def id_key(column: Column | str) -> Column:
     return F.coalesce((F.col(column) if isinstance(column, str) else column).cast("long"), F.lit(NULL_ID))

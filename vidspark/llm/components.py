@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from ._common import written
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node and label (the least node of its component) for every node of ``edges`` (a, b).
 
     Every round a node takes the least label around it and then that label's own label, so that chains
-    halve. A node's neighbours meet only in partial minima, never as a list. Self-loops are allowed; an
+    halve. Labels only fall, so the rounds come to an end, when none has. A node's neighbours meet only in partial minima, never as a list. Self-loops are allowed; an
     edge with a null end is left out.
     """
     edges = edges.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
-    for _ in range(most_rounds):
+    while True:
         around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         least = labels.join(around, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
@@ -26,4 +26,3 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         labels = moved.select("node", "label")
         if moved.filter(F.col("label") != F.col("was")).isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

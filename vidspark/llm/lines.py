@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bound_batches, fresh, id_key, mix, texts_of, written
+from ._common import bound_batches, fresh, identity, mix, texts_of, written
 
 WHITE = b" \t\n\x0b\x0c\r"
 MIN_CHARS = 20
@@ -123,13 +123,13 @@ def _suspected(hashes: list[bytes], twice: dict[int, np.ndarray], ranges: int) -
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """_id and hash of each document's lines that go: found in ``min_docs`` documents, and not in the keeper.
+    """_id and _own (see ``identity``) and hash of each row's lines that go: found in ``min_docs`` documents, and not in the keeper.
 
     Lines that the filters of ``twice_seen`` do not have are in one document only. Beyond MOST_BYTES of filters every line is a suspect.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    docs = docs.select(id_key("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(*[c.alias(n) for c, n in zip(identity(), ("_id", "_own"), strict=True)], F.col("text").cast("string").alias("text"))
     lines = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0
     ranges, twice = max(1, -(-lines // RANGE_LINES)), twice_seen(docs.select("text"), lines, min_chars)
     seen = spark.sparkContext.broadcast(twice)
@@ -137,19 +137,20 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     def suspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = seen.value
         for batch in batches:
-            ids, hashes = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
+            at, hashes = [], []
+            for i, text in enumerate(texts_of(batch.column(2))):
                 own = _distinct(text, min_chars)
-                ids += [doc_id] * len(own)
+                at += [i] * len(own)
                 hashes += own
             if hashes:
                 keep = pa.array(_suspected(hashes, twice, ranges) if twice is not None else np.ones(len(hashes), bool))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).filter(keep), pa.array(hashes, pa.binary()).filter(keep)], ["_id", "hash"])
+                rows = pa.array(at, pa.int64()).filter(keep)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(hashes, pa.binary()).filter(keep)], ["_id", "_own", "hash"])
 
-    suspects = written(docs.mapInArrow(suspect, "_id long, hash binary"), "suspects")
+    suspects = written(docs.mapInArrow(suspect, "_id long, _own int, hash binary"), "suspects")
     confirmed = suspects.groupBy("hash").agg(F.countDistinct("_id").alias("n"), F.max("_id").alias("keeper")).filter(F.col("n") >= min_docs).select("hash", "keeper")
     # A table between the sums and the join, so that adaptive execution can split the join's hot hashes.
-    return suspects.join(written(confirmed, "confirmed"), "hash").filter(F.col("_id") != F.col("keeper")).select("_id", "hash")
+    return suspects.join(written(confirmed, "confirmed"), "hash").filter(F.col("_id") != F.col("keeper")).select("_id", "_own", "hash")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -161,15 +162,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     by line ends.
 
     Null and empty texts are one empty line; a null text stays null. Rows of one doc_id are one
-    document, as are all rows without doc_id, which are never keepers beside others. A line that a
+    document; rows without doc_id come before all ids, so they are never keepers beside others, and each different text of
+    theirs is a document. A line that a
     document repeats stays or goes with all its copies. Empty tables stay empty. Columns named as the
     new ones are replaced, all others are kept.
     """
     new = ("n_lines", "n_dropped", "kept_sha256")
     docs = docs.drop(*new)
-    own = fresh("_id", docs.columns)
-    gone = repeated_lines(docs, min_chars, min_docs).groupBy(F.col("_id").alias(own)).agg(F.collect_set("hash").alias(fresh("_gone", docs.columns)))
-    both = docs.withColumn(own, id_key("doc_id")).join(gone, own, "left").select(*docs.columns, gone.columns[-1])
+    keys, drops = [fresh(c, docs.columns) for c in ("_id", "_own")], fresh("_gone", docs.columns)
+    gone = repeated_lines(docs, min_chars, min_docs).groupBy("_id", "_own").agg(F.collect_set("hash").alias(drops)).toDF(*keys, drops)
+    both = docs.withColumns(dict(zip(keys, identity(), strict=True))).join(gone, keys, "left").select(*docs.columns, drops)
     at, names = docs.columns.index("text"), docs.columns
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bound_batches, give_back_memory, mix, text_buffers, written
+from ._common import bound_batches, fresh, give_back_memory, mix, text_buffers, written
 from ._words import runs, word_hashes
 from .components import components
 
@@ -90,20 +90,20 @@ def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, shingle: int, k: int, rows: int) -> DataFrame:
-    """id, key and band keys of each text. The key is 128 bits of the words in order, or of a text without words.
+    """id, own, key and band keys of each text. The key is 128 bits of the words in order, or of a text without words.
 
     A text that the batch holds twice is signed once.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, bounds = word_hashes(*text_buffers(batch.column(1)))
+            words, bounds = word_hashes(*text_buffers(batch.column(2)))
             keys: list[bytes | None] = []
             first: dict[bytes, int] = {}
             slots, elements, weights = [], [], []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 if a == b:
-                    text = batch.column(1)[len(keys)].as_py()
+                    text = batch.column(2)[len(keys)].as_py()
                     keys.append(None if text is None else xxhash.xxh3_128_digest(b"\0" + text.encode()))
                     slots.append(None)
                     continue
@@ -128,10 +128,10 @@ def _signed(docs: DataFrame, shingle: int, k: int, rows: int) -> DataFrame:
                 at = to
             bands = np.concatenate(parts) if parts else np.zeros((0, k // rows), np.int64)
             lists = [None if s is None else bands[s] for s in slots]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["id", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["id", "own", "key", "bands"])
         give_back_memory()
 
-    return docs.mapInArrow(sign, "id long, key binary, bands array<long>")
+    return docs.mapInArrow(sign, "id long, own int, key binary, bands array<long>")
 
 
 def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -280,9 +280,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     the class of their copies, else a null one, and are kept. Rows of one doc_id are one document. An empty
     table stays empty; other columns are not read.
     """
+    return _classes(docs, shingle, similarity, k, rows, bucket).drop("own")
+
+
+def _classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, k: int = COORDINATES, rows: int = BAND_ROWS, bucket: int = BUCKET) -> DataFrame:
+    """What ``near_duplicates`` gives, and own, a hash of the text."""
     bound_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    signed = written(_signed(docs, shingle, k, rows), "signed")
+    text = F.col("text").cast("string")
+    signed_docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.hash(text).alias("own"), text.alias("text"))
+    docs = signed_docs.drop("own")
+    signed = written(_signed(signed_docs, shingle, k, rows), "signed")
     named = signed.filter(F.col("key").isNotNull())
     nodes = written(named.groupBy("key").agg(F.min("id").alias("node"), F.first("bands").alias("bands")), "nodes")
     buckets = written(nodes.filter(F.col("node").isNotNull()).select("node", F.explode("bands").alias("bucket")), "buckets")
@@ -308,15 +315,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
             edges = edges.union(new)
             labels = components(edges)
     classes = written(_labelled(nodes.select("key", "node"), labels).select("key", F.col("label").alias("class_id")), "classes")
-    out = written(named.select("id", "key").join(classes, "key").select("id", "class_id").union(signed.filter(F.col("key").isNull()).select("id", F.col("id").alias("class_id"))), "rows")
+    out = written(named.select("id", "own", "key").join(classes, "key").select("id", "own", "class_id").union(signed.filter(F.col("key").isNull()).select("id", "own", F.col("id").alias("class_id"))), "rows")
     sizes = written(out.filter(F.col("class_id").isNotNull()).groupBy("class_id").agg(F.count("*").alias("class_size")), "sizes")
     return out.join(sizes, "class_id", "left").select(
-        F.col("id").alias("doc_id"), "class_id", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("is_kept")
+        F.col("id").alias("doc_id"), "own", "class_id", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("is_kept")
     )
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each class; rows without doc_id all stay. See ``near_duplicates``."""
-    kept = near_duplicates(docs, similarity=similarity).filter(F.col("is_kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """``docs`` with one document of each class, the one of the least doc_id; rows without doc_id all stay. See ``near_duplicates``.
+
+    Of rows that share an id each is judged by its own text, and one of those that are equal in both stays. Null texts stay. An empty table stays empty.
+    """
+    keys = [fresh(c, docs.columns) for c in ("_id", "_own")]
+    kept = _classes(docs, similarity=similarity).filter(F.col("is_kept") & F.col("doc_id").isNotNull()).select("doc_id", "own").distinct().toDF(*keys)
+    named = docs.withColumns({keys[0]: F.col("doc_id").cast("long"), keys[1]: F.hash(F.col("text").cast("string"))})
+    one = named.join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys)
     return one.unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -55,7 +55,13 @@ class WordIds(TextIds):
     """
 
     PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#%&()*+,\-./:;=?@\[\]^{}~]{0,4})")
-    PROBE = "Ab, cd. EF'S it's x1y,2 ÉÀß.,. Öl ÿ <|endoftext|>a\nq  \t(z)\n\n"
+    #: Texts whose ids must be those of the library: marks, contractions, digits, accents and their parts, case that changes length, other scripts, white
+    #: and control characters, words of any length, unknown symbols and strings of special tokens.
+    PROBES = (
+        "Ab, cd. EF'S it's x1y,2 ÉÀß.,. Öl ÿ <|endoftext|>a\nq  \t(z)\n\n", "", " ", "\n", "a", "A" * 300, "ab" * 60 + ", " + "Zz" * 120 + "!?", "e\u0301 E\u0301 n\u0303o ǅ İi ıI ẞ ß ﬁ Σας", "漢字かな 한글 ไทย עברית العربية हिन्दी",
+        "1 12 123 1234 12345 3.14 1,000 2nd x2 4x v1.2.3", "a\u00a0b c\u2003d e\u200bf g\x00h i\x1cj k\x85l m\u2028n", "(a) [b] {c} a-b a_b a/b a\\b a@b.c #d $5 50% ^ ~ `q` \"r\" '' --- ... !!! ?!", "😀 👩\u200d👩\u200d👧 ♥ → € ™ ½", "[CLS] [UNK] <s> </s> [PAD] ##ing",
+        "The THE the tHe; Über ÜBER über. Ça, çA? Ñandú:", "don't DON'T I'm we'll o'clock 'quoted' rock'n'roll", "\ta\n\nb\r\nc\x0bd\x0ce",
+    )
 
     def __init__(self, path: str):
         super().__init__(path)
@@ -66,7 +72,7 @@ class WordIds(TextIds):
     def fits(self) -> bool:
         """Whether this tokenizer is of the kind."""
         odd = any(x.lstrip or x.rstrip or " " in x.content or "\n" in x.content for x in self.tokenizer.get_added_tokens_decoder().values())
-        return not odd and self([self.PROBE]) == super().__call__([self.PROBE])
+        return not odd and self(list(self.PROBES)) == super().__call__(list(self.PROBES))
 
     def forget(self) -> None:
         self.parts, self.stems, self.marks = {"": b""}, {}, {"": b""}

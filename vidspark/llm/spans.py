@@ -9,11 +9,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import NULL_ID, bound_batches, fresh, give_back_memory, sliced, text_buffers, written
+from ._common import NULL_END, NULL_ID, bound_batches, fresh, give_back_memory, identity, sliced, text_buffers, written
 from ._words import word_hashes
 
 MIN_SENTENCES = 2
@@ -21,9 +21,6 @@ MIN_WORDS = 20
 #: A sentence with so many spaces or more is long: its clauses count as sentences.
 LONG_SENTENCE = 12
 
-#: Rows without doc_id have numbers from NULL_ID to here; ids below it do not occur.
-NULL_END = -(2**62)
-
 #: A sentence ends after marks and white space, or at line ends.
 _END = re.compile(rb"[.!?][\"')\]]*[ \t\r]+|\n+")
 #: A clause ends after these marks and white space.
@@ -83,15 +80,8 @@ def _sentences(batch_text: pa.Array) -> Iterator[tuple[bytes, list[int], np.ndar
         yield data[offsets[k] : offsets[k + 1]], own, words[at[a] : at[b]], counts[a:b]
 
 
-def _identity() -> tuple[Column, Column]:
-    """What tells rows (doc_id, text) apart: the doc_id, or for a row without one a number below NULL_END made of its text, and a hash of the text."""
-    text = F.col("text").cast("string")
-    nameless = F.lit(NULL_ID) + F.pmod(F.xxhash64(text), F.lit(NULL_END - NULL_ID))
-    return F.coalesce(F.col("doc_id").cast("long"), nameless), F.hash(text)
-
-
 def repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """_id and _own of rows (see ``_identity``), the sentences (start, end) of every run that is not the first of its kind, and the _id of the first.
+    """_id and _own of rows (see ``identity``), the sentences (start, end) of every run that is not the first of its kind, and the _id of the first.
 
     First is the least _id, then the least sentence. Runs are grouped by their hash with partial minima and counts; hot
     runs are joined back under adaptive execution, so none meets in one task. The texts are cut into runs twice, for the
@@ -119,7 +109,7 @@ def repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_word
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["_id", "_own", "hash", "more", "start", "end", "again"])
 
-    every = docs.select(*_identity(), F.col("text").cast("string")).mapInArrow(spans, "_id long, _own int, hash long, more int, start int, end int, again boolean")
+    every = docs.select(*identity(), F.col("text").cast("string")).mapInArrow(spans, "_id long, _own int, hash long, more int, start int, end int, again boolean")
     firsts = every.groupBy("hash", "more").agg(F.count("*").alias("n"), F.min("_id").alias("first"))
     firsts = written(firsts.filter(F.col("n") > 1).select("hash", "more", "first"), "firsts")
     again = every.join(firsts, ["hash", "more"]).filter((F.col("_id") != F.col("first")) | F.col("again"))
@@ -149,7 +139,7 @@ def dedup_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words:
     gone = repeated_spans(docs, min_sentences, min_words)
     keys, runs = [fresh(c, names) for c in ("_id", "_own")], fresh("_gone", names)
     gone = gone.groupBy("_id", "_own").agg(F.collect_set(F.struct("start", "end", "first")).alias(runs)).toDF(*keys, runs)
-    both = docs.withColumns(dict(zip(keys, _identity(), strict=True))).join(gone, keys, "left").select(*names, runs)
+    both = docs.withColumns(dict(zip(keys, identity(), strict=True))).join(gone, keys, "left").select(*names, runs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, at):

@@ -18,6 +18,9 @@ PIECE_CHARS = 1 << 16
 #: An encoder call gets about so many bytes of text.
 CALL_BYTES = 1 << 19
 
+#: A text that has as many tokens whole as in pieces, if the tokenizer lets texts be cut: letters, digits, marks, other scripts and white space around its places.
+PROBE = "The quick  brown fox jumps over 13 lazy dogs, it's 2 x4 yards. A b c 1 2 34 567 end\n x y\t z Q'S don t É a ß b 漢字 c d <|endoftext|> e f g"
+
 _SAFE = re.compile(r"(?<=[A-Za-z0-9])(?= [A-Za-z0-9])")
 _loaded: dict[str, object] = {}
 
@@ -37,6 +40,7 @@ class Lengths:
             added = tokenizer.get_added_tokens_decoder().values()
             self.splits = not any(x.lstrip or x.rstrip or " " in x.content for x in added)
             self._batch = lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            self.splits &= self._batch([PROBE]) == [sum(self._batch(safe_pieces(PROBE, 1)))]
         elif path.endswith(".model"):
             import sentencepiece
 
@@ -65,12 +69,13 @@ class Lengths:
         for i, text in enumerate(texts):
             for k, piece in enumerate(safe_pieces(text, PIECE_CHARS) if self.splits else [text]):
                 piece = piece[self.skip :] if k else piece
-                if pieces and size + len(piece) > CALL_BYTES:
+                n_bytes = len(piece.encode())
+                if pieces and size + n_bytes > CALL_BYTES:
                     encode()
                     pieces, owners, size = [], [], 0
                 pieces.append(piece)
                 owners.append(i)
-                size += len(piece)
+                size += n_bytes
         if pieces:
             encode()
         return counts

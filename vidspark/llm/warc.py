@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ._common import bound_batches, scratch_path, written
 
-VERSION = b"WARC/1.1\r\n"
+#: What archives are written with; those of any version that begins with MARK are read.
+VERSION, MARK = b"WARC/1.1\r\n", b"WARC/1."
 END = "\r\n\r\n"
 MIN_REVISIT = 1000
 SEGMENT_BYTES = 1 << 15
@@ -33,11 +34,11 @@ def _digest_field(hex_digest: str) -> str:
 
 
 def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
-    """Chunked transfer framing. No chunk holds the line that begins a record, so readers may split there."""
+    """Chunked transfer framing. No chunk holds what begins a record, so readers may split there."""
     out, at = [], 0
     while at < len(payload):
         to = min(at + size, len(payload))
-        found = payload.find(VERSION, at, to + len(VERSION) - 1)
+        found = payload.find(MARK, at, to + len(MARK) - 1)
         if found >= 0:
             to = min(to, found + 4)
         out.append(b"%x\r\n%s\r\n" % (to - at, payload[at:to]))
@@ -120,7 +121,7 @@ def write_warc(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, segm
 
 
 def parse_record(data: bytes) -> tuple:
-    """Fields of RECORD from what follows a version line; error tells what is wrong with it."""
+    """Fields of RECORD from a record, its first line with or without MARK; error tells what is wrong with it."""
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n"))}
     number = lambda name: int(fields[name]) if fields.get(name, "").lstrip("-").isdigit() else None
@@ -141,12 +142,12 @@ def parse_record(data: bytes) -> tuple:
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """The records of all WARC files under ``path`` (plain or .gz), segments still apart.
 
-    Files are read as streams that are split at version lines, by Spark's own reader. A payload that
-    itself holds such a line outside of chunked framing would be split too; its record then has an error, as
+    Files are read as streams that are split where an empty line and a version (1.0, 1.1) follow a record, by Spark's own reader.
+    A payload that itself holds that outside of chunked framing would be split too; its record then has an error, as
     has any whose block is not as long as it says.
     """
     bound_batches(spark)
-    raw = spark.read.option("lineSep", VERSION.decode()).text(path).select(F.col("value").cast("binary").alias("value"))
+    raw = spark.read.option("lineSep", END + MARK.decode()).text(path).select(F.col("value").cast("binary").alias("value"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
