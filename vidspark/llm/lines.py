@@ -19,7 +19,7 @@ MIN_CHARS = 20
 MIN_DOCS = 3
 #: Filters have about so many bits a line. One task fills those of one key range, of RANGE_LINES lines or so.
 BITS_A_LINE = 16
-RANGE_LINES = 1 << 24
+RANGE_LINES = 1 << 21
 #: The twice-seen filter of a range is halved while at most this part of its bits is set,
 FULL = 0.05
 #: and all of them together are sent out up to so many bytes.
