@@ -281,7 +281,7 @@ def test_names_alone_leave_article_text(spark):
     assert text('<div class="comments-open"><article><p>Story</p></article></div>') == "Story"
     assert text('<article><p class="ad">Prose</p><div class="ad">Buy</div><ol class="comment-list"><li>Nice</li></ol></article>') == "Prose"
     # With a style tree a name makes a fixed branch noise at a higher importance.
-    rows = [(i, "http://h.example/", f"<body><article><p>Story {i} is told</p><section class=newsletter><p>Get our letter, number {i}.</p></section></article></body>") for i in range(12)]
+    rows = [(i, "http://h.example/", f"<body><article><p>Story {i} is told</p><section class=newsletter><p>Get our letter. It is number {i}.</p></section></article></body>") for i in range(12)]
     assert {r.text for r in extraction.extract(spark.createDataFrame(rows, PAGES)).collect()} == {f"Story {i} is told" for i in range(12)}
 
 

@@ -51,7 +51,7 @@ NOISE_ROLES = {"alert", "alertdialog", "banner", "complementary", "contentinfo",
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_MARKS = re.compile(r"[|·•©;!?()\[\]\"“”]+|[.,:]+(?=\s|$)")
+_MARKS = re.compile(r"[|·•©]+|[.!?;]+(?=\s|$)")
 
 
 @dataclass
@@ -288,22 +288,21 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
-_FEATURES = "host string, page long, path string, kind string, what long, share double, named boolean"
+_FEATURES = "host string, path string, kind string, what long, share double, named boolean"
 
 
 def _features(pages: DataFrame) -> DataFrame:
-    """What all pages add to the style trees of their hosts, once for each different page (by html)."""
+    """What all different pages add to the style trees of their hosts."""
     bound_batches(pages.sparkSession)
-    pages = pages.select(host_of(F.col("url").cast("string")).alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    pages = pages.select(host_of(F.col("url").cast("string")).alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).distinct()
     names = [x.split()[0] for x in _FEATURES.split(", ")]
-    kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.bool_())
+    kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.bool_())
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = xxhash.xxh3_64_intdigest(page.encode()) - 2**63
-                rows += [(host, own, *x) for x in tree_features(page)]
+                rows += [(host, *x) for x in tree_features(page)]
                 if len(rows) > 100_000:
                     yield made(rows)
                     rows = []
@@ -313,7 +312,7 @@ def _features(pages: DataFrame) -> DataFrame:
         columns = list(zip(*rows, strict=True)) or [()] * len(names)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return pages.mapInArrow(features, _FEATURES).distinct()
+    return pages.mapInArrow(features, _FEATURES)
 
 
 def _prefixes() -> Column:
