@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bound_batches, fresh, written
+from ._common import bound_batches, fresh, texts_of, written
 
 #: Branches under this importance (0 to 1) are noise; those whose names speak against them, under the second.
 MIN_IMPORTANCE = 0.3
@@ -292,16 +292,24 @@ _FEATURES = "host string, path string, kind string, what long, share double, nam
 
 
 def _features(pages: DataFrame) -> DataFrame:
-    """What all different pages add to the style trees of their hosts."""
+    """What all different pages add to the style trees of their hosts. Pages are compressed while they are compared."""
     bound_batches(pages.sparkSession)
-    pages = pages.select(host_of(F.col("url").cast("string")).alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).distinct()
+    pages = pages.select(host_of(F.col("url").cast("string")).alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     names = [x.split()[0] for x in _FEATURES.split(", ")]
     kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.bool_())
 
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+        for batch in batches:
+            texts = texts_of(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array([codec.compress(x, asbytes=True) for x in texts], pa.binary())], ["host", "size", "html"])
+
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
         for batch in batches:
             rows: list[tuple] = []
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for host, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                page = codec.decompress(data, n, asbytes=True).decode() if n else ""
                 rows += [(host, *x) for x in tree_features(page)]
                 if len(rows) > 100_000:
                     yield made(rows)
@@ -312,7 +320,7 @@ def _features(pages: DataFrame) -> DataFrame:
         columns = list(zip(*rows, strict=True)) or [()] * len(names)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return pages.mapInArrow(features, _FEATURES)
+    return pages.mapInArrow(packed, "host string, size long, html binary").distinct().mapInArrow(features, _FEATURES)
 
 
 def _prefixes() -> Column:
