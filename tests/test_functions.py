@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from vidspark.functions import tpoint, vision
 from vidspark.functions.lens import PinholeLens, VRLens, project
-from vidspark.functions.stbox import Volume, overlaps, volume_column
+from vidspark.functions.stbox import Volume, overlaps, stbox, volume_column
 from vidspark.operators.joins import overlap_join
-from vidspark.operators.video import crops
+from vidspark.operators.video import crops, encode_rois, read_frames
 
 NUMBER = st.floats(-100, 100, allow_nan=False).map(lambda x: round(x, 3))
 FEW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -46,6 +46,19 @@ def test_length_is_additive_and_restriction_idempotent(spark, points):
     assert got.a == got.b and len(got.a) == len(points) // 2
 
 
+def test_lengths_of_long_points_take_linear_time(spark):
+    import time
+
+    n = 40_000
+    points = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(F.timestamp_seconds(i).cast("timestamp_ntz").alias("t"), i.cast("double").alias("x"), (i % 2).cast("double").alias("y"), F.lit(0.0).alias("z")))
+    df = spark.range(1).select(points.alias("traj")).cache()
+    df.count()
+    began = time.perf_counter()
+    got = df.select(tpoint.cumulative_length(F.col("traj")).alias("l")).select(F.size("l"), F.element_at("l", -1)["length"], F.get("l", F.lit(300))["length"]).first()
+    assert time.perf_counter() - began < 5
+    assert got[0] == n and got[1] == pytest.approx((n - 1) * 2**0.5) and got[2] == pytest.approx(300 * 2**0.5)
+
+
 @pytest.mark.parametrize("skew", [0.0, 3.0])
 def test_pinhole_round_trip(spark, skew):
     lens = PinholeLens((1280, 720), (10.0, 20.0), 100.0, skew)
@@ -66,11 +79,13 @@ def test_camera_row_projection_equals_lens(spark):
     assert got[:2] == got[2:]
 
 
-def test_vr_inverse(spark):
-    lens = VRLens((1, 1), (1.0, 2.0, 3.0), 0.3, 0.2, 0.1)
-    w = lens.pixel_to_world(F.lit(5.0), F.lit(6.0), F.lit(7.0))
-    back = lens._times(lens.matrix(), *w, 1.0)
-    assert spark.range(1).select(*back).first()[:] == pytest.approx((5.0, 6.0, 7.0))
+def test_vr_both_ways(spark):
+    lens = VRLens((1, 1), (1.0, 2.0, 3.0), 0.1, 0.2, 0.3)
+    w = lens.pixel_to_world(F.lit(5.0), F.lit(7.0), F.lit(1.0))
+    p = lens.world_to_pixel(F.lit(5.0), F.lit(7.0), F.lit(1.0))
+    got = spark.range(1).select(*w, *p, *lens.world_to_pixel(*w)).first()
+    assert got[:5] == pytest.approx((4.787, 4.055, -2.375, 5.836, 8.909), abs=1e-3)
+    assert got[5:] == pytest.approx((5.0, 7.0))
     assert np.allclose(lens.matrix()[:3, :3] @ lens.matrix()[:3, :3].T, np.eye(3))
 
 
@@ -130,6 +145,31 @@ def test_grid_join_equals_brute_force(spark):
     assert got == want
 
 
+def test_overlap_join_of_boxes_of_any_size(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, float(x), float(y), float(x + w), float(y + h)) for i, (x, y, w, h) in enumerate(zip(*rng.uniform(-500, 500, (2, 60)), *(2.0 ** rng.uniform(-3, 12, (2, 60))), strict=True))] + [(99, None, 0.0, None, 1.0)]
+    made = lambda part, name, box: spark.createDataFrame(part, f"{name} int, a double, b double, c double, d double").select(name, stbox("a", "b", F.lit(0.0), "c", "d", F.lit(0.0)).alias(box))
+    joined = overlap_join(made(rows[:30] + rows[-1:], "i", "bbox"), made(rows[30:], "j", "region"), 1.0)
+    assert sorted((r.i, r.j) for r in joined.collect()) == sorted((p[0], q[0]) for p in rows[:30] for q in rows[30:60] if p[1] <= q[3] and p[3] >= q[1] and p[2] <= q[4] and p[4] >= q[2])
+
+
+def test_videos_models_and_trackers(spark, tmp_path):
+    import pandas as pd
+
+    (tmp_path / "v.raw").write_bytes(bytes(range(32)))
+    decode = lambda name, data: [pd.DataFrame({"frame": [k // 16 + 1], "y": [k % 16 // 4], "x": [k % 4], "value": [b]}) for k, b in enumerate(data)]
+    frames = read_frames(spark, str(tmp_path), decode, "frame int, y int, x int, value int")
+    assert frames.count() == 32
+    plan = spark.createDataFrame([("i", f, f - 1, 1, 1, 3, 2, 2, 1, 0, 0, "./output/i.mp4") for f in (1, 2)], "item_id string, frame int, frame_index int, x1 int, y1 int, x2 int, y2 int, out_w int, out_h int, pad_x int, pad_y int, path string")
+    video = encode_rois(crops(plan, frames), plan, lambda group: bytes(group["value"].tolist())).collect()
+    assert [(r.item_id, r.path, bytes(r.video)) for r in video] == [("i", "./output/i.mp4", bytes([5, 6, 21, 22]))]
+    seen = vision.run_model(frames, lambda batch: batch[batch["value"] > 29], "frame int, y int, x int, value int")
+    assert sorted(r.value for r in seen.collect()) == [30, 31]
+    follow = lambda group: group.assign(track_id=range(len(group)))[["frame", "track_id"]]
+    tracks = vision.associate(seen.withColumn("camera_id", F.lit("c")), follow, "frame int, track_id int")
+    assert sorted(r.track_id for r in tracks.collect()) == [0, 1]
+
+
 def test_crops(spark):
     plan = spark.createDataFrame([("i", 1, 0, 1, 1, 3, 2, 4, 3, 1, 1)], "item_id string, frame int, frame_index int, x1 int, y1 int, x2 int, y2 int, out_w int, out_h int, pad_x int, pad_y int")
     frames = spark.createDataFrame([(1, y, x, y * 10 + x) for y in range(4) for x in range(4)], "frame int, y int, x int, value int")

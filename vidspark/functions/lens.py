@@ -75,18 +75,18 @@ def project(x: Column, y: Column, z: Column, fx: Column, fy: Column, ox: Column,
 
 @dataclass(frozen=True)
 class VRLens(Lens):
-    """A lens turned by yaw, pitch and roll (radians) about its origin."""
+    """A lens turned by yaw, pitch and roll (radians) about its origin. Its transform takes pixels to the world, the inverse takes the world to pixels."""
 
     yaw: float = 0.0
     pitch: float = 0.0
     roll: float = 0.0
 
     def matrix(self) -> np.ndarray:
-        """World to camera, 4 x 4."""
+        """Pixel to world, 4 x 4: the left-handed rotation, which is the transpose of the right-handed one, and minus the rotated origin."""
         sa, ca, sb, cb, sc, cc = (f(x) for x in (self.yaw, self.pitch, self.roll) for f in (math.sin, math.cos))
         turn_z, turn_y, turn_x = np.array([[ca, -sa, 0], [sa, ca, 0], [0, 0, 1]]), np.array([[cb, 0, sb], [0, 1, 0], [-sb, 0, cb]]), np.array([[1, 0, 0], [0, cc, -sc], [0, sc, cc]])
         out = np.eye(4)
-        out[:3, :3] = turn_z @ turn_y @ turn_x
+        out[:3, :3] = (turn_z @ turn_y @ turn_x).T
         out[:3, 3] = -out[:3, :3] @ np.array(self.origin[:3], float)
         return out
 
@@ -96,7 +96,7 @@ class VRLens(Lens):
         return tuple(sum((F.lit(float(m[i, j])) * parts[j] for j in range(3)), F.lit(float(m[i, 3] * w))) for i in range(3))
 
     def pixel_to_world(self, x, y, depth=1.0, w: float = 1.0):
-        return self._times(np.linalg.inv(self.matrix()), x, y, depth, w)
+        return self._times(self.matrix(), x, y, depth, w)
 
     def world_to_pixel(self, x, y, z=1.0, w: float = 1.0):
-        return self._times(self.matrix(), x, y, z, w)[:2]
+        return self._times(np.linalg.inv(self.matrix()), x, y, z, w)[:2]

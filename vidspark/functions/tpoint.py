@@ -8,6 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Steps whose running sums are one list.
+BLOCK = 256
+
+
 def _bound(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x).cast("timestamp_ntz")
 
@@ -43,6 +47,11 @@ def _steps(traj: Column, of) -> Column:
     return F.zip_with(F.slice(traj, F.lit(1), n), F.slice(traj, F.lit(2), n), of)
 
 
+def _let(value: Column, of) -> Column:
+    """of(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def _length(a: Column, b: Column) -> Column:
     return F.sqrt(sum(((b[d] - a[d]) * (b[d] - a[d]) for d in "yz"), (b["x"] - a["x"]) * (b["x"] - a["x"])))
 
@@ -58,8 +67,21 @@ def cumulative_length(traj: Column, interp: str = "linear") -> Column:
     if interp == "discrete":
         return F.transform(traj, lambda p: F.struct(p["t"].alias("t"), F.lit(0.0).alias("length")))
     first = F.struct(F.get(traj, F.lit(0))["t"].alias("t"), F.lit(0.0).alias("length"))
-    add = lambda out, s: F.array_append(out, F.struct(s["until"].alias("t"), (F.element_at(out, -1)["length"] + s["length"]).alias("length")))
-    return F.when(F.size(traj) > 0, F.aggregate(segments(traj), F.array(first), add))
+    empty = F.array().cast("array<struct<t:timestamp_ntz,length:double>>")
+    last = lambda out: F.coalesce(F.get(out, F.size(out) - 1)["length"], F.lit(0.0))
+    add = lambda out, s: F.array_append(out, F.struct(s["until"].alias("t"), (last(out) + s["length"]).alias("length")))
+    shift = lambda sums, by: F.transform(sums, lambda p: F.struct(p["t"].alias("t"), (p["length"] + by).alias("length")))
+
+    # Appending copies a list, so lists stay short: running sums of blocks, then of the blocks' ends.
+    def blocks(steps: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(steps), F.lit(1)), F.lit(BLOCK))
+        return F.transform(firsts, lambda k: F.aggregate(F.slice(steps, k, BLOCK), empty, add))
+
+    def joined(sums: Column) -> Column:
+        before = F.aggregate(sums, F.array(F.lit(0.0)), lambda out, b: F.array_append(out, F.element_at(out, -1) + last(b)))
+        return F.flatten(F.zip_with(sums, F.slice(before, F.lit(1), F.size(sums)), shift))
+
+    return F.when(F.size(traj) > 0, F.concat(F.array(first), _let(_let(segments(traj), blocks), joined)))
 
 
 def total_length(traj: Column) -> Column:

@@ -6,6 +6,7 @@ Pixels are rows (frame, y, x, value). The depth part follows the formulas of God
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -44,6 +45,16 @@ def non_max_suppression(boxes: DataFrame, score: float = MIN_SCORE, iou: float =
     return kept.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= most_a_frame).drop("_rank")
 
 
+def run_model(frames: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """What a model makes of batches of frames, such as a detector's boxes or a network's disparities; each frame stands for itself."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield model(batch)
+
+    return frames.mapInPandas(run, schema)
+
+
 def allowed_classes(boxes: DataFrame, classes: list[str] | None = None) -> DataFrame:
     return boxes if classes is None else boxes.filter(F.col("object_type").isin(classes))
 
@@ -56,7 +67,7 @@ def confirmed_tracks(tracks: DataFrame) -> DataFrame:
 
 
 def associate(detections: DataFrame, tracker, schema: str) -> DataFrame:
-    """A tracker function over each camera's detections in order of frame. One camera is sequential by nature."""
+    """A tracker function over each camera's detections or frames in order of frame, for one object or several. One camera is sequential by nature."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         return tracker(group.sort_values("frame", kind="stable"))

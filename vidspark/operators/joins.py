@@ -11,23 +11,34 @@ from ..functions.stbox import overlaps
 def overlap_join(left: DataFrame, right: DataFrame, cell: float, left_box: str = "bbox", right_box: str = "region") -> DataFrame:
     """All pairs of rows whose boxes overlap; both sides' columns must have different names.
 
-    Both sides are put into the cells of a grid in x and y that their boxes touch and joined by cell. A pair is taken
-    only in the cell of the lower corner of its intersection, so none comes twice and nothing has to be made
+    Boxes are put into the cells of grids in x and y: a box of up to ``cell`` a side into grid 0, one of up to twice
+    that into grid 1, whose cells are twice as wide, and so on, so no box touches more than four cells of its grid, however
+    wide it is. Two boxes meet in the coarser one's grid; a box enters its own grid and the coarser ones that the other side uses, which are
+    few. A pair is taken only in the cell of the lower corner of its intersection, so none comes twice and nothing has to be made
     distinct. cell: side of a cell, about the side of a usual box. Rows whose box has no x or y meet nothing.
     """
 
-    def gridded(df: DataFrame, box: str, names: tuple[str, str]) -> DataFrame:
+    def leveled(df: DataFrame, box: str, name: str) -> DataFrame:
         b = F.col(box)
-        for d, name in zip("xy", names, strict=True):
-            low, high = (F.floor(b.getField(f"{d}{m}") / cell) for m in ("min", "max"))
-            df = df.withColumn(name, F.explode(F.sequence(low, high)))
+        side = F.greatest(*[b.getField(f"{d}max") - b.getField(f"{d}min") for d in "xy"])
+        whole = b.getField("xmin").isNotNull() & b.getField("ymin").isNotNull() & b.getField("xmax").isNotNull() & b.getField("ymax").isNotNull()
+        return df.filter(whole).withColumn(name, F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(side, F.lit(cell)) / cell))).cast("int"))
+
+    def gridded(df: DataFrame, box: str, own: str, grids: DataFrame) -> DataFrame:
+        df = df.join(F.broadcast(grids), F.col("_grid") >= F.col(own))  # a row for each grid in use, about as many as the largest box has binary digits
+        width = F.pow(F.lit(2.0), F.col("_grid")) * cell
+        for d in "xy":
+            low, high = (F.floor(F.col(box).getField(f"{d}{m}") / width) for m in ("min", "max"))
+            df = df.withColumn(f"_c{d}", F.explode(F.sequence(low, high)))
         return df
 
-    a, b = gridded(left, left_box, ("_cx", "_cy")), gridded(right, right_box, ("_cx", "_cy"))
-    out = a.join(b, ["_cx", "_cy"]).filter(overlaps(F.col(left_box), F.col(right_box)))
+    a, b = leveled(left, left_box, "_la"), leveled(right, right_box, "_lb")
+    grids = a.select(F.col("_la").alias("_grid")).union(b.select("_lb")).distinct()
+    out = gridded(a, left_box, "_la", grids).join(gridded(b, right_box, "_lb", grids), ["_grid", "_cx", "_cy"])
+    out = out.filter((F.col("_grid") == F.greatest("_la", "_lb")) & overlaps(F.col(left_box), F.col(right_box)))
     for d in "xy":
         corner = F.greatest(F.col(left_box).getField(f"{d}min"), F.col(right_box).getField(f"{d}min"))
-        out = out.filter(F.col(f"_c{d}") == F.floor(corner / cell))
+        out = out.filter(F.col(f"_c{d}") == F.floor(corner / (F.pow(F.lit(2.0), F.col("_grid")) * cell)))
     return out.select(*left.columns, *right.columns)
 
 

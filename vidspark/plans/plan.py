@@ -113,7 +113,10 @@ def compile_plan(plan: Plan, trajectories: DataFrame, bboxes: DataFrame) -> Data
 
 
 def first_per_item(rows: DataFrame, named: list[Column], names: list[str]) -> DataFrame:
-    """One row per item: that of the earliest box, then the least corners. A partial minimum, not a sort."""
+    """One row per item: that of the earliest box, then the least corners.
+
+    Each task keeps one row per item before the shuffle. The minimum is of a struct, so Spark aggregates by sorting.
+    """
     order = [F.col(f"bbox.{d}") for d in ("tmin", *DIMENSIONS, "tmax")] if "bbox" in rows.columns else [F.lit(0)]
     picked = rows.groupBy("item_id").agg(F.min_by(F.struct(*named), F.struct(*order)).alias("_row"))
     return picked.select(*[F.col("_row").getField(n).alias(n) for n in names])

@@ -9,9 +9,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import tpoint, vision
+from .functions import call, tpoint, vision
 from .functions.lens import PinholeLens, VRLens
-from .functions.stbox import Volume, overlaps, stbox
+from .functions.stbox import Volume, centre, half_extents, overlaps, stbox
 from .operators import video
 from .operators.joins import overlap_join, with_items
 from .sources import catalog, events
@@ -50,7 +50,7 @@ def _query(sql: str | None, det: bool = True):
     def add(fn: Callable[[SparkSession, str], DataFrame]):
         QUERIES[fn.__name__] = fn
         if sql is not None:
-            SQL[fn.__name__] = f"WITH {_DET}{', ' if sql.lstrip().startswith('@') else ' '}{sql.lstrip().lstrip('@')}" if det else sql
+            SQL[fn.__name__] = f"WITH RECURSIVE {_DET}{', ' if sql.lstrip().startswith('@') else ' '}{sql.lstrip().lstrip('@')}" if det else sql
         return fn
 
     return add
@@ -120,9 +120,114 @@ def trajectory_points(spark, sf_dir):
     return out.select("item_id", F.explode("coordinates").alias("c")).select("item_id", *[F.get("c", F.lit(i)).alias(d) for i, d in enumerate("xyz")])
 
 
-@_query(None)
+@_query(f"@{_POINTS} SELECT item_id, 'MovingPoint' AS type, 'Discrete' AS interpolation, t, round(x, 8) AS x, round(y, 8) AS y, 1.0::DOUBLE AS z FROM pts WHERE {_IN_TIME}")
 def trajectory_mfjson(spark, sf_dir):
-    return world(spark, sf_dir).selectkey().get_mfjson(INTERVAL).execute()
+    """The JSON text of each trajectory, read back as points."""
+    read = F.from_json("mfjson", "type string, coordinates array<array<double>>, datetimes array<timestamp_ntz>, interpolations array<string>").alias("m")
+    out = world(spark, sf_dir).selectkey().get_mfjson(INTERVAL).execute().filter("mfjson IS NOT NULL").select("item_id", read)
+    points = out.select("item_id", "m.type", F.get("m.interpolations", F.lit(0)).alias("interpolation"), F.explode(F.arrays_zip("m.datetimes", "m.coordinates")).alias("p"))
+    return points.select("item_id", "type", "interpolation", F.col("p.datetimes").alias("t"), *[F.round(F.get("p.coordinates", F.lit(i)), 8).alias(d) for i, d in enumerate("xyz")])
+
+
+@_query(
+    f"""@{_POINTS}, {_STEPS}, v AS (SELECT *, round(len / nullif((epoch_us(until) - epoch_us(t)) / 1e6, 0), 8) AS v, count(*) OVER (PARTITION BY item_id) AS n FROM steps)
+SELECT item_id, t, CASE WHEN until IS NULL THEN lag(v) OVER (PARTITION BY item_id ORDER BY t) ELSE v END AS speed FROM v WHERE n > 1"""
+)
+def speed_steps(spark, sf_dir):
+    out = world(spark, sf_dir).selectkey().get_speed().execute().select("item_id", F.inline("speed"))
+    return out.select("item_id", "t", F.round("speed", 8).alias("speed"))
+
+
+@_query(f"SELECT item_id, t FROM det WHERE {_MEETS}")
+def overlap_text_volume(spark, sf_dir):
+    volume = "stbox 'STBOX Z((10, 20, 0), (30, 60, 2))'"
+    return world(spark, sf_dir).predicate(lambda obj: obj.location in v, {"v": volume}).selectkey().get_time().execute()  # noqa: F821
+
+
+@_query(f"@{_POINTS} SELECT item_id, t, round(x, 6) AS cx, round(y, 6) AS cy, 1.0::DOUBLE AS cz, round((x2 - x1) / 2, 6) AS hx, round((y2 - y1) / 2, 6) AS hy FROM det JOIN pts USING (item_id, t)")
+def centres_and_extents(spark, sf_dir):
+    c = centre(F.col("bbox"))
+    h = half_extents(F.col("bbox"))
+    return world(spark, sf_dir).bboxes.select("item_id", F.col("bbox.tmin").alias("t"), *[F.round(call(f"ST_{d.upper()}", c), 6).alias(f"c{d}") for d in "xyz"], *[F.round(h.getField(d), 6).alias(f"h{d}") for d in "xy"])
+
+
+@_query("SELECT DISTINCT item_id, object_type, 'default_color' AS color FROM det WHERE object_type = 'click'")
+def empty_projection(spark, sf_dir):
+    return world(spark, sf_dir).predicate(lambda obj: obj.object_type == "click").execute().select("item_id", "object_type", "color")
+
+
+@_query("SELECT object_type FROM (SELECT DISTINCT item_id, object_type FROM det)")
+def deleted_column(spark, sf_dir):
+    cleared = world(spark, sf_dir).predicate(lambda obj: obj.object_type == "none").get_time().clear()
+    return cleared.selectkey().get_object_type().delete_column("item_id").execute()
+
+
+_VIDEO = """640 / tan(radians(60)) AS fx, 360 / tan(radians(60)) AS fy"""
+
+
+@_query(
+    f"""@b AS (SELECT item_id, t, greatest(fx * x1, 0) AS x1, greatest(fy * y1, 0) AS y1, greatest(fx * x2, 0) AS x2, greatest(fy * y2, 0) AS y2 FROM det, (SELECT {_VIDEO}) WHERE object_type = 'click' AND {_MEETS}),
+e AS (SELECT item_id, min(t) AS first_t, CAST(round_even(max(x2 - x1), 0) AS INTEGER) AS out_w, CAST(round_even(max(y2 - y1), 0) AS INTEGER) AS out_h FROM b GROUP BY item_id),
+f AS (SELECT *, CAST(round((epoch_us(t) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6) AS INTEGER) AS frame, CAST(round((epoch_us(first_t) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6) AS INTEGER) AS f0 FROM b JOIN e USING (item_id))
+SELECT 'north' AS camera_id, item_id, frame, frame - f0 AS frame_index, CAST(trunc(x1) AS INTEGER) AS x1, CAST(trunc(y1) AS INTEGER) AS y1, CAST(trunc(x2) AS INTEGER) AS x2, CAST(trunc(y2) AS INTEGER) AS y2, out_w, out_h,
+  CAST(greatest(floor((out_w - trunc(x2 - x1)) / 2), 0) AS INTEGER) AS pad_x, CAST(greatest(floor((out_h - trunc(y2 - y1)) / 2), 0) AS INTEGER) AS pad_y, './output/events_' || item_id || '.mp4' AS path FROM f"""
+)
+def video_plan(spark, sf_dir):
+    w = world(spark, sf_dir).camera("north", lens=LENS).camera("south", lens=PinholeLens((640, 480), (0.0, 0.0, 0.0), 90.0))
+    return w.predicate(lambda obj: obj.object_type == "click").predicate(lambda obj: obj.location in VOLUME).get_video(["north"]).execute()
+
+
+@_query(f"@{_POINTS} SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY t) - 1 AS INTEGER) AS point, round(fx * x, 4) AS u, round(fy * y, 4) AS v FROM pts, (SELECT {_VIDEO}) WHERE item_id LIKE 'click-%'")
+def overlay_points(spark, sf_dir):
+    w = world(spark, sf_dir).camera("north", lens=LENS)
+    out = w.overlay_trajectory("north", w.predicate(lambda obj: obj.object_type == "click").selectkey().get_trajectory().execute())
+    return out.select("item_id", "point", F.round("u", 4).alias("u"), F.round("v", 4).alias("v"))
+
+
+@_query(f"SELECT item_id, t FROM det, (SELECT {_VIDEO}) WHERE x1 <= 11000.5 / fx AND x2 >= 3700.5 / fx AND y1 <= 12400.5 / fy AND y2 >= 4150.5 / fy")
+def volume_of_pixels(spark, sf_dir):
+    w = world(spark, sf_dir).camera("north", lens=LENS)
+    volume = w.select_intersection_of_interest_or_use_default("north", False, ((3700.5, 12400.5), (11000.5, 4150.5)))
+    return w.predicate(lambda obj: obj.location in volume).selectkey().get_time().execute()
+
+
+@_query("SELECT * FROM (VALUES ('crossing', 'metrics'), ('harbour', 'feet')) w(world_id, units)", det=False)
+def world_rows(spark, sf_dir):
+    return World(spark, "crossing").worlds().union(World(spark, "harbour", "feet").worlds())
+
+
+@_query(
+    """SELECT n_name AS camera_id, 0.5::DOUBLE AS ratio, 0.0::DOUBLE AS origin_x, NULL::DOUBLE AS focal_x, CAST(60 + 2 * n_nationkey AS INTEGER) AS fov FROM nation WHERE n_regionkey = 1 AND n_name NOT IN (SELECT min(n_name) FROM nation WHERE n_regionkey = 1)
+UNION ALL SELECT min(n_name), 2.0, 0.0, round(640 / tan(radians(60)), 6), 120 FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'new', NULL, 0.0, round(320 / tan(radians(45)), 6), 90""",
+    det=False,
+)
+def camera_registry(spark, sf_dir):
+    """Cameras put in, changed and taken out: one that is in the table is replaced, one that is in the world stays as it was."""
+    table = events.cameras(spark, sf_dir)
+    first = table.filter("world_id = '1'").agg(F.min("camera_id")).first()[0]
+    gone = World(spark, "1", camera_table=table).camera("gone").clear_cameras().camera("other").remove_camera("other")
+    w = gone.camera(first, catalog.Point("p", first, 7.0, 8.0, 9.0), 2.0, lens=PinholeLens((1, 1), fov=30.0)).camera(first, ratio=9.0).camera("new").add_properties("new", "pole", "mount")
+    w = w.add_lens(first, LENS).add_lens("new", PinholeLens((640, 480), (0.0, 0.0, 0.0), 90.0))
+    assert w.get_lens("new").fov == 90.0 and w.get_name() == "1" and w.get_units() == "metrics"
+    return w.get_camera().select("camera_id", F.col("ratio").cast("double").alias("ratio"), "origin_x", F.round("focal_x", 6).alias("focal_x"), "fov")
+
+
+@_query("SELECT DISTINCT item_id, object_type FROM det WHERE object_type IN ('click', 'view') UNION ALL SELECT 'dog-1', 'dog'")
+def recognized_items(spark, sf_dir):
+    """Items of two cameras' detections, one of them through a tracker, and one by hand, in a world whose tables were cleared."""
+    d = events.detections(spark, sf_dir)
+    w = world(spark, sf_dir).clear_tables().camera("a").camera("b").recognize("a", d.filter("object_type = 'click'")).recognize("b", tracker=lambda camera: d.filter("object_type = 'view'"))
+    return w.item("dog-1", "a", "dog", (1, 1, 2, 2), 5).selectkey().get_object_type().execute()
+
+
+@_query(
+    """SELECT CAST(event_id // 200 AS INTEGER) AS frame, object_type || '-' || CAST(event_id % 50 AS VARCHAR) AS item_id, CAST(trunc(x1) AS INTEGER) AS x1, CAST(trunc(y2) AS INTEGER) AS y2
+FROM det WHERE event_id % 3 > 0 AND event_id % 4 <= 1 AND object_type IN ('click', 'view')"""
+)
+def tracked_classes(spark, sf_dir):
+    e = F.col("event_id")
+    d = events.detections(spark, sf_dir).select(F.lit("cam1").alias("camera_id"), (e % 50).alias("track_id"), "object_type", F.floor(e / 200).cast("int").alias("frame"), "x1", "y1", "x2", "y2", (e % 3 > 0).alias("confirmed"), (e % 4).alias("frames_since_update"))
+    return vision.confirmed_tracks(vision.allowed_classes(d, ["click", "view"])).select("frame", "item_id", "x1", "y2")
 
 
 @_query(f"@{_POINTS}, {_STEPS} SELECT item_id, t, round(coalesce(sum(before) OVER (PARTITION BY item_id ORDER BY t), 0), 4) AS length FROM (SELECT item_id, t, lag(len) OVER (PARTITION BY item_id ORDER BY t) AS before FROM steps)")
@@ -159,14 +264,17 @@ def world_to_pixel_pinhole(spark, sf_dir):
     return events.detections(spark, sf_dir).select("event_id", F.round(u, 4).alias("u"), F.round(v, 4).alias("v"))
 
 
-def _row(m: np.ndarray, i: int) -> str:
-    return f"round({float(m[i, 0])!r}::DOUBLE * x1 + {float(m[i, 1])!r}::DOUBLE * y1 + {float(m[i, 2])!r}::DOUBLE + {float(m[i, 3])!r}::DOUBLE, 6)"
-
+# Yaw 0.1, pitch 0.2, roll 0.3, origin (1, 2, 3), written out: rows of the rotation, and its product with the origin.
+_VR = """r AS (SELECT cos(0.2) * cos(0.1) AS r1, cos(0.2) * sin(0.1) AS r2, -sin(0.2) AS r3,
+  sin(0.3) * sin(0.2) * cos(0.1) - cos(0.3) * sin(0.1) AS r4, sin(0.3) * sin(0.2) * sin(0.1) + cos(0.3) * cos(0.1) AS r5, sin(0.3) * cos(0.2) AS r6,
+  cos(0.3) * sin(0.2) * cos(0.1) + sin(0.3) * sin(0.1) AS r7, cos(0.3) * sin(0.2) * sin(0.1) - sin(0.3) * cos(0.1) AS r8, cos(0.3) * cos(0.2) AS r9),
+o AS (SELECT *, r1 + 2 * r2 + 3 * r3 AS a, r4 + 2 * r5 + 3 * r6 AS b, r7 + 2 * r8 + 3 * r9 AS c FROM r)"""
 
-_INVERSE = np.linalg.inv(VR.matrix())
 
-
-@_query(f"SELECT event_id, {_row(_INVERSE, 0)} AS wx, {_row(_INVERSE, 1)} AS wy, {_row(_INVERSE, 2)} AS wz, {_row(VR.matrix(), 0)} AS u, {_row(VR.matrix(), 1)} AS v FROM det")
+@_query(
+    f"""@{_VR} SELECT event_id, round(r1 * x1 + r2 * y1 + r3 - a, 6) AS wx, round(r4 * x1 + r5 * y1 + r6 - b, 6) AS wy, round(r7 * x1 + r8 * y1 + r9 - c, 6) AS wz,
+  round(r1 * (x1 + a) + r4 * (y1 + b) + r7 * (1 + c), 6) AS u, round(r2 * (x1 + a) + r5 * (y1 + b) + r8 * (1 + c), 6) AS v FROM det, o"""
+)
 def vr_world(spark, sf_dir):
     w = VR.pixel_to_world(F.col("x1"), F.col("y1"), F.lit(1.0))
     p = VR.world_to_pixel(F.col("x1"), F.col("y1"), F.lit(1.0))
@@ -220,7 +328,7 @@ def semi_trajectories(spark, sf_dir):
     return points.groupBy("item_id").agg(F.count("*").alias("n"), F.round(F.sum("p.x"), 4).alias("sx"))
 
 
-@_query("SELECT item_id, t FROM det WHERE t < TIMESTAMP '2024-01-20'")
+@_query("SELECT item_id, t FROM det")
 def merge_trajectory(spark, sf_dir):
     bboxes = world(spark, sf_dir).bboxes
     day = lambda d: F.lit(datetime(2024, 1, d)).cast("timestamp_ntz")
@@ -240,17 +348,18 @@ def roi_extent(spark, sf_dir):
 @_query(
     """@e AS (SELECT item_id, min(t) AS first_t, CAST(round_even(max(x2 - x1), 0) AS INTEGER) AS out_w, CAST(round_even(max(y2 - y1), 0) AS INTEGER) AS out_h FROM det GROUP BY item_id),
 r AS (SELECT item_id, CAST(round((epoch_us(t) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6) AS INTEGER) AS frame, CAST(round((epoch_us(first_t) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6) AS INTEGER) AS f0,
-  greatest(CAST(round_even(x1, 0) AS INTEGER), 0) AS x1, greatest(CAST(round_even(y1, 0) AS INTEGER), 0) AS y1, greatest(CAST(round_even(x2, 0) AS INTEGER), 0) AS x2, greatest(CAST(round_even(y2, 0) AS INTEGER), 0) AS y2, out_w, out_h FROM det JOIN e USING (item_id))
-SELECT item_id, frame, frame - f0 AS frame_index, x1, y1, x2, y2, out_w, out_h, CAST(greatest(floor((out_w - (x2 - x1)) / 2), 0) AS INTEGER) AS pad_x, CAST(greatest(floor((out_h - (y2 - y1)) / 2), 0) AS INTEGER) AS pad_y, './output/' || item_id || '.mp4' AS path FROM r"""
+  greatest(x1, 0) AS x1, greatest(y1, 0) AS y1, greatest(x2, 0) AS x2, greatest(y2, 0) AS y2, out_w, out_h FROM det JOIN e USING (item_id))
+SELECT item_id, frame, frame - f0 AS frame_index, CAST(trunc(x1) AS INTEGER) AS x1, CAST(trunc(y1) AS INTEGER) AS y1, CAST(trunc(x2) AS INTEGER) AS x2, CAST(trunc(y2) AS INTEGER) AS y2, out_w, out_h,
+  CAST(greatest(floor((out_w - trunc(abs(x2 - x1))) / 2), 0) AS INTEGER) AS pad_x, CAST(greatest(floor((out_h - trunc(abs(y2 - y1))) / 2), 0) AS INTEGER) AS pad_y, './output/' || item_id || '.mp4' AS path FROM r"""
 )
 def roi_plan(spark, sf_dir):
     return video.roi_plan(_pixels(spark, sf_dir), START)
 
 
-@_query("SELECT unnest([object_type, item_id]) AS label, event_id, least(greatest(CAST(trunc(x1 * 100 - 500) AS INTEGER), 0), 3840) AS x1, least(greatest(CAST(y1 * 30 AS INTEGER), 0), 2160) AS y1 FROM det")
+@_query("SELECT unnest([object_type, item_id]) AS label, event_id, least(greatest(CAST(trunc(x1 * 100 - 500) AS INTEGER), 0), 3840) AS x1, least(greatest(CAST(y1 * 30 AS INTEGER), 0), 2160) AS y1, least(greatest(CAST(trunc(x2 * 100 - 500) AS INTEGER), 0), 3840) AS x2, least(greatest(CAST(y2 * 30 AS INTEGER), 0), 2160) AS y2 FROM det")
 def label_rows_clamped(spark, sf_dir):
-    d = events.detections(spark, sf_dir).select("item_id", "object_type", F.col("event_id").alias("frame"), (F.col("x1") * 100 - 500).cast("int").alias("x1"), (F.col("y1") * 30).cast("int").alias("y1"), F.lit(0).alias("x2"), F.lit(0).alias("y2"))
-    return label_rows(d, "m").select("label", F.col("frame").alias("event_id"), "x1", "y1")
+    d = events.detections(spark, sf_dir).select("item_id", "object_type", F.col("event_id").alias("frame"), (F.col("x1") * 100 - 500).cast("int").alias("x1"), (F.col("y1") * 30).cast("int").alias("y1"), (F.col("x2") * 100 - 500).cast("int").alias("x2"), (F.col("y2") * 30).cast("int").alias("y2"))
+    return label_rows(d, "m").select("label", F.col("frame").alias("event_id"), "x1", "y1", "x2", "y2")
 
 
 _DEPTH = "p AS (SELECT CAST(event_id % 100 AS INTEGER) AS x, CAST(event_id // 100 % 100 AS INTEGER) AS y, event_id // 10000 AS frame, (event_id % 97 + 1) / 100.0::DOUBLE AS disp, (event_id % 13) / 13.0::DOUBLE AS value FROM events)"
@@ -289,7 +398,20 @@ def smoothness(spark, sf_dir):
     return vision.smoothness(_depth(spark, sf_dir)).select("frame", F.round("smoothness", 6).alias("smoothness"))
 
 
-@_query(None)
+@_query(
+    """@b AS (SELECT CAST(event_id // 200 AS INTEGER) AS frame, object_type, (event_id % 11) / 10.0::DOUBLE AS score, x1, y1, x2, y2 FROM det),
+r AS (SELECT *, row_number() OVER (PARTITION BY frame, object_type ORDER BY score DESC, x1, y1, x2, y2) AS i FROM b WHERE score >= 0.5),
+k AS (
+  SELECT frame, object_type, i, [{'score': score, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}] AS kept FROM r WHERE i = 1
+  UNION ALL SELECT r.frame, r.object_type, r.i, CASE WHEN len(kept) < 50 AND len(list_filter(kept, lambda o:
+      greatest(0, least(o.x2, r.x2) - greatest(o.x1, r.x1)) * greatest(0, least(o.y2, r.y2) - greatest(o.y1, r.y1)) > 0.45 * ((o.x2 - o.x1) * (o.y2 - o.y1) + (r.x2 - r.x1) * (r.y2 - r.y1)
+        - greatest(0, least(o.x2, r.x2) - greatest(o.x1, r.x1)) * greatest(0, least(o.y2, r.y2) - greatest(o.y1, r.y1))))) = 0
+    THEN list_append(kept, {'score': r.score, 'x1': r.x1, 'y1': r.y1, 'x2': r.x2, 'y2': r.y2}) ELSE kept END
+  FROM k JOIN r ON r.frame = k.frame AND r.object_type = k.object_type AND r.i = k.i + 1),
+l AS (SELECT frame, object_type, unnest(arg_max(kept, i)) AS o FROM k GROUP BY frame, object_type),
+f AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY o.score DESC, object_type, o.x1, o.y1, o.x2, o.y2) AS n FROM l)
+SELECT 'cam1' AS camera_id, frame, object_type, o.score AS score, o.x1 AS x1, o.y1 AS y1, o.x2 AS x2, o.y2 AS y2 FROM f WHERE n <= 50"""
+)
 def nms_per_frame(spark, sf_dir):
     d = events.detections(spark, sf_dir)
     b = d.select(F.lit("cam1").alias("camera_id"), F.floor(F.col("event_id") / 200).cast("int").alias("frame"), "object_type", ((F.col("event_id") % 11) / 10.0).alias("score"), "x1", "y1", "x2", "y2")
@@ -307,24 +429,24 @@ def frame_span(spark, sf_dir):
     return video.frame_span(world(spark, sf_dir).bboxes, START)
 
 
-@_query("SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY t) - 1 AS INTEGER) AS n, t, x1 AS xmin FROM det")
+@_query("SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY t) - 1 AS INTEGER) AS n, t, x1 AS xmin, y1 AS ymin, x2 AS xmax, y2 AS ymax FROM det")
 def item_tracks(spark, sf_dir):
     out = video.item_tracks(world(spark, sf_dir).bboxes).select("item_id", F.posexplode("track").alias("n", "p"))
-    return out.select("item_id", "n", F.col("p.t").alias("t"), F.col("p.bbox.xmin").alias("xmin"))
+    return out.select("item_id", "n", F.col("p.t").alias("t"), *[F.col(f"p.bbox.{d}").alias(d) for d in ("xmin", "ymin", "xmax", "ymax")])
 
 
 @_query(
-    """@c AS (SELECT n_name AS camera_id, 60 + 2 * n_nationkey AS fov FROM nation WHERE n_regionkey = 1)
-SELECT camera_id, item_id, t, round(640 / tan(radians(fov / 2.0)) * x1, 4) AS x1, round(360 / tan(radians(fov / 2.0)) * y2, 4) AS y2 FROM det, c WHERE object_type = 'click'"""
+    """@c AS (SELECT n_name AS camera_id, 640 / tan(radians((60 + 2 * n_nationkey) / 2.0)) AS fx, 360 / tan(radians((60 + 2 * n_nationkey) / 2.0)) AS fy FROM nation)
+SELECT camera_id, item_id, t, round(fx * x1, 4) AS x1, round(fy * y1, 4) AS y1, round(fx * x2, 4) AS x2, round(fy * y2, 4) AS y2 FROM det, c"""
 )
 def project_boxes(spark, sf_dir):
     half = F.tan(F.radians(F.col("fov") / 2))
     cameras = events.cameras(spark, sf_dir).withColumn("focal", F.struct((640 / half).alias("x"), (360 / half).alias("y")))
     out = video.project_boxes(world(spark, sf_dir).bboxes, cameras)
-    return out.select("camera_id", "item_id", "t", F.round("x1", 4).alias("x1"), F.round("y2", 4).alias("y2"))
+    return out.select("camera_id", "item_id", "t", *[F.round(c, 4).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
-@_query("SELECT item_id, count(*) AS points, min(t) AS first_t, max(t) AS last_t FROM det WHERE t < TIMESTAMP '2024-01-20' GROUP BY item_id")
+@_query("SELECT item_id, count(*) AS points, min(t) AS first_t, max(t) AS last_t FROM det GROUP BY item_id")
 def merged_trajectories(spark, sf_dir):
     d = events.detections(spark, sf_dir)
     day = lambda n: F.lit(datetime(2024, 1, n)).cast("timestamp_ntz")
@@ -379,15 +501,19 @@ def ssim(spark, sf_dir):
 _RIGID = vision.rigid((0.1, 0.2, 0.3), (1.0, 2.0, 3.0))
 
 
-@_query(f"SELECT event_id, {_row(_RIGID, 0)} AS px, {_row(_RIGID, 1)} AS py, {_row(_RIGID, 2)} AS pz FROM det")
+@_query(
+    """@k AS (SELECT sqrt(0.01 + 0.04 + 0.09) AS g), u AS (SELECT cos(g) AS c, sin(g) AS s, 0.1 / (g + 1e-7) AS x, 0.2 / (g + 1e-7) AS y, 0.3 / (g + 1e-7) AS z FROM k)
+SELECT event_id, round((c + (1 - c) * x * x) * x1 + ((1 - c) * x * y - s * z) * y1 + ((1 - c) * x * z + s * y) + 1, 6) AS px,
+  round(((1 - c) * x * y + s * z) * x1 + (c + (1 - c) * y * y) * y1 + ((1 - c) * y * z - s * x) + 2, 6) AS py, round(((1 - c) * x * z - s * y) * x1 + ((1 - c) * y * z + s * x) * y1 + (c + (1 - c) * z * z) + 3, 6) AS pz FROM det, u"""
+)
 def rigid_transform(spark, sf_dir):
     p = vision.transform_point(_RIGID, F.col("x1"), F.col("y1"), F.lit(1.0))
     return events.detections(spark, sf_dir).select("event_id", *[F.round(c, 6).alias(n) for c, n in zip(p, ("px", "py", "pz"), strict=True)])
 
 
 @_query(
-    """WITH e AS (SELECT vec_id, embedding FROM embeddings), a AS (SELECT embedding AS anchor FROM embeddings WHERE vec_id = 0)
-SELECT vec_id, 1 - list_sum(list_transform(list_zip(embedding, anchor), lambda z: z[1]::DOUBLE * z[2])) / sqrt(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v)) * list_sum(list_transform(anchor, lambda v: v::DOUBLE * v))) <= 0.4 AS near FROM e, a""",
+    """WITH e AS (SELECT vec_id, embedding FROM embeddings), a AS (SELECT vec_id AS anchor_id, embedding AS anchor FROM embeddings WHERE vec_id % 100 = 0)
+SELECT vec_id, anchor_id FROM e, a WHERE 1 - list_sum(list_transform(list_zip(embedding, anchor), lambda z: z[1]::DOUBLE * z[2])) / sqrt(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v)) * list_sum(list_transform(anchor, lambda v: v::DOUBLE * v))) <= 0.4""",
     det=False,
 )
 def appearance_gate(spark, sf_dir):

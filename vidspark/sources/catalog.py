@@ -44,6 +44,8 @@ class Camera:
 
     def row(self, world_id: str) -> Row:
         at = self.location.coordinate if self.location else (None, None, None)
+        if self.lens is not None:  # a camera with a lens projects from the lens's origin
+            at = (*self.lens.origin, 0.0)[:3]
         pinhole = self.lens if isinstance(self.lens, PinholeLens) else None
         focal = pinhole.focal if pinhole else (None, None)
         numbers = lambda xs: tuple(None if x is None else float(x) for x in xs)

@@ -50,17 +50,20 @@ def merge_boxes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def merge_trajectories(old: DataFrame, new: DataFrame) -> DataFrame:
     """Trajectories with the instants of both; at an instant that both have, the old one stays."""
-    tagged = old.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
+    both = old.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
     box = F.col("largest_bbox")
     extent = [f(box.getField(f"{d}{m}")).alias(f"{d}{m}") for m, f in (("min", F.min), ("max", F.max)) for d in "xyz"]
     first = lambda c: F.min_by(c, F.struct("_new", c)).alias(c)
-    parts = tagged.groupBy("item_id").agg(first("camera_id"), first("object_type"), first("color"), F.max(F.when(~F.col("_new"), F.col("traj"))).alias("_old"), F.max(F.when(F.col("_new"), F.col("traj"))).alias("_added"), *extent)
-    have = F.coalesce("_old", F.array().cast(old.schema["traj"].dataType))
-    times = F.transform(have, lambda p: p["t"])
-    more = F.filter(F.coalesce("_added", F.array().cast(old.schema["traj"].dataType)), lambda p: ~F.array_contains(times, p["t"]))
+    parts = both.groupBy("item_id").agg(first("camera_id"), first("object_type"), first("color"), F.max(F.when(~F.col("_new"), F.col("traj"))).alias("_old"), F.max(F.when(F.col("_new"), F.col("traj"))).alias("_added"), *extent)
+    # Both lists in order of time, old before new; a new instant goes if the one before it has its time.
+    tagged = lambda c, new: F.transform(F.coalesce(c, F.array().cast(old.schema["traj"].dataType)), lambda p: F.struct(p["t"].alias("t"), F.lit(new).alias("new"), *[p[d].alias(d) for d in "xyz"]))
+    every = F.array_sort(F.concat(tagged("_old", False), tagged("_added", True)))
+    follows = F.zip_with(every, F.concat(F.array(F.lit(None).cast("timestamp_ntz")), F.transform(every, lambda p: p["t"])), lambda p, before: F.struct(p.alias("p"), before.alias("before")))
+    kept = F.filter(follows, lambda x: x["p"].isNotNull() & (~x["p"]["new"] | ~F.equal_null(x["before"], x["p"]["t"])))
+    merged = F.transform(kept, lambda x: F.struct(x["p"]["t"].alias("t"), *[x["p"][d].alias(d) for d in "xyz"]))
     nothing = F.lit(None).cast("timestamp_ntz")
     largest = F.struct(*[F.col(f"{d}{m}") for m in ("min", "max") for d in "xyz"], nothing.alias("tmin"), nothing.alias("tmax"))
-    return parts.select("camera_id", "item_id", "object_type", "color", F.array_sort(F.concat(have, more)).alias("traj"), largest.alias("largest_bbox"))
+    return parts.select("camera_id", "item_id", "object_type", "color", merged.alias("traj"), largest.alias("largest_bbox"))
 
 
 def label_rows(detections: DataFrame, metadata_id: str, width: int = LABEL_WIDTH, height: int = LABEL_HEIGHT) -> DataFrame:

@@ -114,6 +114,10 @@ class World:
     def with_tables(self, trajectories: DataFrame, bboxes: DataFrame, camera_table: DataFrame | None = None) -> World:
         return replace(self, trajectories=trajectories, bboxes=bboxes, camera_table=camera_table if camera_table is not None else self.camera_table)
 
+    def clear_tables(self) -> World:
+        """Without trajectories and boxes; cameras stay."""
+        return replace(self, trajectories=None, bboxes=None, detections=MappingProxyType({}))
+
     def ingested(self) -> World:
         """This world with its scheduled detections in the tables; cameras add up, and instants that are there stay."""
         trajectories, bboxes = self.trajectories, self.bboxes
