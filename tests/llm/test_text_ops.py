@@ -371,3 +371,26 @@ def test_pipeline_stage_by_stage(spark):
     assert all(hit == 0 for _, hit, _ in brute_contamination([r.text for r in left], [(r.item_id, r.text) for r in bench], 10))
     packed = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in left}
+
+
+def test_pipeline_takes_odd_documents(spark, odd, empty, monkeypatch):
+    import corpus_pipeline
+
+    rows = [(20, "A fine text of some length that has every right to stay in the corpus, as it says nothing twice and is in plain words.", "en", "a", 1), (20, "Another row that has the same number but other words, which it keeps to the end of the whole pipeline as is right.", None, None, None)]
+    docs = clashing(odd.union(spark.createDataFrame([*rows, *rows, (None, rows[0][1], "en", "a", 1)], SCHEMA)))
+    for frame in (docs, clashing(empty)):
+        kept = frame
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, SF).cache()
+            assert kept.columns == frame.columns
+        assert len({(r.doc_id, r.text) for r in kept.collect()} & {(20, rows[0][1]), (20, rows[1][1]), (None, rows[0][1])}) == (3 if frame is docs else 0)
+        assert (corpus_pipeline.pack(spark, kept, SF).count() > 0) == (frame is docs)
+
+
+def test_pipeline_drops_what_it_no_longer_needs(spark):
+    import corpus_pipeline
+    from vidspark.llm import _common
+
+    before = _common.scratch_mark()
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    assert _common.scratch_mark() - before == 2  # what packing reads

@@ -54,13 +54,25 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clean_scratch(spark: SparkSession) -> None:
-    """Deletes all that this process has put into the shared folder; frames that read it end with it."""
+def scratch_mark() -> int:
+    """Where the tables that are put into the shared folder from now on begin; for ``drop_scratch``."""
+    return len(_written)
+
+
+def drop_scratch(spark: SparkSession, mark: int, keep: int = 0) -> None:
+    """Deletes what this process has put into the shared folder since the mark, but for the last ``keep`` tables; frames that read it end with it."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    last = len(_written) - keep
+    for name in _written[mark:last]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+    del _written[mark : max(mark, last)]
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Deletes all that this process has put into the shared folder; frames that read it end with it."""
+    drop_scratch(spark, 0)
 
 
 def bound_batches(spark: SparkSession) -> None:
