@@ -166,6 +166,13 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_archives_of_many_records_lose_none(spark):
+    rng = random.Random(11)
+    rows = [(i, f"http://a/{i}", "x" * rng.randrange(4000) + "\r\n" * rng.randrange(4) + str(i)) for i in range(3000)]
+    got = warc.round_trip(spark.createDataFrame(rows, PAGES)).collect()
+    assert {(r.page_id, r.payload_bytes, r.error) for r in got} == {(i, len(t), None) for i, _, t in rows} and len(got) == len(rows)
+
+
 def test_archives_of_older_versions_are_read(spark, tmp_path):
     record = lambda version, i, body: f"WARC/{version}\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:{i}>\r\nWARC-Target-URI: http://a/{i}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
     message = lambda text: b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + text

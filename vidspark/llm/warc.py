@@ -142,12 +142,12 @@ def parse_record(data: bytes) -> tuple:
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """The records of all WARC files under ``path`` (plain or .gz), segments still apart.
 
-    Files are read as streams that are split where an empty line and a version (1.0, 1.1) follow a record, by Spark's own reader.
-    A payload that itself holds that outside of chunked framing would be split too; its record then has an error, as
+    Files are read as streams that are split where a line begins with a version (1.0, 1.1), by Spark's own reader; a longer mark, with the
+    empty line before it, may begin within itself, which that reader misses where its buffers end. A payload that itself holds that outside of chunked framing would be split too; its record then has an error, as
     has any whose block is not as long as it says.
     """
     bound_batches(spark)
-    raw = spark.read.option("lineSep", END + MARK.decode()).text(path).select(F.col("value").cast("binary").alias("value"))
+    raw = spark.read.option("lineSep", "\n" + MARK.decode()).text(path).select(F.col("value").cast("binary").alias("value"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
