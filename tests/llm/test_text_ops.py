@@ -108,7 +108,7 @@ def test_other_tokenizers_count_whole_texts(spark, odd, name):
         assert r.n_tokens == tokens.Lengths(path)._batch([r.text])[0]
 
 
-@pytest.mark.parametrize("name", ["op3_decontamination", "op5_line_dedup", "op7_substring_dedup", "op9_quality_rules"])
+@pytest.mark.parametrize("name", ["op2_minhash_dedup", "op3_decontamination", "op5_line_dedup", "op7_substring_dedup", "op9_quality_rules"])
 def test_query_equals_sql(spark, name):
     same_rows(queries.QUERIES[name](spark, SF), queries.SQL[name])
 

@@ -79,6 +79,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+OP2_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, text, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+keyed AS (
+  SELECT doc_id, words, CASE WHEN text IS NULL THEN NULL WHEN len(words) = 0 THEN 'text ' || text ELSE 'words ' || array_to_string(words, ' ') END AS key FROM d),
+nodes AS (SELECT key, min(doc_id) AS node, any_value(words) AS words FROM keyed WHERE key IS NOT NULL GROUP BY key),
+places AS (
+  SELECT node, words, least({minhash.SHINGLE}, len(words)) AS n, unnest(range(1, greatest(len(words) - {minhash.SHINGLE - 1}, 1) + 1)) AS p FROM nodes WHERE len(words) > 0),
+elements AS (SELECT node, array_to_string(words[p : p + n - 1], ' ') AS element, count(*) AS weight FROM places GROUP BY ALL),
+totals AS (SELECT node, sum(weight) AS total FROM elements GROUP BY node),
+common AS (
+  SELECT x.node AS a, y.node AS b, sum(least(x.weight, y.weight)) AS both_have FROM elements x JOIN elements y ON x.element = y.element AND x.node < y.node GROUP BY x.node, y.node),
+links AS (
+  SELECT a, b FROM common JOIN totals s ON s.node = a JOIN totals t ON t.node = b WHERE both_have::DOUBLE / (s.total + t.total - both_have) >= {minhash.SIMILARITY}::DOUBLE),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (
+  SELECT node, node AS label FROM nodes
+  UNION SELECT b, label FROM reached JOIN edges ON a = node WHERE label < b),
+labels AS (SELECT node, min(label) AS class_id FROM reached GROUP BY node),
+classes AS (
+  SELECT doc_id, CASE WHEN key IS NULL THEN doc_id ELSE class_id END AS class_id FROM keyed LEFT JOIN nodes USING (key) LEFT JOIN labels USING (node))
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, doc_id = class_id AS is_kept FROM classes
+"""
+
 OP3_SQL = rf"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
@@ -201,6 +225,7 @@ FROM v
 """
 
 SQL: dict[str, str] = {
+    "op2_minhash_dedup": OP2_SQL,
     "op3_decontamination": OP3_SQL,
     "op4_warc": OP4_SQL,
     "op5_line_dedup": OP5_SQL,
