@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import NULL_END, NULL_ID, bound_batches, fresh, give_back_memory, identity, sliced, text_buffers, written
+from ._common import NULL_END, NULL_ID, bound_batches, fresh, give_back_memory, identity, sliced, text_buffers, texts_of, written
 from ._words import word_hashes
 
 MIN_SENTENCES = 2
@@ -25,6 +25,8 @@ LONG_SENTENCE = 12
 _END = re.compile(rb"[.!?][\"')\]]*[ \t\r]+|\n+")
 #: A clause ends after these marks and white space.
 _CLAUSE = re.compile(rb"[,;:][\"')\]]*[ \t\r]+")
+#: No word goes on over the end of a sentence or clause.
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
 def sentence_bounds(text: bytes) -> list[int]:
@@ -144,14 +146,17 @@ def dedup_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, at):
             texts, numbers, valid = [], [], batch.column(at).is_valid().to_pylist()
-            for there, gone, (text, bounds, _, counts) in zip(valid, batch.column(len(names)).to_pylist(), _sentences(batch.column(at)), strict=True):
-                drop = np.zeros(len(counts), bool)
+            for there, gone, text in zip(valid, batch.column(len(names)).to_pylist(), texts_of(batch.column(at)), strict=True):
+                bounds, n_words = sentence_bounds(text), 0
+                drop = np.zeros(len(bounds) - 1, bool)
                 for span in gone or ():
                     drop[span["start"] : span["end"]] = True
                 if drop.any():
-                    text = b"".join(text[a:b] for a, b, d in zip(bounds[:-1], bounds[1:], drop.tolist(), strict=True) if not d)
+                    pieces = [(text[a:b], d) for a, b, d in zip(bounds[:-1], bounds[1:], drop.tolist(), strict=True)]
+                    n_words = sum(len(_WORD.findall(x)) for x, d in pieces if d)
+                    text = b"".join(x for x, d in pieces if not d)
                 texts.append(text if there else None)
-                numbers.append((len(counts), int(drop.sum()), int(counts[drop].sum()), _real(min((span["first"] for span in gone or ()), default=NULL_ID)), hashlib.sha256(text).hexdigest()))
+                numbers.append((len(drop), int(drop.sum()), n_words, _real(min((span["first"] for span in gone or ()), default=NULL_ID)), hashlib.sha256(text).hexdigest()))
             columns = [pa.array(texts, pa.binary()).cast(pa.string()) if i == at else batch.column(i) for i in range(len(names))]
             added = [pa.array(c, k) for c, k in zip(list(zip(*numbers, strict=True)) or [()] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays([*columns, *added], [*names, *new])
