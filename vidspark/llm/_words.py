@@ -83,3 +83,14 @@ def runs(hashes: np.ndarray, n: int) -> np.ndarray:
     for i in range(n):
         out = out * np.uint64(_BASE) + hashes[i : i + k]
     return mix(out)
+
+
+def stretch_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each stretch of words hashes[start:end], wherever it stands, from running sums of both."""
+    up, down = _powers_to(len(hashes) + 1)
+    out = []
+    for values in (hashes, mix(hashes ^ np.uint64(0xA24BAED4963EE407))):
+        total = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(values * up[: len(hashes)], out=total[1:])
+        out.append(mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
+    return out[0], out[1]

@@ -8,13 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import NULL_END, NULL_ID, bound_batches, fresh, give_back_memory, identity, sliced, text_buffers, texts_of, written
-from ._words import word_hashes
+from ._words import stretch_hashes, word_hashes
 
 MIN_SENTENCES = 2
 MIN_WORDS = 20
@@ -41,45 +40,37 @@ def sentence_bounds(text: bytes) -> list[int]:
     return out
 
 
-def text_spans(words: np.ndarray, per_sentence: np.ndarray, min_sentences: int, min_words: int) -> Iterator[tuple[int, int, int, int]]:
-    """64 and 32 bits of hash, first sentence and end sentence of every run of a text, in order of place.
+def batch_spans(words: np.ndarray, per_sentence: np.ndarray, row: np.ndarray, min_sentences: int, min_words: int) -> tuple[np.ndarray, ...]:
+    """Of every run of some texts, in order of text and place: hashes of 64 and 32 bits, first and last sentence (as places in per_sentence).
 
-    From each sentence with words goes the shortest run that has ``min_sentences`` such sentences and ``min_words``
-    words, and to each the shortest that ends there, each run once; where the text is too short for one, there is none.
-    So equal stretches of text have equal runs, wherever they stand, and every sentence of a stretch of that size is in one.
+    ``row`` says whose each sentence is. Runs go from each sentence with words to the nearest end, and from the nearest start to each
+    such sentence, that leave ``min_sentences`` sentences with words and ``min_words`` words or more. So every sentence of a repeated
+    stretch of that size is in a run. All texts are handled at once: word counts only rise, so one search serves them all.
     """
     own = np.flatnonzero(per_sentence)
-    n = len(own)
-    if n < min_sentences:
-        return
-    starts = np.cumsum(per_sentence[own]) - per_sentence[own]
-    ends = starts + per_sentence[own]
-    every = np.arange(n)
+    ends = np.cumsum(per_sentence[own])
+    starts, every, n = ends - per_sentence[own], np.arange(len(own)), len(own)
     last = np.maximum(np.searchsorted(ends, starts + min_words), every + min_sentences - 1)
     first = np.minimum(np.searchsorted(starts, ends - min_words, side="right") - 1, every - min_sentences + 1)
-    onward, back = np.flatnonzero(last < n), np.flatnonzero(first >= 0)
+    onward = np.flatnonzero(last < np.searchsorted(row[own], row[own], side="right"))
+    back = np.flatnonzero(first >= np.searchsorted(row[own], row[own]))
     runs = np.unique(np.concatenate([onward * n + last[onward], first[back] * n + back]))
-    data = words.tobytes()
-    for a, b in zip((runs // n).tolist(), (runs % n).tolist(), strict=True):
-        digest = xxhash.xxh3_128_intdigest(data[8 * starts[a] : 8 * ends[b]])
-        yield (digest & (2**64 - 1)) - 2**63, ((digest >> 64) & (2**32 - 1)) - 2**31, int(own[a]), int(own[b]) + 1
+    a, b = runs // max(n, 1), runs % max(n, 1)
+    hash_, more = stretch_hashes(words, starts[a], ends[b])
+    return hash_.view(np.int64), more.astype(np.uint32).view(np.int32), own[a], own[b]
 
 
-def _sentences(batch_text: pa.Array) -> Iterator[tuple[bytes, list[int], np.ndarray, np.ndarray]]:
-    """Text, sentence bounds, word hashes and words per sentence of each row."""
+def _sentences(batch_text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of all rows, words of each sentence, each sentence's row and its number there."""
     raw, offsets = text_buffers(batch_text)
-    data, cuts, first = raw.tobytes(), [0], [0]
-    bounds: list[list[int]] = []
+    data, cuts, sizes = raw.tobytes(), [0], []
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         own = sentence_bounds(data[a:b])
-        bounds.append(own)
         cuts += [a + x for x in own[1:]]
-        first.append(len(cuts) - 1)
+        sizes.append(len(own) - 1)
     words, at = word_hashes(raw, np.array(cuts, np.int64))
-    counts = np.diff(at)
-    for k, own in enumerate(bounds):
-        a, b = first[k], first[k + 1]
-        yield data[offsets[k] : offsets[k + 1]], own, words[at[a] : at[b]], counts[a:b]
+    n = np.array(sizes, np.int64)
+    return words, np.diff(at), np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
 def repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -93,24 +84,19 @@ def repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_word
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 2):
-            owners, rows = [], []
-            for owner, (_, _, words, counts) in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), _sentences(batch.column(2)), strict=True):
-                seen: set[tuple[int, int]] = set()
-                for hash_, more, start, end in text_spans(words, counts, min_sentences, min_words):
-                    owners.append(owner)
-                    rows.append((hash_, more, start, end, (hash_, more) in seen))
-                    seen.add((hash_, more))
-                if len(rows) > 50_000:
-                    yield made(owners, rows)
-                    owners, rows = [], []
-            yield made(owners, rows)
+            words, counts, row, number = _sentences(batch.column(2))
+            hash_, more, start, end = batch_spans(words, counts, row, min_sentences, min_words)
+            order = np.lexsort((more, hash_, row[start]))  # stable: equal runs of a row stay in order of place
+            equal = (np.diff(hash_[order]) == 0) & (np.diff(more[order]) == 0) & (np.diff(row[start[order]]) == 0)
+            again = np.zeros(len(order), bool)
+            again[order[1:]] = equal
+            owner = pa.array(row[start])
+            columns = [batch.column(0).take(owner), batch.column(1).take(owner), hash_, more, number[start].astype(np.int32), (number[end] + 1).astype(np.int32), again]
+            made = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["_id", "_own", "hash", "more", "start", "end", "again"])
+            for at in range(0, made.num_rows, 50_000):
+                yield made.slice(at, 50_000)
         give_back_memory()
 
-    def made(owners: list[tuple[int, int]], rows: list[tuple]) -> pa.RecordBatch:
-        columns = [*(list(zip(*owners, strict=True)) or [()] * 2), *(list(zip(*rows, strict=True)) or [()] * 5)]
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["_id", "_own", "hash", "more", "start", "end", "again"])
-
     every = docs.select(*identity(), F.col("text").cast("string")).mapInArrow(spans, "_id long, _own int, hash long, more int, start int, end int, again boolean")
     firsts = every.groupBy("hash", "more").agg(F.count("*").alias("n"), F.min("_id").alias("first"))
     firsts = written(firsts.filter(F.col("n") > 1).select("hash", "more", "first"), "firsts")
