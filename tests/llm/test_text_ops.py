@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF, oracle_rows, same_rows
 from vidspark.llm import decontam, lines, packing, quality, queries, spans, tokens
-from vidspark.llm._common import clean_scratch, read_table
+from vidspark.llm._common import clean_scratch, mix, read_table
 from vidspark.llm._words import word_hashes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -255,6 +255,29 @@ def test_spans_leave_unique_text_of_rows_that_share_an_id(spark):
     assert {(r.doc_id, r.text) for r in got} == {(1, passage), (9, ""), (9, unique)}
 
 
+def brute_runs(sizes, min_sentences, min_words):
+    """Of the words in each sentence of one text: (first, last) of the shortest long enough run from and to every sentence with words."""
+    own = [i for i, n in enumerate(sizes) if n]
+    good = {(own[i], own[j]) for i in range(len(own)) for j in range(i + min_sentences - 1, len(own)) if sum(sizes[own[i] : own[j] + 1]) >= min_words}
+    return {(a, min(y for x, y in good if x == a)) for a, _ in good} | {(max(x for x, y in good if y == b), b) for _, b in good}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 9), max_size=9), max_size=6), st.integers(1, 3), st.integers(1, 20), st.integers(1, 3))
+def test_runs_of_a_batch_are_those_of_its_texts(texts, min_sentences, min_words, kinds):
+    row = np.array([i for i, sizes in enumerate(texts) for _ in sizes], np.int64)
+    number = [k for sizes in texts for k in range(len(sizes))]
+    per_sentence = np.array([n for sizes in texts for n in sizes], np.int64)
+    numbers = np.arange(per_sentence.sum(), dtype=np.uint64) % np.uint64(kinds)
+    hash_, more, start, end = spans.batch_spans(mix(numbers), per_sentence, row, min_sentences, min_words)
+    got = [(int(row[a]), number[a], number[b]) for a, b in zip(start, end, strict=True)]
+    assert got == sorted({(i, a, b) for i, sizes in enumerate(texts) for a, b in brute_runs(sizes, min_sentences, min_words)})
+    ends = np.cumsum(per_sentence)
+    said = [numbers[ends[a] - per_sentence[a] : ends[b]].tobytes() for a, b in zip(start, end, strict=True)]
+    # Equal words give equal hashes, others do not, wherever they stand.
+    assert len(set(zip(hash_.tolist(), more.tolist(), strict=True))) == len(set(said)) == len(set(zip(hash_.tolist(), more.tolist(), said, strict=True)))
+
+
 def brute_repeat(w, n=5):
     seen = Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
     return len({k for i in range(len(w) - n + 1) if seen[tuple(w[i : i + n])] > 1 for k in range(i, i + n)})
