@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, extraction, lines, minhash, packing, quality, sharding, spans, tokens, warc
+from . import clustering, decontam, extraction, lines, minhash, packing, quality, ranking, sharding, spans, tokens, urls, warc
 from ._common import read_table
 
 
@@ -64,6 +64,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return clustering.cluster_vectors(vectors).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranking.ranked_search(docs, read_table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_minhash_dedup": op2_minhash_dedup,
@@ -75,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_url_filters": op12_url_filters,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -224,6 +242,83 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM v
 """
 
+
+
+def _op11_round(k: int) -> str:
+    """Assignment to the centroids ``c{k}``, and the centroids after it."""
+    square = "list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    near = f"a{k} AS MATERIALIZED (SELECT rid, min({{'d': CAST({square} AS BIGINT), 'c': c.c}}) AS o FROM v, c{k} c GROUP BY rid)"
+    floor = "CAST((sum(v.x[i]) - ((sum(v.x[i]) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT)"
+    means = f"m{k} AS (SELECT c, list(m ORDER BY i) AS x FROM (SELECT o.c AS c, i, {floor} AS m FROM a{k} JOIN v USING (rid), range(1, {clustering.DIMENSIONS + 1}) r(i) GROUP BY ALL) GROUP BY c)"
+    return f"{near}, {means}, c{k + 1} AS MATERIALIZED (SELECT c, coalesce(m{k}.x, c{k}.x) AS x FROM c{k} LEFT JOIN m{k} USING (c))"
+
+
+OP11_SQL = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, sha256('{clustering.SEED}:' || vec_id) AS h, list_transform(embedding, lambda x: CAST(floor({clustering.SCALE} * x::DOUBLE) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = {clustering.DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM v ORDER BY h, x LIMIT {clustering.CLUSTERS}),
+{", ".join(_op11_round(k) for k in range(clustering.ROUNDS + 1))}
+SELECT vec_id, CAST(o.c AS INTEGER) AS cluster, o.d AS distance, CAST(sum(o.d) OVER (PARTITION BY o.c) AS BIGINT) AS cluster_inertia, CAST(sum(o.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM v JOIN a{clustering.ROUNDS} USING (rid) JOIN c{clustering.ROUNDS} c ON c.c = o.c
+"""
+
+_FITS = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, said) for said, h, p in sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))]
+
+
+def _op12_order(k: int) -> str:
+    """Smoothed likelihoods of both models with k characters of context at most."""
+    size, mixed = urls._BITS ** (k + 1), []
+    for n in ("allowed", "blocked"):
+        low = f"p{k - 1}.{n}_below" if k else f"1.0::DOUBLE / {urls.ALPHABET}"
+        mixed.append(f"CASE WHEN {n}_seen >= {urls.MIN_SEEN} THEN ({n} + {n}_kinds * {low}) / ({n}_seen + {n}_kinds) ELSE {low} END AS {n}_below")
+    return f"""
+g{k} AS (SELECT gram % {size} AS gram, gram % {size} // {urls._BITS} AS context, sum(allowed)::DOUBLE AS allowed, sum(blocked)::DOUBLE AS blocked FROM counts GROUP BY ALL),
+x{k} AS (SELECT context, sum(allowed) AS allowed_seen, sum(blocked) AS blocked_seen, count(*) FILTER (WHERE allowed > 0) AS allowed_kinds, count(*) FILTER (WHERE blocked > 0) AS blocked_kinds FROM g{k} GROUP BY context),
+p{k} AS (SELECT g{k}.gram, {", ".join(mixed)} FROM g{k} JOIN x{k} USING (context){f" JOIN p{k - 1} ON p{k - 1}.gram = g{k}.gram % {urls._BITS**k}" if k else ""})"""
+
+
+OP12_SQL = rf"""
+WITH u AS (
+  SELECT row_number() OVER () AS rid, page_id, coalesce(url, '') AS url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+r AS (
+  SELECT *, CASE {" ".join(f"WHEN {fits} THEN '{rule}'" for fits, rule, _ in _FITS)} END AS rule, CASE {" ".join(f"WHEN {fits} THEN '{said}'" for fits, _, said in _FITS)} END AS said,
+         substr(md5(url), 1, 1) IN ({", ".join(f"'{c}'" for c in urls.HELD_OUT)}) AS held,
+         regexp_replace(regexp_replace(translate(host || path, '{_UPPER}', '{_LOWER}'), '[0-9]', '0', 'g'), '[^a-z0./_%:~-]', '?', 'g') AS t FROM u),
+s AS (SELECT *, repeat(chr(1), {urls.ORDER}) || t || chr(2) AS padded FROM r),
+e AS (
+  SELECT rid, said, held, {" + ".join(f"ascii(substr(padded, i + {k}, 1)) * {urls._BITS ** (urls.ORDER - k)}" for k in range(urls.ORDER + 1))} AS gram
+  FROM (SELECT rid, said, held, padded, unnest(range(1, length(t) + 2)) AS i FROM s)),
+counts AS MATERIALIZED (
+  SELECT gram, count(*) FILTER (WHERE said = 'allow' AND NOT held) AS allowed, count(*) FILTER (WHERE said = 'block' AND NOT held) AS blocked FROM e GROUP BY gram),
+{", ".join(_op12_order(k) for k in range(urls.ORDER + 1))},
+scores AS (SELECT gram, CAST(floor(1000 * (ln(allowed_below) - ln(blocked_below))) AS BIGINT) AS score FROM p{urls.ORDER}),
+means AS MATERIALIZED (SELECT rid, any_value(said) AS said, any_value(held) AS held, CAST(floor(sum(score)::DOUBLE / count(*)) AS BIGINT) AS mean FROM e JOIN scores USING (gram) GROUP BY rid),
+bins AS (
+  SELECT greatest(least(mean, {urls.MOST_SCORE}), -{urls.MOST_SCORE}) AS at_score, count(*) FILTER (WHERE said = 'allow') AS a, count(*) FILTER (WHERE said = 'block') AS b
+  FROM means WHERE held AND said IS NOT NULL GROUP BY 1),
+sums AS (SELECT CASE WHEN at_score <= 0 THEN at_score ELSE greatest(coalesce(lead(at_score) OVER w + 1, 0), 0) END AS at_score, sum(a) OVER w AS a_from, sum(b) OVER w AS b_from, sum(a) OVER () AS a, sum(b) OVER () AS b FROM bins WINDOW w AS (ORDER BY at_score DESC)),
+best AS (SELECT coalesce((SELECT at_score FROM sums WHERE a > 0 AND b > 0 ORDER BY a_from * b + (b - b_from) * a DESC, abs(at_score), at_score LIMIT 1), 0) AS least_score)
+SELECT page_id, host, path, rule, coalesce(r.said, CASE WHEN mean >= least_score THEN 'allow' ELSE 'block' END) AS verdict FROM r JOIN means USING (rid), best
+"""
+
+OP13_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+whole AS (SELECT count(*) FILTER (WHERE len(words) > 0) AS n_docs, CAST(sum(len(words)) AS BIGINT) AS n_terms FROM d),
+held AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(words) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, whole GROUP BY term),
+m AS (SELECT rid, doc_id, 100 - 50 + (50 * len(words) * n_docs) // n_terms AS m FROM d, whole WHERE len(words) > 0),
+scored AS (
+  SELECT item_id, rid, any_value(doc_id) AS doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM q JOIN held USING (term) JOIN weights USING (term) JOIN m USING (rid) GROUP BY item_id, rid),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= {ranking.TOP}
+"""
+
 SQL: dict[str, str] = {
     "op2_minhash_dedup": OP2_SQL,
     "op3_decontamination": OP3_SQL,
@@ -231,4 +326,7 @@ SQL: dict[str, str] = {
     "op5_line_dedup": OP5_SQL,
     "op7_substring_dedup": OP7_SQL,
     "op9_quality_rules": OP9_SQL,
+    "op11_centroid_clustering": OP11_SQL,
+    "op12_url_filters": OP12_SQL,
+    "op13_ranked_search": OP13_SQL,
 }
