@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions import call, tpoint, vision
 from .functions.lens import PinholeLens, VRLens
 from .functions.stbox import Volume, centre, half_extents, overlaps, stbox
-from .operators import video
+from .operators import tracking, video
 from .operators.joins import overlap_join, with_items
 from .sources import catalog, events
 from .sources.ingest import boxes, ingest, label_rows, merge_boxes, merge_trajectories
@@ -519,3 +519,17 @@ SELECT vec_id, anchor_id FROM e, a WHERE 1 - list_sum(list_transform(list_zip(em
 def appearance_gate(spark, sf_dir):
     e = events.read(spark, sf_dir, "embeddings")
     return vision.cosine_pairs(e, e.filter("vec_id % 100 = 0"))
+
+
+def _seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections of 25 cameras with the look of their user: the vector of that id."""
+    looks = events.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("user_id"), "embedding")
+    user = F.element_at(F.split("item_id", "-"), -1).cast("long")
+    d = events.detections(spark, sf_dir).select((user % 25).cast("string").alias("camera_id"), F.floor(F.col("event_id") / 40).cast("int").alias("frame"), "object_type", "x1", "y1", "x2", "y2", user.alias("user_id"))
+    return d.join(looks, "user_id", "left")
+
+
+@_query(None)
+def track_association(spark, sf_dir):
+    """Items of detections that are associated by look and motion, frame by frame, in each camera."""
+    return vision.confirmed_tracks(tracking.track(_seen(spark, sf_dir), tracking.Rules(motion_gate=None))).select("camera_id", "item_id", "frame", "x1", "y1", "x2", "y2")
