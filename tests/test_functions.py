@@ -140,7 +140,7 @@ def test_grid_join_equals_brute_force(spark):
     rng = np.random.default_rng(2)
     boxes = [Volume(*map(float, (x, y, 0, x + w, y + h, 1))) for x, y, w, h in zip(*rng.integers(-20, 20, (2, 40)), *rng.integers(0, 15, (2, 40)), strict=True)]
     make = lambda part, n, c: spark.createDataFrame([(i, tuple(getattr(v, d) for d in ("xmin", "ymin", "zmin", "xmax", "ymax", "zmax"))) for i, v in enumerate(part)], f"{n} int, {c} struct<xmin double, ymin double, zmin double, xmax double, ymax double, zmax double>").withColumn(c, F.col(c).withField("tmin", F.lit(None).cast("timestamp_ntz")).withField("tmax", F.lit(None).cast("timestamp_ntz")))
-    got = sorted((r.a, r.b) for r in overlap_join(make(boxes[:20], "a", "bbox"), make(boxes[20:], "b", "region"), 4.0).collect())
+    got = sorted((r.a, r.b) for r in overlap_join(make(boxes[:20], "a", "bbox"), make(boxes[20:], "b", "region")).collect())
     want = sorted((i, j) for i, p in enumerate(boxes[:20]) for j, q in enumerate(boxes[20:]) if p.xmin <= q.xmax and p.xmax >= q.xmin and p.ymin <= q.ymax and p.ymax >= q.ymin)
     assert got == want
 
@@ -149,7 +149,7 @@ def test_overlap_join_of_boxes_of_any_size(spark):
     rng = np.random.default_rng(3)
     rows = [(i, float(x), float(y), float(x + w), float(y + h)) for i, (x, y, w, h) in enumerate(zip(*rng.uniform(-500, 500, (2, 60)), *(2.0 ** rng.uniform(-3, 12, (2, 60))), strict=True))] + [(99, None, 0.0, None, 1.0)]
     made = lambda part, name, box: spark.createDataFrame(part, f"{name} int, a double, b double, c double, d double").select(name, stbox("a", "b", F.lit(0.0), "c", "d", F.lit(0.0)).alias(box))
-    joined = overlap_join(made(rows[:30] + rows[-1:], "i", "bbox"), made(rows[30:], "j", "region"), 1.0)
+    joined = overlap_join(made(rows[:30] + rows[-1:], "i", "bbox"), made(rows[30:], "j", "region"))
     assert sorted((r.i, r.j) for r in joined.collect()) == sorted((p[0], q[0]) for p in rows[:30] for q in rows[30:60] if p[1] <= q[3] and p[3] >= q[1] and p[2] <= q[4] and p[4] >= q[2])
 
 

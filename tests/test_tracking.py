@@ -141,10 +141,16 @@ def brute_items(rows, rules):
             w, h = (max(0, min(a[k + 2], b[k + 2]) - max(a[k], b[k])) for k in (0, 1))
             return 1 - w * h / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h)
 
+        def look(t, d):
+            h, gap = t[2][3], z[d] - t[2][:4]
+            motion = gap @ np.linalg.inv(t[3][:4, :4] + np.diag(np.square([h / 20, h / 20, 1e-1, h / 20]))) @ gap
+            apart = min(1 - one @ looks[d] for one in t[4])
+            return apart + 1e-6 * motion / (motion + 1) if apart <= rules.max_distance else 1e5
+
         for age in [*range(1, rules.greatest_age + 2), None]:
             some = [t for t in tracks if not any(t is x for x in done) and (t[7] and t[6] == age if age else not t[7] or t[6] == 1)]
-            cost = [[overlap(t, d) if age is None else min(1 - look @ looks[d] for look in t[4]) for d in free] for t in some]
-            pairs = cheapest(np.array(cost).reshape(len(some), len(free)), rules.max_overlap_distance if age is None else rules.max_distance)
+            cost = [[overlap(t, d) if age is None else look(t, d) for d in free] for t in some]
+            pairs = cheapest(np.array(cost).reshape(len(some), len(free)), rules.max_overlap_distance if age is None else rules.max_distance + 1e-6)
             for i, j in pairs:
                 t, d = some[i], free[j]
                 h = t[2][3]
@@ -159,14 +165,14 @@ def brute_items(rows, rules):
         for d in free:
             count += 1
             h = z[d][3]
-            tracks.append([count, seen[d]["object_type"], np.append(z[d], [0, 0, 0, 0]), np.diag(np.square([h / 10, h / 10, 1e-2, h / 10, h / 16, h / 16, 1e-5, h / 16])), [looks[d]], 1, 0, False])
+            tracks.append([count, seen[d]["object_type"], np.append(z[d], [0, 0, 0, 0]), np.diag(np.square([h / 10, h / 10, 1e-2, h / 10, h / 16, h / 16, 1e-5, h / 16])), [looks[d]], 1, 0, rules.hits <= 1])
         out += [(frame, t[0], t[1], bool(t[7]), t[6], *(round(float(x), 6) for x in corners(t[2]))) for t in tracks if t[6] <= 1]
     return out
 
 
 def test_query_equals_brute_force(spark):
     """A few cameras of the query, where frames are small enough to try all assignments."""
-    rules = Rules(motion_gate=None)
+    rules = queries.TRACKING
     seen = queries._seen(spark, SF).filter("camera_id in ('1', '7', '12')")
     got = {}
     for r in tracking.track(seen, rules).collect():

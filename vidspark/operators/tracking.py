@@ -17,6 +17,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..constants import GREATEST_AGE, HITS_TO_CONFIRM, MAX_COSINE_DISTANCE, MAX_OVERLAP_DISTANCE, MOTION_GATE, POSITION_WEIGHT, VELOCITY_WEIGHT
 
+#: Of equal looks, the nearer by motion is cheaper by up to this.
+TIE = 1e-6
 OUTPUT = "camera_id string, frame int, track_id long, object_type string, confirmed boolean, frames_since_update int, x1 double, y1 double, x2 double, y2 double"
 
 
@@ -78,10 +80,17 @@ def _seen(track: Track) -> tuple[np.ndarray, np.ndarray]:
     return track.mean[:4], track.covariance[:4, :4] + np.diag(np.square([p, p, 1e-1, p]))
 
 
-def _predict(track: Track) -> None:
-    noise = _noise(track.mean[3], 1, 1e-2, 1, 1e-5)
-    track.mean, track.covariance = _MOVE @ track.mean, _MOVE @ track.covariance @ _MOVE.T + noise
-    track.since += 1
+def _predict(tracks: list[Track]) -> None:
+    """All tracks one frame on."""
+    if not tracks:
+        return
+    means, covariances = np.stack([t.mean for t in tracks]), np.stack([t.covariance for t in tracks])
+    h = means[:, 3]
+    p, v, one = POSITION_WEIGHT * h, VELOCITY_WEIGHT * h, np.ones(len(tracks))
+    noise = np.square(np.stack([p, p, 1e-2 * one, p, v, v, 1e-5 * one, v], 1))
+    covariances = _MOVE @ covariances @ _MOVE.T + noise[:, :, None] * np.eye(8)
+    for track, mean, covariance in zip(tracks, means @ _MOVE.T, covariances, strict=True):
+        track.mean, track.covariance, track.since = mean, covariance, track.since + 1
 
 
 def _update(track: Track, box: np.ndarray, look: np.ndarray | None, rules: Rules) -> None:
@@ -128,18 +137,21 @@ def _paired(cost: np.ndarray, most: float) -> list[tuple[int, int]]:
 
 
 def _distances(tracks: list[Track], boxes: np.ndarray, looks: np.ndarray | None, rules: Rules) -> np.ndarray:
-    out = np.zeros((len(tracks), len(boxes)))
-    measured = np.array([_measured(b) for b in boxes])
+    if not tracks or not len(boxes):
+        return np.zeros((len(tracks), len(boxes)))
+    means, covariances = np.stack([t.mean[:4] for t in tracks]), np.stack([t.covariance[:4, :4] for t in tracks])
+    p = np.square(POSITION_WEIGHT * means[:, 3])
+    covariances = covariances + np.stack([p, p, np.full(len(p), 1e-2), p], 1)[:, :, None] * np.eye(4)
+    gap = np.swapaxes(np.array([_measured(b) for b in boxes]) - means[:, None], 1, 2)
+    motion = (gap * np.linalg.solve(covariances, gap)).sum(1)
+    # Where there is nothing to look at: the nearest by motion, each within max_distance.
+    out = motion / (motion + 1 if rules.motion_gate is None else rules.motion_gate) * rules.max_distance
     for i, track in enumerate(tracks):
-        mean, covariance = _seen(track)
-        gap = measured - mean
-        motion = np.einsum("ij,ij->i", gap, np.linalg.solve(covariance, gap.T).T)
         if looks is not None and track.gallery.size:
-            out[i] = (1 - track.gallery @ looks.T).min(0)
-        else:  # nothing to look at: the nearest by motion, each within max_distance
-            out[i] = motion / (motion + 1 if rules.motion_gate is None else rules.motion_gate) * rules.max_distance
-        if rules.motion_gate is not None:
-            out[i, motion > rules.motion_gate] = np.inf
+            look = (1 - track.gallery @ looks.T).min(0)
+            out[i] = np.where(look <= rules.max_distance, look + TIE * motion[i] / (motion[i] + 1), np.inf)
+    if rules.motion_gate is not None:
+        out[motion > rules.motion_gate] = np.inf
     return np.nan_to_num(out, nan=np.inf, posinf=1e5)
 
 
@@ -168,29 +180,30 @@ def step(state: State, frame: int, boxes: np.ndarray, looks: np.ndarray | None,
 
 
 def _frame(state: State, boxes: np.ndarray, looks: np.ndarray | None, types: list, rules: Rules) -> None:
-    for track in state.tracks:
-        _predict(track)
+    _predict(state.tracks)
     open_ = list(range(len(boxes)))
     matched: set[int] = set()
 
-    def take(some: list[int], cost, most: float) -> None:
-        """Assigns tracks, by their places, to open detections."""
-        if not some or not open_:
-            return
-        pairs = _paired(cost([state.tracks[i] for i in some], boxes[open_]), most)
-        for i, j in pairs:
-            d = open_[j]
-            _update(state.tracks[some[i]], boxes[d], None if looks is None else looks[d], rules)
+    def take(some: list[int], cost: np.ndarray, most: float) -> None:
+        """Assigns tracks, by their places, to open detections, at a cost for each of both."""
+        for i, j in reversed(_paired(cost, most)):
+            _update(state.tracks[some[i]], boxes[open_[j]], None if looks is None else looks[open_[j]], rules)
             matched.add(some[i])
-        for j in sorted((j for _, j in pairs), reverse=True):
-            del open_[j]
+            gone.append(open_[j])
+        open_[:] = [d for d in open_ if d not in gone]
 
+    gone: list[int] = []
     known = [i for i, t in enumerate(state.tracks) if t.confirmed]
-    for age in sorted({state.tracks[i].since for i in known}):
-        by_look = lambda tracks, some: _distances(tracks, some, None if looks is None else looks[open_], rules)
-        take([i for i in known if i not in matched and state.tracks[i].since == age], by_look, rules.max_distance)
+    most = rules.max_distance + TIE
+    apart = _distances([state.tracks[i] for i in known], boxes, looks, rules)
+    ages = np.array([state.tracks[i].since for i in known], int)
+    for age in np.unique(ages) if len(boxes) else ():
+        rows = np.flatnonzero(ages == age)
+        if open_ and (apart[np.ix_(rows, open_)] <= most).any():
+            take([known[k] for k in rows], apart[np.ix_(rows, open_)], most)
     rest = [i for i, t in enumerate(state.tracks) if i not in matched and (not t.confirmed or t.since == 1)]
-    take(rest, _overlaps, rules.max_overlap_distance)
+    if rest and open_:
+        take(rest, _overlaps([state.tracks[i] for i in rest], boxes[open_]), rules.max_overlap_distance)
     state.tracks = [t for i, t in enumerate(state.tracks) if i in matched or t.confirmed and t.since <= rules.greatest_age]
     for d in open_:
         at = _measured(boxes[d])
@@ -232,18 +245,20 @@ def track(detections: DataFrame, rules: Rules = Rules()) -> DataFrame:
         camera, state, held = None, State(), []
 
         def ended() -> list[tuple]:
-            rows = pd.concat(held, ignore_index=True)
+            rows = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
             held.clear()
-            return [(camera, *r) for r in step(state, int(rows["frame"].iloc[0]), *_columns(rows), rules)]
+            return [(camera, *r) for r in step(state, int(rows["frame"].iat[0]), *_columns(rows), rules)]
 
         for batch in batches:
             out: list[tuple] = []
-            for (name, frame), rows in batch.groupby(["camera_id", "frame"], sort=False):
-                if held and (name != camera or frame != held[0]["frame"].iloc[0]):
+            names, frames = batch["camera_id"].to_numpy(), batch["frame"].to_numpy()
+            cuts = np.flatnonzero(np.append(True, (names[1:] != names[:-1]) | (frames[1:] != frames[:-1]))[: len(batch)])
+            for at, to in zip(cuts.tolist(), [*cuts[1:].tolist(), len(batch)], strict=True) if len(cuts) else ():
+                if held and (names[at] != camera or frames[at] != held[0]["frame"].iat[0]):
                     out += ended()
-                if name != camera:
-                    camera, state = name, State()
-                held.append(rows)
+                if names[at] != camera:
+                    camera, state = names[at], State()
+                held.append(batch.iloc[at:to])
             yield pd.DataFrame(out, columns=_NAMES)
         if held:
             yield pd.DataFrame(ended(), columns=_NAMES)

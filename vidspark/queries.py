@@ -317,7 +317,7 @@ def view_join(spark, sf_dir):
 def overlap_join_regions(spark, sf_dir):
     regions = spark.createDataFrame([(1, 0.0, 0.0, 20.0, 20.0), (2, 50.0, 50.0, 90.0, 90.0)], "region_id int, a double, b double, c double, d double")
     regions = regions.select("region_id", stbox("a", "b", F.lit(0.0), "c", "d", F.lit(2.0)).alias("region"))
-    return overlap_join(world(spark, sf_dir).bboxes.select("item_id", "bbox"), regions, cell=10.0).select("item_id", F.col("bbox.tmin").alias("t"), "region_id")
+    return overlap_join(world(spark, sf_dir).bboxes.select("item_id", "bbox"), regions).select("item_id", F.col("bbox.tmin").alias("t"), "region_id")
 
 
 @_query(f"@{_POINTS} SELECT item_id, count(*) AS n, round(sum(x), 4) AS sx FROM pts WHERE item_id IN (SELECT item_id FROM det WHERE object_type = 'click' AND {_MEETS} AND {_IN_TIME}) GROUP BY item_id")
@@ -529,7 +529,23 @@ def _seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(looks, "user_id", "left")
 
 
+#: Users come back after frames without them, so one detection makes a track, and looks alone tell where it goes on.
+TRACKING = tracking.Rules(motion_gate=None, hits=1)
+
+
 @_query(None)
 def track_association(spark, sf_dir):
     """Items of detections that are associated by look and motion, frame by frame, in each camera."""
-    return vision.confirmed_tracks(tracking.track(_seen(spark, sf_dir), tracking.Rules(motion_gate=None))).select("camera_id", "item_id", "frame", "x1", "y1", "x2", "y2")
+    return vision.confirmed_tracks(tracking.track(_seen(spark, sf_dir), TRACKING)).select("camera_id", "item_id", "frame", "x1", "y1", "x2", "y2")
+
+
+@_query(
+    """SELECT a.item_id AS a, b.item_id AS b, a.t AS at, b.t AS bt FROM det a JOIN det b ON a.object_type = 'click' AND b.object_type = 'view' AND a.x1 <= b.x2 AND a.x2 >= b.x1 AND a.y1 <= b.y2 AND a.y2 >= b.y1
+  AND a.t <= b.t + INTERVAL 1 HOUR AND b.t <= a.t + INTERVAL 1 HOUR"""
+)
+def objects_meet(spark, sf_dir):
+    """Objects of two types that are at one place within an hour: a join of boxes with boxes in space and time."""
+    d = boxes(events.detections(spark, sf_dir))
+    lasting = F.col("bbox").withField("tmax", F.col("bbox.tmin") + F.expr("interval 1 hour"))
+    of = lambda kind, item, box: d.filter(F.col("object_type") == kind).select(F.col("item_id").alias(item), lasting.alias(box))
+    return overlap_join(of("click", "a", "bbox"), of("view", "b", "region")).select("a", "b", F.col("bbox.tmin").alias("at"), F.col("region.tmin").alias("bt"))

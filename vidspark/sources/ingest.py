@@ -49,12 +49,16 @@ def merge_boxes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def merge_trajectories(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Trajectories with the instants of both; at an instant that both have, the old one stays."""
+    """Trajectories with the instants of both; at an instant that both have, the old one stays.
+
+    An item may have several rows on either side; all their points count. Old points at one instant all stay, of new ones the least does. Null trajectories have no points.
+    """
     both = old.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
     box = F.col("largest_bbox")
     extent = [f(box.getField(f"{d}{m}")).alias(f"{d}{m}") for m, f in (("min", F.min), ("max", F.max)) for d in "xyz"]
     first = lambda c: F.min_by(c, F.struct("_new", c)).alias(c)
-    parts = both.groupBy("item_id").agg(first("camera_id"), first("object_type"), first("color"), F.max(F.when(~F.col("_new"), F.col("traj"))).alias("_old"), F.max(F.when(F.col("_new"), F.col("traj"))).alias("_added"), *extent)
+    side = lambda which: F.flatten(F.collect_list(F.when(which, F.col("traj"))))
+    parts = both.groupBy("item_id").agg(first("camera_id"), first("object_type"), first("color"), side(~F.col("_new")).alias("_old"), side(F.col("_new")).alias("_added"), *extent)
     # Both lists in order of time, old before new; a new instant goes if the one before it has its time.
     tagged = lambda c, new: F.transform(F.coalesce(c, F.array().cast(old.schema["traj"].dataType)), lambda p: F.struct(p["t"].alias("t"), F.lit(new).alias("new"), *[p[d].alias(d) for d in "xyz"]))
     every = F.array_sort(F.concat(tagged("_old", False), tagged("_added", True)))
