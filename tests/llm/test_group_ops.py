@@ -453,6 +453,19 @@ def test_shards_with_a_hot_group_and_odd_rows(spark):
     check_shards(sharding.shard_documents(df.limit(3)).collect(), 8)
 
 
+def test_rows_of_one_id_and_text_share_no_bucket(spark, monkeypatch):
+    """A third of all rows are equal, another third have neither id nor text: all fill buckets evenly."""
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 50)
+    rows = [(7, "same", "en")] * 800 + [(None, None, None)] * 800 + [(i, f"alone {i}", "en") for i in range(100, 900)]
+    frame = spark.createDataFrame(rows, DOCS)
+    check_shards(sharding.shard_documents(frame).collect(), 8)
+    base = spark.createDataFrame([(1, 7, 0, 800, k) for k in range(800)] + [(k, k, None, 1, k) for k in range(800)], "node long, doc_id long, shard int, _copies long, _number long")
+    placed = sharding.level(base, 4)
+    sizes = base.filter("shard = 0").groupBy(F.pmod(F.shiftright(F.xxhash64("node", "doc_id"), 1) + F.col("_number"), F.lit(16))).count().collect()
+    assert len(sizes) == 16 and max(r["count"] for r in sizes) == 50
+    assert sorted((r.shard, r.slot) for r in placed.collect()) == [(s, k) for s in range(4) for k in range(400)]
+
+
 def test_propagation_follows_general_links(spark):
     edges = [(10 * c + i, 10 * c + j) for c in range(40) for i in range(6) for j in range(i)]
     nodes = spark.createDataFrame([(10 * c + i, 1) for c in range(40) for i in range(6)], "node long, weight long")

@@ -53,6 +53,9 @@ def propagate(nodes: DataFrame, edges: DataFrame, shards: int = SHARDS, rounds:
     room is left. Which of them move is drawn by hash, so a rerun draws the same.
 
     Neighbours are counted by partial sums of (node, shard), never listed; the driver sees sums by shard only.
+
+    Repeated edges and edges from a node to itself count once and not at all; edges with a null end, and ends that are no node, are disregarded. No nodes
+    or no edges give no rows. Other columns are not read.
     """
     if total is None:
         total = nodes.agg(F.sum("weight")).first()[0] or 0
@@ -91,13 +94,17 @@ def level(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     Rows are numbered within shards by hash buckets of about BUCKET_ROWS, whose counts are summed up by Spark; the driver sees the
     shards' counts. Rows without shard, and those beyond a shard's share, then fill the other shards' open slots in order. Rows that are
-    equal in node and doc_id are interchangeable. No rows give no rows.
+    equal in node and doc_id are interchangeable; of a node with more of them than a bucket is to have (_copies), they go to the buckets by a number that was written with
+    them (_number), so no bucket gets them all and a rerun deals them alike. Both columns may be missing: then equal rows share a bucket. Null shards are no shard, null nodes and ids values like others. No rows give no rows.
     """
     rows = rows.withColumn("_lane", F.coalesce("shard", F.lit(shards)))
     held = {r._lane: r["count"] for r in rows.groupBy("_lane").count().collect()}  # one row a shard, and one
     lanes = [held.get(lane, 0) for lane in range(shards + 1)]
     total = sum(lanes)
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("node", "doc_id"), _case(F.col("_lane"), [max(1, -(-n // BUCKET_ROWS)) for n in lanes])))
+    hashed = F.xxhash64("node", "doc_id")
+    if "_copies" in rows.columns:
+        hashed = F.when(F.col("_copies") > BUCKET_ROWS, F.shiftright(hashed, 1) + F.col("_number")).otherwise(hashed)
+    rows = rows.withColumn("_bucket", F.pmod(hashed, _case(F.col("_lane"), [max(1, -(-n // BUCKET_ROWS)) for n in lanes])))
     upto = F.sum("count").over(Window.partitionBy("_lane").orderBy("_bucket"))
     starts = rows.groupBy("_lane", "_bucket").count().select("_lane", "_bucket", (upto - F.col("count")).alias("_before"))
     share = [total // shards + (s < total % shards) for s in range(shards)]
@@ -131,12 +138,14 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(F.encode(text, "utf-8")), F.lit(0)).cast("long").alias("text_crc32"), F.md5(text).alias("_text")
     )
-    rows = written(rows.withColumn("node", F.xxhash64(id_key("doc_id"), "_text")), "rows")
+    rows = written(rows.withColumns({"node": F.xxhash64(id_key("doc_id"), "_text"), "_number": F.monotonically_increasing_id()}), "rows")
     groups = rows.filter(F.col("_text").isNotNull()).groupBy("_text").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter(F.col("n") > 1)
     groups = written(groups.select("_text", "hub"), "groups")
     linked = written(rows.select("node", "_text").join(groups, "_text").groupBy("node", "hub").agg(F.count("*").alias("weight")), "linked")
     edges = linked.filter(F.col("node") != F.col("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b"))
     nodes = linked.groupBy("node").agg(F.sum("weight").alias("weight"))
-    labels = propagate(nodes, edges, shards, rounds, rows.count()).select("node", "shard")
+    labels = propagate(nodes, edges, shards, rounds, rows.count()).select("node", "shard", F.col("weight").alias("_copies"))
+    bare = rows.filter(F.col("_text").isNull()).groupBy("node").agg(F.count("*").alias("_copies")).filter(F.col("_copies") > 1)
+    labels = labels.unionByName(bare.withColumn("shard", F.lit(None).cast("int")))
     placed = level(rows.join(labels, "node", "left"), shards)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
