@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -292,6 +293,35 @@ def test_names_alone_leave_article_text(spark):
     assert {r.text for r in extraction.extract(spark.createDataFrame(rows, PAGES)).collect()} == {f"Story {i} is told" for i in range(12)}
 
 
+def test_names_and_comments_around_articles():
+    text = extraction.main_text
+    assert text('<article><section id="ad-hoc-queries"><h2>Ad hoc</h2><p>One</p></section><section id="comment-syntax"><p>Two</p></section><div class="sponsored-research"><p>Three</p></div></article>') == "Ad hoc\n\nOne\n\nTwo\n\nThree"
+    assert text('<article>Main</article><section class="comments"><article>Reader says</article></section>') == "Main"
+    assert text('<section class="comments"><article>Reader says</article></section><article>Main</article>') == "Main"
+    assert text('<main><article>Main</article><article class="comment">Reader says</article></main>') == "Main"
+    assert text('<article>Main<article class="comment">Reader says</article></article>') == "Main"
+    assert text('<main><h1>Main</h1><div class="comments"><p>Reader says</p></div></main>') == "Main"
+    assert text('<div class="story"><p>Main</p></div><div class="promo"><p>Buy now</p></div><div class="notice"><p>We use cookies.</p></div>') == "Main"
+    assert text('<p class="x>first</p><p>second</p>') == "first\n\nsecond"
+    assert text("<p title=it's>first</p><p>isn't</p>") == "first\n\nisn't"
+    assert text('<a title="a > b">x</a> <b id=">') == "x"
+    assert text('<div class="page-with-sidebar"><div class="sidebar"><p>Links</p></div><article><p>Main</p></article></div>') == "Main"
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<div>t", '<a b=">"', "<b>", "<b><p>", "<em><li>", "</x><i>", "<script", "</script <script>", '<p class="', "<p class='x", "<!-", "&", "<div class=c7><span>t</span>", "<table><tr><td>", "<x =\"' "])
+def test_broken_pages_take_linear_time(unit):
+    def seconds(of, n):
+        page = unit * (n // len(unit))
+        began = time.perf_counter()
+        of(page)
+        return time.perf_counter() - began
+
+    if unit in ("<a ", "<div>t"):
+        assert seconds(extraction.main_text, 1_000_000) < 5
+    for of in (extraction.main_text, extraction.tree_features):
+        assert seconds(of, 400_000) < 8 * seconds(of, 100_000) + 0.5  # sixteen times, were it quadratic
+
+
 def test_fixed_branches_go_however_short_the_story(spark):
     label = "Get our letter. " * 13
     page = lambda i: f"<body><div class=zq>{label}</div><div class=st>Here is story {i}</div><div class=yy>Seen in <p>town {i}</p></div></body>"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -48,7 +49,20 @@ STRONG_NAMES = {"ad", "ads", "advert", "advertisement", "comment", "comments", "
 CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "details", "center", "ins", "figure"}
 NOISE_ROLES = {"alert", "alertdialog", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search", "toolbar"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+#: Classes of adverts and reader comments, as they are written out; names that are read as comments.
+STRONG_CLASSES = {
+    "ad", "ad-banner", "ad-block", "ad-box", "ad-container", "ad-slot", "ad-unit", "ad-wrapper", "ads", "adsbygoogle", "advert", "advertisement", "comment", "comment-list", "comment-section", "commentlist", "comments",
+    "comments-area", "comments-section", "sponsored",
+}
+COMMENT_NAMES = {"comment", "comments", "commentlist", "disqus", "replies", "reply", "respond"}
+#: Longer labels are told apart by their hash.
+LONGEST_LABEL = 80
+
+# What never gives back a character that it has taken, so a failure costs one pass; a quote that is not closed is a character like others.
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>")
+_LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>")
+_OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|[^<]++|<", re.S)
+_NAME = re.compile(r"</?[a-zA-Z]")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _MARKS = re.compile(r"[|·•©]+|[.!?;]+(?=\s|$)")
@@ -56,10 +70,11 @@ _MARKS = re.compile(r"[|·•©]+|[.!?;]+(?=\s|$)")
 
 @dataclass
 class Node:
-    """An element. label names it in the style tree: its tag, id and classes, digits left out.
+    """An element. label names it in the style tree: its tag, id and classes, digits left out; path: labels of the block elements from the root to it, LEVELS at most.
 
-    noise: 3 by its tag or role, 2 if it is a container with a name of adverts or reader comments, 1 by another name, else 0. main:
-    whether it is in an article or main element. held: whether it has a heading or paragraph in it.
+    noise: 3 by its tag or role, 2 if it is a container with a name of adverts or reader comments, 1 by another name, else 0. whole: whether such a name stands by itself, as an id or class; strong: whether
+    one of its classes is in STRONG_CLASSES; comment: whether it has a name of comments. main: whether it is in an article or main element. held: whether it has a heading or paragraph in it. named: whether it
+    or what it is in has noise. block: the nearest block element, itself included; scoped: the nearest element that may end others or be ended by them.
     """
 
     tag: str
@@ -69,31 +84,38 @@ class Node:
     parent: Node | None = None
     children: list[Node | str] = field(default_factory=list)
     held: bool = False
+    whole: bool = False
+    strong: bool = False
+    comment: bool = False
+    path: str = ""
+    depth: int = 0
+    named: bool = False
+    block: Node | None = None
+    scoped: Node | None = None
 
-    def path(self) -> str:
-        """Labels of the block elements from the root to this one, LEVELS at most."""
-        node, out = self, []
-        while node is not None:
-            if node.tag in BLOCK:
-                out.append(node.label)
-            node = node.parent
-        return ">".join(out[: -LEVELS - 1 : -1])
+    def __post_init__(self) -> None:
+        up = self.parent
+        self.path, self.depth = (up.path, up.depth) if up is not None else ("", 0)
+        if self.tag in BLOCK and self.depth < LEVELS:
+            self.path, self.depth = f"{self.path}>{self.label}" if self.depth else self.label, self.depth + 1
+        self.named = self.noise > 0 or up is not None and up.named
+        self.block = self if self.tag in BLOCK or up is None else up.block
+        self.scoped = self if self.tag in SCOPE or self.tag in _CLOSABLE or up is None else up.scoped
 
-    def named(self) -> bool:
-        node = self
-        while node is not None and not node.noise:
-            node = node.parent
-        return node is not None
+
+_CLOSABLE = set().union(*CLOSED_BY.values())
 
 
 def _node(tag: str, attributes: str, parent: Node | None) -> Node:
     names: list[str] = []
+    classes: list[str] = []
     hidden, role = False, ""
     if attributes.strip(" /\t\n\r"):
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), a or b or c
             if name in ("class", "id"):
                 names += value.split()
+                classes += value.split() if name == "class" else []
             elif name == "role":
                 role = value.lower().strip()
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
@@ -108,64 +130,84 @@ def _node(tag: str, attributes: str, parent: Node | None) -> Node:
     elif words & NOISE_NAMES and tag not in ("html", "body", "main", "article") or "header" in words and tag not in ("html", "body") and not main:
         noise = 1
     label = re.sub(r"\d+|>", "#", ".".join([tag, *sorted({n.lower() for n in names})]))
-    out = Node(tag, label, noise, main or role == "main", parent)
+    if len(label) > LONGEST_LABEL:
+        label = f"{tag}.~{xxhash.xxh3_64_hexdigest(label.encode())}".translate(_LETTERS)
+    out = Node(tag, label, noise, main or role == "main", parent, whole=not NOISE_NAMES.isdisjoint(n.lower() for n in names), strong=not STRONG_CLASSES.isdisjoint(n.lower() for n in classes), comment=bool(words & COMMENT_NAMES))
     if tag in HELD:
         while parent is not None and not parent.held:
             parent.held, parent = True, parent.parent
     return out
 
 
+#: Digits of a hash as letters, as labels have none.
+_LETTERS = str.maketrans("0123456789", "ghijklmnop")
+
+
 def _is_main(node: Node) -> bool:
     return node.tag in ("article", "main")
 
 
 def parse(page: str) -> Node:
-    """The tree of a page; tolerates missing end tags, stray end tags, and markup inside scripts."""
+    """The tree of a page; tolerates missing end tags, stray end tags, quotes and tags that are not closed, and markup inside scripts. Linear in the page: no step goes back over what a former one has read."""
     root = _node("html", "", None)
     open_, at, n = root, 0, len(page)
+    opened = Counter({"html": 1})
+    tags = _TAG
+    last = page.rfind(">")
+
+    def close(node: Node) -> Node:
+        """Leaves all elements up to node and it."""
+        nonlocal open_
+        while True:
+            gone, open_ = open_, open_.parent
+            opened[gone.tag] -= 1
+            if gone is node:
+                return open_
+
     while at < n:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            text = m[0]
-            if text[0] != "<" or text == "<":
-                open_.children.append(text)
+        m = tags.match(page, at) if at < last and page[at] == "<" else None
+        if m is None and at < last and tags is _TAG and _NAME.match(page, at):
+            tags = _LOOSE_TAG  # its value's quote takes all that is left: from here on a tag ends at the first >
+            continue
+        if m is None:
+            m = _OTHER.match(page, at)
+            at = m.end()
+            if m[0][0] != "<" or m[0] == "<":
+                open_.children.append(m[0])
             continue
-        tag = tag.lower()
+        at = m.end()
+        tag = m[2].lower()
         if m[1]:
-            node = open_
-            while node is not None and node.tag != tag:
-                node = node.parent
-            if node is not None and node.parent is not None:
-                open_ = node.parent
-            elif node is None and tag == "p":
+            if opened[tag] > 0 and tag != "html":
+                node = open_
+                while node.tag != tag:
+                    node = node.parent
+                close(node)
+            elif tag == "p":
                 open_.children.append(_node("p", "", open_))
             continue
         if tag == "html":
             continue
-        if tag in BLOCK:
-            node = open_
-            while node is not None and node.tag not in BLOCK:
-                node = node.parent
-            if node is not None and node.tag == "p" and node.parent is not None:
-                open_ = node.parent
+        if tag in BLOCK and open_.block.tag == "p":
+            close(open_.block)
         if tag in CLOSED_BY:
-            node = open_
+            node = open_.scoped
             while node is not None and node.tag not in SCOPE and node.tag not in CLOSED_BY[tag]:
-                node = node.parent
+                node = node.parent and node.parent.scoped
             while node is not None and node.tag in CLOSED_BY[tag] and node.parent is not None:
-                open_ = node.parent
-                node = open_
+                node = close(node).scoped if open_ is not node.parent else None
+                node = node if node is open_ else None
         new = _node(tag, m[3], open_)
         open_.children.append(new)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
+            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+            at = page.find(">", end.end()) + 1 if end else 0
+            at = at or n
             continue
         open_ = new
+        opened[tag] += 1
     return root
 
 
@@ -219,47 +261,86 @@ def blocks(root: Node, below: dict[int, tuple[Node, list[str]]] | None = None) -
     return out
 
 
-def _noisy(node: Node | None, names: bool = True) -> bool:
-    """Whether it or what holds it is noise by tag, role or name.
+class Verdicts:
+    """What is noise on a page by tags, roles and names, found from the root down, a step a node.
 
-    A mere name counts outside of article and main elements only, and only for what has no heading or paragraph in it; no name counts around an article or main element.
+    Tags and roles always count. Names count outside of articles (outside of the main element, if there is no article): those of adverts and comments, and others if they are a whole id or class or if the element holds no
+    heading or paragraph. In articles only the classes of STRONG_CLASSES count, on containers, and on articles within: words of an id or class may be the article's own. No name counts around the first article (or
+    main element) that is not reader comments; what is named noise elsewhere is so with all articles in it.
     """
-    around = False
-    while node is not None:
-        if node.noise == 3 or names and not around and (node.noise == 2 or node.noise == 1 and not node.main and not node.held):
-            return True
-        around |= _is_main(node) and not node.main
-        node = node.parent
-    return False
+
+    def __init__(self, root: Node):
+        self.by_tag: set[int] = set()
+        self.by_name: set[int] = set()
+        first, has_article = None, False
+        stack = [(root, False)]
+        order: list[Node] = []
+        while stack:
+            node, out = stack.pop()
+            order.append(node)
+            out = out or node.noise == 3 or (node.tag in ("article", "section") or node.tag in CONTAINERS) and node.comment
+            if _is_main(node) and not out and (first is None or node.tag == "article" and not has_article):
+                first, has_article = node, node.tag == "article"
+            stack.extend((c, out) for c in reversed(node.children) if not isinstance(c, str))
+        around, node = set(), first
+        while node is not None:
+            around.add(id(node))
+            node = node.parent
+        inside: set[int] = set()
+        for node in order:
+            up = id(node.parent)
+            if up in inside or node.tag == "article" or _is_main(node) and not has_article:
+                inside.add(id(node))
+            if up in self.by_tag or node.noise == 3:
+                self.by_tag.add(id(node))
+            if up in self.by_name or id(node) in self.by_tag or id(node) not in around and self._named(node, up in inside):
+                self.by_name.add(id(node))
+
+    @staticmethod
+    def _named(node: Node, inside: bool) -> bool:
+        if inside:
+            return node.strong and (node.noise == 2 or node.tag == "article")
+        if node.tag == "article":
+            return node.comment
+        return node.noise == 2 or node.noise == 1 and (node.whole or not node.held)
 
 
 def main_text(page: str, noise_paths: set[str] | None = None) -> str:
     """The main text of a page. noise_paths: branches of its host that the style tree holds to be noise.
 
     Elements that are menus, headers, footers, sidebars, notices, adverts, forms, comments or not text at all by their
-    tag, role or names go first, as ``_noisy`` says (names that would leave nothing are disregarded). If the page has an article or main
-    element with text, the rest outside goes. Then go the branches that are noise, within an article except its plain
-    headings and paragraphs outside other noise, unless nothing would be left. Each branch is judged over the host,
-    however much of a page it holds, so what differs between pages stays below a fixed label.
+    tag, role or names go first, as ``Verdicts`` says (names that would leave nothing are disregarded). Then go the branches that the tree holds to be noise, within an article except its plain
+    headings and paragraphs outside other noise, unless nothing would be left, or nothing of an article. If then an article or main
+    element has text, the rest outside goes. Each branch is judged over the host, however much of a page it holds, so what differs between pages stays below a fixed label.
     """
-    found = blocks(parse(page))
-    every = [(n, t) for n, t in found if not _noisy(n)] or [(n, t) for n, t in found if not _noisy(n, False)]
-    inner = [(n, t) for n, t in every if n.main or _is_main(n)]
-    kept = inner or every
+    root = parse(page)
+    found, verdicts = blocks(root), Verdicts(root)
+    kept = [(n, t) for n, t in found if id(n) not in verdicts.by_name] or [(n, t) for n, t in found if id(n) not in verdicts.by_tag]
+    inner = lambda some: [(n, t) for n, t in some if n.main or _is_main(n)]
     if noise_paths:
-
-        def fixed(node: Node) -> bool:
-            inside, path = node.main or _is_main(node), node.path()
-            if inside and not node.main or path not in noise_paths and f"{path}>#text" not in noise_paths:
-                return False
-            if inside and path not in noise_paths and not (node.tag in PROSE and "." not in node.label):
-                return True
-            while inside and node.main and (node.tag in PROSE and "." not in node.label or node.path() not in noise_paths):
-                node = node.parent
-            return not inside or node.main
-
-        kept = [(n, t) for n, t in kept if not fixed(n)] or kept
-    return "\n\n".join(t for _, t in kept)
+        cut = _cut(root, noise_paths)
+        left = [(n, t) for n, t in kept if id(n) not in cut]
+        if inner(left) or left and not inner(kept):
+            kept = left
+    return "\n\n".join(t for _, t in inner(kept) or kept)
+
+
+def _cut(root: Node, noise_paths: set[str]) -> set[int]:
+    """Elements whose own text the style tree takes out: those of a noise path, and within an article those below one, plain headings and paragraphs apart."""
+    out: set[int] = set()
+    below: set[int] = set()
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        stack.extend(c for c in node.children if not isinstance(c, str))
+        inside, whole = node.main or _is_main(node), node.path in noise_paths
+        plain = node.tag in PROSE and "." not in node.label
+        if inside and node.main and (id(node.parent) in below or whole and not plain):
+            below.add(id(node))
+        own = whole or f"{node.path}>#text" in noise_paths
+        if own and (not inside or node.main and (id(node) in below or not whole and not plain)):
+            out.add(id(node))
+    return out
 
 
 def tree_features(page: str) -> list[tuple[str, str, int, float, bool]]:
@@ -272,12 +353,12 @@ def tree_features(page: str) -> list[tuple[str, str, int, float, bool]]:
     out: set[tuple[str, str, int, float, bool]] = set()
     digest = lambda text: xxhash.xxh3_64_intdigest(text.encode()) - 2**63
     for node, text in blocks(parse(page), below):
-        path = node.path() + ">#text"
-        out.add((path, "node", 0, 0.0, node.named()))
+        path = node.path + ">#text"
+        out.add((path, "node", 0, 0.0, node.named))
         out.update((path, "text", digest(piece), 0.0, False) for piece in map(str.strip, _MARKS.split(text)) if piece)
     for node, labels in below.values():
-        path, style = node.path(), digest(">".join(labels))
-        out.add((path, "node", 0, 0.0, node.named()))
+        path, style = node.path, digest(">".join(labels))
+        out.add((path, "node", 0, 0.0, node.named))
         out.add((path, "style", style, 0.0, False))
         last = path.count(">") + 1 == LEVELS
         out.update((f"{path}>{label}", "edge", style, labels.count(label) / len(labels), False) for label in set(labels) if not last or label == "#text")
