@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import bound_batches, give_back_memory, text_buffers, with_fields
-from ._words import word_hashes
+from ._words import stretch_hashes, word_hashes
 
 WINDOW = 10
 #: Words of training text in one suffix array; a longer document has one of its own.
@@ -117,43 +117,39 @@ class SuffixArray:
 
 @dataclass
 class Block:
-    """Some benchmark items: their words, the different windows with the items that hold them, and every place of a window.
+    """Some benchmark items: the words of all of them (item i has those from bounds[i] to bounds[i + 1]), the different windows (starts, lengths), and every place of a window.
 
-    Places of window k are those from places[k] to places[k + 1]: its first word (at), and the words of its item (begins, ends).
+    Places of window k are those from places[k] to places[k + 1]: its first word (at) and its item. All are arrays, about 40 bytes a word.
     """
 
     words: np.ndarray
+    bounds: np.ndarray
+    names: list[str | None]
     starts: np.ndarray
     lengths: np.ndarray
-    items: list[np.ndarray]
-    names: list[str | None]
     places: np.ndarray
     at: np.ndarray
-    begins: np.ndarray
-    ends: np.ndarray
+    item: np.ndarray
+
+    def items_of(self, kinds: np.ndarray) -> set[str]:
+        """Ids of the items that hold any of these windows."""
+        some = np.unique(np.concatenate([self.item[self.places[k] : self.places[k + 1]] for k in kinds.tolist()]))
+        return {self.names[i] for i in some.tolist()} - {None}
 
 
 def block_of(item_ids: list, texts: list[str | None], window: int) -> Block:
-    raw, offsets = text_buffers(pa.array(texts, pa.string()))
-    words, bounds = word_hashes(raw, offsets)
-    where: dict[bytes, int] = {}
-    starts, lengths, items = [], [], []
-    places: list[tuple[int, int, int, int]] = []
-    for item, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-        n = min(window, b - a)
-        for start in range(a, b - n + 1) if n else ():
-            k = where.setdefault(words[start : start + n].tobytes(), len(starts))
-            if k == len(starts):
-                starts.append(start)
-                lengths.append(n)
-                items.append({item})
-            else:
-                items[k].add(item)
-            places.append((k, start, a, b))
-    kind, at, begins, ends = np.array(sorted(places), np.int64).reshape(-1, 4).T
-    return Block(
-        words, np.array(starts, np.int64), np.array(lengths, np.int64), [np.array(sorted(x)) for x in items], [None if x is None else str(x) for x in item_ids], np.searchsorted(kind, np.arange(len(starts) + 1)), at, begins, ends
-    )
+    words, bounds = word_hashes(*text_buffers(pa.array(texts, pa.string())))
+    sizes = np.diff(bounds)
+    length = np.minimum(window, sizes)
+    counts = np.where(sizes > 0, sizes - length + 1, 0)
+    item = np.repeat(np.arange(len(sizes), dtype=np.int32), counts)
+    start = np.arange(len(item)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(bounds[:-1], counts)
+    one, two = stretch_hashes(words, start, start + length[item])
+    order = np.lexsort((start, two, one))
+    one, two = one[order], two[order]
+    first = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))[: len(order)])
+    at, item = start[order], item[order]
+    return Block(words, bounds, [None if x is None else str(x) for x in item_ids], at[first], length[item[first]], np.append(first, len(order)), at, item)
 
 
 @dataclass
@@ -180,14 +176,15 @@ def _longest(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.nda
         own = np.repeat(np.arange(i, to), counts[i:to])
         place = np.arange(len(own)) - np.repeat(np.cumsum(counts[i:to]) - counts[i:to], counts[i:to]) + block.places[kind[own]]
         p, q = at[own], block.at[place]
-        before = (p > starts[own]) & (q > block.begins[place])
+        before = (p > starts[own]) & (q > block.bounds[block.item[place]])
         before[before] = words[p[before] - 1] == block.words[q[before] - 1]
         own, place = own[~before], place[~before]
+        upper = block.bounds[block.item[place] + 1]
         match = block.lengths[kind[own]].copy()
         live = np.arange(len(own))
         while len(live):
             p, q = at[own[live]] + match[live], block.at[place[live]] + match[live]
-            inside = (p < ends[own[live]]) & (q < block.ends[place[live]])
+            inside = (p < ends[own[live]]) & (q < upper[live])
             live, p, q = live[inside], p[inside], q[inside]
             live = live[words[p] == block.words[q]]
             match[live] += 1
@@ -219,7 +216,7 @@ def search(words: np.ndarray, bounds: np.ndarray, block: Block, array: SuffixArr
         base, ranges = int(bounds[doc[a]]), []
         for start, length in zip((at[a:b] - base).tolist(), block.lengths[kind[a:b]].tolist(), strict=True):
             ranges.append((start, start + length))
-        names = {block.names[i] for k in np.unique(kind[a:b]).tolist() for i in block.items[k].tolist()} - {None}
+        names = block.items_of(np.unique(kind[a:b]))
         best = a + int(np.argmax(match[a:b]))
         found[int(doc[a])] = Found(_joined(ranges), names, int(match[best]), int(at[best]) - base)
     return found
@@ -295,7 +292,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
     Each task builds suffix arrays over shards of its own documents, so no document moves. The
     benchmark is a stated query set: it is read and sent out in blocks of ``block_bytes``, each a broadcast of its own, which a task
-    looks for one after the other in each of its shards; so the driver holds one block at a time and the plan does not grow.
+    looks for one after the other in its shards of about ``shard_words`` words. Driver and workers hold one block at a time, as arrays: a worker drops a block before it loads the next. What is
+    sent lies in Spark's block store, which goes to disk.
 
     Null and empty texts have no words. Repeated rows are judged each for itself; items of one id are
     one item; an item without id contaminates but is not listed. An empty benchmark hits nothing. An
@@ -313,12 +311,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         for batch in gathered(batches, at, 8 * shard_words):
             words, bounds = word_hashes(*text_buffers(batch.column(at)))
             found: dict[int, Found] = {}
-            for a, b in shards(bounds, shard_words):
-                own, ends = words[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
-                array = SuffixArray(own, ends, window) if len(own) else None
-                for block in sent:
+            parts = [(a, words[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]) for a, b in shards(bounds, shard_words)]
+            arrays = [SuffixArray(own, ends, window) if len(own) else None for _, own, ends in parts]
+            for block in sent:
+                for (a, own, ends), array in zip(parts, arrays, strict=True):
                     for k, new in search(own, ends, block.value, array).items():
                         found[a + k] = _both(found.get(a + k), new)
+                if len(sent) > 1:
+                    vars(block).pop("_value", None)  # what a worker has loaded of it
             nothing = Found([], set())
             each = [found.get(i, nothing) for i in range(batch.num_rows)]
             new = [np.diff(bounds), [[x for pair in f.ranges for x in pair] for f in each], [sorted(f.items) for f in each], [f.longest for f in each], [f.longest_at for f in each]]
