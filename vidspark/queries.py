@@ -14,7 +14,7 @@ from .functions.lens import PinholeLens, VRLens
 from .functions.stbox import Volume, centre, half_extents, overlaps, stbox
 from .operators import tracking, video
 from .operators.joins import overlap_join, with_items
-from .sources import catalog, events
+from .sources import catalog, events, roi_video
 from .sources.ingest import boxes, ingest, label_rows, merge_boxes, merge_trajectories
 from .world import World, geometry, primarykey, time
 
@@ -549,3 +549,32 @@ def objects_meet(spark, sf_dir):
     lasting = F.col("bbox").withField("tmax", F.col("bbox.tmin") + F.expr("interval 1 hour"))
     of = lambda kind, item, box: d.filter(F.col("object_type") == kind).select(F.col("item_id").alias(item), lasting.alias(box))
     return overlap_join(of("click", "a", "bbox"), of("view", "b", "region")).select("a", "b", F.col("bbox.tmin").alias("at"), F.col("region.tmin").alias("bt"))
+
+
+def _pictures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Boxes of items by frame, and a picture of 32 x 24 pixels of each hundred events, one pixel an event."""
+    d, e = events.detections(spark, sf_dir), F.col("event_id")
+    frame = F.floor(e / 100).cast("int")
+    placed = d.select("item_id", frame.alias("frame"), (F.floor("x1").cast("int") % 20).alias("x1"), (F.col("y1").cast("int") % 16).alias("y1"), (1 + e % 9).cast("int").alias("w"), (1 + e % 7).cast("int").alias("h"))
+    found = placed.groupBy("item_id", "frame").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max(F.col("x1") + F.col("w")).alias("x2"), F.max(F.col("y1") + F.col("h")).alias("y2"))
+    at = F.map_from_entries(F.collect_list(F.struct((e * 7919 % 768).cast("int"), F.lpad(F.hex(e % 251), 2, "0"))))
+    hexes = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(767)), lambda i: F.coalesce(F.get(F.filter(F.col("dots"), lambda p: p["key"] == i), F.lit(0))["value"], F.lit("00"))), "")
+    frames = d.groupBy(frame.alias("frame")).agg(F.map_entries(at).alias("dots")).select("frame", F.lit(32).alias("width"), F.lit(24).alias("height"), F.unhex(hexes).alias("data"))
+    return found.withColumn("t", tpoint.time_of_frame(F.col("frame"), START)), frames
+
+
+@_query(
+    """@e AS (SELECT event_id, item_id, event_id // 100 AS frame, CAST(floor(x1) AS INTEGER) % 20 AS x1, CAST(y1 AS INTEGER) % 16 AS y1, 1 + event_id % 9 AS w, 1 + event_id % 7 AS h FROM det),
+b AS (SELECT item_id, frame, min(x1) AS x1, min(y1) AS y1, max(x1 + w) AS x2, max(y1 + h) AS y2 FROM e GROUP BY ALL),
+c AS (SELECT *, max(x2 - x1) OVER (PARTITION BY item_id) AS out_w, max(y2 - y1) OVER (PARTITION BY item_id) AS out_h, frame - min(frame) OVER (PARTITION BY item_id) AS frame_index FROM b),
+p AS (SELECT frame, event_id * 7919 % 768 % 32 AS x, event_id * 7919 % 768 // 32 AS y, event_id % 251 AS v FROM e)
+SELECT item_id, CAST(frame_index AS INTEGER) AS frame_index, CAST(out_w AS INTEGER) AS width, CAST(out_h AS INTEGER) AS height,
+  CAST(coalesce(sum(v * (1 + (y - y1 + (out_h - y2 + y1) // 2) * out_w + x - x1 + (out_w - x2 + x1) // 2)), 0) AS BIGINT) AS checksum
+FROM c LEFT JOIN p ON p.frame = c.frame AND x >= x1 AND x < x2 AND y >= y1 AND y < y2 GROUP BY item_id, frame_index, out_w, out_h"""
+)
+def roi_videos(spark, sf_dir):
+    """Regions of items are cropped, padded and written as videos, a file an item, and read back frame by frame."""
+    found, frames = _pictures(spark, sf_dir)
+    path = roi_video.shared_folder(spark, "videos")
+    roi_video.write_videos(roi_video.canvases(video.roi_plan(found, START), frames), path)
+    return roi_video.read_videos(spark, path).select("item_id", "frame_index", "width", "height", roi_video.checksum(F.col("data")).alias("checksum"))
