@@ -174,3 +174,17 @@ def test_crops(spark):
     plan = spark.createDataFrame([("i", 1, 0, 1, 1, 3, 2, 4, 3, 1, 1)], "item_id string, frame int, frame_index int, x1 int, y1 int, x2 int, y2 int, out_w int, out_h int, pad_x int, pad_y int")
     frames = spark.createDataFrame([(1, y, x, y * 10 + x) for y in range(4) for x in range(4)], "frame int, y int, x int, value int")
     assert sorted((r.y, r.x, r.value) for r in crops(plan, frames).collect()) == [(1, 1, 11), (1, 2, 12)]
+
+
+def test_sets_of_periods(spark):
+    from datetime import datetime
+
+    day = lambda n: datetime(2024, 1, n)
+    points = [(day(n), float(n), 0.0, 0.0) for n in range(1, 20)]
+    some = [(day(5), day(7)), (day(3), day(6)), (day(9), day(9)), (day(7), day(8)), (day(15), day(17)), (None, day(3)), (day(16), day(12))]
+    f = spark.createDataFrame([(points, some), (points, []), (points, None), ([], some), (None, some)], "traj array<struct<t timestamp_ntz, x double, y double, z double>>, ps array<struct<low timestamp_ntz, high timestamp_ntz>>")
+    assert [[(p.low.day, p.high.day) for p in r[0]] for r in f.limit(1).select(tpoint.normal_periods(F.col("ps"))).collect()] == [[(3, 8), (15, 17)]]
+    got = f.select(F.transform(tpoint.at_periods(F.col("traj"), F.col("ps")), lambda p: p["x"]).alias("x")).collect()
+    assert [r.x for r in got] == [[3, 4, 5, 6, 7, 15, 16], None, None, None, None]
+    constant = f.select(F.transform(tpoint.at_periods(F.col("traj"), [p for p in some if p[0]]), lambda p: p["x"]).alias("x")).collect()
+    assert [r.x for r in constant] == [[3, 4, 5, 6, 7, 15, 16]] * 3 + [None, None]

@@ -14,6 +14,7 @@ REGISTRY: dict[str, Callable[..., Column]] = {
     "overlap": stbox.overlaps,
     "at_period": tpoint.at_period,
     "atPeriodSet": tpoint.at_period,
+    "at_periods": tpoint.at_periods,
     "coordinates": tpoint.coordinates,
     "asMFJSON": tpoint.as_mfjson,
     "cumulativeLength": tpoint.cumulative_length,

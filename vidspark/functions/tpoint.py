@@ -25,6 +25,48 @@ def at_period(traj: Column, start=None, end=None) -> Column:
     return F.when(F.size(kept) > 0, kept)
 
 
+def normal_periods(periods: Column) -> Column:
+    """Half-open periods (array of structs low, high) in order, with those that meet or touch made one; empty and null ones go."""
+    sound = F.array_sort(F.filter(periods, lambda p: p["low"] < p["high"]))
+    kind = "array<struct<low:timestamp_ntz,high:timestamp_ntz>>"
+
+    def take(out: Column, p: Column) -> Column:
+        last = F.element_at(out, -1)
+        joined = F.struct(last["low"].alias("low"), F.greatest(last["high"], p["high"]).alias("high"))
+        apart = (F.size(out) == 0) | (F.try_element_at(out, F.lit(-1))["high"] < p["low"])
+        return F.when(apart, F.array_append(out, p)).otherwise(F.array_append(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), joined))
+
+    return F.aggregate(F.transform(sound, lambda p: F.struct(p["low"].cast("timestamp_ntz").alias("low"), p["high"].cast("timestamp_ntz").alias("high"))), F.array().cast(kind), take)
+
+
+def at_periods(traj: Column, periods: list[tuple[datetime, datetime]] | Column) -> Column:
+    """Instants in any of a set of half-open periods; null if none is left.
+
+    Constant periods are put in order and joined before the plan is made; a column of them is normalised for each row. Then one pass over the instants keeps those within.
+    """
+    if isinstance(periods, Column):
+        found = normal_periods(periods)
+        kept = F.filter(traj, lambda p: F.exists(found, lambda x: (p["t"] >= x["low"]) & (p["t"] < x["high"])))
+        return F.when(F.size(kept) > 0, kept)
+    joined: list[list[datetime]] = []
+    for low, high in sorted((a, b) for a, b in periods if a < b):
+        if joined and low <= joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], high)
+        else:
+            joined.append([low, high])
+    inside = lambda p: _any([(p["t"] >= _bound(a)) & (p["t"] < _bound(b)) for a, b in joined])
+    kept = F.filter(traj, inside)
+    return F.when(F.size(kept) > 0, kept)
+
+
+def _any(conditions: list[Column]) -> Column:
+    """Whether one of them holds, as a tree that is not deep."""
+    if len(conditions) < 2:
+        return conditions[0] if conditions else F.lit(False)
+    half = len(conditions) // 2
+    return _any(conditions[:half]) | _any(conditions[half:])
+
+
 def coordinates(traj: Column) -> Column:
     """List of [x, y, z]."""
     return F.transform(traj, lambda p: F.array(p["x"], p["y"], p["z"]))

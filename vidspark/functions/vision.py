@@ -180,18 +180,26 @@ def smoothness(pixels: DataFrame) -> DataFrame:
 
 
 def ssim(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Per pixel: (1 - SSIM) / 2 within 0 ... 1, over 3 x 3 windows with reflected borders. Both: frame, y, x, value."""
-    both = a.select("frame", "y", "x", F.col("value").alias("p")).join(b.select("frame", "y", "x", F.col("value").alias("q")), ["frame", "y", "x"])
-    size = both.groupBy("frame").agg(F.max("y").alias("my"), F.max("x").alias("mx"))
-    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("dy"), F.lit(j).alias("dx")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("s")
-    spread = both.join(size, "frame").select("*", steps)
-    # A pixel at distance one from a border is also that pixel's reflection beyond it, so it serves twice.
-    spots = spread.withColumn("ty", F.col("y") + F.col("s.dy")).withColumn("tx", F.col("x") + F.col("s.dx"))
-    mirrored = lambda c, m: F.when(F.col(m) == 0, F.lit(3)).when(((F.col(c) == 1) & (F.col(f"t{c}") == 0)) | ((F.col(c) == F.col(m) - 1) & (F.col(f"t{c}") == F.col(m))), F.lit(2)).otherwise(F.lit(1))
-    spots = spots.withColumn("n", mirrored("y", "my") * mirrored("x", "mx")).filter("ty between 0 and my and tx between 0 and mx")
-    mean = lambda e: F.sum(e * F.col("n")) / F.sum("n")
+    """Per pixel: (1 - SSIM) / 2 within 0 ... 1, over 3 x 3 windows with reflected borders. Both: frame, y, x, value, every pixel of a frame once.
+
+    A window's sums are those of its three rows, and a row's those of three neighbours, so two passes over neighbours give them, along x and along y; no pixel is multiplied. Of a pixel that is missing, what is
+    beside it in its row is missing too for the rows above and below.
+    """
     p, q = F.col("p"), F.col("q")
-    m = spots.groupBy("frame", F.col("ty").alias("y"), F.col("tx").alias("x")).agg(mean(p).alias("mp"), mean(q).alias("mq"), mean(p * p).alias("pp"), mean(q * q).alias("qq"), mean(p * q).alias("pq"))
+    both = a.select("frame", "y", "x", F.col("value").alias("p")).join(b.select("frame", "y", "x", F.col("value").alias("q")), ["frame", "y", "x"])
+    out = both.select("frame", "y", "x", F.struct(F.lit(1.0).alias("n"), p.alias("mp"), q.alias("mq"), (p * p).alias("pp"), (q * q).alias("qq"), (p * q).alias("pq")).alias("s"))
+    names = ("n", "mp", "mq", "pp", "qq", "pq")
+    for line, along in (("y", "x"), ("x", "y")):
+        w = Window.partitionBy("frame", line).orderBy(along)
+        beside = lambda f, step, w=w, along=along: F.when(f(along).over(w) == F.col(along) + step, f("s").over(w))
+        out = out.select("frame", "y", "x", "s", beside(F.lag, -1).alias("l"), beside(F.lead, 1).alias("r"), F.lag(along).over(w).alias("before"), F.lead(along).over(w).alias("after"))
+        # Beyond the first pixel of a line lies the reflection of the second, beyond the last that of the last but one; a line of one pixel is its own neighbour.
+        lone = F.col("before").isNull() & F.col("after").isNull()
+        left = F.when(lone, F.col("s")).when(F.col("before").isNull(), F.col("r")).otherwise(F.col("l"))
+        right = F.when(lone, F.col("s")).when(F.col("after").isNull(), F.col("l")).otherwise(F.col("r"))
+        out = out.withColumns({"l": left, "r": right})
+        out = out.select("frame", "y", "x", F.struct(*[(F.col(f"s.{c}") + F.coalesce(f"l.{c}", F.lit(0.0)) + F.coalesce(f"r.{c}", F.lit(0.0))).alias(c) for c in names]).alias("s"))
+    m = out.select("frame", "y", "x", *[(F.col(f"s.{c}") / F.col("s.n")).alias(c) for c in names[1:]])
     c1, c2 = SSIM_C1, SSIM_C2
     mp, mq = F.col("mp"), F.col("mq")
     top = (2 * mp * mq + c1) * (2 * (F.col("pq") - mp * mq) + c2)

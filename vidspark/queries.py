@@ -191,14 +191,16 @@ def volume_of_pixels(spark, sf_dir):
     return w.predicate(lambda obj: obj.location in volume).selectkey().get_time().execute()
 
 
-@_query("SELECT * FROM (VALUES ('crossing', 'metrics'), ('harbour', 'feet')) w(world_id, units)", det=False)
+@_query("SELECT DISTINCT r_name AS world_id, 'metrics' AS units FROM region UNION ALL SELECT DISTINCT n_name, 'feet' FROM nation", det=False)
 def world_rows(spark, sf_dir):
-    return World(spark, "crossing").worlds().union(World(spark, "harbour", "feet").worlds())
+    """The table of worlds: one for each region, and in other units for each nation."""
+    made = lambda table, column, units: catalog.worlds_of(events.read(spark, sf_dir, table).select(F.col(column).alias("world_id"), F.lit(units).alias("units")))
+    return catalog.upsert_worlds(made("region", "r_name", "metrics"), made("nation", "n_name", "feet"))
 
 
 @_query(
-    """SELECT n_name AS camera_id, 0.5::DOUBLE AS ratio, 0.0::DOUBLE AS origin_x, NULL::DOUBLE AS focal_x, CAST(60 + 2 * n_nationkey AS INTEGER) AS fov FROM nation WHERE n_regionkey = 1 AND n_name NOT IN (SELECT min(n_name) FROM nation WHERE n_regionkey = 1)
-UNION ALL SELECT min(n_name), 2.0, 0.0, round(640 / tan(radians(60)), 6), 120 FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'new', NULL, 0.0, round(320 / tan(radians(45)), 6), 90""",
+    """SELECT *, '1' AS world, 'metrics' AS units, 90.0::DOUBLE AS new_lens_fov, 'pole' AS new_mount FROM (SELECT n_name AS camera_id, 0.5::DOUBLE AS ratio, 0.0::DOUBLE AS origin_x, NULL::DOUBLE AS focal_x, CAST(60 + 2 * n_nationkey AS INTEGER) AS fov FROM nation WHERE n_regionkey = 1 AND n_name NOT IN (SELECT min(n_name) FROM nation WHERE n_regionkey = 1)
+UNION ALL SELECT min(n_name), 2.0, 0.0, round(640 / tan(radians(60)), 6), 120 FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'new', NULL, 0.0, round(320 / tan(radians(45)), 6), 90)""",
     det=False,
 )
 def camera_registry(spark, sf_dir):
@@ -208,8 +210,8 @@ def camera_registry(spark, sf_dir):
     gone = World(spark, "1", camera_table=table).camera("gone").clear_cameras().camera("other").remove_camera("other")
     w = gone.camera(first, catalog.Point("p", first, 7.0, 8.0, 9.0), 2.0, lens=PinholeLens((1, 1), fov=30.0)).camera(first, ratio=9.0).camera("new").add_properties("new", "pole", "mount")
     w = w.add_lens(first, LENS).add_lens("new", PinholeLens((640, 480), (0.0, 0.0, 0.0), 90.0))
-    assert w.get_lens("new").fov == 90.0 and w.get_name() == "1" and w.get_units() == "metrics"
-    return w.get_camera().select("camera_id", F.col("ratio").cast("double").alias("ratio"), "origin_x", F.round("focal_x", 6).alias("focal_x"), "fov")
+    said = {"world": w.get_name(), "units": w.get_units(), "new_lens_fov": w.get_lens("new").fov, "new_mount": w.cameras["new"].properties["mount"]}
+    return w.get_camera().select("camera_id", F.col("ratio").cast("double").alias("ratio"), "origin_x", F.round("focal_x", 6).alias("focal_x"), "fov", *[F.lit(v).alias(k) for k, v in said.items()])
 
 
 @_query("SELECT DISTINCT item_id, object_type FROM det WHERE object_type IN ('click', 'view') UNION ALL SELECT 'dog-1', 'dog'")
@@ -578,3 +580,14 @@ def roi_videos(spark, sf_dir):
     path = roi_video.shared_folder(spark, "videos")
     roi_video.write_videos(roi_video.canvases(video.roi_plan(found, START), frames), path)
     return roi_video.read_videos(spark, path).select("item_id", "frame_index", "width", "height", roi_video.checksum(F.col("data")).alias("checksum"))
+
+
+@_query(
+    f"""@{_POINTS} SELECT item_id, t FROM pts WHERE t >= TIMESTAMP '2024-01-03' AND t < TIMESTAMP '2024-01-09' OR t >= TIMESTAMP '2024-01-15' AND t < TIMESTAMP '2024-01-16'"""
+)
+def trajectory_periods(spark, sf_dir):
+    """The part of each trajectory in a set of periods, three of which overlap or touch."""
+    day = lambda n: datetime(2024, 1, n)
+    some = [(day(5), day(7)), (day(15), day(16)), (day(3), day(6)), (day(7), day(9)), (day(20), day(20))]
+    out = world(spark, sf_dir).selectkey().select_column("trajectory", tpoint.at_periods, some, alias="part").execute()
+    return out.select("item_id", F.explode("part").alias("p")).select("item_id", "p.t")

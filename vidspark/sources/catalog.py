@@ -56,6 +56,16 @@ def worlds(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
     return spark.createDataFrame(rows, WORLDS)
 
 
+def worlds_of(table: DataFrame) -> DataFrame:
+    """The worlds of a table (world_id, units), each id once, with the least of its units; rows without id go."""
+    return table.filter(F.col("world_id").isNotNull()).groupBy("world_id").agg(F.min("units").alias("units"))
+
+
+def upsert_worlds(old: DataFrame, new: DataFrame) -> DataFrame:
+    """All worlds; those of ``new`` take the place of old ones with the same id."""
+    return old.join(new, "world_id", "left_anti").select(*old.columns).unionByName(new)
+
+
 def cameras(spark: SparkSession, world_id: str, some: list[Camera]) -> DataFrame:
     return spark.createDataFrame([c.row(world_id) for c in some], CAMERAS)
 
