@@ -14,7 +14,7 @@ from .functions.lens import PinholeLens, VRLens
 from .functions.stbox import Volume, centre, half_extents, overlaps, stbox
 from .operators import tracking, video
 from .operators.joins import overlap_join, with_items
-from .sources import catalog, events, roi_video
+from .sources import catalog, events, roi_video, store
 from .sources.ingest import boxes, ingest, label_rows, merge_boxes, merge_trajectories
 from .world import World, geometry, primarykey, time
 
@@ -591,3 +591,15 @@ def trajectory_periods(spark, sf_dir):
     some = [(day(5), day(7)), (day(15), day(16)), (day(3), day(6)), (day(7), day(9)), (day(20), day(20))]
     out = world(spark, sf_dir).selectkey().select_column("trajectory", tpoint.at_periods, some, alias="part").execute()
     return out.select("item_id", F.explode("part").alias("p")).select("item_id", "p.t")
+
+
+@_query(f"SELECT DISTINCT item_id FROM det WHERE object_type = 'click' AND {_MEETS} AND {_IN_TIME}")
+def stored_flagship(spark, sf_dir):
+    """The flagship over tables that are written along the curve, of two cameras one after the other, and read back."""
+    d = events.detections(spark, sf_dir).withColumn("camera_id", F.when(F.col("event_id") % 2 == 0, "even").otherwise("odd"))
+    path = roi_video.shared_folder(spark, "store")
+    for camera in ("even", "odd", "even"):  # what is written again takes its own place
+        store.write_tables(*ingest(d.filter(F.col("camera_id") == camera)), path)
+    stored = World(spark, "events", start_time=START).with_tables(*store.read_tables(spark, path))
+    clicks = stored.predicate(lambda obj: obj.object_type == "click").predicate(lambda obj: obj.location in VOLUME)
+    return clicks.interval(INTERVAL).selectkey(distinct=True).execute()
