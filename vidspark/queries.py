@@ -9,13 +9,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import call, tpoint, vision
+from .functions import call, recognition, tpoint, vision
 from .functions.lens import PinholeLens, VRLens
 from .functions.stbox import Volume, centre, half_extents, overlaps, stbox
-from .operators import tracking, video
+from .operators import tiling, tracking, video
 from .operators.joins import overlap_join, with_items
 from .sources import catalog, events, roi_video, store
 from .sources.ingest import boxes, ingest, label_rows, merge_boxes, merge_trajectories
+from .streaming.merge import merge_stream, merged_store
 from .world import World, geometry, primarykey, time
 
 VOLUME = Volume(10.0, 20.0, 0.0, 30.0, 60.0, 2.0)
@@ -420,6 +421,30 @@ def nms_per_frame(spark, sf_dir):
     return vision.non_max_suppression(b)
 
 
+def _suppression(name: str, rows: str, iou: float) -> str:
+    """SQL that suppresses the boxes of a table one after the other and leaves 50 a frame in table ``name``."""
+    shared = "greatest(0, least(o.x2, r.x2) - greatest(o.x1, r.x1)) * greatest(0, least(o.y2, r.y2) - greatest(o.y1, r.y1))"
+    return f"""{name}_r AS (SELECT *, row_number() OVER (PARTITION BY frame, object_type ORDER BY score DESC, x1, y1, x2, y2) AS i FROM {rows} WHERE score >= 0.5),
+{name}_k AS (
+  SELECT frame, object_type, i, [{{'score': score, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] AS kept FROM {name}_r WHERE i = 1
+  UNION ALL SELECT r.frame, r.object_type, r.i, CASE WHEN len(kept) < 50 AND len(list_filter(kept, lambda o: {shared} > {iou} * ((o.x2 - o.x1) * (o.y2 - o.y1) + (r.x2 - r.x1) * (r.y2 - r.y1) - {shared}))) = 0
+    THEN list_append(kept, {{'score': r.score, 'x1': r.x1, 'y1': r.y1, 'x2': r.x2, 'y2': r.y2}}) ELSE kept END
+  FROM {name}_k k JOIN {name}_r r ON r.frame = k.frame AND r.object_type = k.object_type AND r.i = k.i + 1),
+{name}_l AS (SELECT frame, object_type, unnest(arg_max(kept, i)) AS o FROM {name}_k GROUP BY frame, object_type),
+{name}_n AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY o.score DESC, object_type, o.x1, o.y1, o.x2, o.y2) AS n FROM {name}_l),
+{name} AS (SELECT frame, object_type, o.score AS score, o.x1 AS x1, o.y1 AS y1, o.x2 AS x2, o.y2 AS y2 FROM {name}_n WHERE n <= 50)"""
+
+
+@_query(
+    f"""@b AS (SELECT CAST(event_id // 200 AS INTEGER) AS frame, object_type, (event_id % 11) / 10.0::DOUBLE AS score, x1, y1, x2, y2 FROM det),
+{_suppression("once", "b", 0.45)}, {_suppression("twice", "once", 0.1)}
+SELECT 'cam1' AS camera_id, * FROM twice"""
+)
+def second_suppression(spark, sf_dir):
+    """What a detector's suppression leaves is suppressed once more, by a threshold of its own, before it is tracked."""
+    return vision.non_max_suppression(nms_per_frame(spark, sf_dir), iou=0.1)
+
+
 @_query(f"SELECT object_type, count(*) AS n FROM det WHERE {_MEETS} GROUP BY object_type")
 def overlap_counts(spark, sf_dir):
     typed = boxes(events.detections(spark, sf_dir))
@@ -603,3 +628,63 @@ def stored_flagship(spark, sf_dir):
     stored = World(spark, "events", start_time=START).with_tables(*store.read_tables(spark, path))
     clicks = stored.predicate(lambda obj: obj.object_type == "click").predicate(lambda obj: obj.location in VOLUME)
     return clicks.interval(INTERVAL).selectkey(distinct=True).execute()
+
+
+#: 25 videos of 10 events a frame; pictures as in ``_pictures``.
+TILES = tiling.TileCosts(32, 24, segment_frames=25)
+#: Number of the cut (0 to 3) to which an end of the region h goes in the layout cut at l.
+_CUT = {
+    (axis, end): f"CASE WHEN h.{axis}{end} {'<' if end == 1 else '>'} l.{axis}{end} THEN {0 if end == 1 else 3} WHEN h.{axis}{end} {'<' if end == 1 else '>'} l.{axis}{3 - end} THEN {end} ELSE {3 - end} END"
+    for axis in "xy"
+    for end in (1, 2)
+}
+
+
+@_query(
+    f"""@b AS (SELECT CAST(split_part(item_id, '-', 2) AS BIGINT) % 25 AS video, event_id // 10 AS frame, object_type AS label, t, CAST(floor(x1) AS BIGINT) % 20 AS x1, CAST(y1 AS BIGINT) % 16 AS y1, 1 + event_id % 9 AS w, 1 + event_id % 7 AS h FROM det),
+h AS (SELECT video, frame // 25 AS segment, label, min(x1) AS x1, min(y1) AS y1, max(x1 + w) AS x2, max(y1 + h) AS y2 FROM b GROUP BY ALL),
+q AS (SELECT row_number() OVER (ORDER BY day, label) AS seq, * FROM (SELECT date_trunc('day', t) AS day, label, max(frame) AS last FROM b GROUP BY ALL)),
+g AS (SELECT h.video, h.segment, h.label AS asked, l.label, {_CUT["x", 1]} AS xa, {_CUT["x", 2]} AS xb, {_CUT["y", 1]} AS ya, {_CUT["y", 2]} AS yb, [0, l.x1, l.x2, 32] AS xs, [0, l.y1, l.y2, 24] AS ys FROM h JOIN h l USING (video, segment)),
+p AS (SELECT video, segment, asked, list_prepend('whole', list(label ORDER BY label)) AS names, list_prepend(32 * 24 * 25 + 200, list(CAST((xs[xb + 1] - xs[xa + 1]) * (ys[yb + 1] - ys[ya + 1]) * 25 + 200 * (xb - xa) * (yb - ya) AS BIGINT) ORDER BY label)) AS c FROM g GROUP BY ALL),
+s AS (SELECT video, segment, seq, names, c, row_number() OVER (PARTITION BY video, segment ORDER BY seq) AS i FROM p JOIN q ON q.label = p.asked AND segment * 25 <= q.last),
+r AS (SELECT video, segment, 0 AS i, 0 AS seq, 1 AS cur, list_transform(c, lambda z: 0::BIGINT) AS g, 0::BIGINT AS cost, false AS retiled, '' AS layout FROM s WHERE i = 1
+  UNION ALL SELECT video, segment, i, seq, CASE WHEN list_max(g) > {TILES.retile} THEN list_position(g, list_max(g)) ELSE cur END, CASE WHEN list_max(g) > {TILES.retile} THEN list_transform(g, lambda z: 0::BIGINT) ELSE g END, c[cur], list_max(g) > {TILES.retile},
+    names[CASE WHEN list_max(g) > {TILES.retile} THEN list_position(g, list_max(g)) ELSE cur END]
+  FROM (SELECT s.video, s.segment, s.i, s.seq, r.cur, s.names, s.c, list_transform(list_zip(r.g, s.c), lambda z: z[1] + s.c[r.cur] - z[2]) AS g FROM r JOIN s ON s.video = r.video AND s.segment = r.segment AND s.i = r.i + 1))
+SELECT video, segment, seq, layout, cost, retiled FROM r WHERE i > 0"""
+)
+def tile_regret(spark, sf_dir):
+    """Segments of videos are tiled anew where the queries so far, one a day and type for all frames until then, would have gained more than that costs."""
+    d, e = events.detections(spark, sf_dir), F.col("event_id")
+    at = [(F.floor("x1").cast("long") % 20).alias("x1"), (F.col("y1").cast("long") % 16).alias("y1")]
+    b = d.select((F.element_at(F.split("item_id", "-"), -1).cast("long") % 25).alias("video"), F.floor(e / 10).cast("long").alias("frame"), F.col("object_type").alias("label"), "t", *at, e)
+    b = b.withColumns({"x2": F.col("x1") + 1 + e % 9, "y2": F.col("y1") + 1 + e % 7})
+    asked = b.groupBy(F.date_trunc("day", "t").alias("day"), "label").agg(F.max("frame").alias("last_frame"))
+    order = F.array_sort(F.collect_list(F.struct("day", "label", "last_frame")))  # a row a day and label
+    asked = asked.agg(order.alias("q")).select(F.posexplode("q").alias("k", "q")).select((F.col("k") + 1).cast("long").alias("seq"), "q.label", F.lit(0).alias("first_frame"), "q.last_frame")
+    return tiling.choose_layouts(b, asked, TILES)
+
+
+@_query(
+    """@e AS (SELECT CAST(event_id // 100 AS INTEGER) AS frame, event_id * 7919 % 768 % 32 AS x, event_id * 7919 % 768 // 32 AS y FROM det WHERE event_id % 251 >= 64), p AS (SELECT DISTINCT * FROM e),
+n AS (SELECT a.frame, a.x, a.y, b.x AS nx, b.y AS ny FROM p a JOIN p b ON a.frame = b.frame AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+r AS (SELECT frame, x, y, x AS rx, y AS ry FROM p UNION SELECT r.frame, r.x, r.y, n.nx, n.ny FROM r JOIN n ON n.frame = r.frame AND n.x = r.rx AND n.y = r.ry),
+c AS (SELECT frame, x, y, min(ry * 32 + rx) AS region FROM r GROUP BY ALL)
+SELECT frame, CAST(min(x) AS INTEGER) AS x1, CAST(min(y) AS INTEGER) AS y1, CAST(max(x) + 1 AS INTEGER) AS x2, CAST(max(y) + 1 AS INTEGER) AS y2, CAST(count(*) AS INTEGER) AS pixels,
+  count(*) / ((max(x) + 1 - min(x)) * (max(y) + 1 - min(y)))::DOUBLE AS score FROM c GROUP BY frame, region"""
+)
+def recognized_regions(spark, sf_dir):
+    """Connected regions of bright pixels in the pictures, by a table function."""
+    _, frames = _pictures(spark, sf_dir)
+    return recognition.recognized(frames, 64)
+
+
+@_query("SELECT item_id, t, x, y FROM (SELECT *, row_number() OVER (PARTITION BY item_id, t ORDER BY x, y) AS n FROM (SELECT item_id, t, x1 + (x2 - x1) / 2 AS x, y1 + (y2 - y1) / 2 AS y FROM det)) WHERE n = 1")
+def streamed_trajectories(spark, sf_dir):
+    """Trajectories of detections that come as a stream of files, merged into a store batch after batch."""
+    folder = roi_video.shared_folder(spark, "stream")
+    d = events.detections(spark, sf_dir)
+    d.repartition(12, "event_id").write.parquet(f"{folder}/arriving")
+    arriving = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/arriving")
+    merge_stream(arriving, f"{folder}/store", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    return merged_store(spark, f"{folder}/store").select("item_id", F.explode("traj").alias("p")).select("item_id", "p.t", "p.x", "p.y")
