@@ -14,7 +14,7 @@ from .functions.lens import PinholeLens, VRLens
 from .functions.stbox import Volume, centre, half_extents, overlaps, stbox
 from .operators import tiling, tracking, video
 from .operators.joins import overlap_join, with_items
-from .sources import catalog, events, roi_video, store
+from .sources import catalog, events, roi_video, store, tile_store
 from .sources.ingest import boxes, ingest, label_rows, merge_boxes, merge_trajectories
 from .streaming.merge import merge_stream, merged_store
 from .world import World, geometry, primarykey, time
@@ -665,6 +665,36 @@ def tile_regret(spark, sf_dir):
     return tiling.choose_layouts(b, asked, TILES)
 
 
+#: Frames of a segment in ``stored_tiles``; each fifth picture is of one video.
+SEGMENT_FRAMES = 4
+
+
+@_query(
+    f"""@e AS (SELECT event_id, object_type AS label, event_id // 100 % 5 AS video, event_id // 100 // 5 AS frame, CAST(floor(x1) AS INTEGER) % 20 AS x1, CAST(y1 AS INTEGER) % 16 AS y1, 1 + event_id % 9 AS w, 1 + event_id % 7 AS h FROM det),
+h AS (SELECT video, frame // {SEGMENT_FRAMES} AS segment, label, min(x1) AS x1, min(y1) AS y1, max(x1 + w) AS x2, max(y1 + h) AS y2 FROM e GROUP BY ALL),
+l AS (SELECT h.* FROM h JOIN (SELECT video, segment, CASE WHEN segment % 2 = 1 THEN max(label) ELSE min(label) END AS label FROM h GROUP BY video, segment) USING (video, segment, label)),
+g AS (SELECT h.*, {_CUT["x", 1]} AS xa, {_CUT["x", 2]} AS xb, {_CUT["y", 1]} AS ya, {_CUT["y", 2]} AS yb, [0, l.x1, l.x2, 32] AS xs, [0, l.y1, l.y2, 24] AS ys FROM h JOIN l USING (video, segment)),
+f AS (SELECT DISTINCT video, frame FROM e),
+p AS (SELECT video, frame, event_id * 7919 % 768 % 32 AS x, event_id * 7919 % 768 // 32 AS y, event_id % 251 AS v FROM e)
+SELECT CAST(g.video AS BIGINT) AS video, CAST(segment AS BIGINT) AS segment, label, CAST(f.frame AS BIGINT) AS frame, CAST(x2 - x1 AS INTEGER) AS width, CAST(y2 - y1 AS INTEGER) AS height,
+  CAST(coalesce(sum(v * (1 + (y - y1) * (x2 - x1) + x - x1)), 0) AS BIGINT) AS checksum, CAST((any_value(xs)[xb + 1] - any_value(xs)[xa + 1]) * (any_value(ys)[yb + 1] - any_value(ys)[ya + 1]) AS BIGINT) AS decoded
+FROM g JOIN f ON f.video = g.video AND f.frame // {SEGMENT_FRAMES} = segment LEFT JOIN p ON p.video = f.video AND p.frame = f.frame AND x >= x1 AND x < x2 AND y >= y1 AND y < y2
+GROUP BY g.video, segment, label, f.frame, x1, y1, x2, y2, xa, xb, ya, yb"""
+)
+def stored_tiles(spark, sf_dir):
+    """Pictures are stored in tiles, cut at one type's region in each segment; every other segment is then cut anew at another's; each type's regions are read back from the tiles they touch."""
+    found, frames = _pictures(spark, sf_dir)
+    k = F.col("frame").cast("long")
+    label = F.element_at(F.split("item_id", "-"), 1)
+    costs = tiling.TileCosts(32, 24, SEGMENT_FRAMES)
+    seen = tiling.regions(found.select((k % 5).alias("video"), F.floor(k / 5).alias("frame"), label.alias("label"), "x1", "y1", "x2", "y2"), costs)
+    cut_at = lambda pick: seen.groupBy("video", "segment").agg(pick(F.struct("label", "x1", "y1", "x2", "y2")).alias("c")).select("video", "segment", "c.*")
+    path = roi_video.shared_folder(spark, "tiles")
+    tile_store.write_tiles(frames.select((k % 5).alias("video"), F.floor(k / 5).alias("frame"), "width", "height", "data"), cut_at(F.min), path, SEGMENT_FRAMES)
+    tile_store.retile(spark, path, cut_at(F.max).filter("segment % 2 = 1"), SEGMENT_FRAMES)
+    return tile_store.fetch_regions(spark, path, seen).select("video", "segment", "label", "frame", "width", "height", roi_video.checksum(F.col("data")).alias("checksum"), "decoded")
+
+
 @_query(
     """@e AS (SELECT CAST(event_id // 100 AS INTEGER) AS frame, event_id * 7919 % 768 % 32 AS x, event_id * 7919 % 768 // 32 AS y FROM det WHERE event_id % 251 >= 64), p AS (SELECT DISTINCT * FROM e),
 n AS (SELECT a.frame, a.x, a.y, b.x AS nx, b.y AS ny FROM p a JOIN p b ON a.frame = b.frame AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
