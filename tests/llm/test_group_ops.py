@@ -282,6 +282,19 @@ def test_style_trees_equal_brute_force(spark, seed):
     assert noise["a.example"] >= {"html>body>div.menu", "html>body>div.z"}
 
 
+def test_hosts_of_many_noise_branches_give_the_same_text(spark, monkeypatch):
+    rng = random.Random(5)
+    foot = "".join(f"<div class=f{k}><p>All rights {k}.</p></div>" for k in range(6))
+    rows = [(i, f"http://h{i % 2}.example/", f"<body><div class=top>Home. News.</div><div class=b{rng.randrange(3)}><p>Story {i} of {rng.random()}</p></div>{foot}</body>") for i in range(24)]
+    rows += [(30, None, rows[0][2]), (31, "http://h0.example/", None), (32, "http://h0.example/", ""), (33, *rows[2][1:]), (33, *rows[2][1:])]
+    frame = spark.createDataFrame(rows, PAGES).withColumn("_key", F.lit("k")).withColumn("path", F.lit("p"))
+    texts = lambda: sorted((r.page_id, r.text, r._key, r.path) for r in extraction.extract(frame).collect())
+    before = texts()
+    assert all("rights" not in t for i, t, *_ in before if i != 30) and len(before) == len(rows)
+    monkeypatch.setattr(extraction, "MOST_PATHS", 3)
+    assert texts() == before
+
+
 def test_names_alone_leave_article_text(spark):
     text = extraction.main_text
     assert text('<article><h1>T</h1><section id="discussion"><h2>D</h2><p>One</p></section><h2 id="related-work">Related work</h2><p>Two</p></article>') == "T\n\nD\n\nOne\n\nRelated work\n\nTwo"

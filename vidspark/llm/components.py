@@ -12,8 +12,8 @@ def components(edges: DataFrame) -> DataFrame:
     """node and label (the least node of its component) for every node of ``edges`` (a, b).
 
     Every round a node takes the least label around it and then that label's own label, so that chains
-    halve. Labels only fall, so the rounds come to an end, when none has. A node's neighbours meet only in partial minima, never as a list. Self-loops are allowed; an
-    edge with a null end is left out.
+    halve. Labels only fall, so the rounds come to an end, when none has. A node's neighbours meet only in partial minima, never as a list. Self-loops and repeated edges are allowed and change nothing; an
+    edge with a null end is left out; No edges give no rows; other columns are not read.
     """
     edges = edges.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")

@@ -19,6 +19,8 @@ from ._common import bound_batches, fresh, texts_of, written
 #: Branches under this importance (0 to 1) are noise; those whose names speak against them, under the second.
 MIN_IMPORTANCE = 0.3
 MIN_NAMED_IMPORTANCE = 0.6
+#: Noise branches of a host that go with each of its pages; and into how many parts the pages of a host with more are dealt.
+MOST_PATHS, SALTS = 1000, 16
 #: How much of a node's importance each of its styles hands on to what is below it.
 GAMMA = 0.9
 #: Levels of a style tree; what lies deeper counts for its ancestor there.
@@ -445,17 +447,44 @@ def branch_importance(pages: DataFrame, gamma: float = GAMMA) -> DataFrame:
     return placed.select("host", "path", "m", "named").join(weighed, ["host", "path"])
 
 
-def noise_branches(pages: DataFrame, min_importance: float = MIN_IMPORTANCE, min_named: float = MIN_NAMED_IMPORTANCE) -> DataFrame:
-    """host and its noise branches, from the style trees of all pages of each host: paths (texts' too) under which nothing has the least importance, they themselves neither.
+def noise_rows(pages: DataFrame, min_importance: float = MIN_IMPORTANCE, min_named: float = MIN_NAMED_IMPORTANCE) -> DataFrame:
+    """host and path, a row per noise branch, from the style trees of all pages of each host: paths (texts' too) under which nothing has the least importance, they themselves neither.
 
     The least is ``min_named`` for a branch that is, or lies in, one whose tag, role or names speak against it, else ``min_importance``. Few pages
     may agree by chance: of what is left to 1, importance gets 2^(1-m) in addition, so that with the usual threshold two pages
-    are too few and on three a branch must be all but the same. Only the noise branches of a host come together.
+    are too few and on three a branch must be all but the same. No pages give no rows.
     """
     rows = branch_importance(pages).withColumn("importance", F.col("importance") + (1 - F.col("importance")) * F.pow(F.lit(2.0), 1 - F.col("m")))
     most = rows.select("host", "path", "importance", "named", _prefixes()).groupBy("host", "at").agg(F.max("importance").alias("most"), F.max(F.when(F.col("path") == F.col("at"), F.col("named"))).alias("named"))
-    low = most.filter(F.col("most") < F.when(F.col("named"), min_named).otherwise(min_importance))
-    return low.groupBy("host").agg(F.collect_list("at").alias("paths"))
+    return most.filter(F.col("most") < F.when(F.col("named"), min_named).otherwise(min_importance)).select("host", F.col("at").alias("path"))
+
+
+def noise_branches(pages: DataFrame, min_importance: float = MIN_IMPORTANCE, min_named: float = MIN_NAMED_IMPORTANCE) -> DataFrame:
+    """host and the list of its noise branches (``noise_rows``), to be looked at; ``extract`` gathers those of hosts with few of them only."""
+    return noise_rows(pages, min_importance, min_named).groupBy("host").agg(F.collect_list("path").alias("paths"))
+
+
+def _page_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, key and each different path of a page, its texts' paths too."""
+    for batch in batches:
+        for host, key, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own, stack = set(), [parse(page)]
+            while stack:
+                node = stack.pop()
+                stack.extend(c for c in node.children if not isinstance(c, str))
+                own |= {node.path, f"{node.path}>#text"}
+            n = len(own)
+            yield pa.RecordBatch.from_arrays([pa.array([host] * n, pa.string()), pa.array([key] * n, pa.string()), pa.array(sorted(own), pa.string())], ["host", "key", "path"])
+
+
+def _own_noise(pages: DataFrame, noise: DataFrame) -> DataFrame:
+    """host, key and the noise branches that occur on a page, for pages (host, key, html) of hosts with many: a list is as long as its page, whatever its host has.
+
+    Branches of a host are on most of its pages, so the rows of noise are laid out SALTS times and pages deal themselves over them.
+    """
+    salted = noise.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    paths = pages.mapInArrow(_page_paths, "host string, key string, path string").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    return paths.join(salted, ["host", "path", "salt"]).groupBy("host", "key").agg(F.collect_set("path").alias("paths"))
 
 
 def extract(pages: DataFrame, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
@@ -465,14 +494,24 @@ def extract(pages: DataFrame, min_importance: float = MIN_IMPORTANCE) -> DataFra
 
     Null and empty html, and pages without text, give an empty string. Null urls and urls without host are one host.
     Rows that are repeated count once for the trees and are extracted each. An empty table stays empty. Columns
-    named text or n_chars are replaced, all others are kept.
+    named text or n_chars are replaced, all others are kept. Up to MOST_PATHS noise branches of a host are one list, sent with its pages; of a host with more, each
+    page gets those that occur on it, which gives the same text.
     """
     bound_batches(pages.sparkSession)
     pages = pages.drop("text", "n_chars")
-    noise = written(noise_branches(pages, min_importance), "noise")
+    noise = written(noise_rows(pages, min_importance), "noise")
+    counts = written(noise.groupBy("host").agg((F.count("*") > MOST_PATHS).alias("many")), "noisy-hosts")
     names, at = pages.columns, pages.columns.index("html")
-    own, paths = fresh("_host", names), fresh("_paths", names)
-    both = pages.withColumn(own, host_of(F.col("url").cast("string"))).join(noise.toDF(own, paths), own, "left").select(*names, paths)
+    own, paths, key, more = (fresh(c, names) for c in ("_host", "_paths", "_key", "_more"))
+    gathered = noise.join(counts.filter("NOT many"), "host").groupBy("host").agg(F.collect_list("path").alias("paths"))
+    both = pages.withColumn(own, host_of(F.col("url").cast("string"))).join(gathered.toDF(own, paths), own, "left")
+    many = counts.filter("many").select("host")
+    if not many.isEmpty():
+        whole = F.coalesce(F.col("html").cast("string"), F.lit(""))
+        hosted = pages.select(host_of(F.col("url").cast("string")).alias("host"), F.sha2(whole, 256).alias("key"), whole.alias("html"))
+        found = written(_own_noise(hosted.join(many, "host", "left_semi"), noise.join(many, "host", "left_semi")), "own-noise")
+        both = both.withColumn(key, F.sha2(whole, 256)).join(found.toDF(own, key, more), [own, key], "left").withColumn(paths, F.coalesce(paths, more))
+    both = both.select(*names, paths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

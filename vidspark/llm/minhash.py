@@ -208,7 +208,8 @@ def _across(members: DataFrame, sets: DataFrame, labels: DataFrame, bucket: int,
     Buckets of ``bucket`` members or fewer give all such pairs. The members of larger ones are compared by
     prefix and positional filtering, which are exact: of two sets at a similarity of s, each has one of the
     other's elements among its rarest (1 - s) part and one more, and enough elements after it. A member far
-    from the rest of its bucket has only elements of its own there and meets none.
+    from the rest of its bucket has only elements of its own there and meets none. No members, or buckets of one component only, give no pairs; a
+    member that is listed twice gives its pairs twice.
     """
     live = _live(_labelled(members.select("bucket", "node"), labels), "bucket")
     small, large = live.filter(F.col("n") <= bucket), live.filter(F.col("n") > bucket)

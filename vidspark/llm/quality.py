@@ -129,7 +129,10 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def language_references(measured: DataFrame) -> DataFrame:
-    """Per language: shares of the summed histograms of all its documents that are long enough to be judged."""
+    """Per language: shares of the summed histograms of all its documents that are long enough to be judged.
+
+    Repeated rows count each. A language without a document of that length, and an empty table, have no row, so nothing is judged by them; documents without language are one language.
+    """
     some = measured.filter(F.col("n_words") >= JUDGED_WORDS)
     total = lambda name, n: F.array(*[F.coalesce(F.sum(F.get(name, F.lit(i))), F.lit(0.0)) for i in range(n)])
     sums = some.groupBy("_lang").agg(total("_classes", 7).alias("_a"), F.slice(total("_wordy", len(WORDS) + 1), F.lit(1), F.max(F.size("_wordy"))).alias("_b"))

@@ -179,7 +179,7 @@ def reassemble(records: DataFrame) -> DataFrame:
 
     Only segmented records are shuffled, each by its own identifier, so a group is as large as one record. The total
     length must be that of the joined segments, else the record has an error and no block. Records that
-    were written twice come out twice.
+    were written twice come out twice. An empty archive gives no records; records without segment number pass as they are.
     """
     whole = records.filter(F.col("segment_number").isNull())
     parts = records.filter(F.col("segment_number").isNotNull()).withColumn("_origin", F.coalesce("origin_id", "record_id"))
@@ -199,7 +199,8 @@ def reassemble(records: DataFrame) -> DataFrame:
 def payloads(records: DataFrame) -> DataFrame:
     """Adds payload, payload_bytes and sha1 of each response's HTTP message, its transfer framing decoded.
 
-    A payload that does not have the record's digest is an error. Revisits have no payload.
+    A payload that does not have the record's digest is an error. Revisits have no payload, nor have records with an error. An empty
+    archive gives no rows, repeated records are decoded each.
     """
     names = records.columns
 
