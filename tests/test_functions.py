@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vidspark.functions import tpoint, vision
-from vidspark.functions.lens import PinholeLens, VRLens, project
+from vidspark.functions.lens import IdentityLens, Lens, PinholeLens, VRLens, project
 from vidspark.functions.stbox import Volume, overlaps, stbox, volume_column
 from vidspark.operators.joins import overlap_join
 from vidspark.operators.video import crops, encode_rois, read_frames
@@ -70,6 +70,15 @@ def test_pinhole_round_trip(spark, skew):
     assert got[0] == pytest.approx(33.0 / 2) and got[1] == pytest.approx(44.0 / 2)
 
 
+def test_base_lens_leaves_both_maps_to_its_kinds(spark):
+    for ask in (Lens().pixel_to_world, Lens().world_to_pixel):
+        with pytest.raises(NotImplementedError):
+            ask(1.0, 2.0, 3.0)
+    seen = spark.createDataFrame([(1.5, 2.5, 3.5), (None, 0.0, 1.0)], "x double, y double, z double")
+    rows = seen.select(*IdentityLens().pixel_to_world(F.col("x"), F.col("y"), F.col("z")), *IdentityLens().world_to_pixel(F.col("x"), F.col("y"), F.col("z"))).collect()
+    assert sorted(map(tuple, rows), key=str) == [(1.5, 2.5, 3.5, 1.5, 2.5), (None, 0.0, 1.0, None, 0.0)]
+
+
 def test_camera_row_projection_equals_lens(spark):
     lens = PinholeLens((4, 4), (1.0, 2.0), 90.0, 0.5)
     fx, fy = lens.focal
