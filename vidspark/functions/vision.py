@@ -35,8 +35,7 @@ def non_max_suppression(boxes: DataFrame, score: float = MIN_SCORE, iou: float =
             other = xy[chosen]
             w = np.clip(np.minimum(xy[i, 2], other[:, 2]) - np.maximum(xy[i, 0], other[:, 0]), 0, None)
             h = np.clip(np.minimum(xy[i, 3], other[:, 3]) - np.maximum(xy[i, 1], other[:, 1]), 0, None)
-            union = area[i] + area[chosen] - w * h
-            if not (np.divide(w * h, union, out=np.zeros(len(union)), where=union > 0) > iou).any():
+            if not (w * h > iou * (area[i] + area[chosen] - w * h)).any():  # not divided, so that boxes right at the limit are judged by the numbers as they are
                 chosen.append(i)
         return group.iloc[chosen]
 
