@@ -20,30 +20,61 @@ from ..constants import DEPTH_RATIO, MAX_COSINE_DISTANCE, MAX_DEPTH, MAX_IOU, MI
 def non_max_suppression(boxes: DataFrame, score: float = MIN_SCORE, iou: float = MAX_IOU, most_a_class: int = MOST_A_CLASS, most_a_frame: int = MOST_A_FRAME) -> DataFrame:
     """Boxes (camera_id, frame, object_type, score, x1, y1, x2, y2, ...) that greedy suppression keeps.
 
-    A frame and class is one small group; of a frame the best ``most_a_frame`` boxes over all classes stay.
+    Boxes are sorted by Spark and pass through tasks in batches; in a batch the best boxes of all groups (camera, frame and class) suppress at once, then the best of what is left. Of a group that goes on in the
+    next batch only the boxes kept are held. Of a frame the best ``most_a_frame`` boxes over all classes stay.
     """
-    kept = boxes.filter(F.col("score") >= score)
-
-    def greedy(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["score", "x1", "y1", "x2", "y2"], ascending=[False, True, True, True, True], kind="stable")
-        xy = group[["x1", "y1", "x2", "y2"]].to_numpy(float)
-        area = np.clip(xy[:, 2] - xy[:, 0], 0, None) * np.clip(xy[:, 3] - xy[:, 1], 0, None)
-        chosen: list[int] = []
-        for i in range(len(xy)):
-            if len(chosen) == most_a_class:
-                break
-            other = xy[chosen]
-            w = np.clip(np.minimum(xy[i, 2], other[:, 2]) - np.maximum(xy[i, 0], other[:, 0]), 0, None)
-            h = np.clip(np.minimum(xy[i, 3], other[:, 3]) - np.maximum(xy[i, 1], other[:, 1]), 0, None)
-            if not (w * h > iou * (area[i] + area[chosen] - w * h)).any():  # not divided, so that boxes right at the limit are judged by the numbers as they are
-                chosen.append(i)
-        return group.iloc[chosen]
-
-    kept = kept.groupBy("camera_id", "frame", "object_type").applyInPandas(greedy, boxes.schema)
+    group = ("camera_id", "frame", "object_type")
+
+    def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, np.zeros((0, 4))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = [batch.column(c) for c in group]
+            starts = np.zeros(batch.num_rows, bool)
+            for v in values:
+                codes = v.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                starts[1:] |= codes[1:] != codes[:-1]
+            of = np.cumsum(starts)
+            xy = np.stack([batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("x1", "y1", "x2", "y2")], 1)
+            kept = np.zeros(of[-1] + 1, int)
+            left = np.arange(len(xy))
+            if key == (key := tuple(v[0].as_py() for v in values)):
+                kept[0] = len(held)
+                own = np.flatnonzero(of == 0)
+                free = np.ones(len(xy), bool)
+                for box in held:
+                    free[own] &= ~_suppressed(xy[own], box[None], iou)
+                left = left[free]
+            left = left[kept[of[left]] < most_a_class]
+            chosen = [np.zeros(0, int)]
+            while left.size:
+                g = of[left]
+                first = np.append(True, g[1:] != g[:-1])
+                best = left[first]
+                chosen.append(best)
+                kept[of[best]] += 1
+                left = left[~first & (kept[g] < most_a_class) & ~_suppressed(xy[left], xy[best[np.cumsum(first) - 1]], iou)]
+            rows = np.sort(np.concatenate(chosen))
+            last = xy[rows[of[rows] == of[-1]]]
+            held = np.vstack([held, last]) if not of[-1] and kept[0] > len(last) else last
+            key = tuple(v[-1].as_py() for v in values)
+            yield batch.take(pa.array(rows))
+
+    corners = [F.asc_nulls_last(c) for c in ("x1", "y1", "x2", "y2")]
+    kept = boxes.filter(F.col("score") >= score).repartition(*group).sortWithinPartitions(*group, F.desc("score"), *corners).mapInArrow(greedy, boxes.schema)
     best = Window.partitionBy("camera_id", "frame").orderBy(F.desc("score"), "object_type", "x1", "y1", "x2", "y2")
     return kept.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= most_a_frame).drop("_rank")
 
 
+def _suppressed(boxes: np.ndarray, by: np.ndarray, iou: float) -> np.ndarray:
+    """Whether each box shares more than iou of the joint area with the one beside it; not divided, so that boxes right at the limit are judged by the numbers as they are."""
+    side = lambda a, b: np.clip(np.minimum(boxes[:, b], by[:, b]) - np.maximum(boxes[:, a], by[:, a]), 0, None)
+    area = lambda x: np.clip(x[:, 2] - x[:, 0], 0, None) * np.clip(x[:, 3] - x[:, 1], 0, None)
+    both = side(0, 2) * side(1, 3)
+    return both > iou * (area(boxes) + area(by) - both)
+
+
 def run_model(frames: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """What a model makes of batches of frames, such as a detector's boxes or a network's disparities; each frame stands for itself."""
 
