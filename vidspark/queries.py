@@ -585,8 +585,11 @@ def _pictures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     placed = d.select("item_id", frame.alias("frame"), (F.floor("x1").cast("int") % 20).alias("x1"), (F.col("y1").cast("int") % 16).alias("y1"), (1 + e % 9).cast("int").alias("w"), (1 + e % 7).cast("int").alias("h"))
     found = placed.groupBy("item_id", "frame").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max(F.col("x1") + F.col("w")).alias("x2"), F.max(F.col("y1") + F.col("h")).alias("y2"))
     at = F.map_from_entries(F.collect_list(F.struct((e * 7919 % 768).cast("int"), F.lpad(F.hex(e % 251), 2, "0"))))
-    hexes = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(767)), lambda i: F.coalesce(F.get(F.filter(F.col("dots"), lambda p: p["key"] == i), F.lit(0))["value"], F.lit("00"))), "")
-    frames = d.groupBy(frame.alias("frame")).agg(F.map_entries(at).alias("dots")).select("frame", F.lit(32).alias("width"), F.lit(24).alias("height"), F.unhex(hexes).alias("data"))
+    dots = F.col("dots")
+    # Each dot after the dark pixels since the one before it.
+    lit_ = F.transform(dots, lambda p, i: F.concat(F.repeat(F.lit("00"), p["key"] - 1 - F.coalesce(F.get(dots, i - 1)["key"], F.lit(-1))), p["value"]))
+    hexes = F.concat(F.array_join(lit_, ""), F.repeat(F.lit("00"), 767 - F.element_at(dots, -1)["key"]))
+    frames = d.groupBy(frame.alias("frame")).agg(F.array_sort(F.map_entries(at)).alias("dots")).select("frame", F.lit(32).alias("width"), F.lit(24).alias("height"), F.unhex(hexes).alias("data"))
     return found.withColumn("t", tpoint.time_of_frame(F.col("frame"), START)), frames
 
 

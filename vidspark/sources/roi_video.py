@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from urllib.parse import quote, urlparse
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -255,8 +256,11 @@ class FilteringVideoReader(VideoReader):
                 yield f
 
 
+def _checksums(data: pd.Series) -> pd.Series:
+    places = np.arange(1, 1 + max((len(d) for d in data if d is not None), default=0), dtype=np.int64)
+    return pd.Series([0 if d is None else int(np.frombuffer(d, np.uint8) @ places[: len(d)]) for d in data], dtype="int64")
+
+
 def checksum(data: Column) -> Column:
-    """Sum of each byte times its place, from 1."""
-    places = F.sequence(F.lit(1), F.octet_length(data))
-    byte = lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("long")
-    return F.when(F.octet_length(data) > 0, F.aggregate(places, F.lit(0).cast("long"), lambda total, i: total + byte(i) * i)).otherwise(F.lit(0).cast("long"))
+    """Sum of each byte times its place, from 1; 0 for null."""
+    return F.pandas_udf(_checksums, T.LongType())(data)
