@@ -94,3 +94,13 @@ def test_odd_pictures_and_regions(spark, tmp_path):
     assert fetched(spark, path, []) == {}
     with pytest.raises(Exception, match="of 3 bytes"):
         tile_store.write_tiles(spark.createDataFrame([(1, 0, 10, 8, bytearray(3))], tile_store.PICTURES), spark.createDataFrame([], CUTS), str(tmp_path / "other"), 3)
+
+
+def test_segments_are_written_by_many_tasks(spark, tmp_path):
+    """A folder takes a writer's time however small it is; few tasks wrote them all where there were few bytes."""
+    path = str(tmp_path / "tiles")
+    keys = [(1, f) for f in range(40)]
+    for _ in range(2):  # a new store, then one that is written again
+        tile_store.write_tiles(pictures(spark, keys), spark.createDataFrame([], CUTS), path, 1)
+        files = list(Path(path).glob("video=*/segment=*/*.parquet"))
+        assert len(files) == 40 and len({f.name.split("-")[1] for f in files}) > 20

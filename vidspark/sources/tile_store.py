@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ TILES = "frame long, width int, height int, tile int, x int, y int, w int, h int
 FETCHED = "video long, segment long, label string, frame long, x1 int, y1 int, width int, height int, data binary, decoded long"
 #: Folders that are named one by one where a query asks for no more than these; beyond, the join alone finds them.
 NAMED_FOLDERS = 1000
+#: Tasks that segments are dealt to for writing: a folder takes a writer's time, however few bytes it has.
+TASKS = 100
 _CORNERS = ("x1", "y1", "x2", "y2")
 _END = 2**31 - 1
 
@@ -66,8 +69,14 @@ def write_tiles(pictures: DataFrame, cuts: DataFrame, path: str, segment_frames:
     sound = cuts.filter(" AND ".join(f"{c} IS NOT NULL" for c in _CORNERS))
     one = sound.groupBy("video", "segment").agg(F.min(F.struct(*_CORNERS)).alias("cut")).select("video", "segment", *[F.col(f"cut.{c}").cast("int").alias(c) for c in _CORNERS])
     tiles = _by_segment(rows, one, "left").select("video", "segment", "frame", "width", "height", "data", *_CORNERS).mapInArrow(_cut, TILES)
-    laid = tiles.repartition("video", "segment").sortWithinPartitions("video", "segment", "tile", "frame")
-    laid.write.partitionBy("video", "segment").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    laid = tiles.repartition(TASKS, "video", "segment").sortWithinPartitions("video", "segment", "tile", "frame")
+    out = laid.write.partitionBy("video", "segment")
+    try:
+        out.mode("errorifexists").parquet(path)  # a new store is moved to its place by task, not by segment
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_ALREADY_EXISTS":
+            raise
+        out.option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
 def read_tiles(spark: SparkSession, path: str) -> DataFrame:
